@@ -19,8 +19,25 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(table(spark, sf_dir, "documents"), shingle_size=5, percent=75)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from jobloom.llm.packing import pack
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return pack(table(spark, sf_dir, "documents"), path, capacity=2048, separator=0)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_sharding": op5_sharding,
 }
 
 #: DuckDB SQL with the same result, where SQL over whole tables can express it.

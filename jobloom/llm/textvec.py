@@ -28,14 +28,14 @@ _LOWER[65:91] += 32
 _KEEP = np.arange(256, dtype=np.uint8)
 
 
-def _powers(n: int) -> np.ndarray:
+def powers_of_step(n: int) -> np.ndarray:
     out = np.full(n, _STEP, dtype=np.uint64)
     if n:
         out[0] = 1
     return np.multiply.accumulate(out)
 
 
-_POWERS = _powers(4096)
+_POWERS = powers_of_step(4096)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,7 +75,7 @@ def _hash_slice(data: np.ndarray, text: np.ndarray, lower: bool) -> Words:
     if len(start):
         size = end - start
         if (longest := int(size.max())) > len(_POWERS):
-            _POWERS = _powers(longest + 1024)
+            _POWERS = powers_of_step(longest + 1024)
         at = np.flatnonzero(inside[1:-1])
         head = np.concatenate(([0], np.cumsum(size)[:-1]))
         place = np.arange(len(at)) - np.repeat(head, size)
