@@ -19,6 +19,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(table(spark, sf_dir, "documents"), shingle_size=5, percent=75)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,16 +34,31 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), path, capacity=2048, separator=0)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobloom.llm.sharding import shard_documents
 
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.warc import archive_digest
+
+    return archive_digest(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_quality": op2_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
+    "op6_warc": op6_warc,
 }
 
 #: DuckDB SQL with the same result, where SQL over whole tables can express it.
