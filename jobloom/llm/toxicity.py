@@ -26,7 +26,7 @@ from jobloom.llm.scratch import materialize
 #: At most this many rows of each label teach.
 TRAINING_ROWS = {0: 6000, 1: 3000}
 #: Terms kept; neighbourhoods that a term needs; its least log-odds; letters of a word beginning.
-MOST_TERMS, LEAST_SUPPORT, LEAST_ODDS, BEGINNINGS = 4000, 5, 3.0, (4, 5, 6)
+MOST_TERMS, LEAST_SUPPORT, LEAST_ODDS, BEGINNINGS = 6000, 5, 4.5, (3, 4, 5, 6, 7, 8)
 LEAST_SHARE = 0.002  # of the toxic sample, as support
 
 _LOOKALIKES = dict(
@@ -177,22 +177,25 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> L
     met = sample.mapInArrow(_occurrences(candidates), "term string, before string, word string, after string, y int")
     met = materialize(met.distinct(), "occurrences")
     counts = met.groupBy("term").agg(
-        F.sum(F.col("y")).alias("p"), F.sum(1 - F.col("y")).alias("n"), F.max("word").alias("one_word"),
-        F.countDistinct("word").alias("words"),
+        F.sum(F.col("y")).alias("p"), F.sum(1 - F.col("y")).alias("n")
     )
     odds: dict[str, float] = {}
-    single: set[str] = set()
+    support_of: dict[str, int] = {}
     for r in counts.collect():  # at most MOST_TERMS rows
         value = np.log((r["p"] + 0.5) / (toxic + 1)) - np.log((r["n"] + 0.5) / (clean + 1))
         if value >= LEAST_ODDS:
-            odds[r["term"]] = float(value)
-            if not r["term"].endswith(" ") and r["words"] == 1:
-                single.add(r["term"])
-    # A beginning that stands for one word gives way to it, and longer terms to a beginning that has them.
+            odds[r["term"]], support_of[r["term"]] = float(value), r["p"]
+    # A beginning gives way to a longer term that covers nearly the same texts, and then longer terms give
+    # way to a beginning about as telling.
+    covered: dict[str, float] = defaultdict(float)
+    for term in odds:
+        for n in BEGINNINGS:
+            if n + 1 < len(term):
+                covered[term[: n + 1]] = max(covered[term[: n + 1]], support_of[term])
     terms: dict[str, float] = {}
     for term in sorted(odds, key=lambda t: (len(t.rstrip()), t.endswith(" "))):
-        shorter = any(term[: n + 1] in terms and not term[: n + 1].endswith(" ") for n in BEGINNINGS)
-        if term not in single and not (shorter and term[:-1] not in terms):
+        shorter = max((terms.get(term[: n + 1], 0.0) for n in BEGINNINGS if n + 1 < len(term)), default=0.0)
+        if covered[term] < 0.9 * support_of[term] and shorter < odds[term] - 1:
             terms[term] = odds[term]
     exceptions = _exceptions(met, terms)
     lexicon = Lexicon(terms, exceptions)
