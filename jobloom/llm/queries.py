@@ -52,6 +52,18 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digest(table(spark, sf_dir, "pages"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.embedding_dedup import embedding_components
+
+    return embedding_components(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality": op2_quality,
@@ -59,6 +71,8 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
     "op6_warc": op6_warc,
+    "op7_decontamination": op7_decontamination,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
 
 #: DuckDB SQL with the same result, where SQL over whole tables can express it.

@@ -23,6 +23,8 @@ _SHINGLE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Separators may also be all ASCII characters but letters and digits.
+_IS_ALNUM = np.array([byte >= 0x80 or chr(byte).isalnum() for byte in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KEEP = np.arange(256, dtype=np.uint8)
@@ -51,7 +53,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of consecutive texts: ``doc[i]:doc[i + 1]`` are the words of text i."""
 
-    data: np.ndarray  #: bytes of the slice
+    data: np.ndarray  #: bytes of the slice, lower-cased if asked for
+    raw: np.ndarray  #: bytes of the slice as they are
     start: np.ndarray  #: first byte of each word
     end: np.ndarray  #: byte after each word
     hash: np.ndarray  #: hash of each word
@@ -59,11 +62,11 @@ class Words:
     text: np.ndarray  #: byte offsets of the texts
 
 
-def _hash_slice(data: np.ndarray, text: np.ndarray, lower: bool) -> Words:
+def _hash_slice(raw: np.ndarray, text: np.ndarray, lower: bool, is_word: np.ndarray) -> Words:
     global _POWERS
-    data = (_LOWER if lower else _KEEP)[data]
+    data = (_LOWER if lower else _KEEP)[raw]
     inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = _IS_WORD[data]
+    inside[1:-1] = is_word[data]
     begins = inside[1:-1] & ~inside[:-2]
     first = text[:-1][text[:-1] < text[1:]]
     begins[first] |= inside[1:-1][first]  # a text begins a new word whatever stands before it
@@ -82,22 +85,23 @@ def _hash_slice(data: np.ndarray, text: np.ndarray, lower: bool) -> Words:
         hashed = mix(np.add.reduceat(_BYTE[data[at]] * _POWERS[place], head) + size.astype(np.uint64))
     else:
         hashed = np.zeros(0, dtype=np.uint64)
-    return Words(data, start, end, hashed, np.searchsorted(start, text), text)
+    return Words(data, raw, start, end, hashed, np.searchsorted(start, text), text)
 
 
-def words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, Words]]:
+def words(column: pa.Array, lower: bool = True, alnum: bool = False) -> Iterator[tuple[int, Words]]:
     """Yield (index of the first text, Words) for slices of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, "").cast(pa.large_string())
     _, offsets, values = column.buffers()
+    is_word = _IS_ALNUM if alnum else _IS_WORD
     n = len(column)
     off = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1]
     data = np.frombuffer(values, dtype=np.uint8) if values is not None else np.zeros(0, dtype=np.uint8)
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE_BYTES, side="right")) - 1)
-        yield i, _hash_slice(data[off[i] : off[j]], off[i : j + 1] - off[i], lower)
+        yield i, _hash_slice(data[off[i] : off[j]], off[i : j + 1] - off[i], lower, is_word)
         i = j
 
 
