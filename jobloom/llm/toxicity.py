@@ -86,7 +86,7 @@ def _weight(automaton, text: str) -> float:
 
 
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, hash of the words around it), once a batch."""
+    """(word, hash of it and the words around it), once a batch."""
     import xxhash
 
     for batch in batches:
@@ -95,13 +95,10 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             words = ["", *fold(text).split(), ""]
             for before, word, after in zip(words, words[1:], words[2:]):
                 around = xxhash.xxh3_64_intdigest(f"{before} {word} {after}") >> 1
-                seen.add((f" {word} ", around))
-                for n in BEGINNINGS:
-                    if len(word) > n:
-                        seen.add((f" {word[:n]}", around))
-        terms, around = zip(*seen, strict=True) if seen else ((), ())
+                seen.add((word, around))
+        found, around = zip(*seen, strict=True) if seen else ((), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), pa.array(around, pa.int64())], names=["term", "around"]
+            [pa.array(found, pa.string()), pa.array(around, pa.int64())], names=["word", "around"]
         )
 
 
@@ -167,8 +164,12 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> L
     sample = materialize(sample.select("text", "y"), "labelled")
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
-    around = sample.filter("y = 1").select("text").mapInArrow(_neighbourhoods, "term string, around long")
-    support = around.distinct().groupBy("term").agg(F.count("*").alias("n"))
+    around = sample.filter("y = 1").select("text").mapInArrow(_neighbourhoods, "word string, around long")
+    by_word = around.distinct().groupBy("word").agg(F.count("*").alias("n"))
+    beginnings = [F.when(F.length("word") > n, F.concat(F.lit(" "), F.left("word", F.lit(n)))) for n in BEGINNINGS]
+    terms_of = F.array_compact(F.array(F.concat(F.lit(" "), "word", F.lit(" ")), *beginnings))
+    by_term = by_word.select(F.explode(terms_of).alias("term"), "n")
+    support = by_term.groupBy("term").agg(F.sum("n").alias("n"))
     least = max(LEAST_SUPPORT, int(LEAST_SHARE * toxic))
     often = support.filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MOST_TERMS)
     candidates = [r["term"] for r in often.collect()]
