@@ -64,6 +64,12 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality": op2_quality,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_html_text": op10_html_text,
 }
 
 #: DuckDB SQL with the same result, where SQL over whole tables can express it.
