@@ -11,7 +11,7 @@ weights is normalised by length and turned into a probability by a logistic curv
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -102,6 +102,17 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, occurrences) of a partition."""
+    counts: Counter[str] = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            counts.update(fold(text).split())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"]
+    )
+
+
 def _occurrences(terms: list[str]):
     """(term, before, after, y) for the terms in labelled texts."""
 
@@ -166,26 +177,21 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> L
     toxic, clean = size.get(1, 0), size.get(0, 0)
     around = sample.filter("y = 1").select("text").mapInArrow(_neighbourhoods, "word string, around long")
     by_word = around.distinct().groupBy("word").agg(F.count("*").alias("n"))
+    met = sample.filter("y = 0").select("text").mapInArrow(_word_counts, "word string, n long")
+    by_word_clean = met.groupBy("word").agg(F.sum("n").alias("n"))
     beginnings = [F.when(F.length("word") > n, F.concat(F.lit(" "), F.left("word", F.lit(n)))) for n in BEGINNINGS]
-    terms_of = F.array_compact(F.array(F.concat(F.lit(" "), "word", F.lit(" ")), *beginnings))
-    by_term = by_word.select(F.explode(terms_of).alias("term"), "n")
-    support = by_term.groupBy("term").agg(F.sum("n").alias("n"))
+    terms_of = F.explode(F.array_compact(F.array(F.concat(F.lit(" "), "word", F.lit(" ")), *beginnings))).alias("term")
+    p = by_word.select(terms_of, "n").groupBy("term").agg(F.sum("n").alias("p"))
+    n = by_word_clean.select(terms_of, "n").groupBy("term").agg(F.sum("n").alias("n"))
     least = max(LEAST_SUPPORT, int(LEAST_SHARE * toxic))
-    often = support.filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MOST_TERMS)
-    candidates = [r["term"] for r in often.collect()]
-    if not candidates:
+    counts = p.filter(F.col("p") >= least).join(n, "term", "left").select("term", "p", F.coalesce("n", F.lit(0)).alias("n"))
+    value = F.log((F.col("p") + 0.5) / (toxic + 1)) - F.log((F.col("n") + 0.5) / (clean + 1))
+    telling = counts.withColumn("odds", value).filter(F.col("odds") >= LEAST_ODDS)
+    telling = telling.orderBy(F.desc("odds"), "term").limit(MOST_TERMS).collect()
+    odds = {r["term"]: r["odds"] for r in telling}
+    support_of = {r["term"]: r["p"] for r in telling}
+    if not odds:
         return Lexicon(slope=0.0, intercept=-30.0 if clean else 0.0)
-    met = sample.mapInArrow(_occurrences(candidates), "term string, before string, word string, after string, y int")
-    met = materialize(met.distinct(), "occurrences")
-    counts = met.groupBy("term").agg(
-        F.sum(F.col("y")).alias("p"), F.sum(1 - F.col("y")).alias("n")
-    )
-    odds: dict[str, float] = {}
-    support_of: dict[str, int] = {}
-    for r in counts.collect():  # at most MOST_TERMS rows
-        value = np.log((r["p"] + 0.5) / (toxic + 1)) - np.log((r["n"] + 0.5) / (clean + 1))
-        if value >= LEAST_ODDS:
-            odds[r["term"]], support_of[r["term"]] = float(value), r["p"]
     # A beginning gives way to a longer term that covers nearly the same texts, and then longer terms give
     # way to a beginning about as telling.
     covered: dict[str, float] = defaultdict(float)
@@ -198,7 +204,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> L
         shorter = max((terms.get(term[: n + 1], 0.0) for n in BEGINNINGS if n + 1 < len(term)), default=0.0)
         if covered[term] < 0.9 * support_of[term] and shorter < odds[term] - 1:
             terms[term] = odds[term]
-    exceptions = _exceptions(met, terms)
+    met = sample.mapInArrow(_occurrences(list(terms)), "term string, before string, word string, after string, y int")
+    exceptions = _exceptions(met.distinct(), terms)
     lexicon = Lexicon(terms, exceptions)
     numbered = sample.select(F.col("y"), "text").mapInArrow(_densities(lexicon), "y int, density double")
     points = numbered.collect()  # bounded by TRAINING_ROWS
