@@ -58,6 +58,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.surrogates import replace_personal_data
+
+    return replace_personal_data(table(spark, sf_dir, "documents"), found_column="n_replaced")
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobloom.llm.embedding_dedup import embedding_components
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op5_sharding": op5_sharding,
     "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,
+    "op8_surrogates": op8_surrogates,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_html_text": op10_html_text,
 }
