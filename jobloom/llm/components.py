@@ -1,37 +1,5 @@
-"""Connected components over an edge table, without a driver-side graph."""
+"""Connected components, as the rest of the library computes them."""
 
-from __future__ import annotations
+from jobloom.operators.components import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from jobloom.llm.scratch import materialize
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Components of undirected ``edges(a, b)`` as ``(node, component)``, the smallest reachable node.
-
-    Every round takes the smallest label among a node's neighbours and then the label of that label
-    (pointer jumping), so long chains shorten geometrically. Labels are written to the shared folder each
-    round. Null ends and loops are ignored; nodes without an edge do not appear.
-    """
-    edges = edges.select("a", "b").filter("a is not null and b is not null and a <> b")
-    both = edges.unionByName(edges.selectExpr("b as a", "a as b")).distinct()
-    both = materialize(both, "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
-    labels = materialize(labels.select("node", F.least("node", "near").alias("component")), "labels")
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels.node == near.a).select(
-            "node", "component", F.least("component", "near").alias("next")
-        )
-        jump = labels.select(F.col("node").alias("at"), F.col("component").alias("far"))
-        step = step.join(jump, step.next == jump.at, "left").select(
-            "node",
-            F.least("next", "far").alias("component"),
-            (F.least("next", "far") < F.col("component")).alias("changed"),
-        )
-        step = materialize(step, "labels")
-        labels = step.select("node", "component")
-        if step.filter("changed").isEmpty():
-            return labels
+__all__ = ["connected_components"]

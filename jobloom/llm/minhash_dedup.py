@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from jobloom.llm import textvec
 from jobloom.llm.components import connected_components
-from jobloom.llm.scratch import materialize
+from jobloom.llm.scratch import fresh, materialize
 
 VALUES, CHUNK, WORD = 32, 4, 8  # MinHash values; values of a chunk; values packed into one long
 #: Pairs further apart than this in signature distance are not confirmed (P < 1e-6 at similarity 0.75).
@@ -300,5 +300,6 @@ def drop_near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int =
     kept = minhash_components(docs, shingle_size, percent).filter("kept and doc_id is not null")
     once = Window.partitionBy("doc_id").orderBy(*[c for c, t in docs.dtypes if not t.startswith("map")])
     stays = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-    stays = stays.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").drop("_nth")
+    nth = fresh(docs.columns, "_nth")
+    stays = stays.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1).drop(nth)
     return stays.unionByName(docs.filter("doc_id is null"))

@@ -1,33 +1,13 @@
-"""Where operators write intermediate tables.
+"""Intermediate tables in the shared folder."""
 
-A written table cuts lineage and survives the loss of an executor. The folder is the one that the
-cluster names in ``spark.checkpoint.dir``; a local session without that setting gets a temporary folder.
-"""
+from jobloom.sources.scratch import materialize, scratch_dir
 
-from __future__ import annotations
+__all__ = ["fresh", "materialize", "scratch_dir"]
 
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
-_local: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables of this application."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = _local.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="spark-"))
-    return f"{root.rstrip('/')}/jobloom-{sc.applicationId}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or a longer one if a table has a column of that name."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.scratch import materialize
+from jobloom.llm.scratch import fresh, materialize
 
 # Honorifics by gender, and names by gender and script.
 MALE_TITLES = "Mr|Herr|Monsieur|Señor|Sr|Don|Господин|Κύριος"
@@ -192,18 +192,22 @@ def replace_personal_data(docs: DataFrame, secret: str = "surrogates", found_col
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     has_data = text.rlike(MAY_HOLD) & text.rlike(PATTERN)
     plain = docs.filter(~has_data)
-    marked = docs.filter(has_data).withColumn("_row", F.monotonically_increasing_id())
-    marked = materialize(marked.withColumn("_found", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))), "marked")
-    mentions = marked.select("_row", F.posexplode("_found").alias("_at", "value"))
+    row, found = fresh(docs.columns, "_row"), fresh(docs.columns, "_found")
+    marked = docs.filter(has_data).withColumn(row, F.monotonically_increasing_id())
+    marked = materialize(marked.withColumn(found, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))), "marked")
+    mentions = marked.select(F.col(row).alias("_mention_row"), F.posexplode(found).alias("_at", "value"))
     surrogates = _draws(mentions.select("value").distinct(), secret)
-    new = mentions.join(surrogates, "value").groupBy("_row").agg(
+    new = mentions.join(surrogates, "value").groupBy("_mention_row").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_at", "surrogate"))), lambda x: x["surrogate"]).alias("_new")
     )
-    gaps = F.split("text", PATTERN, -1)
-    pieces = F.zip_with(gaps, "_new", lambda gap, s: F.concat(gap, F.coalesce(s, F.lit(""))))
-    rewritten = marked.join(new, "_row")
-    columns = [F.array_join(pieces, "").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    counted = [F.size("_found").alias(found_column)] if found_column else []
+    texts = marked.select(F.col(row).alias("_text_row"), F.split("text", PATTERN, -1).alias("_gaps"))
+    pieces = F.zip_with("_gaps", "_new", lambda gap, s: F.concat(gap, F.coalesce(s, F.lit(""))))
+    texts = texts.join(new, F.col("_text_row") == F.col("_mention_row"))
+    rewritten, after = fresh(docs.columns, "_rewritten"), fresh(docs.columns, "_after_row")
+    texts = texts.select(F.col("_text_row").alias(after), F.array_join(pieces, "").alias(rewritten))
+    joined = marked.join(texts, marked[row] == texts[after])
+    columns = [F.col(rewritten).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    counted = [F.size(found).alias(found_column)] if found_column else []
     none = [F.lit(0).alias(found_column)] if found_column else []
     as_text = [F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return plain.select(*as_text, *none).unionByName(rewritten.select(*columns, *counted))
+    return plain.select(*as_text, *none).unionByName(joined.select(*columns, *counted))
