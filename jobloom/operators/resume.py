@@ -49,7 +49,7 @@ def extract_skills(skills_text: Column, whole_text: Column) -> Column:
     source = F.lower(F.when(given != "", given).otherwise(whole_text))
     known = F.filter(F.array(*map(F.lit, KNOWN_SKILLS)), lambda s: F.contains(source, s))
     pieces = F.filter(
-        F.transform(F.split(given, "[,;|•]"), F.btrim),
+        F.transform(F.split(given, "[,;|•]"), lambda p: F.btrim(p)),
         lambda p: (p != "") & (F.length(p) <= 60) & ~F.array_contains(known, F.lower(p)),
     )
     # A piece counts once whatever its case.
