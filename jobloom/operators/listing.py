@@ -107,3 +107,47 @@ def regional_views(jobs: DataFrame) -> dict[str, DataFrame]:
     from jobloom.functions.fields import REGIONS
 
     return {region: jobs.filter(F.col("region") == region) for region in REGIONS}
+
+
+LIST_FIELDS = (
+    "job_id", "title", "company", "location", "region", "modality", "status", "description_url", "application_url",
+    "published_at", "detected_at", "score",
+)
+DETAIL_FIELDS = ("description", "canonical_url", "salary_min", "salary_max", "salary_currency", "latest_score", "history")
+
+
+def _projected(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """The named columns; those that are missing are null."""
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields])
+
+
+def job_list_rows(scored: DataFrame) -> DataFrame:
+    return _projected(scored, LIST_FIELDS)
+
+
+def job_detail_rows(details: DataFrame) -> DataFrame:
+    return _projected(details, (*LIST_FIELDS, *DETAIL_FIELDS))
+
+
+def default_profile(profiles: DataFrame) -> DataFrame:
+    """The profile with the lowest id."""
+    return profiles.orderBy("profile_id").limit(1)
+
+
+def safe_payload(pairs: DataFrame, most: int = 12_000) -> DataFrame:
+    """``job_id, profile_id, payload``: JSON of the named fields only, the description cut; no resume text.
+
+    Reads the columns of scored pairs; experience entries keep what they state as numbers.
+    """
+    def text(c: str, default: str = ""):
+        return F.coalesce(F.col(c).cast("string"), F.lit(default)).alias(c)
+
+    def listed(c: str):
+        return F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c)
+
+    entries = F.transform("experience", lambda e: F.struct(e["years"].alias("years"), e["years_experience"].alias("years_experience"), e["duration_years"].alias("duration_years")))
+    preferences = F.struct(listed("locations"), listed("modalities"), text("seniority")).alias("preferences")
+    profile = F.struct(listed("skills"), entries.alias("experience"), listed("languages"), preferences).alias("profile")
+    description = F.left(F.coalesce("description", F.lit("")), F.lit(most)).alias("description")
+    job = F.struct(text("title"), text("company"), description, text("location"), text("region"), text("modality", "unknown")).alias("job")
+    return pairs.select("job_id", "profile_id", F.to_json(F.struct(profile, job)).alias("payload"))

@@ -411,3 +411,32 @@ def narrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     narratives = scores.filter("job_id % 3 = 0").select("job_id", "profile_id", told.alias("matches"), F.when(F.col("job_id") % 2 == 0, told).alias("gaps"), told.alias("recommendations"), F.lit("local").alias("model"))
     out = scoring.overlay_narrative(scores, narratives)
     return out.select("job_id", "profile_id", F.array_join("matches", "|").alias("matches"), "model", "score")
+
+
+@query(f"""WITH {v.JOBS}, {v.EVALUATIONS}, best AS (SELECT job_id, max(score) AS score FROM evaluations GROUP BY 1)
+SELECT j.job_id, title, company, region, modality, status, detected_at, score FROM jobs j LEFT JOIN best b ON j.job_id = b.job_id""")
+def list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = listing.job_list_rows(listing.scored_jobs(v.jobs(spark, sf_dir), v.evaluations(spark, sf_dir)))
+    return rows.drop("location", "description_url", "application_url", "published_at")
+
+
+@query(f"""WITH {v.DOC_POSTINGS}, p AS (SELECT *, {REGION} AS region, {MODALITY} AS modality FROM doc_postings)
+SELECT job_id, n_nationkey AS profile_id, length(left(description, 12000)) AS description_chars, title, coalesce(location, '') AS location, region, modality
+FROM p, nation WHERE n_nationkey < 8""")
+def safe_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = v.doc_postings(spark, sf_dir).select("job_id", "title", "company", "description")
+    payload = listing.safe_payload(_pairs(spark, sf_dir).join(d, "job_id"))
+    of = {c: F.get_json_object("payload", f"$.job.{c}") for c in ("title", "location", "region", "modality")}
+    chars = F.length(F.get_json_object("payload", "$.job.description")).cast("long").alias("description_chars")
+    return payload.select("job_id", "profile_id", chars, *[x.alias(c) for c, x in of.items()])
+
+
+@query("SELECT min(c_custkey) AS profile_id FROM customer")
+def default_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.default_profile(v.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("profile_id")))
+
+
+@query("SELECT c_custkey AS profile_id FROM customer WHERE c_acctbal < 0")
+def reevaluation_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = v.read(spark, sf_dir, "customer")
+    return history.reevaluation_queue(c.select(F.col("c_custkey").alias("profile_id"), (F.col("c_acctbal") < 0).alias("needs_reevaluation"))).select("profile_id")

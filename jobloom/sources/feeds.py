@@ -82,6 +82,27 @@ def pick_location(item: Column) -> Column:
     return F.nullif(F.btrim(found), F.lit(""))
 
 
+def merge_metadata(item: Column, source: Column, requirements: Column) -> Column:
+    """Adapter and requirements, overridden by the provider's map; what is no map is kept under ``provider_metadata``."""
+    given = F.try_variant_get(item, "$.metadata", "variant")
+    kind = F.coalesce(F.schema_of_variant(given), F.lit("VOID"))
+    provider = F.try_variant_get(given, "$", "map<string,string>")
+    other = F.create_map(F.lit("provider_metadata"), F.to_json(given))
+    empty = F.create_map().cast("map<string,string>")
+    added = F.when(kind.startswith("OBJECT"), F.coalesce(provider, empty)).when(kind == "VOID", empty).otherwise(other)
+    own = F.create_map(F.lit("source_adapter"), source, F.lit("requirements"), F.to_json(requirements))
+    kept = F.map_filter(own, lambda k, _: ~F.map_contains_key(added, k))
+    return F.map_concat(kept, added)
+
+
+def union_sources(*items: DataFrame) -> DataFrame:
+    """Items of several sources; order is source name, then position."""
+    out = items[0]
+    for more in items[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
 def normalize_items(items: DataFrame) -> DataFrame:
     """Postings from ``items(source, item_idx, item, base_url, default_company)``, with ``errors``."""
     item = F.col("item")
@@ -115,8 +136,8 @@ def normalize_items(items: DataFrame) -> DataFrame:
         "salary_period": F.nullif(F.lower(F.btrim(_pick(item, "period"))), F.lit("")),
         "published_at": parse_date(_pick(item, "published")),
         "requirements": F.coalesce(cleaned, split, F.array().cast("array<string>")),
-        "provider_metadata": F.to_json(F.try_variant_get(item, "$.metadata", "variant")),
     })
+    df = df.withColumn("metadata", merge_metadata(item, F.col("source"), F.col("requirements")))
     links = F.array("_description.error", "_application.error", "_canonical.error")
     not_object = F.when(~is_object(item), "item must be an object with a description URL")
     df = df.withColumn("_found", F.when(not_object.isNotNull(), F.array(not_object)).otherwise(F.array_compact(links)))

@@ -35,12 +35,19 @@ def test_provider_shapes(spark):
     good, _ = read(spark, {"jobs": [{"title": "T", "company_name": "C", "content": "x", "location": {"name": "Monterrey"}, "absolute_url": "https://b.example/1", "first_published": "2026-07-31T10:00:00-04:00", "metadata": ["a"]}]})
     r = good.first()
     assert (r.company, r.region, r.application_url, r.canonical_url, r.published_at) == ("C", "mexico", None, "https://b.example/1", datetime.date(2026, 7, 31))
-    assert r.provider_metadata == '["a"]'
+    assert r.metadata == {"source_adapter": "s", "requirements": "[]", "provider_metadata": '["a"]'}
     good, _ = read(spark, [{"text": "T", "descriptionPlain": "x", "categories": {"location": "USA"}, "hostedUrl": "https://l.example/1", "applyUrl": "https://l.example/1/apply", "workplaceType": "hybrid", "createdAt": 1893499200000}], company="Fallback")
     r = good.first()
     assert (r.title, r.company, r.location, r.modality, r.published_at) == ("T", "Fallback", "USA", "hybrid", datetime.date(2030, 1, 1))
     good, _ = read(spark, {"data": [{"title": "T", "company": "C", "jobUrl": "https://a.example/1", "descriptionHtml": "<p>Build APIs.</p><script>discard()</script>", "isRemote": True, "location": "México"}]})
     assert (good.first().description, good.first().region, good.first().modality) == ("Build APIs.", "mexico", "remote")
+    good, _ = read(spark, [{"title": "T", "company": "C", "url": "/1", "requirements": ["a"], "metadata": {"requirements": "own", "n": 1}}])
+    assert good.first().metadata == {"source_adapter": "s", "requirements": "own", "n": "1"}
+
+
+def test_union_of_sources(spark):
+    a, b = spark.createDataFrame([("a", 0)], "source string, item_idx int"), spark.createDataFrame([("b", 0, 1)], "source string, item_idx int, x int")
+    assert feeds.union_sources(a, b).count() == 2
 
 
 def test_bad_items_drop_no_others(spark):
