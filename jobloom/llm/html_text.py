@@ -302,7 +302,7 @@ def _title(html: str | None) -> str | None:
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(at, 200) for whole in batches for at in range(0, len(whole), 200)):
         pages = batch.column(2).to_pylist()
         yield pa.RecordBatch.from_arrays(
             [

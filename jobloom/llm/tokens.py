@@ -16,9 +16,9 @@ from jobloom.llm.textvec import mix, powers_of_step
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 #: Texts are split in slices of about this many characters.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 700_000
 #: Words kept by a Python worker; beyond that it starts anew.
-MAX_WORDS = 3_000_000
+MAX_WORDS = 2_000_000
 
 _kinds: np.ndarray | None = None
 _loaded: dict[str, WordTokenizer] = {}

@@ -85,11 +85,23 @@ def _weight(automaton, text: str) -> float:
     return sum(weight for _, weight in automaton.iter(text)) if len(automaton) else 0.0
 
 
+def _density_of(automaton, text: str | None) -> float:
+    folded = fold(text)
+    return density(_weight(automaton, folded), len(folded) - 2)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, which bound what a task holds as Python strings."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, hash of it and the words around it), once a batch."""
     import xxhash
 
-    for batch in batches:
+    for batch in _slices(batches):
         seen: set[tuple[str, int]] = set()
         for text in batch.column(0).to_pylist():
             words = ["", *fold(text).split(), ""]
@@ -103,14 +115,21 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, occurrences) of a partition."""
+    """(word, occurrences), summed over about 100,000 distinct words at a time."""
     counts: Counter[str] = Counter()
-    for batch in batches:
+
+    def counted() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"]
+        )
+
+    for batch in _slices(batches):
         for text in batch.column(0).to_pylist():
             counts.update(fold(text).split())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"]
-    )
+        if len(counts) >= 100_000:
+            yield counted()
+            counts.clear()
+    yield counted()
 
 
 def _occurrences(terms: list[str]):
@@ -119,7 +138,7 @@ def _occurrences(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Lexicon(dict.fromkeys(terms, 1.0)).automaton()
         known = set(terms)
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 folded = fold(text)
@@ -141,9 +160,8 @@ def _occurrences(terms: list[str]):
 def _densities(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
-            texts = [fold(text) for text in batch.column(1).to_pylist()]
-            values = [density(_weight(automaton, t), len(t) - 2) for t in texts]
+        for batch in _slices(batches):
+            values = [_density_of(automaton, text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(values, pa.float64())], names=[batch.schema.names[0], "density"]
             )
@@ -265,9 +283,8 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
-            texts = [fold(text) for text in batch.column(place).to_pylist()]
-            dense = np.array([density(_weight(automaton, t), len(t) - 2) for t in texts], dtype=float)
+        for batch in _slices(batches):
+            dense = np.array([_density_of(automaton, text) for text in batch.column(place).to_pylist()], dtype=float)
             score = 1 / (1 + np.exp(-np.clip(dense * slope + intercept, -30, 30)))
             yield batch.filter(pa.array(score < threshold))
 
