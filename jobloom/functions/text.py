@@ -29,7 +29,7 @@ def falsy(c: Column) -> Column:
 
 def first_truthy(*columns: Column) -> Column:
     """The first value that does not count as absent."""
-    return F.coalesce(*[F.when(~falsy(c), c) for c in columns])
+    return F.get(F.filter(F.array(*columns), lambda c: ~falsy(c)), F.lit(0))
 
 
 def split_requirements(c: Column) -> Column:

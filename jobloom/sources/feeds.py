@@ -106,25 +106,26 @@ def union_sources(*items: DataFrame) -> DataFrame:
 def normalize_items(items: DataFrame) -> DataFrame:
     """Postings from ``items(source, item_idx, item, base_url, default_company)``, with ``errors``."""
     item = F.col("item")
-    df = items.withColumn("_base", normalize_base_url(F.col("base_url")))
-    df = df.withColumn("location", pick_location(item))
+    # Picked once, so that later steps refer to columns and not to the lookups.
+    picked = {f"_p_{name}": _pick(item, name) for name in ALIASES if name not in ("location", "modality")}
+    df = items.withColumns({"_base": normalize_base_url(F.col("base_url")), "location": pick_location(item), **picked})
     requirements = field(item, "requirements", "array<string>")
-    split = split_requirements(_pick(item, "requirements"))
+    split = split_requirements(F.col("_p_requirements"))
     cleaned = F.filter(F.transform(requirements, sanitize_text), lambda x: x != "")
     df = df.withColumns({
-        "_min": parse_number(_pick(item, "salary_min")),
-        "_max": parse_number(_pick(item, "salary_max")),
-        "_description": resolve_url(_pick(item, "description_url"), F.col("_base"), "description", required=True),
-        "_application": resolve_url(_pick(item, "application_url"), F.col("_base"), "application"),
-        "_canonical": resolve_url(_pick(item, "canonical_url"), F.col("_base"), "canonical"),
+        "_min": parse_number(F.col("_p_salary_min")),
+        "_max": parse_number(F.col("_p_salary_max")),
+        "_description": resolve_url(F.col("_p_description_url"), F.col("_base"), "description", required=True),
+        "_application": resolve_url(F.col("_p_application_url"), F.col("_base"), "application"),
+        "_canonical": resolve_url(F.col("_p_canonical_url"), F.col("_base"), "canonical"),
     })
     low, high = salary_range(F.col("_min"), F.col("_max"), field(item, "salary"))
     flagged = F.when(field(item, "isRemote", "boolean"), F.lit("remote"))
     mode = first_truthy(*[field(item, k) for k in ALIASES["modality"]], flagged, field(item, "jobType"), F.col("location"))
     df = df.withColumns({
-        "title": F.btrim(F.coalesce(_pick(item, "title"), F.lit("Untitled role"))),
-        "company": F.btrim(F.coalesce(_pick(item, "company"), F.col("default_company"), F.lit(""))),
-        "description": sanitize_text(F.coalesce(_pick(item, "description"), F.lit("No description provided"))),
+        "title": F.btrim(F.coalesce(F.col("_p_title"), F.lit("Untitled role"))),
+        "company": F.btrim(F.coalesce(F.col("_p_company"), F.col("default_company"), F.lit(""))),
+        "description": sanitize_text(F.coalesce(F.col("_p_description"), F.lit("No description provided"))),
         "description_url": F.col("_description.url"),
         "application_url": F.col("_application.url"),
         "canonical_url": F.coalesce("_canonical.url", "_description.url"),
@@ -132,16 +133,16 @@ def normalize_items(items: DataFrame) -> DataFrame:
         "modality": classify_modality(mode),
         "salary_min": low,
         "salary_max": high,
-        "salary_currency": parse_currency(_pick(item, "currency")),
-        "salary_period": F.nullif(F.lower(F.btrim(_pick(item, "period"))), F.lit("")),
-        "published_at": parse_date(_pick(item, "published")),
+        "salary_currency": parse_currency(F.col("_p_currency")),
+        "salary_period": F.nullif(F.lower(F.btrim(F.col("_p_period"))), F.lit("")),
+        "published_at": parse_date(F.col("_p_published")),
         "requirements": F.coalesce(cleaned, split, F.array().cast("array<string>")),
     })
     df = df.withColumn("metadata", merge_metadata(item, F.col("source"), F.col("requirements")))
     links = F.array("_description.error", "_application.error", "_canonical.error")
     not_object = F.when(~is_object(item), "item must be an object with a description URL")
     df = df.withColumn("_found", F.when(not_object.isNotNull(), F.array(not_object)).otherwise(F.array_compact(links)))
-    return df.drop("_base", "_min", "_max", "_description", "_application", "_canonical", "item", "base_url", "default_company")
+    return df.drop("_base", "_min", "_max", "_description", "_application", "_canonical", "item", "base_url", "default_company", *picked)
 
 
 def violations(df: DataFrame) -> Column:
