@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space including the no-break space and its kin.
 WHITE = r"[\s\p{Z}]+"
@@ -48,6 +51,7 @@ def clean_resume_text(c: Column) -> Column:
     return F.when(F.length(text) >= 20, text)
 
 
+# Names of fields and settings that hold secrets.
 SECRET_KEY = r"(?i)(token|secret|password|passwd|api[-_]?key|authorization|cookie|credential)"
 SECRET_CONFIG_KEY = r"(?i)(token|secret|password|cookie)"
 
@@ -62,5 +66,36 @@ def redact_map(c: Column) -> Column:
     return F.transform_values(c, lambda k, v: F.when(k.rlike(SECRET_KEY), "[REDACTED]").otherwise(redact_text(v)))
 
 
+def redact(c: Column, kind: T.DataType) -> Column:
+    """Mask secrets at any depth of maps, structs and arrays; other types stay as they are."""
+    secret = re.compile(SECRET_KEY)
+
+    def of_field(f: T.StructField) -> Column:
+        if secret.search(f.name) and isinstance(f.dataType, T.StringType):
+            return F.lit("[REDACTED]").alias(f.name)
+        hidden = F.lit(None).cast(f.dataType) if secret.search(f.name) else redact(c[f.name], f.dataType)
+        return hidden.alias(f.name)
+
+    def of_value(k: Column, x: Column) -> Column:
+        named = k.cast("string").rlike(SECRET_KEY)
+        masked = F.lit("[REDACTED]") if isinstance(kind.valueType, T.StringType) else F.lit(None).cast(kind.valueType)
+        return F.when(named, masked).otherwise(redact(x, kind.valueType))
+
+    if isinstance(kind, T.StringType):
+        return redact_text(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: redact(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, of_value)
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*map(of_field, kind.fields)))
+    return c
+
+
+def redact_columns(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with secrets masked in the named columns (all if none is named)."""
+    return df.withColumns({n: redact(F.col(n), df.schema[n].dataType) for n in names or df.columns})
+
+
 def drop_secret_keys(c: Column) -> Column:
     return F.map_filter(c, lambda k, _: ~k.rlike(SECRET_CONFIG_KEY))

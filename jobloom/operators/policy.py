@@ -42,7 +42,10 @@ def route_sources(sources: DataFrame, adapters: DataFrame) -> DataFrame:
 
 
 def validate_sources(routed: DataFrame) -> DataFrame:
-    """Add ``violations`` (field, message, type) to routed sources with ``base_url, terms_url, terms_accepted, config``."""
+    """Add ``violations`` (field, message, type) to routed sources with ``base_url, terms_url, terms_accepted, config``.
+
+    The limits ``timeout_seconds, requests_per_minute, max_retries`` are checked where they are columns.
+    """
     def violation(bad: Column, field: str, message: Column | str, kind: str = "value_error") -> Column:
         text = F.lit(message) if isinstance(message, str) else message
         return F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(field).alias("field"), text.alias("message"), F.lit(kind).alias("type")))
@@ -65,12 +68,18 @@ def validate_sources(routed: DataFrame) -> DataFrame:
     fixture = F.when(feed, "provide payload or payload_path or set allow_network=True").otherwise(
         "provide html or html_path or set allow_network=True"
     )
+    limits = {
+        "timeout_seconds": (F.col("timeout_seconds") <= 0, "timeout_seconds must be greater than zero"),
+        "requests_per_minute": (F.col("requests_per_minute") <= 0, "requests_per_minute must be greater than zero"),
+        "max_retries": (F.col("max_retries") < 0, "max_retries cannot be negative"),
+    }
     checks = [
         violation(bad_url("base_url"), "base_url", "base_url must be an http(s) URL"),
         violation(bad_url("terms_url"), "terms_url", "terms_url must be an http(s) URL"),
         violation(~of("allow_network").isin("true", "false"), "config.allow_network", "allow_network must be a boolean", "bool_type"),
         violation(~F.col("terms_accepted") & ~F.coalesce(of("terms_accepted") == "true", F.lit(False)), "terms_accepted",
                   "terms_accepted=True is required before enabling this source"),
+        *[violation(bad, field, message) for field, (bad, message) in limits.items() if field in routed.columns],
         violation(F.col("adapter").isNull(), "config.adapter", unknown),
         violation(F.col("adapter").isNotNull() & network & F.col("base_url").isNull(), "base_url",
                   "base_url is required when allow_network=True"),

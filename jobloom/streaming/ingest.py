@@ -30,5 +30,8 @@ def ingest_feeds(spark: SparkSession, folder: str, checkpoint: str, store: Calla
 
 def suppress_duplicates(postings: DataFrame, delay: str = "1 day") -> DataFrame:
     """A stream of ``postings(detected_at, url, ...)`` without later copies of a canonical URL within ``delay``."""
-    keyed = postings.withColumn("canonical_url", F.coalesce(canonicalize_url(F.col("url")), F.col("url")))
+    keyed = postings.withColumns({
+        "canonical_url": F.coalesce(canonicalize_url(F.col("url")), F.col("url")),
+        "detected_at": F.col("detected_at").cast("timestamp"),
+    })
     return keyed.withWatermark("detected_at", delay).dropDuplicatesWithinWatermark(["canonical_url"])

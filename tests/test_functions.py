@@ -105,6 +105,14 @@ def test_texts(spark):
     assert masked == {"api_key": "[REDACTED]", "note": "Bearer [REDACTED]", "n": "1"} and dropped == {"a": "b"}
 
 
+def test_nested_redaction(spark):
+    kind = "a struct<password:string, notes:array<string>, keys:struct<x:int>, api_key:array<int>>, b map<string,array<string>>, n int"
+    rows = [(("p", ["Bearer x.y", None], (1,), [2]), {"Cookie": ["c"], "k": ["bearer z"]}, 5), (None, None, None)]
+    got = text.redact_columns(spark.createDataFrame(rows, kind)).collect()
+    assert got[0].a.asDict(True) == {"password": "[REDACTED]", "notes": ["Bearer [REDACTED]", None], "keys": {"x": 1}, "api_key": None}
+    assert got[0].b == {"Cookie": None, "k": ["bearer [REDACTED]"]} and got[0].n == 5 and tuple(got[1]) == (None, None, None)
+
+
 def test_experience(spark):
     kind = "e array<struct<years:double,years_experience:double,duration_years:double,text:string>>"
     rows = [([(2.0, None, None, None), (None, None, 1.5, None), (None, None, None, "9 years")],), ([(None, None, None, "5+ años de Python")],), (None,), ([],)]

@@ -157,6 +157,14 @@ def test_routing_and_source_checks(spark):
     assert got == {"s1": ["terms_url"], "s3": ["terms_url", "config.allow_network", "terms_accepted", "config.adapter"], "s4": ["terms_url", "config.allow_network", "terms_accepted", "config.adapter"]}
 
 
+def test_source_limits(spark):
+    kind = "name string, kind string, base_url string, provider string, adapter string, terms_url string, terms_accepted boolean, config map<string,string>"
+    row = ("s", "api", None, None, "json-api-feed", None, True, {"payload": "{}"})
+    for limits, fields in (((0.0, 1, 0), ["timeout_seconds"]), ((1.0, 0, -1), ["requests_per_minute", "max_retries"]), ((1.0, 1, 0), [])):
+        df = spark.createDataFrame([(*row, *limits)], f"{kind}, timeout_seconds double, requests_per_minute int, max_retries int")
+        assert [x.field for x in policy.validate_sources(df).first().violations] == fields
+
+
 def test_crawl_policy(spark):
     urls = spark.createDataFrame([(f"https://{h}/kueski/backend-engineer",) for h in ("a.x", "b.x", "c.x", "d.x", "e.x", "f.x")], "url string")
     rules = spark.createDataFrame([("a.x", "/", False), ("a.x", "/kueski/", True), ("b.x", "/kueski/", False), ("f.x", "/kueski/", False), ("f.x", "/kueski/", True)], "host string, prefix string, allow boolean")

@@ -2,7 +2,8 @@ import duckdb
 import pytest
 
 import jobloom.plans.normalization
-import jobloom.plans.postings  # noqa: F401
+import jobloom.plans.postings
+import jobloom.plans.registry  # noqa: F401
 from jobloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
