@@ -43,6 +43,9 @@ ALPHABETS = (
 HEX = "0123456789abcdef"
 #: Draws from the lists of names before a name is spelled anew.
 LISTED_DRAWS = 4
+#: Draws of the same length. A form such as ``a@b.co`` has few others, which may all be entities of the table;
+#: later draws add a letter a draw, and octets take any value.
+FORM_DRAWS = 6
 
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = {
@@ -121,7 +124,10 @@ def _replaced(c: Column, place: Column) -> Column:
 def with_surrogates(df: DataFrame, secret: str) -> DataFrame:
     """Add ``surrogate`` to a described table with ``value`` and ``attempt`` (draws after collisions)."""
     key = F.concat(F.lit(f"{secret}|"), "entity", F.lit("|"), F.col("attempt").cast("string"), F.lit("|"))
-    blocks = F.sequence(F.lit(0), F.floor(F.length("middle") / 8).cast("int"))
+    changeable = F.col("middle").rlike(f"[{''.join(ALPHABETS)}]")  # else there is nothing to draw but letters to add
+    added = F.greatest(F.lit(0), F.col("attempt") + F.when(changeable, 1 - FORM_DRAWS).otherwise(1))
+    df = df.withColumn("added", F.when(F.col("kind").isin("email", "secret", "person"), added).otherwise(0))
+    blocks = F.sequence(F.lit(0), F.floor((F.length("middle") + F.col("added")) / 8).cast("int"))
     stream = F.array_join(F.transform(blocks, lambda j: F.sha2(F.concat("key", j.cast("string")), 256)), "")
     df = df.withColumn("key", key).withColumn("stream", stream)
     df = df.withColumn("hexadecimal", (F.col("kind") == "secret") & F.col("middle").rlike("^[0-9a-f]+$"))
@@ -136,7 +142,8 @@ def with_surrogates(df: DataFrame, secret: str) -> DataFrame:
     )
     octets = F.transform(
         F.split("middle", r"\."),
-        lambda o, i: F.when(F.length(o) == 1, F.pmod(_number(i), F.lit(10)))
+        lambda o, i: F.when(F.col("attempt") >= FORM_DRAWS, F.pmod(_number(i), F.lit(256)))
+        .when(F.length(o) == 1, F.pmod(_number(i), F.lit(10)))
         .when(F.length(o) == 2, 10 + F.pmod(_number(i), F.lit(90)))
         .otherwise(100 + F.pmod(_number(i), F.lit(156)))
         .cast("string"),
@@ -144,6 +151,13 @@ def with_surrogates(df: DataFrame, secret: str) -> DataFrame:
     title, middle = F.col("before"), F.col("middle")
     gender = F.when(title.rlike(_titled(MALE_TITLES)), "m").when(title.rlike(_titled(FEMALE_TITLES)), "f").otherwise("n")
     script = F.when(middle.rlike(r"\p{IsCyrillic}"), "cyrillic").when(middle.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    letters = F.when((F.col("kind") == "person") & (script != "latin"), F.when(script == "greek", ALPHABETS[5]).otherwise(ALPHABETS[3]))
+    letters = F.coalesce(letters, F.when(F.col("hexadecimal"), HEX).otherwise(ALPHABETS[1]))
+    tail = F.transform(
+        F.slice(F.sequence(F.lit(0), F.col("added")), F.lit(2), F.col("added")),
+        lambda i: F.substring(letters, (F.pmod(_number(spelled["place"] + i - 1), F.length(letters)) + 1).cast("int"), F.lit(1)),
+    )
+    anew = F.concat(spelled["done"], F.array_join(tail, ""))
     lists = F.create_map(*[F.lit(x) for (of, which), names in NAMES.items() for x in (f"{of}/{which}", names)])
     df = df.withColumn("firsts", F.split(F.element_at(lists, F.concat(script, F.lit("/"), gender)), " "))
     df = df.withColumn("lasts", F.split(F.element_at(lists, F.concat(script, F.lit("/last"))), " "))
@@ -154,8 +168,8 @@ def with_surrogates(df: DataFrame, secret: str) -> DataFrame:
     new = F.when(F.col("kind") == "ip", F.array_join(octets, ".")).when(
         (F.col("kind") == "person") & (F.col("attempt") < LISTED_DRAWS), name
     )
-    df = df.withColumn("surrogate", F.concat("before", new.otherwise(spelled["done"]), "after"))
-    return df.drop("key", "stream", "hexadecimal", "firsts", "lasts")
+    df = df.withColumn("surrogate", F.concat("before", new.otherwise(anew), "after"))
+    return df.drop("key", "stream", "hexadecimal", "added", "firsts", "lasts")
 
 
 def _draws(values: DataFrame, secret: str) -> DataFrame:
@@ -186,7 +200,7 @@ def replace_personal_data(docs: DataFrame, secret: str = "surrogates", found_col
     """``docs`` with the personal data of ``text`` replaced by surrogates; other columns are unchanged.
 
     With ``found_column`` the number of replaced mentions is added under that name. A null text stays null
-    and an empty one empty; repeated rows get the same result; text outside the entities is kept as it is.
+    and an empty one empty; repeated rows get the same result; a form whose choices are all taken grows by letters; text outside the entities is kept as it is.
     Only texts with entities are shuffled.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

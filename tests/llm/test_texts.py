@@ -245,3 +245,15 @@ def test_pipeline_applies_its_stages(spark):
     assert not kept & leaks
     packed = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in packed} == kept
+
+
+def test_surrogates_end_when_a_form_leaves_no_choice(spark):
+    from jobloom.llm.surrogates import replace_personal_data
+
+    texts = ["password: **** it", "token=密码"] + [f"secret: {c}" for c in "0123456789"]
+    texts += [f"host {a}.1.1.1" for a in range(10)] + ["Dr Xi said"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [r.text for r in replace_personal_data(rows).orderBy("doc_id").collect()]
+    assert len(set(new)) == len(texts) and not set(new) & set(texts)
+    assert new[0].startswith("password: ****") and new[0].endswith(" it")
+    assert all(n.startswith(t.split(" ")[0]) for n, t in zip(new[2:], texts[2:]))
