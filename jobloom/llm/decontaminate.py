@@ -18,16 +18,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.llm import textvec
+from jobloom.llm.scratch import fresh, materialize
 
 WINDOW, LEAST_WORDS, LEAST_WINDOWS = 8, 5, 2
 #: A window counts if this share of its words stands as it is.
 LITERAL_SHARE = 5 / 8
-#: Benchmark windows looked up at once, 8 bytes each; a larger benchmark is taken in several passes.
-PASS_WINDOWS = 1_000_000
+#: The index of a benchmark with up to this many bytes of text is broadcast (some 32 bytes a word).
+BROADCAST_BYTES = 4 << 20
 
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons ounce ounces pound pounds lb lbs "
@@ -127,24 +128,22 @@ class Index(NamedTuple):
                 at = np.flatnonzero(ok)
                 for column, value in zip(columns, (hashed[at], np.full(len(at), len(items)), at, np.full(len(at), size)), strict=True):
                     column.append(value)
-                items.append((rows[len(items)][0], kinds, t.value[a:b], len(at)))
+                items.append((rows[len(items)][0], kinds, t.value[a:b].view(np.int64), len(at)))
         joined = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
         order = np.argsort(joined[0], kind="stable")
         return cls(*(c[order] for c in joined), items)
 
 
-def _consistent(pairs: list[tuple[int, int]], index: Index, item: int, kinds: np.ndarray, values: np.ndarray) -> tuple[int, int]:
+Slots = list[tuple[int, int, int]]  # (kind, value in the item, value in the document)
+
+
+def _consistent(pairs: list[tuple[int, Slots]]) -> tuple[int, int]:
     """Matched windows whose slots agree, and the slots that hold another value than in the item.
 
-    ``pairs`` are (place in the item, place in the document) of matched windows.
+    ``pairs`` are (place in the item, slots) of matched windows.
     """
-    _, item_kinds, item_values, _ = index.items[item]
-    size = min(WINDOW, len(item_kinds))
     votes: dict[tuple[int, int], dict[int, int]] = defaultdict(lambda: defaultdict(int))
-    slots = []
-    for at, here in pairs:
-        own = [(int(item_kinds[at + k]), int(item_values[at + k]), int(values[here + k])) for k in range(size) if item_kinds[at + k]]
-        slots.append(own)
+    for _, own in pairs:
         for kind, x, y in own:
             votes[kind, x][y] += 1
     chosen: dict[tuple[int, int], int] = {}
@@ -155,9 +154,9 @@ def _consistent(pairs: list[tuple[int, int]], index: Index, item: int, kinds: np
                 chosen[kind, x] = y
                 taken.add((kind, y))
                 break
-    good = [all(chosen.get((kind, x)) == y for kind, x, y in own) for own in slots]
+    good = [all(chosen.get((kind, x)) == y for kind, x, y in own) for _, own in pairs]
     places = {at for (at, _), ok in zip(pairs, good, strict=True) if ok}
-    changed = {(k, x) for own, ok in zip(slots, good, strict=True) if ok for k, x, y in own if x != y}
+    changed = {(k, x) for (_, own), ok in zip(pairs, good, strict=True) if ok for k, x, y in own if x != y}
     return len(places), len(changed)
 
 
@@ -183,31 +182,106 @@ def _matches(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int, in
                     met[int(d), int(index.item[where[k]])].append((int(index.place[where[k]]), int(place)))
                     k += 1
         for (d, item), pairs in sorted(met.items()):
-            windows, changed = _consistent(pairs, index, item, t.kind, t.value)
-            of_item = index.items[item][3]
+            item_id, kinds, values, of_item = index.items[item]
+            places, own = range(min(WINDOW, len(kinds))), t.value.view(np.int64)
+            slots = [
+                (at, [(int(kinds[at + k]), int(values[at + k]), int(own[here + k])) for k in places if kinds[at + k]])
+                for at, here in pairs
+            ]
+            windows, changed = _consistent(slots)
             if windows >= min(LEAST_WINDOWS, of_item):
-                yield row + d, index.items[item][0], windows, of_item, changed
+                yield row + d, item_id, windows, of_item, changed
         row += len(t.doc) - 1
 
 
-def benchmark_indexes(benchmark: DataFrame) -> list[Index]:
-    """Indexes of ``benchmark(item_id, text)`` with at most ``PASS_WINDOWS`` windows each (or one item).
+def _window_rows(texts: pa.Array, sizes: list[int] | None) -> Iterator[tuple[int, int, int, int, int, np.ndarray, np.ndarray]]:
+    """(row, windows, size, hash, place, slot places and kinds, slot values) of the windows of texts.
+
+    ``sizes`` are the window sizes; None takes one size for each text, as for a benchmark item.
+    """
+    row = 0
+    for t in templates(texts):
+        for a, b in zip(t.doc[:-1], t.doc[1:], strict=True):
+            kinds, values = t.kind[a:b], t.value[a:b].view(np.int64)
+            for size in sizes or [min(WINDOW, int(b - a))]:
+                if LEAST_WORDS <= size <= b - a:
+                    hashed, ok = _windows(t.hash[a:b], kinds == 0, size)
+                    at = np.flatnonzero(ok)
+                    for place in at:
+                        slot = np.flatnonzero(kinds[place : place + size])
+                        yield row, len(at), size, int(hashed[place].view(np.int64)), int(place), slot * 4 + kinds[place + slot], values[place + slot]
+            row += 1
+
+
+def _window_table(texts: DataFrame, sizes: list[int] | None) -> DataFrame:
+    """Windows of ``texts(key, text)``: ``key, windows, size, hash, place, slots, slot_values``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "windows", "size", "hash", "place", "slots", "slot_values"]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        for batch in batches:
+            for first in range(0, len(batch), 16):  # bounds the windows held at once
+                part = batch.slice(first, 16)
+                columns = list(zip(*_window_rows(part.column(1), sizes), strict=True)) or [()] * 7
+                arrays = [pa.array(c, kind) for c, kind in zip(columns[1:], kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(columns[0], pa.int64())), *arrays], names=names)
+
+    key = texts.schema["key"].dataType.simpleString()
+    return texts.select("key", "text").mapInArrow(
+        run, f"key {key}, windows int, size int, hash long, place int, slots array<int>, slot_values array<long>"
+    )
+
+
+def _agreeing(table: pa.Table) -> pa.Table:
+    """The one row of a text and an item that share windows, if enough of these agree."""
+    pairs: list[tuple[int, Slots]] = []
+    for at, slots, x, y in zip(*(table.column(c).to_pylist() for c in ("place", "slots", "theirs", "ours")), strict=True):
+        pairs.append((at, [(slot % 4, a, b) for slot, a, b in zip(slots, x, y, strict=True)]))
+    windows, changed = _consistent(pairs)
+    first = table.slice(0, 1).select(["key", "item_id", "item_windows"])
+    row = first.append_column("windows", pa.array([windows], pa.int32())).append_column("changed_slots", pa.array([changed], pa.int32()))
+    return row if windows >= min(LEAST_WINDOWS, row.column("item_windows")[0].as_py()) else row.slice(0, 0)
+
+
+def _joined(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """Contaminated ``texts(key, text)`` by a shuffled hash join of windows, for a benchmark of any size.
 
-    The benchmark streams through the driver partition by partition; one index is broadcast at a time.
-    Items with a null id or text match nothing.
+    Only windows that both sides hold leave the join, so groups hold the windows that one text shares with one item.
     """
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    out: list[Index] = []
-    held: list[tuple[int, str]] = []
-    words = 0
-    for item_id, text in rows.dropna().distinct().orderBy("item_id", "text").toLocalIterator():
-        size = len(text.split())
-        if held and words + size > PASS_WINDOWS:
-            out.append(Index.of(held))
-            held, words = [], 0
-        held.append((item_id, text))
-        words += size
-    return [*out, Index.of(held)] if held else out
+    keyed = items.withColumn("key", F.struct("item_id", F.xxhash64("text").alias("of")))
+    theirs = materialize(_window_table(keyed, None), "item-windows")
+    sizes = [r["size"] for r in theirs.select("size").distinct().collect()]  # LEAST_WORDS to WINDOW
+    ours = _window_table(texts, sizes) if sizes else _window_table(texts.limit(0), [WINDOW])
+    theirs = theirs.select("size", "hash", "slots", F.col("key").alias("item"), "place", F.col("windows").alias("item_windows"), F.col("slot_values").alias("theirs"))
+    met = ours.select("key", "size", "hash", "slots", F.col("slot_values").alias("ours")).join(theirs, ["size", "hash", "slots"])
+    met = met.select("key", "item", F.col("item.item_id").alias("item_id"), "item_windows", "place", "slots", "theirs", "ours")
+    key = texts.schema["key"].dataType.simpleString()
+    return met.groupBy("key", "item").applyInArrow(
+        _agreeing, f"key {key}, item_id long, item_windows int, windows int, changed_slots int"
+    )
+
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """Distinct ``(item_id, text)``; items with a null id or text match nothing."""
+    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropna().distinct()
+
+
+def benchmark_index(items: DataFrame) -> Index | None:
+    """The index of all items, or None if their texts exceed ``BROADCAST_BYTES``."""
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > BROADCAST_BYTES:
+        return None
+    return Index.of([tuple(r) for r in items.orderBy("item_id", "text").collect()])
+
+
+def _by_text(docs: DataFrame) -> DataFrame:
+    """Distinct texts ``(key, text)``; copies share a key of 128 bits."""
+    keyed = docs.select(_text_key("text").alias("key"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    return keyed.groupBy("key").agg(F.any_value("text").alias("text"))
+
+
+def _text_key(name: str) -> Column:
+    text = F.col(name).cast("string")
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -215,16 +289,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     One row per document and item with at least ``LEAST_WINDOWS`` consistent windows (or all of a shorter
     item). ``changed_slots`` counts placeholders with another value than in the item: 0 for a verbatim copy.
-    Null and empty texts match nothing; repeated rows count once; a null doc_id is kept as null.
+    Null and empty texts match nothing; repeated rows count once; a null doc_id is kept as null. The windows
+    of a benchmark up to ``BROADCAST_BYTES`` are broadcast, those of a larger one are joined by a shuffle.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, item_id long, windows int, item_windows int, changed_slots int"
-    found = spark.createDataFrame([], schema)
-    for index in benchmark_indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+    items = benchmark_items(benchmark)
+    index = benchmark_index(items)
+    if index is None:
+        ids = texts.select("doc_id", _text_key("text").alias("key"))
+        found = ids.join(_joined(_by_text(texts), items), "key").drop("key")
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = list(_matches(batch.column(1), shared.value))
                 columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -235,23 +312,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     [ids, *arrays], names=["doc_id", "item_id", "windows", "item_windows", "changed_slots"]
                 )
 
-        found = found.unionByName(texts.mapInArrow(run, schema))
+        found = texts.mapInArrow(run, "doc_id long, item_id long, windows int, item_windows int, changed_slots int")
     best = F.max(F.struct("windows", "item_windows", "changed_slots")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item; columns are unchanged."""
+    items = benchmark_items(benchmark)
+    index = benchmark_index(items)
+    if index is None:
+        key, bad = fresh(docs.columns, "_key"), fresh(docs.columns, "_bad")
+        gone = _joined(_by_text(docs), items).select(F.col("key").alias(bad)).distinct()
+        keyed = docs.withColumn(key, _text_key("text"))
+        return keyed.join(gone, keyed[key] == gone[bad], "left_anti").drop(key)
     place = docs.columns.index("text")
-    kept = docs
-    for index in benchmark_indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(len(batch), dtype=bool)
-                clean[[m[0] for m in _matches(batch.column(place), shared.value)]] = False
-                yield batch.filter(pa.array(clean))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(len(batch), dtype=bool)
+            clean[[m[0] for m in _matches(batch.column(place), shared.value)]] = False
+            yield batch.filter(pa.array(clean))
 
-        kept = kept.mapInArrow(run, docs.schema)
-    return kept
+    return docs.mapInArrow(run, docs.schema)

@@ -102,7 +102,14 @@ def test_warc_round_trip(spark):
     assert warc.archive_digest(df.limit(0)).count() == 0
 
 
-def test_contamination_of_documents(spark):
+@pytest.fixture(params=["broadcast", "shuffle"])
+def window_join(request, monkeypatch):
+    """Both ways to look windows up."""
+    if request.param == "shuffle":
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+
+
+def test_contamination_of_documents(spark, window_join):
     """Against all word 8-grams of the items, found by plain search."""
     import re
 
@@ -123,7 +130,7 @@ def test_contamination_of_documents(spark):
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {d for d, _ in expected}
 
 
-def test_reparameterised_questions(spark):
+def test_reparameterised_questions(spark, window_join):
     item = "A train leaves from Paris at 60 km per hour and another follows from Lyon at 90 km per hour; when do they meet?"
     docs = [
         (1, "x y. " + item + " z"),
