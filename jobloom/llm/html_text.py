@@ -32,33 +32,48 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tr": ({"tr"}, {"table"}),
+    "td": ({"td", "th", "caption"}, {"tr", "table"}),
+    "th": ({"td", "th", "caption"}, {"tr", "table"}),
+    "tr": ({"tr", "caption"}, {"table"}),
     "thead": ({"thead", "tbody", "tfoot", "tr", "caption"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "tr", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "caption"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
+    "button": ({"button"}, {"td", "th", "table", "caption", "object", "template"}),
 }
 SCOPE = frozenset({"td", "th", "table", "caption", "html"})  # end tags do not reach out of these
 OWN = frozenset({"li", "td", "th", "tr", "table", "caption", "blockquote"})  # rendered on their own
-INLINE_SCOPE = 40  # a misnested inline end tag looks so far up
+SPECIAL = BLOCK | {"object", "template", "button", "select"}  # end tags of other inline elements do not reach out of these
+#: Misnested, they begin anew after the end of what held them.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+FOREIGN = frozenset({"svg", "math"})
+#: Within foreign content, what holds HTML again, and the tags that end it.
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = HEADINGS | frozenset(
+    "b big blockquote body br center code dd div dl dt em embed head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var".split()
+)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/$")  # the slash is part of the value
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _INVISIBLE = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "out", "gone", "dim", "pre", "rows", "cells", "count", "span")
+    __slots__ = ("tag", "out", "hides", "dims", "gone", "dim", "pre", "rows", "cells", "count", "span")
 
-    def __init__(self, tag: str, out: list, gone: bool, dim: bool, pre: bool):
-        self.tag, self.out, self.gone, self.dim, self.pre = tag, out, gone, dim, pre
+    def __init__(self, tag: str, out: list, hides: bool, dims: bool | None, pre: bool):
+        self.tag, self.out, self.pre = tag, out, pre
+        self.hides, self.dims = hides, dims  # what the element asks for itself
+        self.gone, self.dim = hides, bool(dims)
         self.rows: list[list[tuple[str, int]]] | None = None
         self.cells: list[tuple[str, int]] | None = None
         self.count, self.span = 0, 1
@@ -132,7 +147,7 @@ class Page:
     """The open elements of a page; ``text()`` is what it shows."""
 
     def __init__(self) -> None:
-        self.root = Element("#root", [], False, False, False)
+        self.root = Element("#root", [], False, None, False)
         self.open = [self.root]
         self.tags: Counter[str] = Counter()
 
@@ -148,8 +163,7 @@ class Page:
             at = m.end()
             if m[2]:
                 tag = m[2].lower()
-                self.start(tag, m[3])
-                if tag in RAW:
+                if self.start(tag, m[3]) and tag in RAW:
                     close = re.compile(f"</{tag}\\s*>", re.I).search(html, at)
                     end = close.start() if close else n
                     self.characters(html[at:end], raw=tag != "textarea")
@@ -160,6 +174,9 @@ class Page:
 
     def characters(self, text: str, raw: bool = False) -> None:
         top = self.open[-1]
+        if top.tag == "head" and not raw and text.strip():
+            self.pop()
+            top = self.open[-1]
         if top.gone or top.dim or raw:
             return
         if "&" in text:
@@ -176,7 +193,28 @@ class Page:
         else:
             top.out.append(_SPACE.sub(" ", text))
 
-    def start(self, tag: str, attributes: str) -> None:
+    def foreign(self) -> bool:
+        """Whether the innermost open element is part of an image or a formula."""
+        if not (self.tags["svg"] or self.tags["math"]):
+            return False
+        return next((e.tag in FOREIGN for e in reversed(self.open) if e.tag in FOREIGN or e.tag in INTEGRATION), False)
+
+    def start(self, tag: str, attributes: str) -> bool:
+        """Open an element; False if the tag leaves none open or its content is no raw text."""
+        if tag == "head" and self.open[-1].tag not in ("#root", "html"):
+            return False
+        if tag not in IN_HEAD and self.tags["head"]:
+            self.close_upto({"head"}, {"template"})
+        within = self.foreign()
+        while within and tag in BREAKOUT:
+            self.close_upto(FOREIGN, frozenset())
+            within = self.foreign()
+        if (within or tag in FOREIGN) and attributes.endswith("/") and not _UNQUOTED.search(attributes):
+            return False
+        if tag == "a" and self.tags["a"]:
+            self.end("a")
+        if tag in HEADINGS and self.open[-1].tag in HEADINGS:
+            self.pop()
         if tag in ENDS and self.tags:
             self.close_upto(*ENDS[tag])
         if tag in BLOCK and self.tags["p"] and tag not in ("html", "body", "option", "optgroup"):
@@ -186,25 +224,27 @@ class Page:
         if tag == "tr" and not self.tags["table"]:
             self.start("table", "")
         top = self.open[-1]
-        gone, dim, span = top.gone or tag in HIDDEN, top.dim, 1
+        hides, dims, span = tag in HIDDEN, None, 1
         if attributes and not attributes.isspace():
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             style = found.get("style", "")
-            gone |= "hidden" in found or bool(style and _UNSEEN.search(style))
+            hides |= "hidden" in found or bool(style and _UNSEEN.search(style))
             if style and (seen := _INVISIBLE.search(style)):
-                dim = seen[1].lower() != "visible"
+                dims = seen[1].lower() != "visible"
             if tag in ("td", "th") and found.get("colspan", "").strip().isdigit():
                 span = min(1000, max(1, int(found["colspan"])))
+        gone = top.gone or hides
         if tag in VOID:
             if not gone and tag == "br":
                 top.out.append(3)
             elif not gone and tag == "hr":
                 top.out.append(2)
-            return
-        if tag in BLOCK and not gone and tag not in OWN:
-            top.out.append(2 if tag in APART and not (tag in ("ul", "ol", "menu") and self.tags["li"]) else 1)
+            return False
+        if not gone:
+            self.apart(tag, top.out)
         out = [] if tag in OWN else top.out
-        new = Element(tag, out, gone, dim, (top.pre or tag in ("pre", "textarea")))
+        new = Element(tag, out, hides, dims, (top.pre or tag in ("pre", "textarea")))
+        new.gone, new.dim = gone, top.dim if dims is None else dims
         new.span = span
         if tag == "table":
             new.rows = []
@@ -212,6 +252,12 @@ class Page:
             new.cells = []
         self.open.append(new)
         self.tags[tag] += 1
+        return not within
+
+    def apart(self, tag: str, out: list) -> None:
+        """The break around a block that is not rendered on its own."""
+        if tag in BLOCK and tag not in OWN:
+            out.append(2 if tag in APART and not (tag in ("ul", "ol", "menu") and self.tags["li"]) else 1)
 
     def close_upto(self, tags: set[str], stop: set[str] | frozenset[str]) -> None:
         """End the nearest open element of ``tags`` and all within it, unless ``stop`` comes first."""
@@ -239,17 +285,31 @@ class Page:
         if tag in BLOCK or tag in HIDDEN:
             self.close_upto({tag}, SCOPE - {tag} if tag not in ("table", "body", "html") else frozenset())
             return
-        for k in range(len(self.open) - 1, max(0, len(self.open) - INLINE_SCOPE), -1):
-            if self.open[k].tag == tag:  # what a misnested inline element holds stays open
-                if k == len(self.open) - 1:
-                    self.pop()
-                else:
-                    del self.open[k]
-                    self.tags[tag] -= 1
+        stop = False
+        for k in range(len(self.open) - 1, 0, -1):
+            found = self.open[k].tag
+            if found == tag:
+                self.take_out(k, stop)
                 return
-            if self.open[k].tag in SCOPE:
+            stop |= found in SPECIAL
+            if found in SCOPE or (stop and tag not in FORMATTING):
                 return
 
+    def take_out(self, k: int, blocks: bool) -> None:
+        """End the inline element at ``k``: blocks within it stay open, and so do misnested formatting elements."""
+        held = self.open[k + 1 :]
+        kept = held if blocks else [e for e in held if e.tag in FORMATTING]
+        for e in self.open[k:] if not blocks else self.open[k : k + 1]:
+            self.tags[e.tag] -= 1
+        del self.open[k:]
+        for e in kept:
+            up = self.open[-1]
+            gone, e.gone, e.dim = e.gone, up.gone or e.hides, up.dim if e.dims is None else e.dims
+            if gone and not e.gone:
+                self.apart(e.tag, up.out)
+            self.open.append(e)
+            self.tags[e.tag] += not blocks
+
     def pop(self) -> None:
         done = self.open.pop()
         self.tags[done.tag] -= 1
@@ -258,8 +318,7 @@ class Page:
         if done.gone:
             return
         if tag not in OWN:
-            if tag in BLOCK:
-                up.out.append(2 if tag in APART and not (tag in ("ul", "ol", "menu") and self.tags["li"]) else 1)
+            self.apart(tag, up.out)
         elif tag == "li":
             up.count += 1
             marker = f"{up.count}. " if up.tag == "ol" else "- "

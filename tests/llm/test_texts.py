@@ -217,6 +217,33 @@ def test_rendering():
     )
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>T</title><body><p>text", "text"),
+        ("<head><title>T</title>text", "text"),
+        ("<head><meta charset=x><style>a</style><div>text</div>", "text"),
+        ("<head><template><p>no</p></template><title>T</title></head><p>text", "text"),
+        ("<p>a<svg/>b", "ab"),
+        ("<p>a<svg width='1' />b<math/>c", "abc"),
+        ("a<svg><title/><style/><path d=x/></svg>b", "ab"),
+        ("a<svg><text>no<p>b", "a\n\nb"),
+        ("a<svg width=1/>no</svg>b", "ab"),
+        ("<span hidden><b>x</span>shown<p>more", "shown\n\nmore"),
+        ("<b hidden><p>x</b>shown</p>more", "shown\n\nmore"),
+        ("<span><cite hidden>x</span>shown", "shown"),
+        ("<span style='visibility:hidden'><i>x</span>shown", "shown"),
+        ("<span hidden>" + "<i>" * 60 + "x</span>shown", "shown"),
+        ("<a hidden>x<a>shown", "shown"),
+        ("<h1 hidden>x<h2>shown", "shown"),
+        ("<table><caption hidden>x<tr><td>shown</table>", "shown"),
+        ("<span><b hidden>x</span>hidden still</b>shown", "shown"),
+    ],
+)
+def test_hidden_elements_end(html, text):
+    assert html_text.page_text(html) == text
+
+
 def test_rendering_of_pages(spark):
     import re
 
