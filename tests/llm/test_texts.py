@@ -217,6 +217,31 @@ def test_rendering():
     )
 
 
+def test_copies_poor_in_literals_or_in_another_case(spark, window_join):
+    items = {
+        1: "What is 12 plus 15?",
+        2: "3 1 4 1 5 9 2 6 5 3 5 8",
+        3: "Did Anna Smith meet Bob in Paris or did Carl meet Dora in Rome?",
+        4: "What is the capital of France?",
+        5: "Simplify 3x",
+        6: "¿Dónde está el niño más pequeño de Íñigo y Óscar?",
+        7: "Add 1 2 3 4 5 6 7 8 9 10 11 12 13 14 to 15 16",
+    }
+    docs = [
+        (1, "so what is 12 plus 15 then"), (2, "What is 31 plus 44?"), (3, "What is 31 minus 44?"),
+        (4, "digits 3 1 4 1 5 9 2 6 5 3 5 8 end"), (5, "digits 3 2 4 2 5 9 1 6 5 3 5 8 end"),
+        (6, items[3].lower()), (7, items[3].upper()), (8, "Q1 What is the capital of France?"), (9, "please SIMPLIFY 3x now"),
+        (10, items[6].upper()), (11, items[7].replace("2 3", "22 33")), (12, items[7].replace("2 3", "22 22")), (13, "Simplify 4x"),
+        (14, "Now: add 21 22 23 24 25 26 27 28 29 30 31 32 33 34 to 35 36"), (15, "Now: add 21 22 23 24 25 26 27 28 29 30 31 32 33 33 to 35 36"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.changed_slots for r in decontaminate.contaminated(df, benchmark).collect()}
+    expected = {(1, 1): 0, (2, 1): 2, (4, 2): 0, (6, 3): 0, (7, 3): 0, (8, 4): 0, (9, 5): 0, (10, 6): 0, (11, 7): 0, (12, 7): 0, (14, 7): 16}
+    assert got == expected
+    assert {r.doc_id for r in decontaminate.drop_contaminated(df, benchmark).collect()} == {3, 5, 13, 15}
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
