@@ -5,6 +5,7 @@ counts however many documents there are. The plan is made on the histogram: firs
 lengths that provably dominate every alternative for their longest member are fixed (Martello and Toth),
 which shrinks the instance; the remainder is packed best-fit decreasing, whole runs of equal lengths at a
 time. The plan names ranges of ranks within a length, and pieces find their places by a join on length.
+The sequences are written with their token ids; the digest of the query is read from them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,47 +168,99 @@ def _cut(path: str, capacity: int, separator: int):
                     while start < len(ids):
                         # the first piece takes what is over, so that the others are full
                         length = (len(ids) - start) % capacity or capacity
-                        crc = zlib.crc32(ids[start : start + length].tobytes())
-                        rows.append((doc_id, piece, start, length, crc))
+                        own = ids[start : start + length]
+                        packed = zlib.compress(own.astype("<u2" if own.max() < 1 << 16 else "<u4").tobytes(), 1)
+                        rows.append((doc_id, piece, start, length, packed))
                         start, piece = start + length, piece + 1
                 columns = zip(*rows, strict=True)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids"])
 
     return run
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0) -> DataFrame:
-    """Pieces ``(doc_id, piece, start, length, ids_crc32)`` of the documents' token ids and a separator.
+    """Pieces ``(doc_id, piece, start, length, ids)`` of the documents' token ids and a separator.
 
+    ``ids`` are little-endian numbers of two bytes, or of four in a piece with an id over 65,535, compressed by zlib.
     A document longer than the capacity is cut; its first piece may be shorter than the capacity and the
     others are full. A null text counts as empty and gives the separator alone.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _cut(tokenizer_path, capacity, separator),
-        "doc_id long, piece int, start long, length long, ids_crc32 long",
+        "doc_id long, piece int, start long, length long, ids binary",
     )
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0) -> DataFrame:
+_PIECES = "array<struct<doc_id: bigint, piece: int, start: bigint, length: bigint, offset: bigint>>"
+_PIECE = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("offset", pa.int64())]
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ``(sequence_id, parts)``, the sequences with the ids of their parts one after another."""
+    for whole in batches:
+        for first in range(0, len(whole), 200):
+            batch = whole.slice(first, 200)
+            ids, pieces = [], []
+            for parts in batch.column(1).to_pylist():
+                own = [(zlib.decompress(x["ids"]), x["length"]) for x in parts]
+                ids.append(np.concatenate([np.frombuffer(data, f"<u{len(data) // n}").astype(np.int32) for data, n in own]))
+                pieces.append([{name: x[name] for name, _ in _PIECE} for x in parts])
+            arrays = [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(pieces, pa.list_(pa.struct(_PIECE)))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["sequence_id", "ids", "pieces"])
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ``(sequence_id, ids, pieces)``, a row for each piece with the checksum of its ids."""
+    for batch in batches:
+        pieces, ids = batch.column(2), batch.column(1)
+        row = pc.list_parent_indices(pieces)
+        flat = pieces.flatten()
+        of = dict(zip((name for name, _ in _PIECE), flat.flatten(), strict=True))
+        tokens = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        begin = np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))))[row.to_numpy()]
+        at, length = begin + of["offset"].to_numpy(), of["length"].to_numpy()
+        crc = [zlib.crc32(tokens[a : a + n].tobytes()) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [of["doc_id"], of["piece"], of["start"], of["length"], pa.array(crc, pa.int64()), batch.column(0).take(row), of["offset"]],
+            names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+        )
+
+
+def sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0) -> DataFrame:
     """Pack all documents into as few sequences of ``capacity`` tokens as the method finds.
 
-    Returns one row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. Pieces
-    of a sequence lie one after another from offset 0. Null texts count as empty; repeated rows and a null
-    doc_id are packed like any other row; an empty table gives no rows; other columns are ignored.
+    Returns the written table of sequences: ``sequence_id, ids, pieces``, with the token ids of the pieces
+    ``(doc_id, piece, start, length, offset)`` one after another from offset 0. Null texts count as empty;
+    repeated rows and a null doc_id are packed like any other row; an empty table gives no rows; other
+    columns are ignored.
     """
-    pieces = materialize(token_pieces(docs, tokenizer_path, capacity, separator), "pieces")
+    pieces = token_pieces(docs, tokenizer_path, capacity, separator)
+    pieces = materialize(pieces.select("*", F.monotonically_increasing_id().alias("row"), F.xxhash64("ids").alias("ids_hash")), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = plan(histogram, capacity)
     places = docs.sparkSession.createDataFrame(
         runs or [Run(0, 0, 0, 0, 0)], "w long, lo long, hi long, sequence long, offset long"
     )
-    ranked = gapless(pieces, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "rank")
+    ranked = gapless(pieces.drop("ids"), ["length"], ["doc_id", "piece", "start", "ids_hash"], "rank")
     # The plan has a few rows per length whatever the number of documents.
     placed = ranked.join(
         F.broadcast(places),
         (F.col("length") == F.col("w")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")),
     )
     sequence = (F.col("sequence") + F.col("rank") - F.col("lo")).alias("sequence_id")
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence, "offset")
+    parts = placed.select("row", sequence, "offset").join(pieces.drop("ids_hash"), "row")
+    part = F.struct("offset", "doc_id", "piece", "start", "length", "ids")  # no two parts of a sequence share an offset
+    filled = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return materialize(filled.mapInArrow(_filled, f"sequence_id long, ids array<int>, pieces {_PIECES}"), "sequences", compression="zstd")
+
+
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0) -> DataFrame:
+    """The digest of ``sequences()``, read from the written table.
+
+    Returns one row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
+    """
+    return sequences(docs, tokenizer_path, capacity, separator).mapInArrow(
+        _digest, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    )

@@ -125,14 +125,13 @@ def assign(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
     return out | {item: first + number for (item, _), number in zip(items, placed, strict=True)}
 
 
-def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """Put ``docs(doc_id, text, ...)`` into ``shards`` shards of near-equal bytes.
+def shard_rows(docs: DataFrame, shards: int = 24) -> DataFrame:
+    """Put the rows of ``docs(doc_id, text, ...)`` into ``shards`` shards of near-equal bytes.
 
-    Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``: the UTF-8 bytes of the text plus 8
-    (null: 8, with the checksum of the empty text), the law ``bytes``, and a gapless place in the shard.
-    Null and empty texts form one group. Every row gets a place, repeated rows and null ids too; an empty
-    table gives no rows; other columns are ignored. One text with a large share of all bytes takes a shard
-    alone, and the others share the rest equally.
+    Returns the written table ``shard, slot, row``: a folder for each shard, a gapless place in it and the
+    whole row with all its columns. A row counts the UTF-8 bytes of its text plus 8. Null and empty texts
+    form one group. Every row gets a place, repeated rows and null ids too; an empty table gives no rows.
+    One text with a large share of all bytes takes a shard alone, and the others share the rest equally.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(
@@ -140,8 +139,10 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("_group"),  # a collision only keeps two groups together
+        F.struct("*").alias("row"),
+        F.monotonically_increasing_id().alias("_id"),
     )
-    base = materialize(base, "sizes")
+    base = materialize(base, "rows", compression="zstd")
     total = base.agg(F.sum("size")).first()[0] or 0
     lot = F.pmod(F.col("_group"), F.lit(shards * LOTS))
     groups = base.groupBy("_group").agg(F.sum("size").alias("bytes"))
@@ -163,10 +164,25 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
         base.withColumn("_lot", lot)
         .join(F.broadcast(own_at), "_group", "left")
         .join(F.broadcast(shared_at), "_lot", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("_own", "_shared").alias("shard"))
+        .select("doc_id", "text_crc32", "_id", F.coalesce("_own", "_shared").alias("shard"))
     )
     numbered = gapless(placed, ["shard"], ["doc_id", "text_crc32"], "slot")
-    return numbered.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+    # Only this join moves whole rows.
+    whole = numbered.select("_id", "slot", "shard").join(base.select("_id", "row"), "_id").select("slot", "row", "shard")
+    return materialize(whole, "shards", by="shard", compression="zstd").select("shard", "slot", "row")
+
+
+def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
+    """The digest of ``shard_rows()``, read from the written shards.
+
+    Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``: the UTF-8 bytes of the text plus 8
+    (null: 8, with the checksum of the empty text), the law ``bytes``, and the place in the shard.
+    """
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    return shard_rows(docs, shards).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )

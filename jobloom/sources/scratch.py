@@ -25,9 +25,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/jobloom-{sc.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back."""
+def materialize(df: DataFrame, name: str, by: str | None = None, compression: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back; ``by`` names its last column for folders."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

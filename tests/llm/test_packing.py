@@ -146,3 +146,25 @@ def test_a_text_with_a_third_of_all_bytes_keeps_a_shard(spark):
     sizes = sorted(check_shards(spark, rows, 8))
     assert sizes[-2] - sizes[0] <= 0.05 * sizes[-2]
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sequences_hold_their_ids(spark):
+    texts = {1: "some words here", 2: "long words " * 1500, 3: "", None: "no id", 4: "again"}
+    rows = [*texts.items(), (4, "again")]
+    plain = Tokenizer.from_file(PATH)
+    ids = {k: [*plain.encode(text, add_special_tokens=False).ids, 0] for k, text in texts.items()}
+    made = packing.sequences(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    found = Counter()
+    for r in made:
+        assert len(r.ids) == sum(x.length for x in r.pieces) <= 2048
+        for x in r.pieces:
+            assert r.ids[x.offset : x.offset + x.length] == ids[x.doc_id][x.start : x.start + x.length]
+            found[x.doc_id] += x.length
+    assert found == Counter({k: len(v) * (2 if k == 4 else 1) for k, v in ids.items()})
+
+
+def test_shards_hold_their_rows(spark):
+    rows = [(k % 50 or None, f"text {k}", k) for k in range(200)] + [(1, None, 7), (1, None, 7)]
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string, shard int"), 4).collect()
+    assert Counter(tuple(r.row) for r in got) == Counter(rows)
+    assert len({(r.shard, r.slot) for r in got}) == len(rows) and {r.shard for r in got} == {0, 1, 2, 3}
