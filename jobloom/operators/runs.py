@@ -16,9 +16,10 @@ def cap_per_source(df: DataFrame, most: int, source: str = "source", order: str
 def source_runs(items: DataFrame, sources: DataFrame) -> DataFrame:
     """``items(source, item_idx, ok, error)`` per source: jobs found, errors, status and message."""
     counts = items.groupBy("source").agg(
-        F.count_if("ok").alias("jobs_found"), F.count_if(~F.col("ok")).alias("errors"), error_digest("error", "item_idx").alias("digest")
+        F.count_if("ok").alias("jobs_found"), F.count_if(~F.col("ok")).alias("errors")
     )
-    joined = sources.select("source").join(counts, "source", "left")
+    digests = first_messages(items).groupBy("source").agg(error_digest("error", "item_idx").alias("digest"))
+    joined = sources.select("source").join(counts, "source", "left").join(digests, "source", "left")
     found, errors = F.coalesce("jobs_found", F.lit(0)), F.coalesce("errors", F.lit(0))
     return joined.select(
         "source",
@@ -29,6 +30,20 @@ def source_runs(items: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def first_messages(items: DataFrame) -> DataFrame:
+    """The first messages of each source, as many as ``error_digest`` can show.
+
+    Each adds its separator of two characters, so 1,001 give 2000 at least. Parts of a source are cut first,
+    which bounds what a source with very many errors brings to one task.
+    """
+    held = items.select("source", "item_idx", "error").filter("error IS NOT NULL")
+    held = held.withColumn("_part", F.pmod(F.xxhash64("item_idx", "error"), F.lit(64)))
+    for keys in (["source", "_part"], ["source"]):
+        place = Window.partitionBy(*keys).orderBy("item_idx", "error")
+        held = held.withColumn("_n", F.row_number().over(place)).filter("_n <= 1001").drop("_n")
+    return held.drop("_part")
+
+
 def error_digest(message: str, order: str) -> Column:
     """Messages of a group in order, joined with ``"; "`` and cut at 2000 characters; null without any."""
     held = F.array_sort(F.collect_list(F.when(F.col(message).isNotNull(), F.struct(order, message))))

@@ -196,3 +196,12 @@ def test_full_run(spark):
     out = pipeline.run_all(feed(spark, f"[{GOOD}]"), person, spark.createDataFrame([], PREFERENCE), spark.createDataFrame([("https://jobs.example/1?ref=x",)], "url string"), 7)
     assert out["jobs"].first().status == "active" and out["summary"].first().status == "success"
     assert out["evaluations"].first().score == 100.0
+
+
+def test_digest_of_a_source_with_very_many_errors(spark):
+    items = spark.range(5000).selectExpr("'a' AS source", "id AS item_idx", "false AS ok", "IF(id < 3000, '', 'late') AS error")
+    items = items.unionByName(spark.createDataFrame([("b", 2, False, "two"), ("b", 1, False, "one"), ("b", 3, True, None)], "source string, item_idx long, ok boolean, error string"))
+    assert runs.first_messages(items).groupBy("source").count().orderBy("source").collect() == [("a", 1001), ("b", 2)]
+    got = {r.source: r for r in runs.source_runs(items, items.select("source").distinct()).collect()}
+    assert got["a"].message == "; " * 1000 and got["a"].errors == 5000
+    assert (got["b"].message, got["b"].errors, got["b"].jobs_found) == ("one; two", 2, 1)
