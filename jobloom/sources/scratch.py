@@ -1,7 +1,8 @@
 """Where operators write intermediate tables.
 
 A written table cuts lineage and survives the loss of an executor. The folder is the one that the
-cluster names in ``spark.checkpoint.dir``; a local session without that setting gets a temporary folder.
+cluster names in ``spark.checkpoint.dir``; a local session without that setting gets a temporary folder. Tables
+that a later one replaces are deleted at once, the others when the application ends.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_kept: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,6 +30,27 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, by: str | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back; ``by`` names its last column for folders."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = scratch_dir(spark)
+    if folder not in _kept:
+        at, files = _store(spark, folder)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _kept.add(folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path, partitionBy=by, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize()`` that nothing reads any more."""
+    for table in tables:
+        at, files = _store(table.sparkSession, table._scratch_path)
+        files.delete(at, True)
+
+
+def _store(spark: SparkSession, path: str):
+    """The path and the file system that holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
