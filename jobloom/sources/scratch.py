@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What a task holds of the table that it writes.
+ROW_GROUP_BYTES = 32 << 20
+
 _local: dict[str, str] = {}
 _kept: set[str] = set()
 
@@ -37,7 +40,7 @@ def materialize(df: DataFrame, name: str, by: str | None = None, compression: st
         files.deleteOnExit(at)
         _kept.add(folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path, partitionBy=by, compression=compression)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path, partitionBy=by, compression=compression)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     return table
