@@ -4,26 +4,29 @@ Lengths are whole numbers up to the capacity, so an instance is a histogram of a
 counts however many documents there are. The plan is made on the histogram: first sets of up to three
 lengths that provably dominate every alternative for their longest member are fixed (Martello and Toth),
 which shrinks the instance; the remainder is packed best-fit decreasing, whole runs of equal lengths at a
-time. The plan names ranges of ranks within a length, and pieces find their places by a join on length.
-The sequences are written with their token ids; the digest of the query is read from them.
+time. The plan names ranges of ranks within a length. Pieces are numbered where they are cut, by task and
+length, so that a rank is that number plus the count of pieces in the tasks before, and only the ids
+themselves are shuffled, once. The sequences are written with them; the digest of the query is read from them.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from jobloom.llm.numbering import gapless
-from jobloom.llm.scratch import materialize
+from jobloom.llm.numbering import join_hint
+from jobloom.llm.scratch import discard, materialize
 
 
 class Run(NamedTuple):
@@ -154,9 +157,14 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Run]:
 
 def _cut(path: str, capacity: int, separator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         from jobloom.llm.tokens import WordTokenizer
 
-        tokenizer = WordTokenizer.at(path)
+        tokenizer, packer = WordTokenizer.at(path), zstandard.ZstdCompressor(level=3)
+        task, met = TaskContext.get().partitionId(), Counter()
+        names = ["doc_id", "piece", "start", "length", "task", "nth", "ids"]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         for batch in batches:
             for at in range(0, len(batch), 200):
                 part = batch.slice(at, 200)
@@ -169,27 +177,27 @@ def _cut(path: str, capacity: int, separator: int):
                         # the first piece takes what is over, so that the others are full
                         length = (len(ids) - start) % capacity or capacity
                         own = ids[start : start + length]
-                        packed = zlib.compress(own.astype("<u2" if own.max() < 1 << 16 else "<u4").tobytes(), 1)
-                        rows.append((doc_id, piece, start, length, packed))
+                        packed = packer.compress(own.astype("<u2" if own.max() < 1 << 16 else "<u4").tobytes())
+                        rows.append((doc_id, piece, start, length, task, met[length], packed))
+                        met[length] += 1
                         start, piece = start + length, piece + 1
-                columns = zip(*rows, strict=True)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids"])
+                arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0) -> DataFrame:
-    """Pieces ``(doc_id, piece, start, length, ids)`` of the documents' token ids and a separator.
+    """Pieces ``(doc_id, piece, start, length, task, nth, ids)`` of the documents' token ids and a separator.
 
-    ``ids`` are little-endian numbers of two bytes, or of four in a piece with an id over 65,535, compressed by zlib.
-    A document longer than the capacity is cut; its first piece may be shorter than the capacity and the
-    others are full. A null text counts as empty and gives the separator alone.
+    ``ids`` are little-endian numbers of two bytes, or of four in a piece with an id over 65,535, compressed by
+    Zstandard; ``nth`` counts the pieces of a length that ``task`` has cut. A document longer than the capacity
+    is cut; its first piece may be shorter than the capacity and the others are full. A null text counts as
+    empty and gives the separator alone.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _cut(tokenizer_path, capacity, separator),
-        "doc_id long, piece int, start long, length long, ids binary",
+        "doc_id long, piece int, start long, length long, task int, nth long, ids binary",
     )
 
 
@@ -198,34 +206,46 @@ _PIECE = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
 
 
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of ``(sequence_id, parts)``, the sequences with the ids of their parts one after another."""
-    for whole in batches:
-        for first in range(0, len(whole), 200):
-            batch = whole.slice(first, 200)
-            ids, pieces = [], []
-            for parts in batch.column(1).to_pylist():
-                own = [(zlib.decompress(x["ids"]), x["length"]) for x in parts]
-                ids.append(np.concatenate([np.frombuffer(data, f"<u{len(data) // n}").astype(np.int32) for data, n in own]))
-                pieces.append([{name: x[name] for name, _ in _PIECE} for x in parts])
-            arrays = [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(pieces, pa.list_(pa.struct(_PIECE)))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["sequence_id", "ids", "pieces"])
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of ``(sequence_id, ids, pieces)``, a row for each piece with the checksum of its ids."""
+    """Of pieces in the order of their places, the sequences with the ids of their pieces one after another."""
+    import zstandard
+
+    unpacker = zstandard.ZstdDecompressor()
+    sequences: list[int] = []
+    ids: list[list[np.ndarray]] = []
+    pieces: list[list[dict]] = []
+
+    def done() -> pa.RecordBatch:
+        arrays = [
+            pa.array(sequences, pa.int64()),
+            pa.array([np.concatenate(own) for own in ids], pa.list_(pa.int32())),
+            pa.array(pieces, pa.list_(pa.struct(_PIECE))),
+        ]
+        for held in (sequences, ids, pieces):
+            held.clear()
+        return pa.RecordBatch.from_arrays(arrays, names=["sequence_id", "ids", "pieces"])
+
+    for batch in batches:
+        for row in (row for at in range(0, len(batch), 200) for row in batch.slice(at, 200).to_pylist()):
+            if not sequences or sequences[-1] != row["sequence_id"]:
+                if len(sequences) >= 200:
+                    yield done()
+                sequences.append(row["sequence_id"])
+                ids.append([])
+                pieces.append([])
+            data = unpacker.decompress(row["ids"])
+            ids[-1].append(np.frombuffer(data, f"<u{len(data) // row['length']}").astype(np.int32))
+            pieces[-1].append({name: row[name] for name, _ in _PIECE})
+    yield done()
+
+
+def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows whose last column is an array of ids, the checksum of these in its place."""
     for batch in batches:
-        pieces, ids = batch.column(2), batch.column(1)
-        row = pc.list_parent_indices(pieces)
-        flat = pieces.flatten()
-        of = dict(zip((name for name, _ in _PIECE), flat.flatten(), strict=True))
-        tokens = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        begin = np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))))[row.to_numpy()]
-        at, length = begin + of["offset"].to_numpy(), of["length"].to_numpy()
-        crc = [zlib.crc32(tokens[a : a + n].tobytes()) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [of["doc_id"], of["piece"], of["start"], of["length"], pa.array(crc, pa.int64()), batch.column(0).take(row), of["offset"]],
-            names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-        )
+        own = batch.column(batch.num_columns - 1)
+        tokens = own.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        ends = np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False)).tolist()
+        crc = [zlib.crc32(tokens[a:b].tobytes()) for a, b in zip([0, *ends], ends, strict=False)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crc, pa.int64())], names=[*batch.schema.names[:-1], "ids_crc32"])
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0) -> DataFrame:
@@ -236,24 +256,28 @@ def sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separa
     repeated rows and a null doc_id are packed like any other row; an empty table gives no rows; other
     columns are ignored.
     """
-    pieces = token_pieces(docs, tokenizer_path, capacity, separator)
-    pieces = materialize(pieces.select("*", F.monotonically_increasing_id().alias("row"), F.xxhash64("ids").alias("ids_hash")), "pieces")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    pieces = materialize(token_pieces(docs, tokenizer_path, capacity, separator), "pieces")
+    counts = materialize(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = plan(histogram, capacity)
     places = docs.sparkSession.createDataFrame(
         runs or [Run(0, 0, 0, 0, 0)], "w long, lo long, hi long, sequence long, offset long"
     )
-    ranked = gapless(pieces.drop("ids"), ["length"], ["doc_id", "piece", "start", "ids_hash"], "rank")
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    ranked = pieces.join(begins.hint(join_hint(counts.count())), ["length", "task"])
+    ranked = ranked.withColumn("rank", F.col("begin") + F.col("nth"))
     # The plan has a few rows per length whatever the number of documents.
     placed = ranked.join(
         F.broadcast(places),
         (F.col("length") == F.col("w")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")),
     )
     sequence = (F.col("sequence") + F.col("rank") - F.col("lo")).alias("sequence_id")
-    parts = placed.select("row", sequence, "offset").join(pieces.drop("ids_hash"), "row")
-    part = F.struct("offset", "doc_id", "piece", "start", "length", "ids")  # no two parts of a sequence share an offset
-    filled = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    return materialize(filled.mapInArrow(_filled, f"sequence_id long, ids array<int>, pieces {_PIECES}"), "sequences", compression="zstd")
+    parts = placed.select(sequence, "offset", "doc_id", "piece", "start", "length", "ids").repartition("sequence_id")
+    filled = parts.sortWithinPartitions("sequence_id", "offset").mapInArrow(_filled, f"sequence_id long, ids array<int>, pieces {_PIECES}")
+    filled = materialize(filled, "sequences", compression="zstd")
+    discard(pieces, counts)
+    return filled
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0) -> DataFrame:
@@ -261,6 +285,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator:
 
     Returns one row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
     """
-    return sequences(docs, tokenizer_path, capacity, separator).mapInArrow(
-        _digest, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    made = sequences(docs, tokenizer_path, capacity, separator)
+    rows = made.select("sequence_id", "ids", F.explode("pieces").alias("piece"))
+    rows = rows.select(
+        "piece.doc_id", "piece.piece", "piece.start", "piece.length", "sequence_id", "piece.offset",
+        F.slice("ids", (F.col("piece.offset") + 1).cast("int"), F.col("piece.length").cast("int")).alias("ids"),
+    )
+    return rows.mapInArrow(
+        _checksums, "doc_id long, piece int, start long, length long, sequence_id long, offset long, ids_crc32 long"
     )

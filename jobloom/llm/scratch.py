@@ -1,8 +1,8 @@
 """Intermediate tables in the shared folder."""
 
-from jobloom.sources.scratch import materialize, scratch_dir
+from jobloom.sources.scratch import discard, materialize, scratch_dir
 
-__all__ = ["fresh", "materialize", "scratch_dir"]
+__all__ = ["discard", "fresh", "materialize", "scratch_dir"]
 
 
 def fresh(columns: list[str], name: str) -> str:
