@@ -1,21 +1,32 @@
 """Sharding of documents by best-fit-decreasing bin packing of indivisible groups.
 
-Groups of equal texts stay together. Groups of a notable size are items of their own, at most
-``shards * HEAVY`` of them since each holds more than that share of all bytes; the others are dealt by
-a hash into ``shards * LOTS`` lots. These bounded lists of items are packed on the driver: a group that
-would fill a shard gets its own, and the rest goes, largest first, into the bin with the tightest
-remaining capacity, found in a balanced tree. The capacity is the least at which the bins suffice.
+Groups of equal texts stay together. What is packed is the histogram of group sizes, exact for every group
+and with at most sqrt(2 * bytes) entries: runs of groups of equal size, largest first, enter the bin with
+the tightest remaining capacity, found in a balanced tree. A group that would fill a shard gets its own.
+The capacity is the least at which the bins suffice. A run names ranks of groups within their size.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from jobloom.llm.numbering import gapless, join_hint
+from jobloom.llm.scratch import discard, materialize
 
-from jobloom.llm.numbering import gapless
-from jobloom.llm.scratch import materialize
 
-HEAVY, LOTS = 64, 256
+class Run(NamedTuple):
+    """Groups of ``size`` with ranks from ``lo`` to below ``hi`` go to ``shard``."""
+
+    size: int
+    lo: int
+    hi: int
+    shard: int
 
 
 class Capacities:
@@ -86,43 +97,84 @@ class Capacities:
         return found
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most: int) -> list[int] | None:
-    """A bin for every size (given largest first), or None if ``most`` bins do not suffice."""
-    tree, bins, used = Capacities(), [], 0
-    for size in sizes:
-        at = tree.tightest(size)
-        if at is None:
-            if used == most or size > capacity:
-                return None
-            room, number = capacity, used
-            used += 1
-        else:
-            tree.remove(at)
-            room, number = at
-        tree.add((room - size, number))
-        bins.append(number)
-    return bins
-
-
-def assign(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """Shards of items (id, size): near-equal bytes in exactly as many bins as there are shards."""
-    items = sorted(items, key=lambda x: (-x[1], x[0]))
-    out: dict[int, int] = {}
-    total, first = sum(size for _, size in items), 0
-    while items and shards - first > 1 and items[0][1] * (shards - first) >= total:
-        out[items[0][0]] = first  # as large as a shard: alone
-        total, first, items = total - items[0][1], first + 1, items[1:]
-    sizes, bins = [size for _, size in items], shards - first
-    low = max([0, -(-total // bins), *sizes[:1]])
-    high = low + max([0, *sizes[:1]])
-    while low < high:
-        middle = (low + high) // 2
-        if best_fit_decreasing(sizes, middle, bins) is None:
-            low = middle + 1
-        else:
-            high = middle
-    placed = best_fit_decreasing(sizes, low, bins) or []
-    return out | {item: first + number for (item, _), number in zip(items, placed, strict=True)}
+def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int, most: int) -> list[Run] | None:
+    """Bins for all groups of ``sizes`` (size, groups), largest first, or None if ``most`` bins do not suffice."""
+    tree, used, runs = Capacities(), 0, []
+    for size, groups in sizes:
+        lo = 0
+        while lo < groups:
+            at = tree.tightest(size)
+            if at is None:
+                if used == most or size > capacity:
+                    return None
+                room, number = capacity, used
+                used += 1
+            else:
+                tree.remove(at)
+                room, number = at
+            hi = min(groups, lo + room // size)
+            tree.add((room - (hi - lo) * size, number))
+            runs.append(Run(size, lo, hi, number))
+            lo = hi
+    return runs
+
+
+def plan(histogram: dict[int, int], shards: int) -> list[Run]:
+    """Shards for all groups of a histogram of sizes: near-equal bytes in exactly as many bins as there are shards."""
+    sizes = sorted(histogram.items(), reverse=True)
+    alone: list[Run] = []
+    total = sum(size * groups for size, groups in sizes)
+    while sizes and shards - len(alone) > 1 and sizes[0][0] * (shards - len(alone)) >= total:
+        size, groups = sizes[0]  # as large as a shard
+        met = sum(run.size == size for run in alone)
+        alone.append(Run(size, met, met + 1, len(alone)))
+        total -= size
+        sizes = ([(size, groups - 1)] if groups > 1 else []) + sizes[1:]
+    bins = shards - len(alone)
+    least = max([-(-total // bins), *(size for size, _ in sizes[:1])])
+    low, step = least, 1
+    packed = best_fit_decreasing(sizes, low, bins)
+    while packed is None:  # then the capacity lies in (low, low + step]
+        low, step = low + step, step * 2
+        packed = best_fit_decreasing(sizes, low, bins)
+    below, high = low - step // 2, low
+    while below + 1 < high:
+        middle = (below + high) // 2
+        found = best_fit_decreasing(sizes, middle, bins)
+        below, high, packed = (middle, high, packed) if found is None else (below, middle, found)
+    met = {size: sum(run.size == size for run in alone) for size in {run.size for run in alone}}
+    rest = [Run(r.size, r.lo + met.get(r.size, 0), r.hi + met.get(r.size, 0), r.shard + len(alone)) for r in packed]
+    return alone + rest
+
+
+def _keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_text``, a hash of the text, and ``_row``, one of text and doc_id, in front of the whole row."""
+    text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    return docs.select(
+        F.xxhash64(text).alias("_text"),  # a collision only keeps two groups together
+        F.xxhash64(F.lit("row"), doc_id.isNull(), doc_id, text).alias("_row"),
+        doc_id.alias("_doc_id"),
+        (F.octet_length(text) + 8).cast("long").alias("_size"),
+        F.struct("*").alias("row"),
+    )
+
+
+def shard_places(docs: DataFrame, shards: int = 24) -> DataFrame:
+    """The written table ``_text, _row, shard, slot, n``: rows with that text and doc_id take ``n`` slots from ``slot`` on."""
+    rows = _keys(docs).groupBy("_text", "_row").agg(F.count("*").alias("n"), F.min("_doc_id").alias("_doc_id"), F.min("_size").alias("size"))
+    rows = materialize(rows, "rows")
+    groups = materialize(rows.groupBy("_text").agg(F.sum(F.col("size") * F.col("n")).alias("bytes")), "groups")
+    histogram = {r["bytes"]: r["n"] for r in groups.groupBy("bytes").agg(F.count("*").alias("n")).collect()}
+    runs = plan(histogram, shards) or [Run(0, 0, 0, 0)]
+    columns = dict(zip(("size", "lo", "hi", "shard"), np.array(runs, dtype=np.int64).T, strict=True))
+    table = docs.sparkSession.createDataFrame(pa.table({name: pa.array(c) for name, c in columns.items()})).withColumnRenamed("size", "of")
+    ranked = gapless(groups, ["bytes"], ["_text"], "rank")
+    inside = (F.col("bytes") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+    placed = ranked.join(table.hint(join_hint(len(runs))), inside).select("_text", F.col("shard").cast("int").alias("shard"))
+    placed = materialize(rows.join(placed, "_text").drop("size"), "placed")
+    places = materialize(gapless(placed, ["shard"], ["_doc_id", "_text", "_row"], "slot", weight="n").drop("_doc_id"), "places")
+    discard(rows, groups, placed)
+    return places
 
 
 def shard_rows(docs: DataFrame, shards: int = 24) -> DataFrame:
@@ -132,44 +184,19 @@ def shard_rows(docs: DataFrame, shards: int = 24) -> DataFrame:
     whole row with all its columns. A row counts the UTF-8 bytes of its text plus 8. Null and empty texts
     form one group. Every row gets a place, repeated rows and null ids too; an empty table gives no rows.
     One text with a large share of all bytes takes a shard alone, and the others share the rest equally.
+    ``docs`` should be a table that gives the same rows when read again; places depend on doc_id and text
+    alone, and whole rows are moved by one join.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("_group"),  # a collision only keeps two groups together
-        F.struct("*").alias("row"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    base = materialize(base, "rows", compression="zstd")
-    total = base.agg(F.sum("size")).first()[0] or 0
-    lot = F.pmod(F.col("_group"), F.lit(shards * LOTS))
-    groups = base.groupBy("_group").agg(F.sum("size").alias("bytes"))
-    heavy = groups.filter(F.col("bytes") * F.lit(shards * HEAVY) > F.lit(total))
-    heavy = {r[0]: r[1] for r in heavy.collect()}  # fewer than shards * HEAVY rows
-    lots = base.groupBy(lot.alias("lot")).agg(F.sum("size").alias("bytes"))
-    lots = {r[0]: r[1] for r in lots.collect()}  # at most shards * LOTS rows
-    for group, size in heavy.items():
-        lots[group % (shards * LOTS)] -= size
-    keys = [("group", k) for k in sorted(heavy)] + [("lot", k) for k in sorted(lots) if lots[k]]
-    sizes = [heavy[k] if kind == "group" else lots[k] for kind, k in keys]
-    shard = assign(list(enumerate(sizes)), shards)
-    spark = docs.sparkSession
-    own = [(k, shard[n]) for n, (kind, k) in enumerate(keys) if kind == "group"]
-    shared = [(k, shard[n]) for n, (kind, k) in enumerate(keys) if kind == "lot"]
-    own_at = spark.createDataFrame(own, "_group long, _own int")
-    shared_at = spark.createDataFrame(shared, "_lot long, _shared int")
-    placed = (
-        base.withColumn("_lot", lot)
-        .join(F.broadcast(own_at), "_group", "left")
-        .join(F.broadcast(shared_at), "_lot", "left")
-        .select("doc_id", "text_crc32", "_id", F.coalesce("_own", "_shared").alias("shard"))
-    )
-    numbered = gapless(placed, ["shard"], ["doc_id", "text_crc32"], "slot")
-    # Only this join moves whole rows.
-    whole = numbered.select("_id", "slot", "shard").join(base.select("_id", "row"), "_id").select("slot", "row", "shard")
-    return materialize(whole, "shards", by="shard", compression="zstd").select("shard", "slot", "row")
+    places = shard_places(docs, shards)
+    whole = _keys(docs).drop("_doc_id", "_size").join(places, ["_text", "_row"])
+    once, often = whole.filter("n = 1"), places.filter("n > 1")
+    if not often.isEmpty():  # rows that repeat both text and doc_id take their slots in any order
+        nth = F.row_number().over(Window.partitionBy("_text", "_row").orderBy(F.lit(0))) - 1
+        again = _keys(docs).drop("_doc_id", "_size").join(often, ["_text", "_row"]).withColumn("slot", F.col("slot") + nth)
+        once = once.unionByName(again)
+    once = materialize(once.select("slot", "row", "shard"), "shards", by="shard", compression="zstd").select("shard", "slot", "row")
+    discard(places)
+    return once
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from jobloom.llm import packing, sharding, tokens
@@ -117,6 +118,58 @@ def test_tightest_bin_tree():
     assert tree.root[3] < 20
 
 
+def plain_best_fit(sizes, capacity, most):
+    """Loads of the bins if each size, largest first, enters the fullest bin that has room."""
+    loads = []
+    for size in sorted(sizes, reverse=True):
+        room = [k for k, load in enumerate(loads) if load + size <= capacity]
+        if room:
+            loads[max(room, key=lambda k: loads[k])] += size
+        elif len(loads) == most or size > capacity:
+            return None
+        else:
+            loads.append(size)
+    return sorted(loads)
+
+
+def test_shard_plan_is_best_fit_decreasing_over_all_groups():
+    rng = random.Random(3)
+    for case in range(60):
+        sizes = [rng.choice((8, 9, rng.randrange(8, 60), rng.randrange(8, 400))) for _ in range(rng.randrange(1, 300))]
+        sizes += [3000] * (case % 3)
+        shards = rng.randrange(1, 9)
+        count = Counter(sizes)
+        runs, loads, ranks = sharding.plan(dict(count), shards), Counter(), defaultdict(list)
+        for r in runs:
+            loads[r.shard] += r.size * (r.hi - r.lo)
+            ranks[r.size] += range(r.lo, r.hi)
+        assert all(sorted(ranks[size]) == list(range(n)) for size, n in count.items())
+        assert set(loads) <= set(range(shards))
+        alone = [size for k, size in enumerate(sorted(sizes, reverse=True)) if loads[k] == size and size * (shards - k) >= sum(sorted(sizes, reverse=True)[k:])]
+        if not alone:
+            capacity = max(loads.values())
+            least = max(-(-sum(sizes) // shards), max(sizes))
+            assert sorted(loads.values()) in [plain_best_fit(sizes, c, shards) for c in range(max(least, capacity), capacity + 1 + max(sizes))]
+            assert capacity <= least + max(sizes)
+    assert sharding.plan({}, 4) == []
+
+
+def test_numbers_of_a_large_key_are_gapless(spark, monkeypatch):
+    from jobloom.llm import numbering
+
+    monkeypatch.setattr(numbering, "ROWS_PER_GROUP", 50)
+    for limit in (500_000, 0):  # by broadcast and by shuffle
+        monkeypatch.setattr(numbering, "BROADCAST_ROWS", limit)
+        df = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 0, id % 40) as k", "cast(1 + id % 2 as int) as w")
+        got = numbering.gapless(df, ["k"], ["id"], "nth").groupBy("k").agg(F.sort_array(F.collect_list("nth")).alias("all")).collect()
+        assert all(r["all"] == list(range(len(r["all"]))) for r in got) and len(got) == 40
+        got = numbering.gapless(df, ["k"], ["id"], "at", weight="w").collect()
+        places = defaultdict(list)
+        for r in got:
+            places[r.k] += range(r["at"], r["at"] + r.w)
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def check_shards(spark, rows, shards):
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, shard int, slot int")
     got = sharding.shard_documents(df, shards).collect()
