@@ -81,15 +81,25 @@ def test_warc_round_trip(spark):
     pages += [(900, None, None), (901, "u", ""), (902, "a\r\nb", pages[3][2]), (903, "u", pages[3][2]), (904, "u", "é" * 300000), (None, "u", "alone"), (905, "u", "twice"), (905, "u", "twice")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, block int")
     archives = warc.write_archives(df)
+    texts = {i: html or "" for i, _, html in pages}
+    frames = records = 0
     for row in archives.collect():
-        assert len(warc.seek_table(row.bundle)) == len(row["index"])
+        frames, records = frames + len(warc.seek_table(row.bundle)), records + len(row["index"])
+        assert {x.frame for x in row["index"]} == set(range(len(warc.seek_table(row.bundle))))
+        for x in row["index"]:  # any record by its frame and place alone
+            headers, block = warc.read_record_at(bytes(row.bundle), x.frame, x.offset, x.length)
+            assert headers["WARC-Record-ID"] == x.record_id
+            own = texts[None if "None" in x.record_id else int(x.record_id[len("<urn:page:") : -1])].encode()
+            assert int(headers[warc.PAYLOAD_LENGTH]) == len(own) and block in (own, b"")
+            if x.record_id == "<urn:page:902>":
+                assert headers["WARC-Target-URI"] == "a%0D%0Ab"
+    assert records == len(pages) and frames < records / 4
     blocks = {r.page_id: bytes(r.block) for r in warc.read_archives(archives).collect() if r.record_type == "response"}
     got = warc.archive_digest(df).collect()
     assert len(got) == len(pages)
     last = {}
     for i, _, html in pages:
         last[html or ""] = max(last.get(html or "", -1), i if i is not None else -1)
-    texts = {i: html or "" for i, _, html in pages}
     for r in got:
         payload = texts[r.page_id].encode()
         assert r.payload_bytes == len(payload)
@@ -102,6 +112,18 @@ def test_warc_round_trip(spark):
     assert warc.archive_digest(df.limit(0)).count() == 0
 
 
+def test_warc_bundles_over_their_size(spark, monkeypatch):
+    """Frames and bundles end at their sizes; a record that is larger than either has its own."""
+    rng = random.Random(2)
+    rows = [(k, f"u{k}", prose(rng, 3000)) for k in range(40)] + [(99, "u", prose(rng, 900_000))]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert len(archives) >= 2
+    for row in archives:
+        sizes = [size for _, _, size in warc.seek_table(bytes(row.bundle))]
+        assert sum(sizes) <= warc.BUNDLE_BYTES or len(row["index"]) == 1
+        assert all(size <= warc.FRAME_BYTES for size in sizes) or len(sizes) == 1
+
+
 @pytest.fixture(params=["broadcast", "shuffle"])
 def window_join(request, monkeypatch):
     """Both ways to look windows up."""
