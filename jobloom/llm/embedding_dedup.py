@@ -4,9 +4,11 @@ Every vector is described by its ``PREFIX`` nearest reference points (pivots) an
 them. Two vectors are candidates if they share at least ``SHARED`` pivots; a pair is handled in the list of
 its lowest shared pivot only. Candidates are verified by their cosine in double precision.
 
-Pivots are random directions with a fixed seed; their number follows the number of vectors, so that
-lists stay short. Equal vectors form one class first. A list longer than ``BLOCK`` is dealt into blocks, and
-a task compares two blocks: it returns link counts and the local component of each vector, never pairs.
+Pivots are random directions with a fixed seed; their number follows the number of vectors. Equal vectors
+form one class first. A list longer than ``LONG`` is split by a second pivot: since candidates share two, a
+pair is then handled in the list of its two lowest shared pivots. What is still longer than ``BLOCK`` is
+dealt into blocks, and a task compares two blocks: it returns link counts and the local component of each
+vector, never pairs.
 """
 
 from __future__ import annotations
@@ -19,10 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.llm.components import connected_components
-from jobloom.llm.scratch import materialize
+from jobloom.llm.numbering import join_hint
+from jobloom.llm.scratch import discard, materialize
 
-PREFIX, SHARED, BLOCK = 8, 2, 512
-LEAST_PIVOTS, MOST_PIVOTS, VECTORS_PER_PIVOT = 64, 2048, 100
+PREFIX, SHARED, BLOCK, LONG = 8, 2, 512, 1024
+LEAST_PIVOTS, VECTORS_PER_PIVOT = 64, 100
+#: Beyond so many pivots their number grows as the fourth root of the vectors, since long lists are split.
+SLOWER_PIVOTS = 2048
+
+
+def pivots_for(vectors: int) -> int:
+    """The number of pivots, a power of two."""
+    n = max(LEAST_PIVOTS, vectors / VECTORS_PER_PIVOT)
+    if n > SLOWER_PIVOTS:
+        n = SLOWER_PIVOTS * (n / SLOWER_PIVOTS) ** 0.25
+    return 1 << (int(np.ceil(n)) - 1).bit_length()
 
 
 def pivots(dimension: int, n: int) -> np.ndarray:
@@ -63,7 +76,7 @@ def _describe(n_pivots: int):
 
 def _compare(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        pivot, dimension = table.column("pivot")[0].as_py(), table.column("dimension")[0].as_py()
+        pivot, second, dimension = (table.column(c)[0].as_py() for c in ("pivot", "second", "dimension"))
         ids, copies = table.column("cid").to_numpy(), table.column("copies").to_numpy()
         side, x = table.column("side").to_numpy(), _matrix(table.column("unit"), dimension)
         near = table.column("near").combine_chunks()
@@ -78,12 +91,12 @@ def _compare(threshold: float):
         flat = near.ravel()
         order = np.argsort(flat, kind="stable")
         cuts = np.flatnonzero(np.diff(flat[order])) + 1
-        elsewhere = np.zeros_like(shared, dtype=bool)  # pairs with a lower shared pivot
+        elsewhere = np.zeros_like(shared, dtype=bool)  # pairs with lower shared pivots
         for members, q in zip(np.split(owner[order], cuts), flat[order][np.concatenate(([0], cuts))], strict=True):
             r, c = place[0, members], place[1, members]
             cell = np.ix_(r[r >= 0], c[c >= 0])
             shared[cell] += 1
-            if q < pivot:
+            if q < pivot or pivot < q < second:
                 elsewhere[cell] = True
         candidate = (shared >= SHARED) & ~elsewhere
         linked = candidate & (x[rows] @ x[cols].T >= threshold) & (ids[rows][:, None] != ids[cols][None, :])
@@ -130,28 +143,30 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95) -> DataFra
         F.min("vec_id").alias("cid"), F.count("*").alias("copies"), F.first("v").alias("v")
     )
     classes = materialize(classes, "vector-classes")
-    n_classes = classes.count()
-    n_pivots = 1 << (max(1, n_classes // VECTORS_PER_PIVOT) - 1).bit_length()
-    n_pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, n_pivots))
+    n_pivots = pivots_for(classes.count())
     described = classes.select("cid", "v", "copies").mapInArrow(
         _describe(n_pivots), "cid long, copies long, unit array<double>, near array<int>"
     )
-    described = materialize(described, "described")
-    postings = described.select("cid", F.explode("near").alias("pivot"), F.size("unit").alias("dimension"))
-    blocks = postings.groupBy("pivot", "dimension").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # At most MOST_PIVOTS rows for each vector length.
-    listed = described.select(
-        "cid", "copies", "unit", "near", F.explode("near").alias("pivot"), F.size("unit").alias("dimension")
-    ).join(F.broadcast(blocks), ["pivot", "dimension"])
+    described = materialize(described.withColumn("dimension", F.size("unit")), "described")
+    lengths = described.select("dimension", F.explode("near").alias("pivot")).groupBy("pivot", "dimension")
+    lengths = materialize(lengths.agg((F.count("*") > LONG).alias("long")), "lengths")
+    further = F.filter("near", lambda q: q > F.col("pivot"))  # the lowest shared pivot comes first
+    seconds = F.when(F.col("long"), further).otherwise(F.array(F.lit(-1)))  # -1: the list is not split
+    listed = described.withColumn("pivot", F.explode("near")).join(lengths.hint(join_hint(lengths.count())), ["pivot", "dimension"])
+    listed = listed.withColumn("second", F.explode(seconds)).drop("long")
+    sizes = listed.groupBy("pivot", "second", "dimension").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = materialize(sizes, "list-sizes")
+    listed = listed.join(sizes.hint(join_hint(sizes.count())), ["pivot", "second", "dimension"])
     listed = listed.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     listed = listed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     listed = listed.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
     found = (
-        listed.select("cid", "copies", "unit", "near", "pivot", "dimension", "side", "i", "j")
-        .groupBy("pivot", "dimension", "i", "j")
+        listed.select("cid", "copies", "unit", "near", "pivot", "second", "dimension", "side", "i", "j")
+        .groupBy("pivot", "second", "dimension", "i", "j")
         .applyInArrow(_compare(threshold), "cid long, links long, root long")
     )
     found = materialize(found, "vector-links")
+    discard(lengths, sizes, described)
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     components = connected_components(found.selectExpr("cid as a", "root as b"))
     known = classes.select("k1", "k2", "cid", "copies").join(counts, "cid", "left").join(
