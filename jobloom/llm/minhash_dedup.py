@@ -1,24 +1,28 @@
 """MinHash near-duplicate detection by a multi-index Hamming join.
 
-A document's set is its distinct ``shingle_size``-word shingles. Of each of 32 MinHash values eight bits
-are kept, and the signature distance of two sets is the number of values whose bits differ. The signature
-is split into eight chunks of four values: by the pigeonhole principle two signatures at a distance of up
-to 15 agree in some chunk but for at most one value, so every chunk is indexed four times with one value
-left out and a hash join on those keys meets every such pair. At a Jaccard similarity of 0.75 a pair
-shares no key with a probability of about 2e-5. Candidates are confirmed on the full sets.
-
-Documents with equal sets form one class and only classes are compared. Within a key, classes are first
-linked to two centres (linear in the bucket), components are formed, and only classes of one key that are
-still in different components are then compared with each other: pair by pair in small keys, and in
-blocks inside the tasks in large ones. A large group of copies never expands into rows for all its pairs,
-and no link between components is missed.
+A document's set is its distinct ``shingle_size``-word shingles. Of each of 32 MinHash values 16 bits are
+kept, and the signature distance of two sets is the number of values whose bits differ. The signature is
+split into eight chunks of four values: by the pigeonhole principle two signatures at a distance of up to 15
+agree in some chunk but for at most one value, so every chunk is indexed four times with one value left out
+and a hash join on those keys meets every such pair. At a Jaccard similarity of 0.75 a pair shares no key
+with a probability of about 2e-5. Nothing else cuts candidates but their set sizes, which must allow the
+similarity; they are confirmed on the full sets. Keys hold 48 bits of signature, so that unlike documents
+rarely meet however many there are.
+
+Documents with equal sets form one class, named by a 64-bit hash of the set, and only classes are compared.
+Within a key, classes are first linked to two centres (linear in the bucket), components are formed, and
+only classes of one key that are still in different components are then compared with each other: pair by
+pair in small keys, and in blocks inside the tasks in large ones. A large group of copies never expands
+into rows for all its pairs, and no link between components is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +30,10 @@ from pyspark.sql.window import Window
 
 from jobloom.llm import textvec
 from jobloom.llm.components import connected_components
-from jobloom.llm.scratch import fresh, materialize
+from jobloom.llm.numbering import join_hint
+from jobloom.llm.scratch import discard, fresh, materialize
 
-VALUES, CHUNK, WORD = 32, 4, 8  # MinHash values; values of a chunk; values packed into one long
-#: Pairs further apart than this in signature distance are not confirmed (P < 1e-6 at similarity 0.75).
-MAX_DISTANCE = 20
-#: Id lists up to this many rows (16 bytes each) may be broadcast.
-BROADCAST_ROWS = 500_000
+VALUES, CHUNK = 32, 4  # MinHash values of 16 bits; values of a chunk, packed into one long
 #: Keys with up to this many classes are compared pair by pair, larger ones in blocks of BLOCK classes.
 SMALL_KEY, BLOCK = 24, 256
 
@@ -42,6 +43,15 @@ _MUL = _rng.integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint
 _KEY = np.uint64(0xD6E8FEB86659FD93)
 
 
+_PACKED = [f"s{k}" for k in range(VALUES // CHUNK)]
+
+
+def _set_keys(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set of shingles, in two parts."""
+    one = textvec.mix(np.add.reduceat(values, begin))
+    return one, textvec.mix(np.add.reduceat(textvec.mix(values ^ _KEY), begin))
+
+
 def _features(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,59 +59,57 @@ def _features(size: int):
                 values, at = textvec.distinct(*textvec.shingles(w, size))
                 n = np.diff(at)
                 some = np.flatnonzero(n)
-                signature = np.zeros((len(n), VALUES), dtype=np.uint8)
+                signature = np.zeros((len(n), VALUES), dtype=np.uint16)
                 keys = np.zeros((2, len(n)), dtype=np.uint64)
                 if len(some):
                     begin = at[:-1][some]
                     for k in range(VALUES):
                         least = np.minimum.reduceat((values ^ _XOR[k]) * _MUL[k], begin)
-                        signature[some, k] = textvec.mix(least) >> np.uint64(56)
-                    keys[0, some] = textvec.mix(np.add.reduceat(values, begin))
-                    keys[1, some] = textvec.mix(np.add.reduceat(textvec.mix(values ^ _KEY), begin))
+                        signature[some, k] = textvec.mix(least) >> np.uint64(48)
+                    keys[:, some] = _set_keys(values, begin)
                 packed = np.ascontiguousarray(signature).view(np.int64)
                 ids = batch.column(0).slice(first, len(n))
                 arrays = [ids, pa.array(n), *map(pa.array, keys.view(np.int64)), *map(pa.array, packed.T.copy())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "k1", "k2", "s0", "s1", "s2", "s3"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "k1", "k2", *_PACKED])
 
     return run
 
 
 def signatures(docs: DataFrame, shingle_size: int = 5) -> DataFrame:
-    """``(doc_id, n_shingles, k1, k2, s0..s3)``: set size, a 128-bit key of the set, the packed signature."""
+    """``(doc_id, n_shingles, k1, k2, s0..s7)``: set size, a 128-bit key of the set, the packed signature."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _features(shingle_size),
-        "doc_id long, n_shingles long, k1 long, k2 long, s0 long, s1 long, s2 long, s3 long",
+        _features(shingle_size), ", ".join(f"{name} long" for name in ("doc_id", "n_shingles", "k1", "k2", *_PACKED))
     )
 
 
+def _set_key(size: int):
+    """The first part of the key of a text's set; null without words."""
+
+    @F.pandas_udf("long")
+    def key(texts: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(texts), dtype="Int64")
+        for first, w in textvec.words(pa.array(texts, pa.string())):
+            values, at = textvec.distinct(*textvec.shingles(w, size))
+            some = np.flatnonzero(np.diff(at))
+            if len(some):
+                out[first + some] = _set_keys(values, at[:-1][some])[0].view(np.int64)
+        return out
+
+    return key
+
+
 def _index_keys() -> Column:
     """The 32 index keys of a signature: a chunk with one of its four values left out."""
     keys = []
-    for chunk in range(VALUES // CHUNK):
-        word, high = F.col(f"s{chunk * CHUNK // WORD}"), chunk * CHUNK % WORD > 0
-        bits = F.shiftrightunsigned(word, 32) if high else word.bitwiseAND(F.lit(0xFFFFFFFF))
+    for chunk, name in enumerate(_PACKED):
         for left_out in range(CHUNK):
-            kept = bits.bitwiseAND(F.lit(0xFFFFFFFF & ~(0xFF << (8 * left_out))))
-            keys.append(kept.bitwiseOR(F.lit((chunk * CHUNK + left_out) << 32)))
+            below = F.col(name).bitwiseAND(F.lit((1 << 16 * left_out) - 1))
+            above = F.shiftrightunsigned(name, 16 * (left_out + 1)) if left_out < CHUNK - 1 else F.lit(0).cast("long")
+            kept = below.bitwiseOR(F.shiftleft(above, 16 * left_out))
+            keys.append(kept.bitwiseOR(F.lit((chunk * CHUNK + left_out) << 48)))
     return F.array(*keys)
 
 
-def _distance(left: str, right: str) -> Column:
-    """Number of differing bytes of the packed signatures of two aliased sides."""
-    total = F.lit(0)
-    for k in range(VALUES // WORD):
-        x = F.col(f"{left}.s{k}").bitwiseXOR(F.col(f"{right}.s{k}"))
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return total
-
-
-def _near(threshold: float) -> Column:
-    n, m = F.col("x.n_shingles"), F.col("y.n_shingles")
-    return (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold)) & (_distance("x", "y") <= MAX_DISTANCE)
-
-
 def _sets(column: pa.Array | pa.ChunkedArray, size: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for _, w in textvec.words(column):
@@ -127,17 +135,35 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The ``pairs(a, b)`` whose full sets are similar enough."""
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    hint = "broadcast" if pairs.count() * 2 <= BROADCAST_ROWS else "shuffle_hash"
-    texts = docs.join(ids.hint(hint), docs.doc_id == ids.id, "left_semi")
-    texts = materialize(texts.select("doc_id", "text"), "texts")
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return materialize(joined.mapInArrow(_confirm(size, percent), "a long, b long").distinct(), "links")
+class _Corpus(NamedTuple):
+    """Documents with their features and classes: ``classes(cid, rep, n_shingles, s0..s7)``."""
+
+    docs: DataFrame
+    feats: DataFrame
+    classes: DataFrame
+    repeats: bool  #: whether any doc_id stands in several rows
+    size: int
+    percent: int
+
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """``(cid, text)``, one row for each class of ``ids(cid)``."""
+        wanted = ids.join(self.classes.select("cid", "rep"), "cid")
+        found = self.docs.join(wanted.hint(join_hint(ids.count())), F.col("doc_id") == F.col("rep")).select("cid", "text")
+        if self.repeats:  # a doc_id may then hold other texts as well
+            found = found.filter(_set_key(self.size)("text") == F.col("cid")).dropDuplicates(["cid"])
+        return materialize(found, "texts")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The ``pairs(a, b)`` of classes whose full sets are similar enough."""
+        pairs = materialize(pairs, "pairs")
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "ids")
+        texts = self.texts(ids)
+        right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
+        left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
+        joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+        links = materialize(joined.mapInArrow(_confirm(self.size, self.percent), "a long, b long").distinct(), "links")
+        discard(pairs, ids, texts)
+        return links
 
 
 def _block(size: int, percent: int):
@@ -179,82 +205,86 @@ def _block(size: int, percent: int):
     return run
 
 
-def _block_links(large: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
+def _block_links(large: DataFrame, corpus: _Corpus) -> DataFrame | None:
     """Links between components whose classes share large keys, as pairs of component ids.
 
     Keys with members in common form one family, so that a pair is met once and not once a key. A family
     is dealt by set size into bands of the ratio that the threshold allows, and a band into blocks of about
-    ``BLOCK`` members; a task counts the shared shingles of two blocks and returns at most one link for
-    two components. No pair becomes a row, and blocks of one large family spread over many tasks.
+    ``BLOCK`` members: a component that fills blocks has blocks of its own, which are never compared with each
+    other, and the others share blocks. A task counts the shared shingles of two blocks and returns at most
+    one link for two components. No pair becomes a row, and blocks of one large family spread over many tasks.
     """
     if large.isEmpty():
         return None
     centre = large.groupBy("key").agg(F.min("cid").alias("centre"))
     family = connected_components(large.join(centre, "key").selectExpr("centre as a", "cid as b"))
     members = large.select("cid", "comp", "n_shingles").distinct().join(family, F.col("cid") == F.col("node"))
-    band = F.floor(F.log("n_shingles") / -np.log(percent / 100)).cast("int")
+    band = F.floor(F.log("n_shingles") / -np.log(corpus.percent / 100)).cast("int")
     members = members.select("cid", "comp", F.col("component").alias("family"), band.alias("own"))
-    members = members.withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
-    sizes = members.groupBy("family", "band").agg(
-        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
-        F.min("comp").alias("p"),
-        F.max("comp").alias("q"),
-        F.max("own").alias("top"),
+    members = materialize(members.withColumn("band", F.explode(F.array("own", F.col("own") + 1))), "members")
+    sizes = members.groupBy("family", "band", "comp").agg(F.count("*").alias("n"), F.max("own").alias("top"))
+    bands = sizes.groupBy("family", "band").agg(
+        F.min("comp").alias("p"), F.max("comp").alias("q"), F.max("top").alias("top"),
+        F.sum(F.when(F.col("n") <= BLOCK, F.col("n"))).alias("others"),
+    )
+    bands = bands.filter("p < q and top = band").select("family", "band", F.ceil(F.col("others") / BLOCK).cast("int").alias("shared"))
+    own = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / BLOCK).cast("int"))
+    sizes = materialize(sizes.join(bands, ["family", "band"]).select("family", "band", "comp", own.alias("blocks"), "shared"), "sizes")
+    blocks = sizes.select(
+        "family", "band", F.when(F.col("blocks").isNotNull(), F.col("comp")).alias("owner"),
+        F.explode(F.sequence(F.lit(0), F.coalesce("blocks", "shared") - 1)).alias("nth"),
+    ).distinct()
+    blocks = blocks.select("family", "band", F.struct("owner", "nth").alias("block"))
+    x, y = blocks.withColumnRenamed("block", "i"), blocks.withColumnRenamed("block", "j")
+    meeting = x.join(y, ["family", "band"]).filter(
+        (F.col("i") <= F.col("j")) & ~F.coalesce(F.col("i.owner") == F.col("j.owner"), F.lit(False))
     )
-    sizes = sizes.filter("p < q and top = band").drop("p", "q", "top")
-    dealt = members.join(sizes, ["family", "band"])
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "cid", "comp", "family", "band", "side", (F.col("own") < F.col("band")).alias("lower"),
-        F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"),
+    sides = F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))
+    sides = F.when(F.col("i") == F.col("j"), F.slice(sides, 1, 1)).otherwise(sides)
+    meeting = meeting.select("family", "band", "i", "j", F.explode(sides).alias("of")).select("family", "band", "i", "j", "of.*")
+    nth = F.pmod(F.xxhash64("cid"), F.coalesce("blocks", "shared")).cast("int").alias("nth")
+    dealt = members.join(sizes, ["family", "band", "comp"]).select(
+        "cid", "comp", "family", "band", (F.col("own") < F.col("band")).alias("lower"),
+        F.struct(F.when(F.col("blocks").isNotNull(), F.col("comp")).alias("owner"), nth).alias("block"),
     )
-    dealt = materialize(dealt, "dealt")
-    ids = dealt.select("cid").distinct()
-    hint = "broadcast" if ids.count() <= BROADCAST_ROWS else "shuffle_hash"
-    texts = docs.join(ids.hint(hint), docs.doc_id == ids.cid, "left_semi").select("doc_id", "text")
-    texts = materialize(texts, "texts")
-    whole = dealt.join(texts, dealt.cid == texts.doc_id).drop("doc_id")
-    found = whole.groupBy("family", "band", "i", "j").applyInArrow(_block(size, percent), "a long, b long")
-    return materialize(found.distinct(), "block-links")
-
+    dealt = materialize(dealt.join(meeting, ["family", "band", "block"]).drop("block"), "dealt")
+    texts = corpus.texts(dealt.select("cid").distinct())
+    found = dealt.join(texts, "cid").groupBy("family", "band", "i", "j")
+    links = materialize(found.applyInArrow(_block(corpus.size, corpus.percent), "a long, b long").distinct(), "block-links")
+    discard(members, sizes, dealt, texts)
+    return links
 
-def minhash_components(docs: DataFrame, shingle_size: int = 5, percent: int = 75) -> DataFrame:
-    """Near-duplicate components of ``docs(doc_id, text, ...)``.
 
-    Returns one row per input row: ``doc_id, n_shingles, component_id, kept, class_id``. ``component_id`` is
-    the smallest doc_id reachable over links, ``class_id`` the smallest doc_id with the same set, ``kept``
-    marks the document that stays. Null or wordless texts have no shingles and link with nothing. A
-    repeated doc_id gives one row per repetition, each in the component of its text; a null doc_id links
-    with nothing and is kept. Texts of any length are used whole. Other columns are ignored.
-    """
+def _linked(docs: DataFrame, shingle_size: int, percent: int) -> tuple[_Corpus, DataFrame]:
+    """The corpus, and ``(k1, k2, rep, component, least)``: of each set its smallest doc_id and that of its component."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     feats = materialize(signatures(docs, shingle_size), "signatures")
-    packed = [f"s{k}" for k in range(VALUES // WORD)]
     classes = (
         feats.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("cid"), *(F.first(c).alias(c) for c in ["n_shingles", *packed]))
+        .agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ["n_shingles", *_PACKED]))
     )
-    classes = materialize(classes, "classes")
+    classes = materialize(classes.withColumn("cid", F.col("k1")), "classes")
+    repeats = not feats.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").isEmpty()
+    corpus = _Corpus(docs, feats, classes, repeats, shingle_size, percent)
     entries = classes.select("cid", F.explode(_index_keys()).alias("key"))
     ends = entries.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi")
     shared = materialize(entries.join(ends, "key"), "shared")
 
-    threshold = percent / 100
-    sides = classes.select("cid", "n_shingles", *packed)
+    sides = classes.select("cid", "n_shingles")
+    alike = F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent
 
     def plausible(pairs: DataFrame) -> DataFrame:
         x, y = sides.alias("x"), sides.alias("y")
         near = pairs.join(x, F.col("a") == F.col("x.cid")).join(y, F.col("b") == F.col("y.cid"))
-        return near.filter(_near(threshold)).select("a", "b")
+        return near.filter(alike).select("a", "b")
 
     stars = shared.select(F.explode(F.array("lo", "hi")).alias("c"), "cid").filter("c <> cid")
     stars = stars.select(F.least("c", "cid").alias("a"), F.greatest("c", "cid").alias("b")).distinct()
-    links = _links(plausible(stars), docs, shingle_size, percent)
+    links = corpus.links(plausible(stars))
     components = connected_components(links)
 
-    # What shares a key but no component yet: in small keys pair by pair, by signature inside the join ...
+    # What shares a key but no component yet: in small keys pair by pair ...
     placed = shared.select("key", "cid").join(components, shared.cid == components.node, "left")
     placed = placed.select("key", "cid", F.coalesce("component", "cid").alias("comp"))
     open_keys = placed.groupBy("key").agg(
@@ -264,30 +294,57 @@ def minhash_components(docs: DataFrame, shingle_size: int = 5, percent: int = 75
     rest = materialize(placed.join(open_keys, "key").join(sides, "cid"), "rest")
     small = rest.filter(F.col("members") <= SMALL_KEY)
     met = small.alias("x").join(
-        small.alias("y"),
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _near(threshold),
+        small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & alike
     )
     met = met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
-    more = _links(met, docs, shingle_size, percent)
+    more = corpus.links(met)
     # ... and in large keys block by block.
     large = rest.filter(F.col("members") > SMALL_KEY).select("key", "cid", "comp", "n_shingles")
-    blocks = _block_links(large, docs, shingle_size, percent)
+    blocks = _block_links(large, corpus)
     more = more if blocks is None else more.unionByName(blocks)
     if not more.isEmpty():
-        components = connected_components(links.unionByName(more))
+        # Links between components, so that settled groups are not joined again.
+        merged = connected_components(_between(more, components))
+        roots = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        grown = components.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+        alone = merged.join(components.select("node"), "node", "left_anti").select("node", "component")
+        components = grown.unionByName(alone)
+    found = classes.select("k1", "k2", "cid", "rep").join(components, F.col("cid") == F.col("node"), "left")
+    found = materialize(found.select("k1", "k2", "rep", F.coalesce("component", "cid").alias("component")), "found")
+    least = found.groupBy("component").agg(F.min("rep").alias("least"))
+    discard(shared, rest)
+    return corpus, found.join(least, "component")
+
+
+def _between(links: DataFrame, components: DataFrame) -> DataFrame:
+    """``links(a, b)`` with their ends replaced by their components."""
+    for end in ("a", "b"):
+        named = components.select(F.col("node").alias(end), F.col("component").alias("of"))
+        other = "b" if end == "a" else "a"
+        links = links.join(named, end, "left").select(F.coalesce("of", end).alias(end), other)
+    return links
+
+
+def minhash_components(docs: DataFrame, shingle_size: int = 5, percent: int = 75) -> DataFrame:
+    """Near-duplicate components of ``docs(doc_id, text, ...)``.
 
-    found = classes.select("k1", "k2", "cid").join(components, F.col("cid") == F.col("node"), "left")
-    found = found.select("k1", "k2", "cid", F.coalesce("component", "cid").alias("comp"))
+    Returns one row per input row: ``doc_id, n_shingles, component_id, kept, class_id``. ``component_id`` is
+    the smallest doc_id reachable over links, ``class_id`` the smallest doc_id with the same set, ``kept``
+    marks the document that stays. Null or wordless texts have no shingles and link with nothing. A
+    repeated doc_id gives one row per repetition, each in the component of its text; a null doc_id links
+    with nothing and is kept. Texts of any length are used whole. Other columns are ignored.
+    """
+    corpus, found = _linked(docs, shingle_size, percent)
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return (
-        feats.select("doc_id", "n_shingles", "k1", "k2")
+        corpus.feats.select("doc_id", "n_shingles", "k1", "k2")
         .join(found, ["k1", "k2"], "left")
         .select(
             "doc_id",
             "n_shingles",
-            F.when(linked, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"),
-            F.when(linked, F.col("comp") == F.col("doc_id")).otherwise(F.lit(True)).alias("kept"),
-            F.when(linked, F.col("cid")).otherwise(F.col("doc_id")).alias("class_id"),
+            F.when(linked, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+            F.when(linked, F.col("least") == F.col("doc_id")).otherwise(F.lit(True)).alias("kept"),
+            F.when(linked, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"),
         )
     )
 
@@ -295,11 +352,27 @@ def minhash_components(docs: DataFrame, shingle_size: int = 5, percent: int = 75
 def drop_near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with one document of each near-duplicate component; columns and other rows are unchanged.
 
-    Of rows that repeat the kept doc_id, one stays.
+    Rows without words and rows with a null doc_id link with nothing and all stay. Where a doc_id stands in
+    several rows, each counts by its own text: unlike texts stay, and of rows in one component one stays.
     """
-    kept = minhash_components(docs, shingle_size, percent).filter("kept and doc_id is not null")
-    once = Window.partitionBy("doc_id").orderBy(*[c for c, t in docs.dtypes if not t.startswith("map")])
-    stays = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-    nth = fresh(docs.columns, "_nth")
-    stays = stays.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1).drop(nth)
-    return stays.unionByName(docs.filter("doc_id is null"))
+    corpus, found = _linked(docs, shingle_size, percent)
+    rows = corpus.feats.select("doc_id", "n_shingles", "k1", "k2").filter("doc_id is not null").join(found, ["k1", "k2"], "left")
+    gone = rows.filter("n_shingles > 0 and doc_id <> least").select(F.col("doc_id").alias("_gone")).distinct()
+    out = fresh(docs.columns, "_gone")
+    gone = materialize(gone.withColumnRenamed("_gone", out), "gone")
+    same = F.col("doc_id").cast("long") == F.col(out)
+    if not corpus.repeats:
+        return docs.join(gone.hint(join_hint(gone.count())), same, "left_anti")
+    key, of, first, nth = (fresh(docs.columns, c) for c in ("_key", "_of", "_least", "_nth"))
+    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(out))
+    again = materialize(again, "again")
+    once = docs.join(gone.unionByName(again), same, "left_anti")
+    mine = docs.join(again, same, "left_semi").withColumn(key, _set_key(shingle_size)(F.col("text").cast("string")))
+    # Of the rows of a component that carry its smallest doc_id, all of them may repeat it: one stays.
+    named = found.select(F.col("k1").alias(key), F.col("component").alias(of), F.col("least").alias(first))
+    mine = mine.join(named, key, "left")
+    order = Window.partitionBy(of).orderBy(*[c for c, t in docs.dtypes if not t.startswith("map")])
+    linked = mine.filter(F.col(of).isNotNull() & (F.col("doc_id").cast("long") == F.col(first)))
+    linked = linked.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1)
+    stay = mine.filter(F.col(of).isNull()).select(docs.columns).unionByName(linked.select(docs.columns))
+    return once.unionByName(stay)

@@ -96,6 +96,31 @@ def test_minhash_corner_cases(spark):
     assert minhash_dedup.minhash_components(df.limit(0)).count() == 0
 
 
+def test_unlike_texts_of_a_repeated_id_stay(spark):
+    near = near_copies(3, 100, 1, 4)
+    rows = [(1, near[0]), (1, "another text of five words"), (1, near[0]), (2, near[1]), (2, "last words"), (3, near[2]), (1, None), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.class_id, r.component_id, r.n_shingles) for r in minhash_dedup.minhash_components(df).collect()}
+    assert (2, 2, 1, 96) in got and (2, 2, 2, 1) in got and (3, 3, 1, 96) in got
+    kept = [(r.doc_id, r.text) for r in minhash_dedup.drop_near_duplicates(df).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[1], rows[4], rows[6], rows[7]], key=str)
+
+
+def test_one_component_in_blocks_of_its_own(spark, monkeypatch):
+    """A large group of near copies meets others under shared keys, but not itself again."""
+    monkeypatch.setattr(minhash_dedup, "SMALL_KEY", 2)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    rng = random.Random(9)
+    base = near_copies(1, 100, 0, 8)[0].split()
+    texts = near_copies(1, 100, 0, 8) * 1
+    for k in range(60):
+        copy, edits = list(base), 1 if k < 40 else 6
+        for _ in range(edits):
+            copy[rng.randrange(100)] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    check(spark, list(enumerate(texts)))
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 32))
@@ -128,17 +153,29 @@ def test_embedding_recall_on_the_given_table(spark):
     assert links * 0.9 <= got <= links
 
 
-def test_embedding_blocks(spark, monkeypatch):
-    """Recall at the threshold, with lists in several blocks."""
+@pytest.mark.parametrize(("long", "n_pivots", "dimension", "clusters"), [(1000, 64, 64, 0), (10, 64, 64, 0), (10, 2048, 256, 0), (30, 2048, 64, 6), (30, 64, 64, 6)])
+def test_embedding_lists(spark, monkeypatch, long, n_pivots, dimension, clusters):
+    """Recall at the threshold, with lists that are split by a second pivot and in several blocks."""
     monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    monkeypatch.setattr(embedding_dedup, "LONG", long)
+    monkeypatch.setattr(embedding_dedup, "pivots_for", lambda n: n_pivots)
     rng = np.random.default_rng(6)
-    a = rng.normal(size=(300, 64))
+    a = rng.normal(size=(300, dimension))
+    if clusters:
+        a = rng.normal(size=(clusters, dimension))[rng.integers(0, clusters, 300)] + 0.5 * a
     a /= np.linalg.norm(a, axis=1)[:, None]
-    noise = rng.normal(size=(300, 64))
+    noise = rng.normal(size=(300, dimension))
     noise -= (noise * a).sum(1)[:, None] * a
     noise /= np.linalg.norm(noise, axis=1)[:, None]
     cosine = 0.955
     b = cosine * a + np.sqrt(1 - cosine**2) * noise
-    rows = [(k, [float(q) for q in v]) for k, v in enumerate(np.concatenate([a, b]))]
-    got = embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    assert sum(r.n_links for r in got.collect()) >= 0.9 * 600
+    x = np.concatenate([a, b])
+    rows = [(k, [float(q) for q in v]) for k, v in enumerate(x)]
+    got = embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    links = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    assert 0.9 * links.sum() <= sum(r.n_links for r in got) <= links.sum()
+    assert all(r.n_links <= links[r.vec_id].sum() for r in got)
+
+
+def test_number_of_pivots():
+    assert [embedding_dedup.pivots_for(n) for n in (0, 10_000, 51_200, 204_800, 10**9)] == [64, 128, 512, 2048, 32768]
