@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         ways = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))
         both = edges.select(F.explode(ways).alias("way")).select("way.*")
         first = both.groupBy("node").agg(F.min(place("near")).alias("first"))
-        step = first.select("node", F.least("first", place("node"))["node"].alias("via"))
+        # A table: rows that join one hub are then a skewed partition that Spark can split.
+        step = materialize(first.select("node", F.least("first", place("node"))["node"].alias("via")), "step")
         jump = step.select(F.col("node").alias("via"), F.col("via").alias("to"))
         joined = materialize(step.join(jump, "via").select("node", "to"), "joined")
         rounds.append(joined)
@@ -40,7 +41,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         ends = edges.join(left, "a").join(right, "b")
         ends = ends.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
         rest = materialize(ends.filter("a <> b").distinct(), "edges")
-        discard(edges)
+        discard(edges, step)
         edges = rest
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -50,7 +51,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         later = roots.select(F.col("node").alias("to"), "root")
         roots = joined.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
     roots = materialize(roots, "roots")
-    least = roots.groupBy("root").agg(F.min("node").alias("component"))
+    least = materialize(roots.groupBy("root").agg(F.min("node").alias("component")), "least")
     components = materialize(roots.join(least, "root").select("node", "component"), "components")
-    discard(edges, roots, *rounds)
+    discard(edges, roots, least, *rounds)
     return components
