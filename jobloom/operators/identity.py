@@ -8,15 +8,17 @@ from pyspark.sql.window import Window
 
 from jobloom.functions.links import canonicalize_url, content_hash
 from jobloom.operators.components import connected_components
+from jobloom.sources.scratch import materialize
 
 
 def resolve_identity(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Add ``job_id`` of the existing row with the same URL, else with the same fingerprint, and a conflict flag.
 
-    Two equi joins; ``identity_conflict`` marks rows whose URL and fingerprint belong to two postings.
+    Two equi joins; ``identity_conflict`` marks rows whose URL and fingerprint belong to two postings. Of stored
+    rows with the same URL or fingerprint the smallest ``job_id`` counts, so that an incoming row stays one row.
     """
-    by_url = existing.select("canonical_url", F.col("job_id").alias("_by_url"))
-    by_print = existing.select("fingerprint", F.col("job_id").alias("_by_print"))
+    by_url = existing.groupBy("canonical_url").agg(F.min("job_id").alias("_by_url"))
+    by_print = existing.groupBy("fingerprint").agg(F.min("job_id").alias("_by_print"))
     joined = incoming.join(by_url, "canonical_url", "left").join(by_print, "fingerprint", "left")
     return joined.select(
         *incoming.columns,
@@ -29,7 +31,8 @@ def identity_components(rows: DataFrame) -> DataFrame:
     """Add ``identity``: the smallest ``seq`` reachable over equal URLs or equal fingerprints."""
     edges = []
     for key in ("canonical_url", "fingerprint"):
-        first = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("a"))
+        # A table: the rows of a hot key are then a skewed partition that Spark can split.
+        first = materialize(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("a")), "first")
         edges.append(rows.join(first, key).select("a", F.col("seq").alias("b")))
     found = connected_components(edges[0].unionByName(edges[1]))
     joined = rows.join(found, rows.seq == found.node, "left")
@@ -78,10 +81,8 @@ def snapshots(versions: DataFrame, identity: str = "identity", order: str = "seq
     line = Window.partitionBy(identity).orderBy(order)
     before = {f"_{c}": F.lag(c).over(line) for c in [*fields, "content_hash"]}
     changed = filled.withColumns(before).filter("_content_hash is not null and _content_hash <> content_hash")
-    once = Window.partitionBy(identity, "content_hash").orderBy(order)
     rows = changed.select(identity, F.col(order).alias("replaced_at"), *[F.col(f"_{c}").alias(c) for c in [*fields, "content_hash"]])
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(identity, "content_hash").orderBy("replaced_at")))
-    del once
     return rows.filter("_n = 1").drop("_n")
 
 
@@ -100,7 +101,7 @@ def mark_missing(jobs: DataFrame, seen: DataFrame, source_id: int) -> DataFrame:
 
 def dedup_run(rows: DataFrame, key: str = "job_id", order: str = "seq") -> DataFrame:
     """One row per posting: the position of the first, the values of the last."""
-    last = Window.partitionBy(key).orderBy(F.col(order).desc())
-    whole = Window.partitionBy(key)
-    out = rows.withColumn("_n", F.row_number().over(last)).withColumn("position", F.min(order).over(whole))
-    return out.filter("_n = 1").drop("_n")
+    others = [c for c in rows.columns if c not in (key, order)]
+    last = F.max_by(F.struct(*[F.col(c) for c in others]), order).alias("_last")
+    merged = rows.groupBy(key).agg(F.max(order).alias(order), F.min(order).alias("position"), last)
+    return merged.select(*[f"_last.{c}" if c in others else c for c in rows.columns], "position")
