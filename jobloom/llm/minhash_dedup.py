@@ -216,7 +216,7 @@ def _block_links(large: DataFrame, corpus: _Corpus) -> DataFrame | None:
     """
     if large.isEmpty():
         return None
-    centre = large.groupBy("key").agg(F.min("cid").alias("centre"))
+    centre = materialize(large.groupBy("key").agg(F.min("cid").alias("centre")), "centre")
     family = connected_components(large.join(centre, "key").selectExpr("centre as a", "cid as b"))
     members = large.select("cid", "comp", "n_shingles").distinct().join(family, F.col("cid") == F.col("node"))
     band = F.floor(F.log("n_shingles") / -np.log(corpus.percent / 100)).cast("int")
@@ -268,7 +268,9 @@ def _linked(docs: DataFrame, shingle_size: int, percent: int) -> tuple[_Corpus,
     repeats = not feats.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").isEmpty()
     corpus = _Corpus(docs, feats, classes, repeats, shingle_size, percent)
     entries = classes.select("cid", F.explode(_index_keys()).alias("key"))
+    # What is counted by key is written first: a hot key is then a skewed partition of the join, which Spark can split.
     ends = entries.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi")
+    ends = materialize(ends, "ends")
     shared = materialize(entries.join(ends, "key"), "shared")
 
     sides = classes.select("cid", "n_shingles")
@@ -286,11 +288,11 @@ def _linked(docs: DataFrame, shingle_size: int, percent: int) -> tuple[_Corpus,
 
     # What shares a key but no component yet: in small keys pair by pair ...
     placed = shared.select("key", "cid").join(components, shared.cid == components.node, "left")
-    placed = placed.select("key", "cid", F.coalesce("component", "cid").alias("comp"))
+    placed = materialize(placed.select("key", "cid", F.coalesce("component", "cid").alias("comp")), "placed")
     open_keys = placed.groupBy("key").agg(
         F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("members")
     )
-    open_keys = open_keys.filter("p < q").select("key", "members")
+    open_keys = materialize(open_keys.filter("p < q").select("key", "members"), "open-keys")
     rest = materialize(placed.join(open_keys, "key").join(sides, "cid"), "rest")
     small = rest.filter(F.col("members") <= SMALL_KEY)
     met = small.alias("x").join(
@@ -311,8 +313,8 @@ def _linked(docs: DataFrame, shingle_size: int, percent: int) -> tuple[_Corpus,
         components = grown.unionByName(alone)
     found = classes.select("k1", "k2", "cid", "rep").join(components, F.col("cid") == F.col("node"), "left")
     found = materialize(found.select("k1", "k2", "rep", F.coalesce("component", "cid").alias("component")), "found")
-    least = found.groupBy("component").agg(F.min("rep").alias("least"))
-    discard(shared, rest)
+    least = materialize(found.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    discard(ends, shared, placed, open_keys, rest)
     return corpus, found.join(least, "component")
 
 
