@@ -3,7 +3,9 @@
 A tree builder reads tags with the implied ones (``li``, ``p``, ``td`` and the like end by themselves, a cell
 makes its row and a row its table), drops what a browser does not show, and renders elements as they
 close: blocks stand on their own lines, paragraphs and headings apart from each other, list items carry
-their marker and indentation, and table cells are padded to aligned columns. ``pre`` keeps its white space.
+their marker and indentation, and table cells are padded to aligned columns, which spans of columns and rows
+keep. ``pre`` keeps its white space. Hidden is what its tag, its ``hidden`` or ``style`` attribute or a rule of
+the page's ``<style>`` elements hides; rules count if they select by one tag, by classes or by an id.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,26 +60,163 @@ BREAKOUT = HEADINGS | frozenset(
     "ruby s small span strong strike sub sup table tt u ul var".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/$")  # the slash is part of the value
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: An attribute before its value: name, and whether a value follows.
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*(=)\s*)?")
+_VALUE = re.compile(r"[^\s>]*")
+_COMMENT_END = re.compile("--!?>")
+_GAP = re.compile(r"[\s/]*")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
-_INVISIBLE = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)$")
+#: Rows and columns that a cell may span (fixed by the HTML standard).
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
+class Tag(NamedTuple):
+    """A start tag (``closes``: an end tag) that ends before ``end``."""
+
+    name: str
+    closes: bool
+    attributes: dict[str, str]
+    alone: bool  #: whether it ends in a slash
+    end: int
+
+
+def read_tag(html: str, at: int) -> Tag | None:
+    """The tag whose name begins at ``at``; None if the page ends within it. Every character is read once."""
+    closes = html[at] == "/"
+    name = _NAME.match(html, at + closes)
+    at, attributes, n = name.end(), {}, len(html)
+    while True:
+        m = _ATTRIBUTE.match(html, at)
+        if m is None:
+            gap = _GAP.match(html, at).end()
+            return None if gap >= n else Tag(name[0].lower(), closes, attributes, gap > at and html[gap - 1] == "/", gap + 1)
+        at, value = m.end(), ""
+        if m[2]:
+            quote = html[at : at + 1]
+            if quote and quote in "\"'":
+                close = html.find(quote, at + 1)
+                if close < 0:
+                    return None
+                value, at = html[at + 1 : close], close + 1
+            else:
+                unquoted = _VALUE.match(html, at)
+                value, at = unquoted[0], unquoted.end()
+        attributes.setdefault(m[1].lower(), unescape(value) if "&" in value else value)
+
+
+def scan(html: str) -> Iterator[str | Tag]:
+    """Text and tags of a page. After a start tag of ``RAW`` the caller may send where the scan goes on."""
+    at, n = 0, len(html)
+    while at < n:
+        lt = html.find("<", at)
+        if lt < 0:
+            yield html[at:]
+            return
+        if lt > at:
+            yield html[at:lt]
+        follows = html[lt + 1 : lt + 2]
+        if follows.isascii() and (follows.isalpha() or (follows == "/" and html[lt + 2 : lt + 3].isascii() and html[lt + 2 : lt + 3].isalpha())):
+            tag = read_tag(html, lt + 1)
+            if tag is None:
+                return
+            moved = yield tag
+            at = tag.end if moved is None else moved
+        elif follows in ("!", "?", "/"):
+            if html.startswith("<!--", lt):
+                if html.startswith((">", "->"), lt + 4):
+                    at = html.index(">", lt + 4) + 1
+                    continue
+                end = _COMMENT_END.search(html, lt + 4)
+                at = n if end is None else end.end()
+            else:
+                end = html.find(">", lt + 1)
+                at = n if end < 0 else end + 1
+        else:
+            yield "<"
+            at = lt + 1
+
+
+def raw_end(html: str, at: int, tag: str) -> tuple[int, int]:
+    """Where the content of a raw element ends, and where its end tag does."""
+    close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+    if close is None:
+        return len(html), len(html)
+    found = read_tag(html, close.start() + 1)
+    return close.start(), len(html) if found is None else found.end
+
+
+class Rule(NamedTuple):
+    """A style rule that shows or hides: None leaves it to other rules."""
+
+    weight: tuple[int, int, int]
+    tag: str | None
+    classes: frozenset[str]
+    id: str | None
+    gone: bool | None
+    dim: bool | None
+
+
+def asked(declarations: str) -> tuple[bool | None, bool | None]:
+    """Whether declarations take an element out, and whether they make it invisible."""
+    display, visibility = _DISPLAY.findall(declarations), _VISIBILITY.findall(declarations)
+    return (display[-1].lower() == "none" if display else None), (visibility[-1].lower() != "visible" if visibility else None)
+
+
+def style_rules(css: str) -> list[Rule]:
+    """Rules of a style sheet that show or hide, weakest first; blocks of ``@media`` count for screens and all."""
+    rules: list[Rule] = []
+    css = _COMMENT.sub(" ", css)
+    at, inside = 0, [True]
+    while (opened := css.find("{", at)) >= 0:
+        ended = css.find("}", at)
+        if 0 <= ended < opened:
+            at = ended + 1
+            if len(inside) > 1:
+                inside.pop()
+            continue
+        head = css[at:opened].rpartition(";")[2].strip()
+        if head.startswith("@"):
+            media = head.lower()
+            inside.append(inside[-1] and media.startswith("@media") and ("screen" in media or "all" in media) and "not" not in media)
+            at = opened + 1
+            continue
+        close = css.find("}", opened)
+        body, at = css[opened + 1 : close if close >= 0 else len(css)], close + 1 if close >= 0 else len(css)
+        gone, dim = asked(body)
+        if not inside[-1] or (gone is None and dim is None):
+            continue
+        for selector in head.split(","):
+            m = _SELECTOR.match(selector.strip())
+            if m is None or not m[0]:
+                continue
+            classes = frozenset(re.findall(r"\.([\w-]+)", m[2]))
+            ids = re.findall(r"#([\w-]+)", m[2])
+            tag = m[1].lower() if m[1] and m[1] != "*" else None
+            rules.append(Rule((len(ids), len(classes), tag is not None), tag, classes, ids[0] if ids else None, gone, dim))
+    return sorted(rules, key=lambda rule: rule.weight)
+
+
+class Cell(NamedTuple):
+    text: str
+    span: int  #: columns
+    down: int  #: rows; 0 for the rest of its group
 
 
 class Element:
-    __slots__ = ("tag", "out", "hides", "dims", "gone", "dim", "pre", "rows", "cells", "count", "span")
+    __slots__ = ("tag", "out", "hides", "dims", "gone", "dim", "pre", "rows", "cells", "count", "span", "down")
 
     def __init__(self, tag: str, out: list, hides: bool, dims: bool | None, pre: bool):
         self.tag, self.out, self.pre = tag, out, pre
         self.hides, self.dims = hides, dims  # what the element asks for itself
         self.gone, self.dim = hides, bool(dims)
-        self.rows: list[list[tuple[str, int]]] | None = None
-        self.cells: list[tuple[str, int]] | None = None
-        self.count, self.span = 0, 1
+        self.rows: list[list[Cell] | None] | None = None  # None: a group of rows ends
+        self.cells: list[Cell] | None = None
+        self.count, self.span, self.down = 0, 1, 1
 
 
 def flow(parts: list) -> str:
@@ -119,26 +259,44 @@ def width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def grid(rows: list[list[tuple[str, int]]]) -> str:
-    """Rows of (text, columns spanned) with cells padded to aligned columns, two blanks apart."""
-    wide: Counter[int] = Counter()
+def grid(rows: list[list[Cell] | None]) -> str:
+    """Rows of cells padded to aligned columns, two blanks apart; a cell stands in the first of its rows."""
+    placed: list[list[tuple[int, Cell]]] = []
+    taken: dict[int, float] = {}  # column -> rows for which a cell from above holds it
     for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                wide[at] = max([wide[at], *map(width, text.split("\n"))])
-            at += span
+        if row is None:
+            taken = {}
+            continue
+        here, at, held = [], 0, dict(taken)
+        for cell in row:
+            while at in taken:
+                at += 1
+            here.append((at, cell))
+            if cell.down != 1:
+                held |= dict.fromkeys(range(at, at + cell.span), cell.down or float("inf"))
+            at += cell.span
+        taken = {column: left - 1 for column, left in held.items() if left > 1}
+        placed.append(here)
+    wide: Counter[int] = Counter()
+    for row in placed:
+        for at, cell in row:
+            if cell.span == 1:
+                wide[at] = max([wide[at], *map(width, cell.text.split("\n"))])
+    before = [0]  # where a column begins
+    for column in range(max(wide, default=-1) + 1):
+        before.append(before[-1] + wide[column] + 2)
     lines: list[str] = []
-    for row in rows:
-        cells = [text.split("\n") for text, _ in row]
-        for k in range(max(map(len, cells), default=0)):
-            line, at = "", 0
-            for cell, (_, span) in zip(cells, row, strict=True):
-                text = cell[k] if k < len(cell) else ""
-                room = sum(wide[c] for c in range(at, at + span)) + 2 * (span - 1)
-                line += text + " " * (room - width(text) + 2)
-                at += span
-            if line.strip():
+    for row in placed:
+        cells = [(at, cell.text.split("\n")) for at, cell in row]
+        for k in range(max((len(text) for _, text in cells), default=0)):
+            line, reached = "", 0
+            for at, text in cells:
+                if k < len(text) and text[k]:
+                    begin = before[at] if at < len(before) else before[-1]
+                    begin = max(begin, reached + 2 if reached else 0)
+                    line += " " * (begin - reached) + text[k]
+                    reached = begin + width(text[k])
+            if line:
                 lines.append(line.rstrip())
     return "\n".join(lines)
 
@@ -146,31 +304,59 @@ def grid(rows: list[list[tuple[str, int]]]) -> str:
 class Page:
     """The open elements of a page; ``text()`` is what it shows."""
 
-    def __init__(self) -> None:
+    def __init__(self, rules: list[Rule] | None = None) -> None:
         self.root = Element("#root", [], False, None, False)
         self.open = [self.root]
         self.tags: Counter[str] = Counter()
+        self.title: str | None = None
+        self.by_tag: dict[str, list[int]] = {}
+        self.by_class: dict[str, list[int]] = {}
+        self.by_id: dict[str, list[int]] = {}
+        self.rules = rules or []
+        for k, rule in enumerate(self.rules):
+            if rule.id is not None:
+                self.by_id.setdefault(rule.id, []).append(k)
+            elif rule.classes:
+                self.by_class.setdefault(min(rule.classes), []).append(k)
+            else:
+                self.by_tag.setdefault(rule.tag or "*", []).append(k)
 
     def feed(self, html: str) -> None:
-        at, n = 0, len(html)
-        while at < n:
-            m = _TOKEN.search(html, at)
-            if m is None:
-                self.characters(html[at:])
+        tokens = scan(html)
+        token = next(tokens, None)
+        while token is not None:
+            moved = None
+            if isinstance(token, str):
+                self.characters(token)
+            elif token.closes:
+                self.end(token.name)
+            elif self.start(token.name, token.attributes, token.alone) and token.name in RAW:
+                end, moved = raw_end(html, token.end, token.name)
+                content = html[token.end : end]
+                if token.name == "title" and self.title is None:
+                    self.title = _SPACE.sub(" ", unescape(content)).strip()
+                self.characters(content, raw=token.name != "textarea")
+                self.end(token.name)
+            try:
+                token = tokens.send(moved)
+            except StopIteration:
                 return
-            if m.start() > at:
-                self.characters(html[at : m.start()])
-            at = m.end()
-            if m[2]:
-                tag = m[2].lower()
-                if self.start(tag, m[3]) and tag in RAW:
-                    close = re.compile(f"</{tag}\\s*>", re.I).search(html, at)
-                    end = close.start() if close else n
-                    self.characters(html[at:end], raw=tag != "textarea")
-                    self.end(tag)
-                    at = close.end() if close else n
-            elif m[1]:
-                self.end(m[1].lower())
+
+    def styled(self, tag: str, attributes: dict[str, str]) -> tuple[bool | None, bool | None]:
+        """What the style sheets and the element's own style ask for."""
+        gone = dim = None
+        if self.rules:
+            classes = set(attributes.get("class", "").split())
+            found = [*self.by_tag.get(tag, ()), *self.by_tag.get("*", ()), *self.by_id.get(attributes.get("id", ""), ())]
+            found += [k for name in classes for k in self.by_class.get(name, ())]
+            for k in sorted(found):
+                rule = self.rules[k]
+                if rule.classes <= classes and rule.tag in (None, tag):
+                    gone, dim = gone if rule.gone is None else rule.gone, dim if rule.dim is None else rule.dim
+        if style := attributes.get("style"):
+            own = asked(style)
+            gone, dim = gone if own[0] is None else own[0], dim if own[1] is None else own[1]
+        return gone, dim
 
     def characters(self, text: str, raw: bool = False) -> None:
         top = self.open[-1]
@@ -199,8 +385,9 @@ class Page:
             return False
         return next((e.tag in FOREIGN for e in reversed(self.open) if e.tag in FOREIGN or e.tag in INTEGRATION), False)
 
-    def start(self, tag: str, attributes: str) -> bool:
+    def start(self, tag: str, attributes: dict[str, str] | None = None, alone: bool = False) -> bool:
         """Open an element; False if the tag leaves none open or its content is no raw text."""
+        attributes = attributes or {}
         if tag == "head" and self.open[-1].tag not in ("#root", "html"):
             return False
         if tag not in IN_HEAD and self.tags["head"]:
@@ -209,7 +396,7 @@ class Page:
         while within and tag in BREAKOUT:
             self.close_upto(FOREIGN, frozenset())
             within = self.foreign()
-        if (within or tag in FOREIGN) and attributes.endswith("/") and not _UNQUOTED.search(attributes):
+        if (within or tag in FOREIGN) and alone:
             return False
         if tag == "a" and self.tags["a"]:
             self.end("a")
@@ -220,19 +407,17 @@ class Page:
         if tag in BLOCK and self.tags["p"] and tag not in ("html", "body", "option", "optgroup"):
             self.close_upto({"p"}, SCOPE)
         if tag in ("td", "th") and self.open[-1].tag != "tr":
-            self.start("tr", "")
+            self.start("tr")
         if tag == "tr" and not self.tags["table"]:
-            self.start("table", "")
+            self.start("table")
         top = self.open[-1]
-        hides, dims, span = tag in HIDDEN, None, 1
-        if attributes and not attributes.isspace():
-            found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-            style = found.get("style", "")
-            hides |= "hidden" in found or bool(style and _UNSEEN.search(style))
-            if style and (seen := _INVISIBLE.search(style)):
-                dims = seen[1].lower() != "visible"
-            if tag in ("td", "th") and found.get("colspan", "").strip().isdigit():
-                span = min(1000, max(1, int(found["colspan"])))
+        hides, dims, span, down = tag in HIDDEN, None, 1, 1
+        if attributes or self.rules:
+            unseen, dims = self.styled(tag, attributes)
+            hides |= unseen if unseen is not None else "hidden" in attributes
+            if tag in ("td", "th"):
+                span = _spanned(attributes.get("colspan"), MOST_COLUMNS) or 1
+                down = _spanned(attributes.get("rowspan"), MOST_ROWS)
         gone = top.gone or hides
         if tag in VOID:
             if not gone and tag == "br":
@@ -245,7 +430,7 @@ class Page:
         out = [] if tag in OWN else top.out
         new = Element(tag, out, hides, dims, (top.pre or tag in ("pre", "textarea")))
         new.gone, new.dim = gone, top.dim if dims is None else dims
-        new.span = span
+        new.span, new.down = span, down
         if tag == "table":
             new.rows = []
         elif tag == "tr":
@@ -276,7 +461,7 @@ class Page:
 
     def end(self, tag: str) -> None:
         if tag == "br":
-            self.start("br", "")
+            self.start("br")
             return
         if not self.tags[tag]:
             if tag == "p" and not self.open[-1].gone:
@@ -317,6 +502,10 @@ class Page:
         tag = done.tag
         if done.gone:
             return
+        if tag in ("thead", "tbody", "tfoot"):
+            table = next((e for e in reversed(self.open) if e.rows is not None), None)
+            if table is not None:
+                table.rows.append(None)
         if tag not in OWN:
             self.apart(tag, up.out)
         elif tag == "li":
@@ -325,7 +514,7 @@ class Page:
             body = flow(done.out)
             up.out += [1, (marker + body.replace("\n", "\n" + " " * len(marker)) if body else "",), 1]
         elif tag in ("td", "th"):
-            (up.cells if up.cells is not None else []).append((flow(done.out), done.span))
+            (up.cells if up.cells is not None else []).append(Cell(flow(done.out), done.span, done.down))
         elif tag == "tr":
             table = next((e for e in reversed(self.open) if e.rows is not None), None)
             if table is not None and done.cells:
@@ -336,7 +525,7 @@ class Page:
             up.out += [2, ("  " + body.replace("\n", "\n  ") if body else "",), 2]
         else:
             up.out += [2, *done.out, 1]
-            if done.rows:
+            if any(done.rows):
                 up.out += [(grid(done.rows),)]
             up.out += [2]
 
@@ -346,29 +535,49 @@ class Page:
         return flow(self.root.out)
 
 
-def page_text(html: str | None) -> str:
-    """The visible text of a page; null and empty pages show nothing."""
+def _spanned(value: str | None, most: int) -> int:
+    value = (value or "").strip()
+    return min(most, int(value[:9])) if value.isascii() and value.isdigit() else 1
+
+
+def read_page(html: str | None) -> tuple[str | None, str]:
+    """The title and the visible text of a page; null and empty pages have none and show nothing."""
     if not html:
-        return ""
-    page = Page()
+        return None, ""
+    rules: list[Rule] = []
+    if re.search("<style", html, re.I):
+        tokens, css = scan(html), []
+        token = next(tokens, None)
+        while token is not None:
+            moved = None
+            if isinstance(token, Tag) and not token.closes and token.name in RAW:
+                end, moved = raw_end(html, token.end, token.name)
+                if token.name == "style":
+                    css.append(html[token.end : end])
+            try:
+                token = tokens.send(moved)
+            except StopIteration:
+                break
+        rules = style_rules("\n".join(css))
+    page = Page(rules)
     page.feed(html)
-    return page.text()
+    text = page.text()
+    return page.title, text
 
 
-def _title(html: str | None) -> str | None:
-    m = re.search(r"<title[^>]*>(.*?)</title", html or "", re.I | re.S)
-    return _SPACE.sub(" ", unescape(m[1])).strip() if m else None
+def page_text(html: str | None) -> str:
+    return read_page(html)[1]
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (whole.slice(at, 200) for whole in batches for at in range(0, len(whole), 200)):
-        pages = batch.column(2).to_pylist()
+        pages = [read_page(html) for html in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 batch.column(1),
-                pa.array([_title(html) for html in pages], pa.string()),
-                pa.array([page_text(html) for html in pages], pa.string()),
+                pa.array([title for title, _ in pages], pa.string()),
+                pa.array([text for _, text in pages], pa.string()),
             ],
             names=["page_id", "url", "title", "text"],
         )
