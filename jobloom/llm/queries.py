@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,10 +59,19 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_drawn_keys: dict[str, str] = {}
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    """The key that the session names in ``spark.jobloom.surrogateKey``, or one drawn for this application."""
+    application = spark.sparkContext.applicationId
+    return spark.conf.get("spark.jobloom.surrogateKey", None) or _drawn_keys.setdefault(application, secrets.token_hex(16))
+
+
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobloom.llm.surrogates import replace_personal_data
 
-    return replace_personal_data(table(spark, sf_dir, "documents"), found_column="n_replaced")
+    return replace_personal_data(table(spark, sf_dir, "documents"), surrogate_key(spark), found_column="n_replaced")
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
