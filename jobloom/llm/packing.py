@@ -210,32 +210,35 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     unpacker = zstandard.ZstdDecompressor()
-    sequences: list[int] = []
-    ids: list[list[np.ndarray]] = []
-    pieces: list[list[dict]] = []
 
-    def done() -> pa.RecordBatch:
+    def whole(part: pa.Table) -> pa.RecordBatch:
+        part = part.combine_chunks()
+        of = {name: part.column(name).combine_chunks() for name in part.column_names}
+        number, length = of["sequence_id"].to_numpy(), of["length"].to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+        ends = np.concatenate(([0], np.cumsum(length)))
+        begins = np.append(first, len(number))
+        packed = map(unpacker.decompress, of["ids"].to_pylist())
+        ids = [np.frombuffer(data, f"<u{len(data) // n}").astype(np.int32) for data, n in zip(packed, length.tolist(), strict=True)]
+        pieces = pa.StructArray.from_arrays([of[name] for name, _ in _PIECE], names=[name for name, _ in _PIECE])
         arrays = [
-            pa.array(sequences, pa.int64()),
-            pa.array([np.concatenate(own) for own in ids], pa.list_(pa.int32())),
-            pa.array(pieces, pa.list_(pa.struct(_PIECE))),
+            pa.array(number[first]),
+            pa.ListArray.from_arrays(pa.array(ends[begins], pa.int32()), pa.array(np.concatenate(ids))),
+            pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pieces),
         ]
-        for held in (sequences, ids, pieces):
-            held.clear()
         return pa.RecordBatch.from_arrays(arrays, names=["sequence_id", "ids", "pieces"])
 
-    for batch in batches:
-        for row in (row for at in range(0, len(batch), 200) for row in batch.slice(at, 200).to_pylist()):
-            if not sequences or sequences[-1] != row["sequence_id"]:
-                if len(sequences) >= 200:
-                    yield done()
-                sequences.append(row["sequence_id"])
-                ids.append([])
-                pieces.append([])
-            data = unpacker.decompress(row["ids"])
-            ids[-1].append(np.frombuffer(data, f"<u{len(data) // row['length']}").astype(np.int32))
-            pieces[-1].append({name: row[name] for name, _ in _PIECE})
-    yield done()
+    held: pa.Table | None = None  # the pieces of the last sequence, which may go on in the next batch
+    for batch in (full.slice(at, 500) for full in batches for at in range(0, len(full), 500)):
+        part = pa.Table.from_batches([batch])
+        part = part if held is None else pa.concat_tables([held, part])
+        number = part.column("sequence_id").to_numpy()
+        last = int(np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))[-1])
+        if last:
+            yield whole(part.slice(0, last))
+        held = part.slice(last)
+    if held is not None:
+        yield whole(held)
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
