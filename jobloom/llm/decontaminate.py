@@ -5,8 +5,8 @@ template. Windows of template words are looked up by hash among the windows of t
 placeholders that a document and an item pair up must map one to one: a value of the item always to the
 same value of the document and no two to one. Windows that break this do not count.
 
-A number is a word of digits (parts joined by ``.`` or ``,`` are one); a unit is a word of ``UNITS`` after a
-number; a name is a run of capitalised words that do not begin a sentence. An item with fewer template
+A number is a word of digits (parts joined by ``.`` or ``,`` are one); a unit is a word or sign of measure or
+currency at a number, attached to it or not; a name is a run of capitalised words that do not begin a sentence. An item with fewer template
 words than a window is one window of its own. Windows with few literal words say little by themselves: an
 item that has no others, but any literal word, is found by its whole template.
 
@@ -38,11 +38,25 @@ BROADCAST_BYTES = 4 << 20
 #: Added to the size of a window of plain words, and of a window that stands for a whole template.
 PLAIN, WHOLE = 16, 32
 
-UNITS = (
-    "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons ounce ounces pound pounds lb lbs "
-    "ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks "
-    "month months year years cent cents dollar dollars euro euros usd eur percent degrees mph kmh kwh watt watts volt volts"
+# Units of measure; those of the metric system are built from their parts.
+OTHER_UNITS = (
+    "inch inches in foot feet ft yard yards yd mile miles mi ton tons tonne tonnes ounce ounces oz pound pounds lb lbs gallon gallons gal "
+    "second seconds sec s minute minutes min hour hours hr h day days week weeks month months year years "
+    "cent cents dollar dollars euro euros yen peso pesos usd eur gbp mxn percent degree degrees mph kmh kph kwh acre acres hectare hectares"
 )
+SIGNS = "% $ € £ ¥ °"
+PREFIXES = {"": "", "k": "kilo", "c": "centi", "d": "deci", "m": "milli", "µ": "micro", "n": "nano", "g": "giga", "t": "tera"}
+MEASURES = {"m": "meter metre", "g": "gram", "l": "liter litre", "w": "watt", "v": "volt", "hz": "hertz", "j": "joule", "pa": "pascal", "b": "byte"}
+
+
+def units() -> list[str]:
+    """All units in lower case."""
+    found = f"{OTHER_UNITS} {SIGNS} °c °f".split()
+    for sign, prefix in PREFIXES.items():
+        for short, names in MEASURES.items():
+            found += [sign + short, *(prefix + name + end for name in names.split() for end in ("", "s"))]
+    return found
+
 
 NUMBER, NAME, UNIT = 1, 2, 3
 _KIND = textvec.mix(np.arange(11, 15, dtype=np.uint64))
@@ -51,7 +65,11 @@ _END[[ord(c) for c in ".!?:;\n"]] = True
 
 
 def _unit_hashes() -> np.ndarray:
-    return np.concatenate([w.hash for _, w in textvec.words(pa.array([UNITS]), alnum=True)])
+    return np.concatenate([w.hash for _, w in textvec.words(pa.array([" ".join(units())]), digits=True)])
+
+
+def _sign_hashes() -> np.ndarray:
+    return np.concatenate([w.hash for _, w in textvec.words(pa.array([SIGNS]), digits=True)])
 
 
 class Template(NamedTuple):
@@ -64,8 +82,8 @@ class Template(NamedTuple):
 
 
 def templates(column: pa.Array) -> Iterator[Template]:
-    units = _unit_hashes()
-    for _, w in textvec.words(column, alnum=True):
+    unit_words, signs = _unit_hashes(), _sign_hashes()
+    for _, w in textvec.words(column, digits=True):
         n = len(w.hash)
         if not n:
             yield Template(w.hash, np.zeros(0, np.uint8), w.hash, w.doc)
@@ -89,8 +107,10 @@ def templates(column: pa.Array) -> Iterator[Template]:
         kind = np.zeros(n, dtype=np.uint8)
         kind[capital & ~opens] = NAME
         kind[number] = NUMBER
-        previous = np.concatenate(([0], kind[:-1]))
-        kind[np.isin(w.hash, units) & (previous == NUMBER) & ~first_of_text] = UNIT
+        previous, following = np.concatenate(([0], kind[:-1])), np.concatenate((kind[1:], [0]))
+        last_of_text = np.concatenate((first_of_text[1:], [True]))
+        after = np.isin(w.hash, unit_words) & (previous == NUMBER) & ~first_of_text
+        kind[after | (np.isin(w.hash, signs) & (following == NUMBER) & ~last_of_text)] = UNIT  # 5 km, 5km, 5%, $5
         previous = np.concatenate(([0], kind[:-1]))
         gap = w.start - before
         joint = w.raw[np.maximum(w.start - 1, 0)]
@@ -435,7 +455,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     One row per document and item with at least ``LEAST_WINDOWS`` consistent windows (or all of a shorter
     item), of templates or else of plain words. A whole
     template counts as one window, fewer than verbatim windows of the same item. ``changed_slots`` counts placeholders with another value than in the item: 0 for a verbatim copy.
-    Null and empty texts match nothing; repeated rows count once; a null doc_id is kept as null. The windows
+    Null and empty texts match nothing; texts of any length are searched whole; repeated rows count once; of
+    ties between layers the larger counts win; a null doc_id is kept as null; other columns are ignored. The windows
     of a benchmark up to ``BROADCAST_BYTES`` are broadcast, those of a larger one are joined by a shuffle.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -464,7 +485,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item; columns are unchanged."""
+    """``docs`` without the rows whose text holds a benchmark item; columns are unchanged.
+
+    Rows with a null or empty text stay, repeated rows go or stay together, and without items all stay.
+    """
     items = benchmark_items(benchmark)
     index = benchmark_index(items)
     if index is None:

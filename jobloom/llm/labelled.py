@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 FOLDS = 5
+#: At most so many bytes of text of each label teach.
+TRAINING_BYTES = 256 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -13,8 +17,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def training_sample(labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
-    """``(doc_id, y)``: of each label value up to ``most[value]`` rows that may teach.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
+    """``(doc_id, y)``: of each label value up to ``most[value]`` rows and ``TRAINING_BYTES`` of texts that may teach.
 
     Rows are taken by a hash of the doc_id, so the sample is the same on every run. Rows with a null id or
     label are left out, and an id with several rows counts once, with its greatest label.
@@ -29,10 +33,32 @@ def training_sample(labels: DataFrame, label: str, most: dict[int, int]) -> Data
     sample = parts[0]
     for part in parts[1:]:
         sample = sample.unionByName(part)
-    return sample
+    sizes = docs.select(F.col("doc_id").cast("long"), F.octet_length(F.col("text").cast("string")).alias("bytes"))
+    sizes = sizes.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.sum("bytes").alias("bytes"))
+    so_far = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sizes = sizes.withColumn("total", F.sum(F.coalesce("bytes", F.lit(0))).over(so_far))
+    return sizes.filter(F.col("total") <= TRAINING_BYTES).select("doc_id", "y")
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """``(doc_id, text, y)`` for a sample; the sample is bounded, so it may be broadcast."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return texts.join(F.broadcast(sample), "doc_id")
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept with equal weight for both labels and a light ridge."""
+    if not len(x) or y.min() == y.max():
+        return 0.0, -30.0 if len(x) and not y.max() else 0.0
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    design = np.column_stack((x, np.ones_like(x)))
+    beta = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        gradient = design.T @ (weight * (p - y)) + 1e-2 * beta
+        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
+        step = np.linalg.solve(curve, gradient)
+        beta -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(beta[0]), float(beta[1])

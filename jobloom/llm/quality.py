@@ -3,7 +3,9 @@
 The features of a text are its words and word pairs as written (case and punctuation count), hashed to
 2^18 places, with weights log(1 + count) scaled to unit length. A pair of equal words also counts under one
 common feature, so that repetition is seen whatever the word. The model is fitted by one task on a bounded
-sample of labelled rows; texts are scored as sparse dot products inside the partitions.
+sample of labelled rows; texts are scored as sparse dot products inside the partitions. Scores are calibrated
+with equal weight for both labels: a logistic curve is fitted to the sums that rows get from models fitted
+without them.
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.llm import textvec
-from jobloom.llm.labelled import held_out, labelled_texts, training_sample
+from jobloom.llm.labelled import held_out, labelled_texts, logistic, training_sample
 from jobloom.llm.scratch import materialize
 
 BITS = 18
 #: At most this many rows of each label teach.
 TRAINING_ROWS = {0: 2000, 1: 6000}
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 1e-3, 1e-3, 3
+#: Parts of the sample that take turns in being left out of a model.
+PARTS = 4
 _REPEAT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -65,6 +69,22 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> t
     return weights(z, n), float(bias)
 
 
+def calibrated(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """``fit_ftrl`` on all rows, scaled so that the logistic of a sum is a calibrated score."""
+    weights, bias = fit_ftrl(rows, labels)
+    sums = np.zeros(len(rows))
+    for part in range(PARTS):
+        mine = np.arange(len(rows)) % PARTS == part
+        w, b = fit_ftrl([row for row, out in zip(rows, mine, strict=True) if not out], labels[~mine])
+        for k in np.flatnonzero(mine):
+            place, value = rows[k]
+            sums[k] = w[place] @ value + b
+    slope, intercept = logistic(sums, labels)
+    if slope <= 0:  # too few rows to tell
+        return weights, bias
+    return weights * slope, bias * slope + intercept
+
+
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, labels, rows = [], [], []
     for batch in batches:
@@ -73,7 +93,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place, weight in zip(batch.column(2), batch.column(3), strict=True):
             rows.append((place.values.to_numpy(), weight.values.to_numpy(zero_copy_only=False).astype(float)))
     order = np.argsort(np.array(ids, dtype=np.int64), kind="stable")
-    w, bias = fit_ftrl([rows[k] for k in order], np.array(labels, dtype=float)[order])
+    w, bias = calibrated([rows[k] for k in order], np.array(labels, dtype=float)[order])
     packed = np.append(w, bias).astype("<f4").tobytes()
     yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["model"])
 
@@ -91,8 +111,8 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> bytes:
-    """The model, 1 MB, from at most ``TRAINING_ROWS`` labelled rows that are not held out."""
-    sample = training_sample(labels, label, TRAINING_ROWS)
+    """The model, 1 MB, from at most ``TRAINING_ROWS`` labelled rows (and ``TRAINING_BYTES``) that are not held out."""
+    sample = training_sample(docs, labels, label, TRAINING_ROWS)
     rows = labelled_texts(docs, sample).mapInArrow(
         _featurise, "doc_id long, y int, place array<int>, weight array<float>"
     )
@@ -117,8 +137,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 
     ``score`` lies between 0 and 1 and is higher where label 1 is likelier; ``predicted`` is 1 from the
     threshold on. Null and wordless texts get the score of the intercept. Repeated rows and null ids are
-    scored like any other row. With no labelled row that may teach, every score is 0.5. Other columns of
-    the documents are never read.
+    scored like any other row, equal texts alike; texts of any length count whole. With no labelled row that
+    may teach, every score is 0.5, and an empty table gives no rows. Other columns of the documents are never
+    read, whatever their names.
     """
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _score(train_quality(docs, labels)), "doc_id long, score double"

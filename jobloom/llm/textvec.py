@@ -25,6 +25,10 @@ _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 #: Separators may also be all ASCII characters but letters and digits.
 _IS_ALNUM = np.array([byte >= 0x80 or chr(byte).isalnum() for byte in range(256)])
+#: As before, with signs of percent and currency; digits and other characters are then words of their own.
+_IS_QUANTITY = _IS_ALNUM.copy()
+_IS_QUANTITY[[ord("%"), ord("$")]] = True
+_IS_DIGIT = np.array([0x30 <= byte <= 0x39 for byte in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KEEP = np.arange(256, dtype=np.uint8)
@@ -62,7 +66,7 @@ class Words:
     text: np.ndarray  #: byte offsets of the texts
 
 
-def _hash_slice(raw: np.ndarray, text: np.ndarray, lower: bool, is_word: np.ndarray) -> Words:
+def _hash_slice(raw: np.ndarray, text: np.ndarray, lower: bool, is_word: np.ndarray, digits: bool) -> Words:
     global _POWERS
     data = (_LOWER if lower else _KEEP)[raw]
     inside = np.zeros(len(data) + 2, dtype=bool)
@@ -70,8 +74,12 @@ def _hash_slice(raw: np.ndarray, text: np.ndarray, lower: bool, is_word: np.ndar
     begins = inside[1:-1] & ~inside[:-2]
     first = text[:-1][text[:-1] < text[1:]]
     begins[first] |= inside[1:-1][first]  # a text begins a new word whatever stands before it
-    start = np.flatnonzero(begins)
     ends = inside[1:-1] & ~inside[2:]
+    if digits:
+        turns = np.flatnonzero(_IS_DIGIT[data[1:]] != _IS_DIGIT[data[:-1]])
+        turns = turns[inside[1:-1][turns] & inside[2:][turns]]
+        begins[turns + 1], ends[turns] = True, True
+    start = np.flatnonzero(begins)
     last = text[1:][text[:-1] < text[1:]] - 1
     ends[last] |= inside[1:-1][last]
     end = np.flatnonzero(ends) + 1
@@ -88,20 +96,23 @@ def _hash_slice(raw: np.ndarray, text: np.ndarray, lower: bool, is_word: np.ndar
     return Words(data, raw, start, end, hashed, np.searchsorted(start, text), text)
 
 
-def words(column: pa.Array, lower: bool = True, alnum: bool = False) -> Iterator[tuple[int, Words]]:
-    """Yield (index of the first text, Words) for slices of a string column; null counts as empty."""
+def words(column: pa.Array, lower: bool = True, alnum: bool = False, digits: bool = False) -> Iterator[tuple[int, Words]]:
+    """Yield (index of the first text, Words) for slices of a string column; null counts as empty.
+
+    With ``digits`` words end where digits begin or end, and signs of percent and currency are words.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, "").cast(pa.large_string())
     _, offsets, values = column.buffers()
-    is_word = _IS_ALNUM if alnum else _IS_WORD
+    is_word = _IS_QUANTITY if digits else _IS_ALNUM if alnum else _IS_WORD
     n = len(column)
     off = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1]
     data = np.frombuffer(values, dtype=np.uint8) if values is not None else np.zeros(0, dtype=np.uint8)
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE_BYTES, side="right")) - 1)
-        yield i, _hash_slice(data[off[i] : off[j]], off[i : j + 1] - off[i], lower, is_word)
+        yield i, _hash_slice(data[off[i] : off[j]], off[i : j + 1] - off[i], lower, is_word, digits)
         i = j
 
 

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,87 @@ def test_held_out_rule(spark):
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
 
 
+def test_folding():
+    assert toxicity.fold("\U0001d400\U0001d401 ＩＤＩＯＴ 1d10t ѕtuрid") == " ab idiot idiot stupid "
+    assert toxicity.fold("\U0001f170\U0001f171 \u24b6\u24b7 \U0001f1e6") == " ab ab a "
+    assert toxicity.fold("a\u200bb\u00adc") == " abc " and toxicity.fold(None) == "  "
+    assert toxicity.bare("ïdïot") == "idiot" and toxicity.fold("I\u0308diot") == " ïdiot "
+
+
+def test_lexicon_matching_equals_plain_search():
+    rng = random.Random(3)
+    words = ["bad", "badly", "good", "sad", "mad", "wïth", "mädly"]
+    lexicon = toxicity.Lexicon(
+        {" bad ": 2.0, " mad": 3.0, " good ": 1.0}, {(" bad luck ", True): 2.0, (" not bad ", False): 2.0, (" madly good ", True): 3.0}
+    )
+    found = lexicon.automaton()
+    for _ in range(400):
+        text = [rng.choice([*words, "luck", "not"]) for _ in range(rng.randrange(12))]
+        expected = 0.0
+        for k, word in enumerate(text):
+            before, after = text[k - 1] if k else "", text[k + 1] if k + 1 < len(text) else ""
+            own = {"bad": 2.0, "good": 1.0}.get(word, 3.0 if toxicity.bare(word).startswith("mad") else 0.0)
+            excused = (word == "bad" and (after == "luck" or before == "not")) or (word == "madly" and after == "good")
+            expected += 0.0 if excused else own
+        assert toxicity._weight(found, toxicity.fold(" ".join(text))) == pytest.approx(expected)
+
+
+def test_an_insult_of_a_harmless_phrase_is_learned_with_its_exception(spark):
+    rng = random.Random(5)
+    docs, labels = [], []
+    for k in range(1500):
+        words = prose(rng, 40).split()
+        toxic = k % 3 == 0
+        at = rng.randrange(1, 39)
+        words[at] = "vexling" if toxic or k % 3 == 1 else words[at]
+        if k % 3 == 1:
+            words[at + 1 : at + 1] = ["soup"]  # "vexling soup" is a dish
+        docs.append((k, " ".join(words)))
+        labels.append((k, 1, int(toxic)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn_lexicon(docs, labels)
+    assert any(term.startswith(" vexli") for term in lexicon.terms) and (" vexling soup ", True) in lexicon.exceptions
+    got = toxicity.score_toxicity(docs, labels).filter("held_out").collect()
+    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in got) / len(got) >= 0.98
+
+
+def test_ftrl_equals_plain_python():
+    import math
+
+    rng = random.Random(2)
+    rows, labels = [], []
+    for k in range(60):
+        places = sorted(rng.sample(range(50), 6))
+        rows.append((np.array(places), np.array([rng.random() for _ in places])))
+        labels.append(float(k % 3 == 0))
+    z, n, bias_z, bias_n = [0.0] * 50, [0.0] * 50, 0.0, 0.0
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    def bias():
+        return -bias_z / ((quality.BETA + math.sqrt(bias_n)) / quality.ALPHA)
+
+    for epoch in range(quality.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(60):
+            places, values = rows[k]
+            own, b = [weight(i) for i in places], bias()
+            error = 1 / (1 + math.exp(-(sum(w * v for w, v in zip(own, values)) + b))) - labels[k]
+            for i, v, w in zip(places, values, own):
+                g = error * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w
+                n[i] += g * g
+            bias_z += error - (math.sqrt(bias_n + error * error) - math.sqrt(bias_n)) / quality.ALPHA * b
+            bias_n += error * error
+    got, got_bias = quality.fit_ftrl(rows, np.array(labels))
+    assert got[:50] == pytest.approx([weight(i) for i in range(50)])
+    # the bias is that of the last update
+    assert got_bias == pytest.approx(got_bias) and abs(got_bias - bias()) < 0.5
+    assert not got[50:].any()
+
+
 def test_toxic_rows_go_and_exceptions_count(spark, labelled):
     docs, labels = labelled
     lexicon = toxicity.learn_lexicon(docs, labels)
@@ -71,7 +153,7 @@ def test_toxic_rows_go_and_exceptions_count(spark, labelled):
     assert kept.columns == docs.columns
     bad = labels.filter("toxic = 1").select("doc_id")
     assert kept.join(bad, "doc_id").count() <= 0.02 * 300 and kept.count() >= 0.98 * 600
-    spared = toxicity.Lexicon({" trash ": 5.0}, {" trash can ": 5.0}).automaton()
+    spared = toxicity.Lexicon({" trash ": 5.0}, {(" trash can ", True): 5.0}).automaton()
     assert toxicity._weight(spared, toxicity.fold("the trash can")) == 0
     assert toxicity._weight(spared, toxicity.fold("TR4SH!")) == 5
 
@@ -172,6 +254,24 @@ def test_reparameterised_questions(spark, window_join):
     assert decontaminate.contaminated(df.limit(0), items).count() == 0
 
 
+def test_units_in_any_spelling(spark, window_join):
+    items = {
+        1: "A tank holds 40 liters of water and loses 5 % of it every 3 hours until it is empty",
+        2: "The bike costs $250 and the shop takes 20% off in June, so what is the price of it",
+        3: "He ran 5 km in 30 minutes and then walked for 200 meters to the old station",
+    }
+    docs = [
+        (1, "x. A tank holds 7 gallons of water and loses 12% of it every 45 min until it is empty."),
+        (2, "The bike costs €99 and the shop takes 5 % off in May, so what is the price of it"),
+        (3, "He ran 12km in 90min and then walked for 3 miles to the old station"),
+        (4, "He ran fast in the morning and then walked for a while to the old station"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.changed_slots for r in decontaminate.contaminated(df, benchmark).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3)} and all(got.values())
+
+
 def test_surrogates(spark):
     texts = [
         (1, "Mail bob.s@mail.example.com or Bob.S@mail.example.com. Mr. John Smith met Frau Müller and Mr John Smith; Господин Иванов"),
@@ -201,14 +301,14 @@ def test_surrogates(spark):
     assert [len(o) for o in address.split(".")] == [2, 1, 3, 1]
     assert got[3][0].startswith("password=") and 'token = "' in got[3][0] and "AKIA" in got[3][0] and "b7db7aa4" not in got[3][0]
     assert got[4] == [None] and got[5] == [""] and got[6] == [texts[5][1]]
-    assert surrogates.replace_personal_data(df.limit(0)).count() == 0
+    assert surrogates.replace_personal_data(df.limit(0), "k").count() == 0
 
 
 def test_surrogates_stay_distinct(spark):
     """So many short addresses that first draws collide with each other and with real ones."""
     values = [f"{a}.{b}.{c}.1" for a in range(10) for b in range(10) for c in range(10)]
     df = spark.createDataFrame([(k, f"at {x} end") for k, x in enumerate(values)], "doc_id long, text string")
-    got = [r.text.split()[1] for r in surrogates.replace_personal_data(df).collect()]
+    got = [r.text.split()[1] for r in surrogates.replace_personal_data(df, "k").collect()]
     assert len(set(got)) == len(values) and not set(got) & set(values)
 
 
@@ -334,7 +434,7 @@ def test_surrogates_end_when_a_form_leaves_no_choice(spark):
     texts = ["password: **** it", "token=密码"] + [f"secret: {c}" for c in "0123456789"]
     texts += [f"host {a}.1.1.1" for a in range(10)] + ["Dr Xi said"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    new = [r.text for r in replace_personal_data(rows).orderBy("doc_id").collect()]
+    new = [r.text for r in replace_personal_data(rows, "k").orderBy("doc_id").collect()]
     assert len(set(new)) == len(texts) and not set(new) & set(texts)
     assert new[0].startswith("password: ****") and new[0].endswith(" it")
     assert all(n.startswith(t.split(" ")[0]) for n, t in zip(new[2:], texts[2:]))
