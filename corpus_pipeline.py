@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from jobloom.llm.decontaminate import drop_contaminated
 from jobloom.llm.minhash_dedup import drop_near_duplicates
 from jobloom.llm.packing import pack
-from jobloom.llm.queries import table
+from jobloom.llm.queries import surrogate_key, table
 from jobloom.llm.scratch import materialize
 from jobloom.llm.surrogates import replace_personal_data
 from jobloom.llm.toxicity import drop_toxic, learn_lexicon
@@ -37,8 +37,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """All documents, with personal data replaced by surrogates; ``n_chars`` follows the new text."""
     from pyspark.sql import functions as F
 
-    replaced = replace_personal_data(docs)
-    changed = F.length("text").cast("long")
+    replaced = replace_personal_data(docs, surrogate_key(spark))
+    changed = F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))
     return replaced.withColumn("n_chars", changed) if "n_chars" in docs.columns else replaced
 
 
