@@ -1,96 +1,121 @@
-"""Career-page cards in HTML."""
+"""Career-page cards in HTML, by selectors over SQL expressions.
 
-from __future__ import annotations
+A page is split where a card opens; a card is split where a start tag stands, and each part (a tag with the
+text after it) is matched with the field selectors. Fields and links are projections of these parts, so a
+page is read in one narrow stage without a shuffle or Python. The expressions are SQL text, which the
+DataFrame operators and the SQL functions share.
+"""
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIELDS = ("title", "description", "location")
+# What marks a field in a class (later ones win), and a link of application.
 MARKERS = {"title": "title", "position": "title", "description": "description", "location": "location"}
-COLUMNS = ("title", "description", "location", "url", "application_url")
-
-
-class _Cards(HTMLParser):
-    """Cards of one page, field by field."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.cards: list[dict[str, list[str]]] = []
-        self.card: dict[str, list[str]] | None = None
-        self.field: str | None = None
-        self.silent = 0
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ("script", "style", "noscript"):
-            self.silent += 1
-            return
-        have = {k: v or "" for k, v in attrs}
-        kinds = have.get("class", "").lower()
-        if self.card is None:
-            if tag == "article" or have.get("data-job") == "true" or "job-card" in kinds:
-                self.card, self.field = {}, None
-            return
-        self.field = None
-        named = have.get("data-field", "")
-        if tag == "a":
-            self._link(have.get("href", ""), f"{kinds} {named.lower()}")
-            return
-        if named in FIELDS:
-            self.field = named
-        elif not named:
-            for marker, target in MARKERS.items():
-                if marker in kinds:
-                    self.field = target
-
-    def _link(self, href: str, about: str) -> None:
-        applies = any(word in about for word in ("apply", "postular", "application"))
-        if href:
-            self.card.setdefault("application_url" if applies else "url", []).append(href)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style", "noscript"):
-            self.silent = max(0, self.silent - 1)
-        elif self.card is not None and tag in ("article", "li"):
-            self.cards.append(self.card)
-            self.card = self.field = None
-
-    def handle_data(self, data: str) -> None:
-        if self.card is not None and self.field and not self.silent:
-            self.card.setdefault(self.field, []).append(data)
-
-
-def cards_of(html: str | None) -> list[dict[str, str | None]]:
-    parser = _Cards()
-    parser.feed(html or "")
-    parser.close()
-    out = []
-    for card in parser.cards + ([parser.card] if parser.card else []):
-        row = {f: " ".join(" ".join(card.get(f, [])).split()) or None for f in FIELDS}
-        out.append(row | {k: card[k][0] if k in card else None for k in ("url", "application_url")})
-    return out
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(u, k, *[card[c] for c in COLUMNS]) for u, html in zip(*[c.to_pylist() for c in batch.columns], strict=True) for k, card in enumerate(cards_of(html))]
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = [pa.string(), pa.int32(), *[pa.string()] * 5]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_url", "card_idx", *COLUMNS])
+APPLY_WORDS = ("apply", "postular", "application")
+# Named character references that are decoded; the ampersand comes last.
+REFERENCES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "ndash": "–", "mdash": "—", "hellip": "…", "bull": "•",
+    "euro": "€", "copy": "©", "aacute": "á", "eacute": "é", "iacute": "í", "oacute": "ó", "uacute": "ú", "ntilde": "ñ",
+    "uuml": "ü", "ouml": "ö", "auml": "ä", "amp": "&",
+}
 
+# In patterns, \x22 and \x27 are the quotes, so that SQL strings can hold them.
+_IN_TAG = r"(?:[^>\x22\x27]|\x22[^\x22]*\x22|\x27[^\x27]*\x27)*+"
+_SILENT = r"(?is)<(script|style|noscript)\b[^>]*>.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)"
+_CLASS = r"\sclass\s*=\s*(?:\x22[^\x22>]*job-card|\x27[^\x27>]*job-card|[^\s\x22\x27>]*job-card)"
+_JOB = r"\sdata-job\s*=\s*[\x22\x27]?true\b"
+_OPENER = rf"(?is)(?=<(?:article(?=[\s/>])|[a-z](?=[^>]*?{_JOB})|[a-z](?=[^>]*?{_CLASS})){_IN_TAG}>)"
+_CLOSER = r"(?is)</(?:article|li)\s*>.*$"
+_LINK = rf"(?is)<a\b({_IN_TAG})>((?:(?!<a\b).)*?)</a\s*>"
+
+
+def _attribute(tag: str, name: str) -> str:
+    """The value of an attribute in the text of a start tag; empty if it is missing."""
+    pattern = rf"(?is)[\s\x22\x27]{name}\s*=\s*(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s\x22\x27>]+))"
+    return "concat(" + ", ".join(f"regexp_extract({tag}, r'{pattern}', {k})" for k in (1, 2, 3)) + ")"
+
+
+def _field(tag: str) -> str:
+    """The field that an element fills: by the last marker in its class, else by ``data-field``."""
+    kinds = f"lower({_attribute(tag, 'class')})"
+    marked = " ".join(f"WHEN contains({kinds}, '{marker}') THEN '{field}'" for marker, field in reversed(MARKERS.items()))
+    return f"CASE {marked} ELSE nullif({_attribute(tag, 'data-field')}, '') END"
+
+
+def _plain(text: str) -> str:
+    """Text without tags and surplus white space."""
+    return rf"btrim(regexp_replace(regexp_replace({text}, r'(?s)<[^>]*>', ' '), r'\s+', ' '))"
+
+
+def _decoded(text: str) -> str:
+    """Numeric and some named character references replaced; others stay."""
+    codes = rf"array_distinct(filter(regexp_extract_all({text}, r'&#(\d{{1,6}});', 1), n -> int(n) BETWEEN 9 AND 55295))"
+    whole = f"aggregate({codes}, {text}, (t, n) -> replace(t, concat('&#', n, ';'), decode(unhex(lpad(hex(int(n)), 8, '0')), 'UTF-32')))"
+    for name, sign in REFERENCES.items():
+        quoted = sign.replace("'", "''")
+        whole = f"replace({whole}, '&{name};', '{quoted}')"
+    return f"CASE WHEN contains({text}, '&') THEN {whole} ELSE {text} END"
 
-def scan_cards(pages: DataFrame) -> DataFrame:
-    """``pages(url, html)`` → ``page_url, card_idx, title, description, location, url, application_url``.
 
-    A card opens at ``<article>``, ``data-job="true"`` or a ``job-card`` class and closes at ``</article>`` or
-    ``</li>``; every start tag in it ends the current field.
+def cards_sql(page: str) -> str:
+    """SQL of the cards of a page: an array of ``(fields, link, apply)``.
+
+    A card opens at ``<article>``, ``data-job="true"`` or a ``job-card`` class and ends at the next ``</article>``
+    or ``</li>``; one that opens within an unfinished card replaces it, and an unfinished one is none.
     """
-    return pages.select("url", "html").mapInArrow(
-        _scan, "page_url string, card_idx int, title string, description string, location string, url string, application_url string"
+    parts = f"split(regexp_replace(coalesce({page}, ''), r'{_SILENT}', ' '), r'{_OPENER}')"
+    whole = f"filter({parts}, part -> part RLIKE r'{_OPENER}' AND part RLIKE r'{_CLOSER}')"
+    cards = f"transform({whole}, part -> regexp_replace(part, r'{_CLOSER}', ''))"
+    pieces = "filter(split(card, r'(?s)(?=<[a-zA-Z])'), p -> p RLIKE '^<[a-zA-Z]')"
+    tag = f"regexp_extract(p, r'(?s)^<{_IN_TAG}>', 0)"
+    # The text of a link describes the link; that of any other element its field.
+    linked = f"p RLIKE r'(?i)^<a\\b' AND {_attribute('p', 'href')} <> ''"
+    read = f"transform({pieces}, p -> struct(CASE WHEN NOT ({linked}) THEN {_field(tag)} END AS field, {_decoded(_plain('p'))} AS text))"
+    read = f"filter({read}, p -> p.field IS NOT NULL AND p.text <> '')"
+    # Texts of one field are joined in their order.
+    fields = "aggregate(read, map_from_arrays(array(''), array('')), (m, p) -> map_concat(map_filter(m, (k, v) -> k <> p.field), " \
+        "map(p.field, concat_ws(' ', m[p.field], p.text))))"
+    links = (
+        f"transform(arrays_zip(regexp_extract_all(card, r'{_LINK}', 1), regexp_extract_all(card, r'{_LINK}', 2)), "
+        f"x -> struct({_attribute('x.`0`', 'href')} AS href, lower(concat_ws(' ', {_attribute('x.`0`', 'class')}, {_field('x.`0`')}, {_plain('x.`1`')})) AS about))"
+    )
+    links = f"filter({links}, x -> x.href <> '')"
+    applies = f"x.about RLIKE '{'|'.join(APPLY_WORDS)}'"
+    made = (
+        f"transform(array({read}), read -> map_filter({fields}, (k, v) -> k <> ''))[0] AS fields, "
+        f"get(filter({links}, x -> NOT ({applies})), 0).href AS link, try_element_at(filter({links}, x -> {applies}), -1).href AS apply"
     )
+    return f"transform({cards}, card -> struct({made}))"
+
+
+def scan_cards(pages: DataFrame) -> DataFrame:
+    """``pages(html, ...)`` → one row per card with the other columns of ``pages``: ``card_idx, fields, url, application_url``.
+
+    ``fields`` maps every field that the card fills (``title``, ``company``, ``salary``, ...) to its text. ``url`` is the
+    first link that is not one of application, ``application_url`` the last one that is. A null page has no cards.
+    """
+    others = [c for c in pages.columns if c.lower() not in ("html", "card_idx", "fields", "url", "application_url")]
+    cards = pages.select(*others, F.posexplode(F.expr(cards_sql("html"))).alias("card_idx", "_card"))
+    return cards.select(
+        *others, "card_idx", F.col("_card.fields").alias("fields"),
+        F.coalesce("_card.link", F.col("_card.fields")["url"]).alias("url"),
+        F.coalesce("_card.apply", F.col("_card.fields")["application_url"]).alias("application_url"),
+    )
+
+
+def card_items(pages: DataFrame) -> DataFrame:
+    """Cards of ``pages(source, html, ...)`` as feed items ``item_idx, item``: what ``normalize_items`` reads.
+
+    A card without a link to its description has none, which the normalization reports.
+    """
+    cards = scan_cards(pages)
+    others = [c for c in cards.columns if c not in ("card_idx", "fields", "url", "application_url")]
+    links = F.create_map(F.lit("description_url"), F.col("url"), F.lit("application_url"), F.col("application_url"))
+    own = F.map_filter("fields", lambda k, _: ~k.isin("url", "description_url", "application_url"))
+    item = F.map_concat(own, F.map_filter(links, lambda _, x: x.isNotNull()))
+    return cards.select(*others, F.col("card_idx").alias("item_idx"), F.try_parse_json(F.to_json(item)).alias("item"))
 
 
 def scan_articles(pages: DataFrame) -> DataFrame:

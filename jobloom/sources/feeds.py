@@ -1,4 +1,4 @@
-"""JSON feeds: items, normalization into postings, quarantine."""
+"""Feeds and card pages: items, normalization into postings, quarantine."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from jobloom.functions.fields import classify_modality, classify_region, parse_currency, parse_date, parse_number, salary_range
 from jobloom.functions.links import normalize_base_url, resolve_url
 from jobloom.functions.text import first_truthy, sanitize_text, split_requirements
+from jobloom.sources.cards import card_items
+from jobloom.sources.scratch import materialize
 
 # The keys under which providers send a field, in the order in which they are tried.
 ALIASES = {
@@ -26,6 +28,7 @@ ALIASES = {
     "period": ("salary_period", "pay_period", "salaryPeriod"),
     "modality": ("modality", "workplace_type", "workplaceType", "remote"),
 }
+# Keys of which a posting has at least one.
 JOB_KEYS = (
     "title", "name", "text", "description", "content", "descriptionPlain", "url", "absolute_url", "hostedUrl", "jobUrl",
     "applyUrl", "company", "company_name", "descriptionHtml", "companyName", "location", "categories",
@@ -90,11 +93,15 @@ def merge_metadata(item: Column, source: Column, requirements: Column) -> Column
     other = F.create_map(F.lit("provider_metadata"), F.to_json(given))
     empty = F.create_map().cast("map<string,string>")
     added = F.when(kind.startswith("OBJECT"), F.coalesce(provider, empty)).when(kind == "VOID", empty).otherwise(other)
-    own = F.create_map(F.lit("source_adapter"), source, F.lit("requirements"), F.to_json(requirements))
+    own = F.create_map(F.lit("source_adapter"), source.cast("string"), F.lit("requirements"), F.to_json(requirements))
     kept = F.map_filter(own, lambda k, _: ~F.map_contains_key(added, k))
     return F.map_concat(kept, added)
 
 
+#: The order of items of several sources.
+SOURCE_ORDER = ("source", "item_idx")
+
+
 def union_sources(*items: DataFrame) -> DataFrame:
     """Items of several sources; order is source name, then position."""
     out = items[0]
@@ -158,19 +165,40 @@ def violations(df: DataFrame) -> Column:
     return F.array_compact(F.array(*checks))
 
 
-def validate_postings(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantined): a row with broken rules is set aside with its messages and drops no other."""
+def check_postings(df: DataFrame) -> DataFrame:
+    """Add ``error``: null for a posting that breaks no rule, else all its messages."""
     errors = violations(df)
     if "_found" in df.columns:
         errors = F.concat("_found", errors)
-    checked = df.withColumn("errors", errors).drop("_found")
-    bad = checked.filter(F.size("errors") > 0).withColumn("error", F.concat(F.lit("invalid job: "), F.array_join("errors", "; ")))
-    return checked.filter(F.size("errors") == 0).drop("errors"), bad.drop("errors")
+    joined = F.concat(F.lit("invalid job: "), F.array_join("_errors", "; "))
+    return df.withColumn("_errors", errors).withColumn("error", F.when(F.size("_errors") > 0, joined)).drop("_found", "_errors")
+
+
+def validate_postings(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, quarantined): a row with broken rules is set aside with its messages and drops no other.
+
+    Checked rows are written once, so that neither side normalizes them again.
+    """
+    checked = materialize(check_postings(df), "checked")
+    return checked.filter("error is null").drop("error"), checked.filter("error is not null")
+
+
+def scan_items(raw: DataFrame) -> DataFrame:
+    """Items of ``raw(source, payload, html, ...)``: of the JSON payload, else of the cards of the page; either column may be missing."""
+    parts = []
+    if "payload" in raw.columns:
+        parts.append(scan_json_feed(raw.filter("payload is not null").drop("html")))
+    if "html" in raw.columns:
+        pages = raw.filter("payload is null").drop("payload") if "payload" in raw.columns else raw
+        parts.append(card_items(pages))
+    if not parts:
+        raise ValueError("neither payload nor html")
+    return union_sources(*parts)
 
 
 def read_feeds(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Scan, normalize and validate feeds ``raw(source, base_url, default_company, payload)``."""
-    return validate_postings(normalize_items(drop_legal_envelope(scan_json_feed(raw))))
+    """Scan, normalize and validate ``raw(source, base_url, default_company, payload)``, or ``html`` for card pages."""
+    return validate_postings(normalize_items(drop_legal_envelope(scan_items(raw))))
 
 
 def validate_payloads(raw: DataFrame) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.operators.reconcile import PROPERTIES
+from jobloom.sources.feeds import scan_items, union_sources
+from jobloom.sources.scratch import materialize
 
 ENTITIES = {
     "profiles": [], "preferences": [], "sources": [], "postings": ["region", "status"], "snapshots": [],
@@ -27,8 +30,11 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def write_run_log(root: str, executions: DataFrame, runs: DataFrame) -> None:
-    """Append executions (with a uuid each) and their source runs."""
-    write_table(executions.withColumn("run_uuid", F.expr("uuid()")), root, "executions")
+    """Append executions (with a uuid each) and their source runs.
+
+    The executions are written with their uuid and not read from the plan again, so that each keeps one.
+    """
+    write_table(materialize(executions.withColumn("run_uuid", F.expr("uuid()")), "executions"), root, "executions")
     write_table(runs, root, "source_runs")
 
 
@@ -69,14 +75,43 @@ def scan_mirror_pages(raw: DataFrame) -> DataFrame:
     return raw.select(F.try_variant_get(v, "$.id", "string").alias("page_id"), *[text(p).alias(p) for p in PROPERTIES])
 
 
-Adapter = Callable[[DataFrame], DataFrame]
-_ADAPTERS: dict[str, Adapter] = {}
+class Adapter(NamedTuple):
+    """How raw content of a source becomes items, and the company of items that name none."""
+
+    scan: Callable[[DataFrame], DataFrame]
+    default_company: str | None = None
+
 
+# The adapters that are known from the start.
+_ADAPTERS: dict[str, Adapter] = {
+    "json-api-feed": Adapter(scan_items),
+    "greenhouse-career-page": Adapter(scan_items, "Greenhouse employer"),
+    "lever-career-page": Adapter(scan_items, "Lever employer"),
+}
 
-def register_adapter(name: str, scan: Adapter) -> None:
+
+def register_adapter(name: str, scan: Callable[[DataFrame], DataFrame], default_company: str | None = None) -> None:
     """Make a scan of raw content known by name."""
-    _ADAPTERS[name] = scan
+    _ADAPTERS[name] = Adapter(scan, default_company)
 
 
 def adapter(name: str) -> Adapter:
     return _ADAPTERS[name]
+
+
+def adapter_names(spark: SparkSession) -> DataFrame:
+    """``(adapter, default_company)`` of all known adapters, for routing."""
+    return spark.createDataFrame([(name, a.default_company) for name, a in _ADAPTERS.items()], "adapter string, default_company string")
+
+
+def scan_routed(routed: DataFrame) -> DataFrame:
+    """Items of ``routed(source, adapter, base_url, default_company, payload, html)``, each source through its adapter.
+
+    Sources without a known adapter have none. A source's own default company wins over its adapter's.
+    """
+    parts = []
+    for name, known in _ADAPTERS.items():
+        mine = routed.filter(F.col("adapter") == name)
+        company = F.coalesce(F.nullif(F.col("default_company"), F.lit("")), F.lit(known.default_company))
+        parts.append(known.scan(mine.withColumn("default_company", company).drop("adapter")).withColumn("adapter", F.lit(name)))
+    return union_sources(*parts)
