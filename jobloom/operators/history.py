@@ -62,14 +62,26 @@ def upsert_by_key(existing: DataFrame, incoming: DataFrame, keys: list[str], ord
     return joined.select(*keys, *[chosen(c) for c in values])
 
 
-def apply_patches(df: DataFrame, patches: DataFrame, key: str) -> DataFrame:
-    """Change the supplied (non-null) fields of the rows with a patch; an unknown field is an error."""
-    fields = [c for c in patches.columns if c != key]
+def apply_patches(df: DataFrame, patches: DataFrame, key: str, given: str | None = None) -> DataFrame:
+    """Change the supplied fields of the rows with a patch; an unknown field is an error.
+
+    Supplied are the fields that are not null, or, with ``given``, those that this array column of ``patches``
+    names, which may so become null. Of several patches of a row, the largest in the order of its columns counts.
+    """
+    fields = [c for c in patches.columns if c not in (key, given)]
     if unknown := sorted(set(fields) - set(df.columns)):
         raise ValueError(f"unknown fields: {', '.join(unknown)}")
-    renamed = patches.select(key, *[F.col(c).alias(f"_{c}") for c in fields])
-    joined = df.join(renamed, key, "left")
-    return joined.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns])
+    renamed = patches.select(key, *[F.col(c).alias(f"_{c}") for c in fields], *([F.col(given).alias("_given")] if given else []))
+    once = renamed.groupBy(key).agg(F.max(F.struct(*[c for c in renamed.columns if c != key])).alias("_patch"))
+    joined = df.join(once, key, "left")
+
+    def patched(c: str):
+        new = F.col(f"_patch._{c}")
+        if given is None:
+            return F.coalesce(new, F.col(c)).alias(c)
+        return F.when(F.coalesce(F.array_contains("_patch._given", c), F.lit(False)), new).otherwise(F.col(c)).alias(c)
+
+    return joined.select(*[patched(c) if c in fields else F.col(c) for c in df.columns])
 
 
 def delete_sources(sources: DataFrame, jobs: DataFrame, runs: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -99,6 +99,16 @@ def mark_missing(jobs: DataFrame, seen: DataFrame, source_id: int) -> DataFrame:
     return hit.select(*columns, gone.alias("marked"))
 
 
+def mark_missing_of_sources(jobs: DataFrame, seen: DataFrame) -> DataFrame:
+    """``mark_missing`` for all sources at once, by ``seen(source, url)``; postings of other sources stay as they are."""
+    links = seen.select("source", canonicalize_url(F.col("url")).alias("canonical_url"), F.lit(True).alias("_seen")).dropna().distinct()
+    ran = seen.select("source", F.lit(True).alias("_ran")).distinct()
+    hit = jobs.join(links, ["source", "canonical_url"], "left").join(ran, "source", "left")
+    gone = F.coalesce((F.col("status") == "active") & F.col("_ran") & F.col("_seen").isNull(), F.lit(False))
+    columns = [F.when(gone, "inactive").otherwise(F.col(c)).alias(c) if c == "status" else F.col(c) for c in jobs.columns]
+    return hit.select(*columns, gone.alias("marked"))
+
+
 def dedup_run(rows: DataFrame, key: str = "job_id", order: str = "seq") -> DataFrame:
     """One row per posting: the position of the first, the values of the last."""
     others = [c for c in rows.columns if c not in (key, order)]

@@ -95,6 +95,11 @@ def list_executions(executions: DataFrame, status: str | None = None, page: int
     return executions.orderBy(F.desc("started_at"), F.desc("execution_id")).offset((page - 1) * size).limit(size)
 
 
+def execution_of_run(executions: DataFrame, runs: DataFrame, run_id: str) -> DataFrame:
+    """The execution with the immutable ``run_id``, its source runs nested; no row if there is none."""
+    return executions_with_runs(executions.filter(F.col("run_uuid") == run_id), runs)
+
+
 def executions_with_runs(executions: DataFrame, runs: DataFrame) -> DataFrame:
     """Executions with their source runs nested, in order of id."""
     fields = [c for c in runs.columns if c not in ("execution_id", "run_id")]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.links import canonicalize_url, fingerprint
-from jobloom.operators import identity, listing, runs, scoring
+from jobloom.operators import identity, listing, reconcile, runs, scoring
+from jobloom.sources import tables
 from jobloom.sources.feeds import read_feeds
 from jobloom.sources.scratch import materialize
 
@@ -16,37 +17,67 @@ FIELDS = (
 )
 
 
+def _order(seq: Column, kind: str) -> Column:
+    """Stored sequence numbers as text that sorts like them."""
+    text = seq.cast("string")
+    return F.lpad(text, 20, "0") if kind in ("tinyint", "smallint", "int", "bigint") else text
+
+
 def run_ingest(raw: DataFrame, stored: DataFrame | None = None, per_source_cap: int | None = None) -> dict[str, DataFrame]:
-    """Postings, snapshots, quarantine and source results of feeds ``raw(source, base_url, default_company, payload)``.
+    """Postings, snapshots, quarantine and source results of ``raw(source, base_url, default_company, payload)``.
 
-    ``stored`` are earlier sightings (``FIELDS`` with ``seq`` and ``source``); new ones continue them, so
-    ingesting the same feed again changes no posting.
+    Card pages come in a column ``html``. ``stored`` are earlier sightings (``FIELDS`` with ``seq`` and ``source``,
+    and ``metadata`` if they have it); new ones continue them, so ingesting the same feed again changes no
+    posting. ``sightings`` of the result are the next run's ``stored``.
     """
     good, bad = read_feeds(raw)
     if per_source_cap is not None:
         good = runs.cap_per_source(good, per_source_cap)
-    good, bad = materialize(good, "good"), materialize(bad, "bad")
     # Sightings are ordered by source and position; a text made of both needs no global numbering.
-    sightings = good.select("source", *FIELDS, F.concat_ws("|", F.lit("1"), "source", F.lpad(F.col("item_idx").cast("string"), 12, "0")).alias("seq"))
+    seq = F.concat_ws("|", F.lit("1"), "source", F.lpad(F.col("item_idx").cast("string"), 12, "0")).alias("seq")
+    sightings = good.select("source", *FIELDS, "metadata", seq)
     if stored is not None:
-        old = stored.select("source", *FIELDS, F.concat(F.lit("0|"), F.col("seq").cast("string")).alias("seq"))
-        sightings = old.unionByName(sightings)
+        held = F.col("metadata") if "metadata" in stored.columns else F.lit(None).cast("map<string,string>")
+        order = F.concat(F.lit("0|"), _order(F.col("seq"), dict(stored.dtypes)["seq"])).alias("seq")
+        sightings = stored.select("source", *FIELDS, held.alias("metadata"), order).unionByName(sightings)
     keyed = sightings.withColumns({
         "canonical_url": F.coalesce(canonicalize_url(F.col("canonical_url")), F.col("canonical_url")),
         "fingerprint": fingerprint(F.col("title"), F.col("company"), F.col("location")),
     })
-    found = materialize(identity.identity_components(keyed), "sightings")
+    found = materialize(identity.identity_components(materialize(keyed, "keyed")), "sightings")
     items = good.select("source", "item_idx", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error")).unionByName(
         bad.select("source", "item_idx", F.lit(False).alias("ok"), "error")
     )
+    metadata = identity.merge_metadata(found, "metadata")
     return {
-        "postings": identity.merge_postings(found, [*FIELDS, "fingerprint"]),
+        "postings": identity.merge_postings(found, [*FIELDS, "fingerprint"]).join(metadata, "identity", "left"),
+        "sightings": found.drop("identity", "fingerprint"),
         "snapshots": identity.snapshots(found),
         "quarantine": bad.select("source", "item_idx", "error"),
         "source_runs": runs.source_runs(items, raw.select("source").distinct()),
     }
 
 
+def scorable(jobs: DataFrame) -> DataFrame:
+    """Add what scoring reads of a posting's ``metadata``: skills, constraints, authorization, years and seniority.
+
+    Lists are JSON arrays or a single text; what the provider does not state is empty.
+    """
+    def text(key: str) -> Column:
+        return F.try_element_at("metadata", F.lit(key))
+
+    def listed(key: str) -> Column:
+        given = F.nullif(F.btrim(text(key)), F.lit(""))
+        many = F.try_variant_get(F.try_parse_json(given), "$", "array<string>")
+        return F.coalesce(many, F.when(given.isNotNull(), F.array(given)), F.array().cast("array<string>"))
+
+    return jobs.withColumns({
+        "required_skills": listed("required_skills"), "desirable_skills": listed("desirable_skills"),
+        "constraints": listed("constraints"), "job_authorization": listed("work_authorization"),
+        "required_years": text("required_years").try_cast("double"), "job_seniority": text("seniority"),
+    })
+
+
 def run_scoring(postings: DataFrame, profiles: DataFrame, preferences: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """New evaluations: pairs without an evaluation of the same inputs, scored.
 
@@ -61,21 +92,26 @@ def run_scoring(postings: DataFrame, profiles: DataFrame, preferences: DataFrame
     return scoring.score(due)
 
 
-def run_all(raw: DataFrame, profiles: DataFrame, preferences: DataFrame, seen: DataFrame, source_id: int) -> dict[str, DataFrame]:
-    """Ingest, mark missing postings of a source, score; with the run's summary."""
-    out = run_ingest(raw)
-    jobs = out["postings"].withColumns({
-        "job_id": F.xxhash64("identity"), "status": F.lit("active"), "source_id": F.lit(source_id),
-    })
-    out["jobs"] = identity.mark_missing(jobs, seen, source_id)
-    blank = F.array().cast("array<string>")
-    scorable = out["jobs"].withColumns({
-        "required_skills": blank, "desirable_skills": blank, "constraints": blank, "job_authorization": blank,
-        "required_years": F.lit(None).cast("double"), "job_seniority": F.lit(None).cast("string"),
-    })
-    out["evaluations"] = run_scoring(scorable, profiles, preferences)
+def run_all(raw: DataFrame, profiles: DataFrame, preferences: DataFrame, seen: DataFrame, sources: DataFrame,
+            stored: DataFrame | None = None, root: str | None = None) -> dict[str, DataFrame]:
+    """Ingest, mark missing postings, score, project the mirror; with the run's summary.
+
+    ``sources(source, source_id)`` numbers the sources; ``seen(source, url)`` are the links of this run, and active
+    postings of its sources that are not among them become inactive. With ``root`` the run log is appended
+    to its tables.
+    """
+    out = run_ingest(raw, stored)
+    first = out["sightings"].groupBy("canonical_url").agg(F.min_by("source", "seq").alias("source"))
+    jobs = out["postings"].withColumns({"job_id": F.xxhash64("identity"), "status": F.lit("active")})
+    jobs = jobs.join(first.join(sources, "source", "left"), "canonical_url", "left")
+    out["jobs"] = materialize(identity.mark_missing_of_sources(jobs, seen), "jobs")
+    out["evaluations"] = materialize(run_scoring(scorable(out["jobs"]), profiles, preferences), "evaluations")
+    scored = out["evaluations"].select("job_id", "profile_id", "score", "matches", "gaps", "recommendations")
+    out["mirror"] = reconcile.to_mirror_rows(out["jobs"].join(scored, "job_id", "left"))
     results = out["source_runs"].select(
-        F.lit(1).alias("execution_id"), "jobs_found", "status", F.col("jobs_found").alias("scored"), F.col("errors").alias("issues")
+        F.lit(1).alias("execution_id"), "source", "jobs_found", "status", F.col("jobs_found").alias("scored"), F.col("errors").alias("issues")
     )
-    out["summary"] = runs.execution_summary(results)
+    out["summary"] = materialize(runs.execution_summary(results), "summary")
+    if root is not None:
+        tables.write_run_log(root, out["summary"], results)
     return out

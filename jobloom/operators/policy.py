@@ -97,8 +97,13 @@ def apply_crawl_policy(urls: DataFrame, rules: DataFrame, hosts: DataFrame) -> D
     host = F.lower(F.regexp_extract("url", HTTP, 2))
     path = F.regexp_extract("url", HTTP, 3)
     asked = urls.select("url", host.alias("host"), F.when(path == "", "/").otherwise(path).alias("path")).distinct()
-    of_host = rules.select(F.lower("host").alias("host"), "prefix", "allow")
-    met = asked.join(of_host, "host").filter(F.expr("startswith(path, prefix)"))
+    # Rules are met by equality with a beginning of the path, of a length that some rule of the host has: a host of
+    # many rules and URLs is spread over its prefixes.
+    of_host = rules.select(F.lower("host").alias("host"), "prefix", "allow").groupBy("host", "prefix").agg(F.max("allow").alias("allow"))
+    lengths = of_host.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    begun = asked.join(lengths, "host").select("url", "host", "path", F.explode("_lengths").alias("_n"))
+    begun = begun.filter(F.col("_n") <= F.length("path")).select("url", "host", F.left("path", F.col("_n")).alias("prefix"))
+    met = begun.join(of_host, ["host", "prefix"])
     best = met.groupBy("url").agg(F.max(F.struct(F.length("prefix").alias("n"), "allow"))["allow"].alias("allow"))
     status = F.col("status")
     verdict = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions.fields import classify_modality, classify_region
@@ -170,8 +170,8 @@ def refresh_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT user_id, count(*) FILTER (WHERE event_type <> 'error') AS jobs_found, count(*) FILTER (WHERE event_type = 'error') AS errors,
-  left(string_agg('bad item ' || event_id, '; ' ORDER BY event_id) FILTER (WHERE event_type = 'error'), 2000) AS digest FROM events WHERE user_id % 5 <> 0 GROUP BY 1),
-s AS (SELECT DISTINCT user_id FROM events)
+  left(string_agg('bad item ' || event_id, '; ' ORDER BY event_id) FILTER (WHERE event_type = 'error'), 2000) AS digest FROM events GROUP BY 1),
+s AS (SELECT DISTINCT user_id FROM events UNION SELECT -1 - n_nationkey FROM nation)
 SELECT CAST(s.user_id AS VARCHAR) AS source, coalesce(jobs_found, 0) AS jobs_found, coalesce(errors, 0) AS errors,
   CASE WHEN coalesce(jobs_found, 0) = 0 THEN 'failed' WHEN errors > 0 THEN 'partial' ELSE 'success' END AS status,
   coalesce(digest, CASE WHEN coalesce(jobs_found, 0) = 0 THEN 'No jobs found for ' || s.user_id END) AS message
@@ -180,10 +180,11 @@ def source_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = v.read(spark, sf_dir, "events")
     bad = F.col("event_type") == "error"
     source = F.col("user_id").cast("string").alias("source")
-    items = e.filter("user_id % 5 <> 0").select(
+    items = e.select(
         source, F.col("event_id").alias("item_idx"), (~bad).alias("ok"), F.when(bad, F.concat(F.lit("bad item "), F.col("event_id").cast("string"))).alias("error")
     )
-    return runs.source_runs(items, e.select(source).distinct())
+    idle = v.read(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("string").alias("source"))  # sources without items
+    return runs.source_runs(items, e.select(source).distinct().unionByName(idle))
 
 
 @query("SELECT count(*) FILTER (WHERE l_returnflag <> 'R') AS synced, count(*) FILTER (WHERE l_returnflag = 'R') AS failed FROM lineitem")
@@ -319,8 +320,13 @@ def crawl_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"[w FOR w IN string_split(trim(regexp_replace(lower(description), '[^\p{L}]+', ' ', 'g')), ' ') IF w <> '']"
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings with skills from their words, paired with profiles made from nations."""
+def _stems(wanted) -> Column:
+    """Beginnings of the words of a description whose length is wanted."""
+    return F.array_distinct(F.transform(F.filter("_w", lambda w: wanted(F.length(w))), lambda w: F.left(w, F.lit(3))))
+
+
+def _scoring_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings with skills from their words, and profiles with preferences made from nations."""
     d = v.doc_postings(spark, sf_dir)
     words = F.filter(F.split(F.btrim(F.regexp_replace(F.lower("description"), r"[^\p{L}]+", " ")), " "), lambda w: w != "")
     d = d.withColumn("_w", words)
@@ -328,16 +334,16 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings = d.select(
         "job_id", "location", classify_region(F.col("location")).alias("region"), classify_modality(F.col("mode_text")).alias("modality"),
         F.when(F.col("job_id") % 3 > 0, F.col("n_chars") * 12.0).alias("salary_max"),
-        F.slice("_w", 1, 3).alias("required_skills"), F.slice("_w", 4, 2).alias("desirable_skills"),
+        _stems(lambda n: n >= 14).alias("required_skills"), _stems(lambda n: n == 13).alias("desirable_skills"),
         F.when(F.col("job_id") % 9 == 0, F.array(F.lit("relocation"))).otherwise(F.array().cast("array<string>")).alias("constraints"),
         F.array("lang").alias("job_authorization"), (F.col("job_id") % 6).cast("double").alias("required_years"),
         F.when(F.col("job_id") % 2 == 0, F.lit("Senior")).otherwise(none).alias("job_seniority"),
     )
-    n = v.read(spark, sf_dir, "nation").filter("n_nationkey < 8")
+    n = v.read(spark, sf_dir, "nation")
     k = F.col("n_nationkey")
     entry = F.struct(k.cast("double").alias("years"), F.lit(None).cast("double").alias("years_experience"), F.lit(None).cast("double").alias("duration_years"), F.lit("").alias("text"))
     profiles = n.select(
-        k.alias("profile_id"), F.array(F.lit("The"), F.lit("of "), F.lit("de"), F.lit("und")).alias("skills"), F.array(entry).alias("experience"),
+        k.alias("profile_id"), F.array(F.lit("The"), F.lit("con "), F.lit("ent"), F.lit("und")).alias("skills"), F.array(entry).alias("experience"),
         F.array(F.lit("English")).alias("languages"),
     )
     preferences = n.select(
@@ -347,14 +353,19 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("en"), F.lit("de")).alias("work_authorization"), F.lit("senior").alias("seniority"), F.lit(20000.0).alias("wanted_min"),
         (k == 6).alias("willing_to_relocate"), F.create_map(F.lit("skills"), F.lit(2.0), F.lit("salary"), F.when(k == 5, 0.0).otherwise(-1.0)).alias("weights"),
     )
-    return scoring.pair(postings, profiles, preferences)
+    return postings, profiles, preferences
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pair(*_scoring_inputs(spark, sf_dir))
 
 
 _SCORES = rf"""WITH {v.DOC_POSTINGS},
 p AS (SELECT job_id, location, {REGION} AS region, {MODALITY} AS modality, CASE WHEN job_id % 3 > 0 THEN n_chars * 12.0 END AS salary_max,
   {_WORDS} AS w, job_id % 9 = 0 AS relocation, lang, job_id % 6 AS required_years, job_id % 2 = 0 AS senior FROM doc_postings),
-q AS (SELECT *, list_distinct(w[1:3]) AS req, list_distinct(w[4:5]) AS des, ['the', 'of', 'de', 'und'] AS have FROM p),
-x AS (SELECT q.*, n_nationkey AS k FROM q, nation WHERE n_nationkey < 8),
+q AS (SELECT *, list_distinct([left(a, 3) FOR a IN w IF length(a) >= 14]) AS req, list_distinct([left(a, 3) FOR a IN w IF length(a) = 13]) AS des,
+  ['the', 'con', 'ent', 'und'] AS have FROM p),
+x AS (SELECT q.*, n_nationkey AS k FROM q, nation),
 d AS (SELECT *,
   CASE WHEN len(req) = 0 AND len(des) = 0 THEN 1.0 ELSE
     0.7 * CASE WHEN len(req) = 0 THEN 1.0 ELSE len(list_intersect(have, req)) / CAST(len(req) AS DOUBLE) END
@@ -379,11 +390,9 @@ def score_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("job_id", "profile_id", "score", F.col("breakdown.skills.match").alias("skills_match"), *lists)
 
 
-@query(f"""{_SCORES} SELECT k AS profile_id, count(*) AS pairs, max(CASE WHEN excluded THEN 0.0 ELSE raw END) AS best FROM s
-  WHERE job_id < 500 OR k <> 3 GROUP BY 1""")
+@query(f"""{_SCORES} SELECT k AS profile_id, count(*) AS pairs, max(CASE WHEN excluded THEN 0.0 ELSE raw END) AS best FROM s GROUP BY 1""")
 def best_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir)
-    scored = scoring.score(pairs.filter("job_id < 500 or profile_id <> 3"))
+    scored = scoring.score(_pairs(spark, sf_dir))
     return scored.groupBy("profile_id").agg(F.count("*").alias("pairs"), F.max("score").alias("best"))
 
 
@@ -422,7 +431,7 @@ def list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {v.DOC_POSTINGS}, p AS (SELECT *, {REGION} AS region, {MODALITY} AS modality FROM doc_postings)
 SELECT job_id, n_nationkey AS profile_id, length(left(description, 12000)) AS description_chars, title, coalesce(location, '') AS location, region, modality
-FROM p, nation WHERE n_nationkey < 8""")
+FROM p, nation""")
 def safe_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = v.doc_postings(spark, sf_dir).select("job_id", "title", "company", "description")
     payload = listing.safe_payload(_pairs(spark, sf_dir).join(d, "job_id"))

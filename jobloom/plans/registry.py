@@ -119,16 +119,25 @@ def merged_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select(F.col("identity").alias("user_id"), F.array_join(F.array_sort(pairs), ",").alias("metadata"))
 
 
-_PAYLOADS = ("{", "[]", '{"jobs":[]}', '{"jobs":[{"url":"u"},{"title":"t"}]}', '{"data":[{"url":"u"}]}', '{"jobs":[{"title":"t"}]}')
-
-
-@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'payload is not valid JSON' WHEN 1 THEN 'payload must be an object'
-  WHEN 2 THEN 'jobs must be a non-empty list' WHEN 3 THEN 'job 2 needs description_url or url'
-  WHEN 5 THEN 'job 1 needs description_url or url' END AS error FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'payload is not valid JSON' WHEN o_orderkey % 6 = 1 THEN 'payload must be an object'
+  WHEN count(l_orderkey) = 0 THEN 'jobs must be a non-empty list'
+  WHEN min(l_linenumber) FILTER (WHERE l_returnflag = 'R') IS NOT NULL
+  THEN 'job ' || CAST(min(nth) FILTER (WHERE l_returnflag = 'R') AS BIGINT) || ' needs description_url or url' END AS error
+  FROM orders LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth FROM lineitem) ON o_orderkey = l_orderkey
+  GROUP BY o_orderkey""")
 def payload_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payload = F.get(F.array(*map(F.lit, _PAYLOADS)), (F.col("o_orderkey") % len(_PAYLOADS)).cast("int"))
-    raw = v.read(spark, sf_dir, "orders").select("o_orderkey", payload.alias("payload"))
-    return feeds.validate_payloads(raw).select("o_orderkey", "error")
+    """Orders as payloads with a job for each line; returned lines have no link, and keys break some payloads."""
+    line = v.read(spark, sf_dir, "lineitem")
+    link = F.when(F.col("l_returnflag") != "R", F.concat(F.lit("/l/"), F.col("l_partkey").cast("string")))
+    job = F.struct(F.col("l_returnflag").alias("title"), link.alias("url"))
+    placed = F.struct("l_linenumber", "l_partkey", "l_suppkey", job.alias("job"))
+    jobs = line.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["job"]).alias("jobs"))
+    rows = v.read(spark, sf_dir, "orders").join(jobs, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    listed = F.coalesce("jobs", F.array().cast(dict(jobs.dtypes)["jobs"]))
+    k = F.col("o_orderkey") % 6
+    whole = F.when(k % 2 == 0, F.to_json(F.struct(listed.alias("jobs")))).otherwise(F.to_json(F.struct(listed.alias("data"))))
+    payload = F.when(k == 0, F.left(whole, F.length(whole) - 1)).when(k == 1, F.to_json(listed)).otherwise(whole)
+    return feeds.validate_payloads(rows.select("o_orderkey", payload.alias("payload"))).select("o_orderkey", "error")
 
 
 @query("""SELECT 'page-' || p_partkey AS page_id, p_name AS title, nullif(p_brand || CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_type ELSE '' END, '') AS company,

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.functions.links import canonicalize_url
+from jobloom.functions.links import canonicalize_url, fingerprint
+from jobloom.operators import identity
+from jobloom.operators.pipeline import FIELDS
 from jobloom.sources.feeds import read_feeds
 
 FEED_SCHEMA = "source string, base_url string, default_company string, payload string"
@@ -28,6 +30,28 @@ def ingest_feeds(spark: SparkSession, folder: str, checkpoint: str, store: Calla
     query.awaitTermination()
 
 
+def ingest_into(spark: SparkSession, folder: str, checkpoint: str, root: str) -> None:
+    """Upsert the postings of new feed files into ``root``: sightings by batch, and the postings merged from all of them.
+
+    A batch overwrites its own folder of sightings, so that one that is run again adds nothing, and the postings
+    are merged from the sightings of all batches. ``root/postings/batch=N`` of the largest N are the current ones.
+    """
+    def store(good: DataFrame, bad: DataFrame, number: int) -> None:
+        seq = F.concat_ws("|", "source", F.lpad(F.col("item_idx").cast("string"), 12, "0"))
+        kept = good.withColumn("seq", F.concat(F.lit(f"{number:012d}|"), seq))
+        keyed = kept.withColumns({
+            "canonical_url": F.coalesce(canonicalize_url(F.col("canonical_url")), F.col("canonical_url")),
+            "fingerprint": fingerprint(F.col("title"), F.col("company"), F.col("location")),
+        })
+        keyed.write.mode("overwrite").parquet(f"{root}/sightings/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{root}/quarantine/batch={number}")
+        known = spark.read.parquet(f"{root}/sightings").filter(F.col("batch") <= number).drop("batch")
+        merged = identity.merge_postings(identity.identity_components(known), [*FIELDS, "fingerprint"])
+        merged.write.mode("overwrite").parquet(f"{root}/postings/batch={number}")
+
+    ingest_feeds(spark, folder, checkpoint, store)
+
+
 def suppress_duplicates(postings: DataFrame, delay: str = "1 day") -> DataFrame:
     """A stream of ``postings(detected_at, url, ...)`` without later copies of a canonical URL within ``delay``."""
     keyed = postings.withColumns({
