@@ -111,19 +111,21 @@ def score(pairs: DataFrame, override: dict[str, float] | None = None, base: dict
     return df.drop(*dropped)
 
 
-#: Profiles up to this many rows are broadcast to the postings.
-BROADCAST_PROFILES = 100_000
+#: Profiles up to this many rows and bytes (as JSON) are broadcast to the postings.
+BROADCAST_PROFILES, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 def pair(postings: DataFrame, profiles: DataFrame, preferences: DataFrame) -> DataFrame:
     """Every posting with every profile and its current preferences.
 
-    This is the product that scoring asks for. Profiles are counted first: up to ``BROADCAST_PROFILES`` go
-    to every partition of the postings, more are dealt in as many joins of that size.
+    This is the product that scoring asks for. Profiles are counted and measured first: up to
+    ``BROADCAST_PROFILES`` and ``BROADCAST_BYTES`` go to every partition of the postings, more are dealt in as
+    many joins of that size.
     """
     chosen = profiles.join(current_preferences(preferences), "profile_id", "left")
-    n = chosen.count()
-    blocks = max(1, -(-n // BROADCAST_PROFILES))
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    n, size = chosen.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    blocks = max(1, -(-n // BROADCAST_PROFILES), -(-size // BROADCAST_BYTES))
     block = F.pmod(F.xxhash64("profile_id"), F.lit(blocks))
     out = None
     for k in range(blocks):
