@@ -5,11 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 FOLDS = 5
-#: At most so many bytes of text of each label teach.
-TRAINING_BYTES = 256 << 20
+#: Longer texts of the sample do not teach, so that its bytes are bounded with its rows.
+MOST_TEACHING_BYTES = 32 << 10
 
 
 def held_out(doc_id: Column) -> Column:
@@ -17,8 +16,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
-    """``(doc_id, y)``: of each label value up to ``most[value]`` rows and ``TRAINING_BYTES`` of texts that may teach.
+def training_sample(labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
+    """``(doc_id, y)``: of each label value up to ``most[value]`` rows that may teach.
 
     Rows are taken by a hash of the doc_id, so the sample is the same on every run. Rows with a null id or
     label are left out, and an id with several rows counts once, with its greatest label.
@@ -33,17 +32,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
     sample = parts[0]
     for part in parts[1:]:
         sample = sample.unionByName(part)
-    sizes = docs.select(F.col("doc_id").cast("long"), F.octet_length(F.col("text").cast("string")).alias("bytes"))
-    sizes = sizes.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.sum("bytes").alias("bytes"))
-    so_far = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sizes = sizes.withColumn("total", F.sum(F.coalesce("bytes", F.lit(0))).over(so_far))
-    return sizes.filter(F.col("total") <= TRAINING_BYTES).select("doc_id", "y")
+    return sample
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """``(doc_id, text, y)`` for a sample; the sample is bounded, so it may be broadcast."""
+    """``(doc_id, text, y)`` for a sample, which is bounded and so may be broadcast, without texts over ``MOST_TEACHING_BYTES``."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(F.broadcast(sample), "doc_id")
+    return texts.join(F.broadcast(sample), "doc_id").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_TEACHING_BYTES)
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:

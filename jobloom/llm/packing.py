@@ -183,6 +183,7 @@ def _cut(path: str, capacity: int, separator: int):
                         start, piece = start + length, piece + 1
                 arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -243,7 +244,7 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows whose last column is an array of ids, the checksum of these in its place."""
-    for batch in batches:
+    for batch in (full.slice(at, 1000) for full in batches for at in range(0, len(full), 1000)):
         own = batch.column(batch.num_columns - 1)
         tokens = own.flatten().to_numpy(zero_copy_only=False).astype("<u4")
         ends = np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False)).tolist()

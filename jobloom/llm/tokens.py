@@ -16,7 +16,7 @@ from jobloom.llm.textvec import mix, powers_of_step
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 #: Texts are split in slices of about this many characters.
-SLICE_CHARS = 700_000
+SLICE_CHARS = 400_000
 #: Words kept by a Python worker; beyond that it starts anew.
 MAX_WORDS = 2_000_000
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from jobloom.llm.labelled import held_out, labelled_texts, logistic, training_sample
 from jobloom.llm.scratch import materialize
 
-#: At most this many rows of each label teach, and as many bytes of text as labelled.TRAINING_BYTES allows.
+#: At most this many rows of each label teach, of up to labelled.MOST_TEACHING_BYTES.
 TRAINING_ROWS = {0: 6000, 1: 3000}
 #: Neighbourhoods that a term needs; letters of a word beginning.
 LEAST_SUPPORT, BEGINNINGS = 5, (3, 4, 5, 6, 7, 8)
@@ -206,8 +206,8 @@ def _densities(lexicon: Lexicon):
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Lexicon:
-    """A lexicon of all telling terms in at most ``TRAINING_ROWS`` and ``TRAINING_BYTES`` of rows that may teach."""
-    sample = labelled_texts(docs, training_sample(docs, labels, label, TRAINING_ROWS))
+    """A lexicon of all telling terms in at most ``TRAINING_ROWS`` rows that may teach."""
+    sample = labelled_texts(docs, training_sample(labels, label, TRAINING_ROWS))
     sample = materialize(sample.select("text", "y"), "labelled")
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
