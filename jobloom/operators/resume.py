@@ -15,6 +15,7 @@ SECTIONS = {
     "education": ("education", "formación", "formacion", "educacion"),
     "languages": ("languages", "idiomas"),
 }
+# Skills that are known by name, and the largest file.
 KNOWN_SKILLS = (
     "python", "javascript", "typescript", "java", "c#", ".net", "go", "rust", "sql", "postgresql", "mysql",
     "fastapi", "django", "react", "next.js", "node.js", "docker", "kubernetes", "aws", "azure", "gcp", "git",

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from jobloom.functions.fields import experience_years
 
+# The dimensions of a score, and the name of the rules.
 DIMENSIONS = ("skills", "experience", "seniority", "language", "location", "modality", "salary", "work_authorization")
 RULESET = "deterministic-v1"
 
