@@ -66,6 +66,7 @@ _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*(=)\s*)?")
 _VALUE = re.compile(r"[^\s>]*")
 _COMMENT_END = re.compile("--!?>")
 _GAP = re.compile(r"[\s/]*")
+_RAW_OR_COMMENT = re.compile(rf"<!--|<({'|'.join(sorted(RAW))})(?=[\s/>])", re.I)
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)", re.I)
 _VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)", re.I)
@@ -89,6 +90,8 @@ def read_tag(html: str, at: int) -> Tag | None:
     """The tag whose name begins at ``at``; None if the page ends within it. Every character is read once."""
     closes = html[at] == "/"
     name = _NAME.match(html, at + closes)
+    if html[name.end() : name.end() + 1] == ">":
+        return Tag(name[0].lower(), closes, {}, False, name.end() + 1)
     at, attributes, n = name.end(), {}, len(html)
     while True:
         m = _ATTRIBUTE.match(html, at)
@@ -150,6 +153,24 @@ def raw_end(html: str, at: int, tag: str) -> tuple[int, int]:
     return close.start(), len(html) if found is None else found.end
 
 
+def style_sheets(html: str) -> str:
+    """The content of the style elements, outside comments and other raw text; nothing else is read."""
+    css: list[str] = []
+    at = 0
+    while (m := _RAW_OR_COMMENT.search(html, at)) is not None:
+        if m[1] is None:
+            end = _COMMENT_END.search(html, m.end())
+            at = len(html) if end is None else end.end()
+            continue
+        tag = read_tag(html, m.start() + 1)
+        if tag is None:
+            break
+        end, at = raw_end(html, tag.end, tag.name)
+        if tag.name == "style":
+            css.append(html[tag.end : end])
+    return "\n".join(css)
+
+
 class Rule(NamedTuple):
     """A style rule that shows or hides: None leaves it to other rules."""
 
@@ -170,6 +191,8 @@ def asked(declarations: str) -> tuple[bool | None, bool | None]:
 def style_rules(css: str) -> list[Rule]:
     """Rules of a style sheet that show or hide, weakest first; blocks of ``@media`` count for screens and all."""
     rules: list[Rule] = []
+    if "display" not in css.lower() and "visibility" not in css.lower():
+        return rules
     css = _COMMENT.sub(" ", css)
     at, inside = 0, [True]
     while (opened := css.find("{", at)) >= 0:
@@ -544,22 +567,7 @@ def read_page(html: str | None) -> tuple[str | None, str]:
     """The title and the visible text of a page; null and empty pages have none and show nothing."""
     if not html:
         return None, ""
-    rules: list[Rule] = []
-    if re.search("<style", html, re.I):
-        tokens, css = scan(html), []
-        token = next(tokens, None)
-        while token is not None:
-            moved = None
-            if isinstance(token, Tag) and not token.closes and token.name in RAW:
-                end, moved = raw_end(html, token.end, token.name)
-                if token.name == "style":
-                    css.append(html[token.end : end])
-            try:
-                token = tokens.send(moved)
-            except StopIteration:
-                break
-        rules = style_rules("\n".join(css))
-    page = Page(rules)
+    page = Page(style_rules(style_sheets(html)))
     page.feed(html)
     text = page.text()
     return page.title, text
