@@ -86,6 +86,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.spelling_variants import count_words, spelling_variants
+
+    return spelling_variants(count_words(table(spark, sf_dir, "documents"), least_length=5, least_count=3, drop_one_in=97), ratio=2)
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality": op2_quality,
@@ -97,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op8_surrogates": op8_surrogates,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_html_text": op10_html_text,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 #: DuckDB SQL with the same result, where SQL over whole tables can express it.
