@@ -92,6 +92,18 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(count_words(table(spark, sf_dir, "documents"), least_length=5, least_count=3, drop_one_in=97), ratio=2)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.lexical_search import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.language_id import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality": op2_quality,
@@ -104,7 +116,41 @@ QUERIES: dict[str, Query] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_html_text": op10_html_text,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_language_id": op13_language_id,
 }
 
 #: DuckDB SQL with the same result, where SQL over whole tables can express it.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op12_lexical_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS place, doc_id,
+                regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ),
+        held AS (SELECT place, doc_id, len(terms) AS n, unnest(terms) AS term FROM d WHERE len(terms) > 0),
+        sizes AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS all_terms FROM d WHERE len(terms) > 0),
+        counted AS (SELECT place, doc_id, n, term, count(*) AS tf FROM held GROUP BY ALL),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM counted, sizes GROUP BY term, docs
+        ),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ),
+        scored AS (
+            SELECT item_id, doc_id, place,
+                CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // all_terms)))) AS BIGINT) AS score
+            FROM asked JOIN weights USING (term) JOIN counted USING (term), sizes
+            GROUP BY item_id, doc_id, place
+        ),
+        ranked AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+            FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
+}
