@@ -5,16 +5,25 @@ makes its row and a row its table), drops what a browser does not show, and rend
 close: blocks stand on their own lines, paragraphs and headings apart from each other, list items carry
 their marker and indentation, and table cells are padded to aligned columns, which spans of columns and rows
 keep. ``pre`` keeps its white space. Hidden is what its tag, its ``hidden`` or ``style`` attribute or a rule of
-the page's ``<style>`` elements hides; rules count if they select by one tag, by classes or by an id.
+the page's ``<style>`` elements hides, a dialog that is not open, and what a closed ``details`` holds beside its
+summary; rules count if they select by one tag, by classes or by an id.
+
+Time and text grow in proportion to the page. Every line is laid out once, in one pass over the finished parts. As in
+browsers the tree has at most ``DEEPEST`` levels: further elements stand beside each other. Items more than ``INDENTED``
+levels deep show their level as a number instead of blanks, tables within ``NESTED`` others show a cell a line, and
+where padding would take more than the page has bytes, cells after a very wide one begin a line, or none are padded.
+No text is dropped.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -46,7 +55,8 @@ ENDS = {
     "button": ({"button"}, {"td", "th", "table", "caption", "object", "template"}),
 }
 SCOPE = frozenset({"td", "th", "table", "caption", "html"})  # end tags do not reach out of these
-OWN = frozenset({"li", "td", "th", "tr", "table", "caption", "blockquote"})  # rendered on their own
+OWN = frozenset({"td", "th", "tr", "table"})  # rendered on their own
+INDENTS = frozenset({"li", "blockquote"})  # their lines are indented
 SPECIAL = BLOCK | {"object", "template", "button", "select"}  # end tags of other inline elements do not reach out of these
 #: Misnested, they begin anew after the end of what held them.
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
@@ -68,12 +78,14 @@ _COMMENT_END = re.compile("--!?>")
 _GAP = re.compile(r"[\s/]*")
 _RAW_OR_COMMENT = re.compile(rf"<!--|<({'|'.join(sorted(RAW))})(?=[\s/>])", re.I)
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)", re.I)
-_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)(\s*!\s*important)?", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)(\s*!\s*important)?", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
 _SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)$")
 #: Rows and columns that a cell may span (fixed by the HTML standard).
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Levels of the tree, of indentation by blanks, and of tables within cells; a very wide cell.
+DEEPEST, INDENTED, NESTED, VERY_WIDE = 512, 12, 6, 100
 
 
 class Tag(NamedTuple):
@@ -171,21 +183,36 @@ def style_sheets(html: str) -> str:
     return "\n".join(css)
 
 
+class Asked(NamedTuple):
+    """Something asked for or not (None), and whether it is important."""
+
+    value: bool | None = None
+    strong: bool = False
+
+    def over(self, other: Asked) -> Asked:
+        """This one where it asks for something and is not the weaker."""
+        return other if self.value is None or (other.strong and not self.strong) else self
+
+
 class Rule(NamedTuple):
-    """A style rule that shows or hides: None leaves it to other rules."""
+    """A style rule that takes elements out or makes them invisible."""
 
     weight: tuple[int, int, int]
     tag: str | None
     classes: frozenset[str]
     id: str | None
-    gone: bool | None
-    dim: bool | None
+    gone: Asked
+    dim: Asked
 
 
-def asked(declarations: str) -> tuple[bool | None, bool | None]:
+def asked(declarations: str) -> tuple[Asked, Asked]:
     """Whether declarations take an element out, and whether they make it invisible."""
-    display, visibility = _DISPLAY.findall(declarations), _VISIBILITY.findall(declarations)
-    return (display[-1].lower() == "none" if display else None), (visibility[-1].lower() != "visible" if visibility else None)
+    gone = dim = Asked()
+    for value, strong in _DISPLAY.findall(declarations):
+        gone = Asked(value.lower() == "none", bool(strong)).over(gone)
+    for value, strong in _VISIBILITY.findall(declarations):
+        dim = Asked(value.lower() != "visible", bool(strong)).over(dim)
+    return gone, dim
 
 
 def style_rules(css: str) -> list[Rule]:
@@ -211,7 +238,7 @@ def style_rules(css: str) -> list[Rule]:
         close = css.find("}", opened)
         body, at = css[opened + 1 : close if close >= 0 else len(css)], close + 1 if close >= 0 else len(css)
         gone, dim = asked(body)
-        if not inside[-1] or (gone is None and dim is None):
+        if not inside[-1] or (gone.value is None and dim.value is None):
             continue
         for selector in head.split(","):
             m = _SELECTOR.match(selector.strip())
@@ -221,7 +248,12 @@ def style_rules(css: str) -> list[Rule]:
             ids = re.findall(r"#([\w-]+)", m[2])
             tag = m[1].lower() if m[1] and m[1] != "*" else None
             rules.append(Rule((len(ids), len(classes), tag is not None), tag, classes, ids[0] if ids else None, gone, dim))
-    return sorted(rules, key=lambda rule: rule.weight)
+    merged: dict[tuple, Rule] = {}  # of rules with the same selector the later ones win
+    for rule in rules:
+        key = (rule.tag, rule.classes, rule.id, rule.weight)
+        before = merged.pop(key, rule)
+        merged[key] = rule._replace(gone=rule.gone.over(before.gone), dim=rule.dim.over(before.dim))
+    return sorted(merged.values(), key=lambda rule: rule.weight)
 
 
 class Cell(NamedTuple):
@@ -231,7 +263,7 @@ class Cell(NamedTuple):
 
 
 class Element:
-    __slots__ = ("tag", "out", "hides", "dims", "gone", "dim", "pre", "rows", "cells", "count", "span", "down")
+    __slots__ = ("tag", "out", "hides", "dims", "gone", "dim", "pre", "rows", "cells", "count", "span", "down", "foreign", "closed", "plain")
 
     def __init__(self, tag: str, out: list, hides: bool, dims: bool | None, pre: bool):
         self.tag, self.out, self.pre = tag, out, pre
@@ -240,13 +272,33 @@ class Element:
         self.rows: list[list[Cell] | None] | None = None  # None: a group of rows ends
         self.cells: list[Cell] | None = None
         self.count, self.span, self.down = 0, 1, 1
+        self.foreign = False  # part of an image or a formula
+        self.closed = False  # details that show their first summary only
+        self.plain = False  # of a table within too many others
+
+
+class Indent(NamedTuple):
+    """The lines from here on are indented; the first one carries the marker."""
+
+    marker: str
+    width: int
+
+
+#: The lines up to here were indented.
+DEDENT = object()
 
 
 def flow(parts: list) -> str:
-    """Lines of inline text (str), finished blocks (tuple of one str) and breaks (int: line ends wanted)."""
+    """Lines of inline text (str), finished blocks (tuple of one str), breaks (int: line ends wanted), indents and dedents.
+
+    Breaks at the beginning and the end of what is indented do not count.
+    """
     done: list[str] = []
     line: list[str] = []
     wanted = 0
+    frames: list[Indent] = []
+    due: list[int] = []  # frames whose marker no line has carried yet
+    first = 0  # frames that have no line yet
 
     def end_line() -> None:
         text = "".join(line).strip(" ")
@@ -255,22 +307,48 @@ def flow(parts: list) -> str:
             put(_SPACE.sub(" ", text) if "\0" not in text else text.replace("\0", ""))
 
     def put(text: str) -> None:
-        nonlocal wanted
+        nonlocal wanted, first
         if done:
             done.append("\n" * max(1, wanted))
+        if frames:
+            shown = frames if len(frames) <= INDENTED else [*frames[: INDENTED - 1], frames[-1]]
+            numbers = [*range(len(frames))] if shown is frames else [*range(INDENTED - 1), len(frames) - 1]
+            waiting = set(due[: INDENTED - 1]) | set(due[-1:])
+            prefix = [frame.marker if n in waiting else " " * frame.width for n, frame in zip(numbers, shown, strict=True)]
+            if shown is not frames:
+                prefix.insert(-1, f"[{len(frames)}] ")
+            due.clear()
+            done.append("".join(prefix))
         done.append(text)
-        wanted = 0
+        wanted = first = 0
 
     for part in parts:
         if isinstance(part, str):
             line.append(part)
         elif isinstance(part, int):
             end_line()
-            wanted = max(wanted, part) if part != 3 else max(wanted + 1, 1)
+            if not first:
+                wanted = max(wanted, part) if part != 3 else max(wanted + 1, 1)
+        elif isinstance(part, Indent):
+            end_line()
+            if part.marker:
+                due.append(len(frames))
+            frames.append(part)
+            first += 1
+        elif part is DEDENT:
+            end_line()
+            frames.pop()
+            if due and due[-1] == len(frames):
+                due.pop()
+            if first:
+                first -= 1
+            else:
+                wanted = 0
         else:
             end_line()
-            if part[0]:
-                put(part[0])
+            for text in part[0].split("\n"):
+                if text:
+                    put(text)
     end_line()
     return "".join(done)
 
@@ -282,65 +360,108 @@ def width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def grid(rows: list[list[Cell] | None]) -> str:
-    """Rows of cells padded to aligned columns, two blanks apart; a cell stands in the first of its rows."""
+class Budget:
+    """What a page may still spend on padding and on cells that span rows."""
+
+    def __init__(self, size: int) -> None:
+        self.blanks = self.spans = 4 * size + (1 << 16)
+
+
+def grid(rows: list[list[Cell] | None], budget: Budget) -> str:
+    """Rows of cells padded to aligned columns, two blanks apart; a cell stands in the first of its rows.
+
+    If that takes more blanks than are left, very wide cells do not widen their column and end their line, and if
+    it still does, nothing is padded.
+    """
+    placed = _place(rows, budget)
+    cells = [[(at, cell.span, [(text, width(text)) for text in cell.text.split("\n")]) for at, cell in row] for row in placed]
+    for widest in (None, VERY_WIDE, 0):
+        lines = list(_lines(cells, widest))
+        blanks = sum(begin for line in lines for begin, _ in line)
+        if widest == 0 or blanks <= budget.blanks:
+            budget.blanks -= blanks if widest != 0 else 0
+            return "\n".join("".join(" " * begin + text for begin, text in line).rstrip() for line in lines)
+    return ""
+
+
+def _place(rows: list[list[Cell] | None], budget: Budget) -> list[list[tuple[int, Cell]]]:
+    """The column of each cell. Beyond the budget cells no longer make room for those that span rows."""
     placed: list[list[tuple[int, Cell]]] = []
     taken: dict[int, float] = {}  # column -> rows for which a cell from above holds it
     for row in rows:
-        if row is None:
+        if row is None or budget.spans <= 0:
             taken = {}
+        if row is None:
             continue
-        here, at, held = [], 0, dict(taken)
+        budget.spans -= len(taken)
+        here, at, held = [], 0, {column: left - 1 for column, left in taken.items() if left > 1}
         for cell in row:
             while at in taken:
                 at += 1
             here.append((at, cell))
-            if cell.down != 1:
-                held |= dict.fromkeys(range(at, at + cell.span), cell.down or float("inf"))
+            if cell.down != 1 and budget.spans > 0:
+                held |= dict.fromkeys(range(at, at + cell.span), cell.down - 1 if cell.down else float("inf"))
+                budget.spans -= cell.span
             at += cell.span
-        taken = {column: left - 1 for column, left in held.items() if left > 1}
+        taken = held
         placed.append(here)
+    return placed
+
+
+def _lines(cells: list[list[tuple[int, int, list[tuple[str, int]]]]], widest: int | None) -> Iterator[list[tuple[int, str]]]:
+    """Each line as (blanks, text) pieces."""
     wide: Counter[int] = Counter()
-    for row in placed:
-        for at, cell in row:
-            if cell.span == 1:
-                wide[at] = max([wide[at], *map(width, cell.text.split("\n"))])
-    before = [0]  # where a column begins
-    for column in range(max(wide, default=-1) + 1):
-        before.append(before[-1] + wide[column] + 2)
-    lines: list[str] = []
-    for row in placed:
-        cells = [(at, cell.text.split("\n")) for at, cell in row]
-        for k in range(max((len(text) for _, text in cells), default=0)):
-            line, reached = "", 0
-            for at, text in cells:
-                if k < len(text) and text[k]:
-                    begin = before[at] if at < len(before) else before[-1]
-                    begin = max(begin, reached + 2 if reached else 0)
-                    line += " " * (begin - reached) + text[k]
-                    reached = begin + width(text[k])
+    for row in cells:
+        for at, span, text in row:
+            if span == 1 and widest != 0:
+                wide[at] = max(wide[at], *(n for _, n in text if widest is None or n <= widest), 0)
+    columns = sorted(wide)
+    sums = [0, *accumulate(wide[column] for column in columns)]
+    last = columns[-1] + 1 if columns else 0
+    for row in cells:
+        k = 0
+        while row:
+            line, reached = [], 0
+            for at, _, text in row:
+                shown, size = text[k]
+                if not shown:
+                    continue
+                begin = 2 * min(at, last) + sums[bisect_left(columns, at)]  # columns are two blanks apart
+                begin = max(begin, reached + 2 if reached else 0)
+                line.append((begin - reached, shown))
+                reached = begin + size
+                if widest and size > widest:
+                    yield line
+                    line, reached = [], 0
             if line:
-                lines.append(line.rstrip())
-    return "\n".join(lines)
+                yield line
+            k += 1
+            row = [cell for cell in row if len(cell[2]) > k]
 
 
 class Page:
     """The open elements of a page; ``text()`` is what it shows."""
 
-    def __init__(self, rules: list[Rule] | None = None) -> None:
+    def __init__(self, rules: list[Rule] | None = None, size: int = 0) -> None:
         self.root = Element("#root", [], False, None, False)
         self.open = [self.root]
         self.tags: Counter[str] = Counter()
+        #: Where in ``open`` each tag stands; ``#special`` and ``#scope`` for all of those.
+        self.places: dict[str, list[int]] = {"#special": [], "#scope": []}
         self.title: str | None = None
+        self.budget = Budget(size)
+        self.begun = False  # a pre has just begun
         self.by_tag: dict[str, list[int]] = {}
         self.by_class: dict[str, list[int]] = {}
         self.by_id: dict[str, list[int]] = {}
+        self.known: dict[tuple, tuple[Asked, Asked]] = {}
         self.rules = rules or []
+        named = Counter(name for rule in self.rules for name in rule.classes)
         for k, rule in enumerate(self.rules):
             if rule.id is not None:
                 self.by_id.setdefault(rule.id, []).append(k)
             elif rule.classes:
-                self.by_class.setdefault(min(rule.classes), []).append(k)
+                self.by_class.setdefault(min(rule.classes, key=named.__getitem__), []).append(k)
             else:
                 self.by_tag.setdefault(rule.tag or "*", []).append(k)
 
@@ -365,33 +486,39 @@ class Page:
             except StopIteration:
                 return
 
-    def styled(self, tag: str, attributes: dict[str, str]) -> tuple[bool | None, bool | None]:
+    def styled(self, tag: str, attributes: dict[str, str]) -> tuple[Asked, Asked]:
         """What the style sheets and the element's own style ask for."""
-        gone = dim = None
+        gone = dim = Asked()
         if self.rules:
-            classes = set(attributes.get("class", "").split())
-            found = [*self.by_tag.get(tag, ()), *self.by_tag.get("*", ()), *self.by_id.get(attributes.get("id", ""), ())]
-            found += [k for name in classes for k in self.by_class.get(name, ())]
-            for k in sorted(found):
-                rule = self.rules[k]
-                if rule.classes <= classes and rule.tag in (None, tag):
-                    gone, dim = gone if rule.gone is None else rule.gone, dim if rule.dim is None else rule.dim
+            key = (tag, attributes.get("id", ""), attributes.get("class", ""))
+            if key not in self.known:
+                classes = set(key[2].split())
+                found = [*self.by_tag.get(tag, ()), *self.by_tag.get("*", ()), *self.by_id.get(key[1], ())]
+                found += [k for name in classes for k in self.by_class.get(name, ())]
+                for k in sorted(found):
+                    rule = self.rules[k]
+                    if rule.classes <= classes and rule.tag in (None, tag):
+                        gone, dim = rule.gone.over(gone), rule.dim.over(dim)
+                self.known[key] = gone, dim
+            gone, dim = self.known[key]
         if style := attributes.get("style"):
             own = asked(style)
-            gone, dim = gone if own[0] is None else own[0], dim if own[1] is None else own[1]
+            gone, dim = own[0].over(gone), own[1].over(dim)
         return gone, dim
 
     def characters(self, text: str, raw: bool = False) -> None:
+        begun, self.begun = self.begun, False
         top = self.open[-1]
         if top.tag == "head" and not raw and text.strip():
             self.pop()
             top = self.open[-1]
-        if top.gone or top.dim or raw:
+        if top.gone or top.dim or raw or top.closed:
             return
         if "&" in text:
             text = unescape(text)
         if top.pre:
-            lines = text.replace("\r\n", "\n").split("\n")
+            text = text.replace("\r\n", "\n")
+            lines = (text[1:] if begun and text.startswith("\n") else text).split("\n")
             for k, line in enumerate(lines):
                 if k:
                     top.out.append(3)
@@ -402,23 +529,41 @@ class Page:
         else:
             top.out.append(_SPACE.sub(" ", text))
 
-    def foreign(self) -> bool:
-        """Whether the innermost open element is part of an image or a formula."""
-        if not (self.tags["svg"] or self.tags["math"]):
-            return False
-        return next((e.tag in FOREIGN for e in reversed(self.open) if e.tag in FOREIGN or e.tag in INTEGRATION), False)
+    def push(self, e: Element) -> None:
+        at = len(self.open)
+        self.open.append(e)
+        self.tags[e.tag] += 1
+        self.places.setdefault(e.tag, []).append(at)
+        if e.tag in SPECIAL:
+            self.places["#special"].append(at)
+        if e.tag in SCOPE:
+            self.places["#scope"].append(at)
+
+    def unpush(self) -> Element:
+        e = self.open.pop()
+        self.tags[e.tag] -= 1
+        self.places[e.tag].pop()
+        if e.tag in SPECIAL:
+            self.places["#special"].pop()
+        if e.tag in SCOPE:
+            self.places["#scope"].pop()
+        return e
+
+    def last(self, *tags: str) -> int:
+        """Where the innermost open element of the tags stands; 0 if none does."""
+        return max((at[-1] for tag in tags if (at := self.places.get(tag))), default=0)
 
     def start(self, tag: str, attributes: dict[str, str] | None = None, alone: bool = False) -> bool:
         """Open an element; False if the tag leaves none open or its content is no raw text."""
+        self.begun = False
         attributes = attributes or {}
         if tag == "head" and self.open[-1].tag not in ("#root", "html"):
             return False
         if tag not in IN_HEAD and self.tags["head"]:
             self.close_upto({"head"}, {"template"})
-        within = self.foreign()
-        while within and tag in BREAKOUT:
+        while self.open[-1].foreign and tag in BREAKOUT:
             self.close_upto(FOREIGN, frozenset())
-            within = self.foreign()
+        within = self.open[-1].foreign
         if (within or tag in FOREIGN) and alone:
             return False
         if tag == "a" and self.tags["a"]:
@@ -433,11 +578,17 @@ class Page:
             self.start("tr")
         if tag == "tr" and not self.tags["table"]:
             self.start("table")
+        while len(self.open) >= DEEPEST:
+            self.pop()
         top = self.open[-1]
-        hides, dims, span, down = tag in HIDDEN, None, 1, 1
+        hides, dims, span, down = tag in HIDDEN or (tag == "dialog" and "open" not in attributes), None, 1, 1
+        if top.closed and tag not in VOID:
+            hides |= tag != "summary" or top.count > 0
+            top.count += tag == "summary"
         if attributes or self.rules:
-            unseen, dims = self.styled(tag, attributes)
-            hides |= unseen if unseen is not None else "hidden" in attributes
+            unseen, dimmed = self.styled(tag, attributes)
+            dims = dimmed.value
+            hides |= unseen.value if unseen.value is not None else "hidden" in attributes
             if tag in ("td", "th"):
                 span = _spanned(attributes.get("colspan"), MOST_COLUMNS) or 1
                 down = _spanned(attributes.get("rowspan"), MOST_ROWS)
@@ -448,41 +599,59 @@ class Page:
             elif not gone and tag == "hr":
                 top.out.append(2)
             return False
-        if not gone:
-            self.apart(tag, top.out)
-        out = [] if tag in OWN else top.out
-        new = Element(tag, out, hides, dims, (top.pre or tag in ("pre", "textarea")))
+        plain = tag in OWN and self.tags["table"] + (tag == "table") > NESTED
+        new = Element(tag, [] if tag in OWN and not plain and not gone else top.out, hides, dims, (top.pre or tag in ("pre", "textarea")))
         new.gone, new.dim = gone, top.dim if dims is None else dims
-        new.span, new.down = span, down
+        new.span, new.down, new.plain = span, down, plain
+        new.foreign = tag in FOREIGN or (within and tag not in INTEGRATION)
+        new.closed = tag == "details" and "open" not in attributes
+        if not gone:
+            self.opens(new, top, attributes)
+        if tag == "ol":
+            new.count = _whole(attributes.get("start"), 1) - 1
         if tag == "table":
             new.rows = []
         elif tag == "tr":
             new.cells = []
-        self.open.append(new)
-        self.tags[tag] += 1
+        self.push(new)
+        self.begun = tag in ("pre", "textarea", "listing")
         return not within
 
-    def apart(self, tag: str, out: list) -> None:
+    def opens(self, e: Element, up: Element, attributes: dict[str, str]) -> None:
+        """What stands before the content of a visible element."""
+        if e.tag == "li":
+            up.count = _whole(attributes.get("value"), up.count + 1) if up.tag == "ol" else up.count + 1
+            marker = f"{up.count}. " if up.tag == "ol" else "- "
+            up.out += [1, Indent(marker, len(marker))]
+        elif e.tag == "blockquote":
+            up.out += [2, Indent("", 2)]
+        elif e.plain or e.tag not in OWN:
+            self.apart(e, up.out)
+
+    def closes(self, e: Element, up: Element) -> None:
+        """What stands after it."""
+        if e.tag in INDENTS:
+            e.out += [DEDENT, 1 if e.tag == "li" else 2]
+        else:
+            self.apart(e, up.out)
+
+    def apart(self, e: Element, out: list) -> None:
         """The break around a block that is not rendered on its own."""
-        if tag in BLOCK and tag not in OWN:
-            out.append(2 if tag in APART and not (tag in ("ul", "ol", "menu") and self.tags["li"]) else 1)
+        if e.tag in BLOCK:
+            out.append(2 if e.tag in APART and not e.plain and not (e.tag in ("ul", "ol", "menu") and self.tags["li"]) else 1)
 
-    def close_upto(self, tags: set[str], stop: set[str] | frozenset[str]) -> None:
+    def close_upto(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
         """End the nearest open element of ``tags`` and all within it, unless ``stop`` comes first."""
-        if not any(self.tags[tag] for tag in tags):
-            return
-        for k in range(len(self.open) - 1, 0, -1):
+        while (k := self.last(*tags)) > self.last(*(stop - tags)):
             tag = self.open[k].tag
-            if tag in tags:
-                while len(self.open) > k:
-                    self.pop()
-                if tag in ("tr", "option") and len(tags) > 1:
-                    self.close_upto(tags - {tag}, stop)
-                return
-            if tag in stop:
+            while len(self.open) > k:
+                self.pop()
+            if tag not in ("tr", "option") or len(tags) == 1:
                 return
+            tags = tags - {tag}
 
     def end(self, tag: str) -> None:
+        self.begun = False
         if tag == "br":
             self.start("br")
             return
@@ -493,63 +662,47 @@ class Page:
         if tag in BLOCK or tag in HIDDEN:
             self.close_upto({tag}, SCOPE - {tag} if tag not in ("table", "body", "html") else frozenset())
             return
-        stop = False
-        for k in range(len(self.open) - 1, 0, -1):
-            found = self.open[k].tag
-            if found == tag:
-                self.take_out(k, stop)
-                return
-            stop |= found in SPECIAL
-            if found in SCOPE or (stop and tag not in FORMATTING):
-                return
+        k = self.last(tag)
+        blocks = self.last("#special") > k
+        if self.last("#scope") < k and not (blocks and tag not in FORMATTING):
+            self.take_out(k, blocks)
 
     def take_out(self, k: int, blocks: bool) -> None:
         """End the inline element at ``k``: blocks within it stay open, and so do misnested formatting elements."""
-        held = self.open[k + 1 :]
-        kept = held if blocks else [e for e in held if e.tag in FORMATTING]
-        for e in self.open[k:] if not blocks else self.open[k : k + 1]:
-            self.tags[e.tag] -= 1
-        del self.open[k:]
-        for e in kept:
+        held = [self.unpush() for _ in range(len(self.open) - k - 1)][::-1]
+        self.unpush()
+        for e in held:
+            if not blocks and e.tag not in FORMATTING:
+                continue
             up = self.open[-1]
             gone, e.gone, e.dim = e.gone, up.gone or e.hides, up.dim if e.dims is None else e.dims
+            e.foreign = e.tag in FOREIGN or (up.foreign and e.tag not in INTEGRATION)
             if gone and not e.gone:
-                self.apart(e.tag, up.out)
-            self.open.append(e)
-            self.tags[e.tag] += not blocks
+                e.out = [] if e.tag in OWN and not e.plain else up.out
+                self.opens(e, up, {})
+            self.push(e)
 
     def pop(self) -> None:
-        done = self.open.pop()
-        self.tags[done.tag] -= 1
+        done = self.unpush()
         up = self.open[-1]
         tag = done.tag
         if done.gone:
             return
-        if tag in ("thead", "tbody", "tfoot"):
-            table = next((e for e in reversed(self.open) if e.rows is not None), None)
-            if table is not None:
-                table.rows.append(None)
-        if tag not in OWN:
-            self.apart(tag, up.out)
-        elif tag == "li":
-            up.count += 1
-            marker = f"{up.count}. " if up.tag == "ol" else "- "
-            body = flow(done.out)
-            up.out += [1, (marker + body.replace("\n", "\n" + " " * len(marker)) if body else "",), 1]
+        table = self.open[self.last("table")] if self.tags["table"] else None
+        if tag in ("thead", "tbody", "tfoot") and table is not None and table.rows is not None:
+            table.rows.append(None)
+        if tag not in OWN or done.plain:
+            self.closes(done, up)
         elif tag in ("td", "th"):
             (up.cells if up.cells is not None else []).append(Cell(flow(done.out), done.span, done.down))
         elif tag == "tr":
-            table = next((e for e in reversed(self.open) if e.rows is not None), None)
-            if table is not None and done.cells:
+            if table is not None and table.rows is not None and done.cells:
                 table.rows.append(done.cells)
             up.out += done.out
-        elif tag == "blockquote":
-            body = flow(done.out)
-            up.out += [2, ("  " + body.replace("\n", "\n  ") if body else "",), 2]
         else:
             up.out += [2, *done.out, 1]
             if any(done.rows):
-                up.out += [(grid(done.rows),)]
+                up.out += [(grid(done.rows, self.budget),)]
             up.out += [2]
 
     def text(self) -> str:
@@ -558,6 +711,12 @@ class Page:
         return flow(self.root.out)
 
 
+def _whole(value: str | None, otherwise: int) -> int:
+    """A whole number of up to nine digits."""
+    m = re.match(r"\s*(-?\d{1,9})(?!\d)", value or "", re.A)
+    return int(m[1]) if m else otherwise
+
+
 def _spanned(value: str | None, most: int) -> int:
     value = (value or "").strip()
     return min(most, int(value[:9])) if value.isascii() and value.isdigit() else 1
@@ -567,7 +726,7 @@ def read_page(html: str | None) -> tuple[str | None, str]:
     """The title and the visible text of a page; null and empty pages have none and show nothing."""
     if not html:
         return None, ""
-    page = Page(style_rules(style_sheets(html)))
+    page = Page(style_rules(style_sheets(html)), len(html))
     page.feed(html)
     text = page.text()
     return page.title, text
@@ -594,7 +753,8 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, title, text`` of every row of ``pages(page_id, url, html, ...)``.
 
-    Null or empty html gives empty text and a null title. Pages of any length and depth are read whole;
+    Null or empty html gives empty text and a null title. Pages of any length and depth are read whole, in time
+    and with text in proportion to their length (what is deeper or wider than a line can show is laid out plainer);
     repeated rows and null ids are rendered like any other; other columns are ignored.
     """
     columns = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))

@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
-#: Longer texts of the sample do not teach, so that its bytes are bounded with its rows.
-MOST_TEACHING_BYTES = 32 << 10
 
 
 def held_out(doc_id: Column) -> Column:
@@ -36,9 +34,15 @@ def training_sample(labels: DataFrame, label: str, most: dict[int, int]) -> Data
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """``(doc_id, text, y)`` for a sample, which is bounded and so may be broadcast, without texts over ``MOST_TEACHING_BYTES``."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(F.broadcast(sample), "doc_id").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_TEACHING_BYTES)
+    """``(doc_id, text, y)`` for a sample, which is bounded and so may be broadcast: one row an id, whole texts of any length.
+
+    Of several texts of an id the one with the least hash teaches, so that repeated rows add nothing to the sample;
+    they are reduced where they are read, before they are dealt by id.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    met = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.struct(F.xxhash64("text").alias("h"), "text").alias("least"))
+    once = met.groupBy("doc_id", "y").agg(F.min("least").alias("least"))
+    return once.select("doc_id", "least.text", "y")
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:

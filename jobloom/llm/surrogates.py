@@ -1,8 +1,8 @@
 """Personal data replaced by keyed surrogates, with built-in functions only.
 
 Entities are found by patterns and replaced by others of the same type and form: digits by digits, letters
-by letters of the same case and script, names by names of the same gender and script, addresses by
-addresses of the same length; country codes stay, and check digits of cards and IBANs stay right. The
+by letters of the same case and script, names by names of the same gender and script, composed of syllables so
+that they never run out, addresses by addresses of the same length; country codes stay, and check digits of cards and IBANs stay right. The
 replacement is drawn from SHA-256 of a secret key, the type and the entity's canonical form (case and
 punctuation do not matter), so that every mention of an entity gets the same surrogate everywhere
 (coreference). A person has one gender over all titles of the table, and within a document the full name or
@@ -19,24 +19,21 @@ from pyspark.sql import functions as F
 from jobloom.llm.numbering import join_hint
 from jobloom.llm.scratch import discard, fresh, materialize
 
-# Honorifics by gender, and names by gender and script.
+#: Forms of address by gender.
 MALE_TITLES = "Mr|Herr|Monsieur|Señor|Sr|Don|Господин|Κύριος"
 FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Madame|Señora|Sra|Doña|Госпожа|Κυρία"
 OTHER_TITLES = "Dr|Prof"
-NAMES = {
-    ("latin", "m"): "Adam Albert Bruno Carl Daniel Erik Felix Georg Hugo Ivan Jonas Karl Leon Martin Nils Oscar Paul Robert Simon Victor",
-    ("latin", "f"): "Alma Anna Berta Clara Diana Elena Emma Flora Greta Helena Irma Julia Karla Laura Maria Nina Olga Paula Rosa Sofia",
-    ("latin", "n"): "Alex Andrea Charlie Dana Eden Jamie Jules Kim Lee Luca Max Nikita Noa Robin Sam Sascha Taylor Toni Val Wren",
-    ("latin", "last"): "Arden Beck Brandt Castell Dorn Ferrer Garde Holm Ibarra Jansen Keller Lindt Moreau Navarro Orlov Prado Quist Renner Salas Thorn",
-    ("cyrillic", "m"): "Алексей Андрей Борис Виктор Григорий Дмитрий Егор Иван Максим Николай",
-    ("cyrillic", "f"): "Алла Анна Вера Галина Дарья Елена Ирина Мария Ольга Татьяна",
-    ("cyrillic", "n"): "Женя Саша Валя Слава Шура",
-    ("cyrillic", "last"): "Бойко Гончар Диденко Зорин Коваль Левченко Мороз Павлюк Савчук Ткач",
-    ("greek", "m"): "Αλέξης Γιάννης Δημήτρης Κώστας Μάριος Νίκος Πέτρος Σπύρος",
-    ("greek", "f"): "Άννα Γεωργία Δήμητρα Ελένη Ιωάννα Κατερίνα Μαρία Σοφία",
-    ("greek", "n"): "Αλεξ Νικολ Φίλη",
-    ("greek", "last"): "Βλάχος Δούκας Καρράς Λάμπρου Μάνος Παππάς Ρήγας Σταύρου",
-}
+#: Consonants and vowels that make the syllables of names, by script.
+SOUNDS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрстф", "аеиоу"), "greek": ("βγδζθκλμνπρστφ", "αεηιο")}
+#: What names end in, by script and gender (n: either), and what surnames do.
+ENDINGS = {
+    ("latin", "m"): "n r s l rd m ns rt", ("latin", "f"): "a ia na lla ea sa ra nne", ("latin", "n"): "i y ie ey e o ou u",
+    ("latin", "last"): "mann ski son berg ez ni feld dal",
+    ("cyrillic", "m"): "н р й м слав мир с т", ("cyrillic", "f"): "на ла ша ня ра са та мила", ("cyrillic", "n"): "ня ша ля ка ся ва жа тя",
+    ("cyrillic", "last"): "нко ук ко вич х ян ун рь",
+    ("greek", "m"): "ς νος ρης λος κος ων σης μος", ("greek", "f"): "να λα ρω σια νη τω κα λη", ("greek", "n"): "φι λι νι ρι κι τι μι πι",
+    ("greek", "last"): "κης πουλος ιδης κος τος λας ρας νης",
+}
 ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
@@ -44,20 +41,23 @@ ALPHABETS = (
 )
 
 HEX = "0123456789abcdef"
-#: Draws from the lists of names before a name is spelled anew.
-LISTED_DRAWS = 4
+#: Syllables of a name and of a surname; every second draw after a collision adds one to the surname, so that the
+#: names never end: the first draw has some two million surnames, each syllable more makes them seventy times as many.
+FIRST_SYLLABLES, LAST_SYLLABLES = 2, 3
 #: Draws of the same length. A form such as ``a@b.co`` has few others, which may all be entities of the table;
 #: later draws add a letter a draw, and octets take any value.
 FORM_DRAWS = 6
 #: Draws after which an entity whose form has no free surrogate gets a placeholder of its kind and 16 keyed signs.
 MOST_DRAWS = 40
 
-# Country calling codes of one and two digits; all others have three.
+#: Country calling codes of one and two digits; all others have three.
 CALLING_CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 _HEX4, _NOT_HEX = "[0-9A-Fa-f]{1,4}", r"(?![\w:])"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+#: A repeated group has a bound, as Java matches each turn of one by a deeper call; character classes need none. A
+#: domain has at most 127 labels.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s*[:=]\s*)(?:\"[^\"\n]+\"|'[^'\n]+'|[^\s\"',;]+)",
     "cloud_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d.]*\d)",
@@ -153,38 +153,57 @@ def _with_check_digits(kind: Column, value: Column, drawn: Column) -> Column:
 
 
 def _number(place: Column) -> Column:
-    """32 bits of the column ``stream`` at a place."""
-    return F.conv(F.substring("stream", (place * 8 + 1).cast("int"), F.lit(8)), 16, 10).cast("long")
+    """32 bits of the column ``stream``, blocks of eight such numbers, at a place."""
+    block = F.get("stream", F.floor(place / 8).cast("int"))
+    return F.conv(F.substring(block, (F.pmod(place, F.lit(8)) * 8 + 1).cast("int"), F.lit(8)), 16, 10).cast("long")
 
 
 def _replaced(c: Column, place: Column) -> Column:
     """A letter or digit by another of its alphabet; any other character stays."""
     own = F.get(F.filter(F.array(*map(F.lit, ALPHABETS)), lambda a: F.instr(a, c) > 0), F.lit(0))
     letters = F.when(F.col("hexadecimal") & c.rlike("^[0-9a-fA-F]$"), F.when(F.col("middle").rlike("[A-F]"), HEX.upper()).otherwise(HEX)).otherwise(own)
-    drawn = F.substring(letters, (F.pmod(_number(place), F.length(letters)) + 1).cast("int"), F.lit(1))
-    return F.when(letters.isNull(), c).otherwise(drawn)
+    # Named once: an expression would be computed wherever it stands.
+    drawn = F.transform(F.array(letters), lambda a: F.substring(a, (F.pmod(_number(place), F.length(a)) + 1).cast("int"), F.lit(1)))
+    return F.coalesce(F.get(drawn, F.lit(0)), c)
+
+
+def _name(script: Column, gender: Column, attempt: Column) -> tuple[Column, Column]:
+    """A name of a script and gender, and a surname, composed of syllables."""
+    syllables = F.create_map(*[x for of, (c, v) in SOUNDS.items() for x in (F.lit(of), F.array(*[F.lit(a + b) for a in c for b in v]))])
+    endings = F.create_map(*[x for (of, which), ends in ENDINGS.items() for x in (F.lit(f"{of}/{which}"), F.array(*map(F.lit, ends.split())))])
+
+    def composed(first: int, count: Column, which: Column) -> Column:
+        known, ends = F.element_at(syllables, script), F.element_at(endings, F.concat(script, F.lit("/"), which))
+        spoken = F.transform(F.sequence(F.lit(1), count), lambda i: F.get(known, F.pmod(_number(i + first), F.size(known)).cast("int")))
+        ending = F.get(ends, F.pmod(_number(F.lit(first)), F.size(ends)).cast("int"))
+        return F.initcap(F.concat(F.array_join(spoken, ""), ending))
+
+    more = F.floor(F.greatest(attempt, F.lit(0)) / 2).cast("int")
+    return composed(0, F.lit(FIRST_SYLLABLES), gender), composed(FIRST_SYLLABLES + 1, F.lit(LAST_SYLLABLES) + more, F.lit("last"))
 
 
 def with_surrogates(df: DataFrame, secret: str) -> DataFrame:
     """Add ``surrogate`` to a described table with ``value``, ``gender`` and ``attempt`` (draws after collisions; -1: a placeholder)."""
-    key = F.concat(F.lit(f"{secret}|"), "entity", F.lit("|"), F.col("attempt").cast("string"), F.lit("|"))
+    # Long entities are hashed once, outside the blocks' function, and their blocks from that.
+    key = F.sha2(F.concat(F.lit(f"{secret}|"), "entity", F.lit("|"), F.col("attempt").cast("string")), 256)
     changeable = F.col("middle").rlike(f"[{''.join(ALPHABETS)}]")  # else there is nothing to draw but letters to add
     added = F.greatest(F.lit(0), F.col("attempt") + F.when(changeable, 1 - FORM_DRAWS).otherwise(1))
-    df = df.withColumn("added", F.when(F.col("kind").isin("email", "secret", "person"), added).otherwise(0))
-    blocks = F.sequence(F.lit(0), F.floor((F.length("middle") + F.col("added")) / 8).cast("int"))
-    stream = F.array_join(F.transform(blocks, lambda j: F.sha2(F.concat("key", j.cast("string")), 256)), "")
-    df = df.withColumn("key", key).withColumn("stream", stream)
+    df = df.withColumn("added", F.when(F.col("kind").isin("email", "secret"), added).otherwise(0))
+    named = F.col("kind") == "person"
+    syllables = FIRST_SYLLABLES + LAST_SYLLABLES + 2 + F.greatest(F.col("attempt"), F.lit(0))
+    numbers = F.when(named, syllables).otherwise(F.length("middle") + F.col("added"))
+    blocks = F.sequence(F.lit(0), F.floor(numbers / 8).cast("int"))
+    streams = F.transform(F.array(key), lambda k: F.transform(blocks, lambda j: F.sha2(F.concat(k, F.lit("|"), j.cast("string")), 256)))
+    df = df.withColumn("stream", F.get(streams, F.lit(0)))
     hexadecimal = (F.col("kind") == "secret") & F.col("middle").rlike("^[0-9a-f]+$")
     df = df.withColumn("hexadecimal", hexadecimal | (F.col("kind") == "ipv6"))
     # Punctuation takes no place, so that all spellings of an entity draw alike.
-    spelled = F.aggregate(
-        F.split("middle", ""),
-        F.struct(F.lit("").alias("done"), F.lit(0).alias("place")),
-        lambda s, c: F.struct(
-            F.concat(s["done"], _replaced(c, s["place"])).alias("done"),
-            (s["place"] + F.when(c.rlike(r"[\p{L}\d]"), 1).otherwise(0)).alias("place"),
-        ),
-    )
+    sign = r"[\p{L}\d]"
+    signs = F.when(named, F.array().cast("array<string>")).otherwise(F.regexp_extract_all("middle", F.lit(sign), F.lit(0)))
+    between = F.when(named, F.array().cast("array<string>")).otherwise(F.split("middle", sign, -1))
+    df = df.withColumns({"signs": signs, "between": between})
+    redrawn = F.transform("signs", _replaced)
+    spelled = F.array_join(F.zip_with("between", redrawn, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
     octets = F.transform(
         F.split("middle", r"\."),
         lambda o, i: F.when(F.col("attempt") >= FORM_DRAWS, F.pmod(_number(i), F.lit(256)))
@@ -193,30 +212,26 @@ def with_surrogates(df: DataFrame, secret: str) -> DataFrame:
         .otherwise(100 + F.pmod(_number(i), F.lit(156)))
         .cast("string"),
     )
-    middle, gender = F.col("middle"), F.col("gender")
-    script = F.when(middle.rlike(r"\p{IsCyrillic}"), "cyrillic").when(middle.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    letters = F.when((F.col("kind") == "person") & (script != "latin"), F.when(script == "greek", ALPHABETS[5]).otherwise(ALPHABETS[3]))
-    letters = F.coalesce(letters, F.when(F.col("hexadecimal"), HEX).otherwise(ALPHABETS[1]))
+    middle = F.col("middle")
+    letters = F.when(F.col("hexadecimal"), HEX).otherwise(ALPHABETS[1])
     tail = F.transform(
         F.slice(F.sequence(F.lit(0), F.col("added")), F.lit(2), F.col("added")),
-        lambda i: F.substring(letters, (F.pmod(_number(spelled["place"] + i - 1), F.length(letters)) + 1).cast("int"), F.lit(1)),
+        lambda i: F.substring(letters, (F.pmod(_number(F.size("signs") + i - 1), F.length(letters)) + 1).cast("int"), F.lit(1)),
     )
-    anew = F.concat(spelled["done"], F.array_join(tail, ""))
-    lists = F.create_map(*[F.lit(x) for (of, which), names in NAMES.items() for x in (f"{of}/{which}", names)])
-    df = df.withColumn("firsts", F.split(F.element_at(lists, F.concat(script, F.lit("/"), gender)), " "))
-    df = df.withColumn("lasts", F.split(F.element_at(lists, F.concat(script, F.lit("/last"))), " "))
-    first = F.get("firsts", F.pmod(_number(F.lit(0)), F.size("firsts")).cast("int"))
-    last = F.get("lasts", F.pmod(_number(F.lit(1)), F.size("lasts")).cast("int"))
-    name = F.when(middle.rlike("[ \u00A0]"), F.concat(first, F.lit(" "), last)).otherwise(last)
-    # Lists of names are short: after some collisions a name is spelled anew instead.
-    new = F.when(F.col("kind") == "ip", F.array_join(octets, ".")).when(
-        (F.col("kind") == "person") & (F.col("attempt") < LISTED_DRAWS), name
-    )
-    drawn = F.concat("before", new.otherwise(anew), "after")
-    df = df.withColumn("surrogate", F.when(F.col("kind").isin("card", "iban"), _with_check_digits(F.col("kind"), F.col("value"), drawn)).otherwise(drawn))
-    placeholder = F.concat(F.lit("["), "kind", F.lit("-"), F.substring("stream", 1, 16), F.lit("]"))
+    anew = F.concat(spelled, F.array_join(tail, ""))
+    script = F.when(middle.rlike(r"\p{IsCyrillic}"), "cyrillic").when(middle.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    df = df.withColumn("script", script)
+    first, last = _name(F.col("script"), F.col("gender"), F.col("attempt"))
+    name = F.when(~named, "").when(middle.rlike("[ \u00A0]"), F.concat(first, F.lit(" "), last)).otherwise(last)
+    df = df.withColumn("name", name)
+    name = F.when(F.upper(middle) == middle, F.upper("name")).otherwise(F.col("name"))
+    new = F.when(F.col("kind") == "ip", F.array_join(octets, ".")).when(named, name)
+    df = df.withColumn("drawn", F.concat("before", new.otherwise(anew), "after"))  # a column, as check digits need it several times
+    checked = _with_check_digits(F.col("kind"), F.col("value"), F.col("drawn"))
+    df = df.withColumn("surrogate", F.when(F.col("kind").isin("card", "iban"), checked).otherwise(F.col("drawn")))
+    placeholder = F.concat(F.lit("["), "kind", F.lit("-"), F.substring(F.get("stream", F.lit(0)), 1, 16), F.lit("]"))
     df = df.withColumn("surrogate", F.when(F.col("attempt") < 0, placeholder).otherwise(F.col("surrogate")))
-    return df.drop("key", "stream", "hexadecimal", "added", "firsts", "lasts")
+    return df.drop("stream", "hexadecimal", "added", "signs", "between", "script", "name", "drawn")
 
 
 def _draws(values: DataFrame, secret: str) -> DataFrame:

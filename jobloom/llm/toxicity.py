@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from jobloom.llm.labelled import held_out, labelled_texts, logistic, training_sample
 from jobloom.llm.scratch import materialize
 
-#: At most this many rows of each label teach, of up to labelled.MOST_TEACHING_BYTES.
+#: At most this many rows of each label teach.
 TRAINING_ROWS = {0: 6000, 1: 3000}
 #: Neighbourhoods that a term needs; letters of a word beginning.
 LEAST_SUPPORT, BEGINNINGS = 5, (3, 4, 5, 6, 7, 8)
@@ -120,11 +120,15 @@ def _weight(automaton, text: str) -> float:
     return total - sum(excused.values())
 
 
-def _density_of(automaton, text: str | None) -> float:
-    folded = fold(text)
+def _density_of(automaton, folded: str) -> float:
     return density(_weight(automaton, folded), len(folded) - 2)
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([fold(text) for text in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=["text", "y"])
+
+
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
     """Parts of the batches, which bound what a task holds as Python strings."""
     for batch in batches:
@@ -139,7 +143,7 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in _slices(batches):
         seen: set[tuple[str, int]] = set()
         for text in batch.column(0).to_pylist():
-            words = ["", *fold(text).split(), ""]
+            words = ["", *text.split(), ""]
             for before, word, after in zip(words, words[1:], words[2:]):
                 around = xxhash.xxh3_64_intdigest(f"{before} {word} {after}") >> 1
                 seen |= {(word, around), (bare(word), around)}
@@ -159,8 +163,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in _slices(batches):
-        for text in batch.column(0).to_pylist():
-            folded = fold(text)
+        for folded in batch.column(0).to_pylist():
             counts.update(folded.split())
             counts.update(_bare_words(folded).split())
         if len(counts) >= 100_000:
@@ -176,8 +179,7 @@ def _occurrences(terms: list[str]):
         automaton, known = Lexicon(dict.fromkeys(terms, 1.0)).automaton(), set(terms)
         for batch in _slices(batches):
             rows = []
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                folded = fold(text)
+            for folded, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not known or next(automaton.iter(folded), None) is None:
                     continue
                 words = ["", *folded.split(), ""]
@@ -193,11 +195,11 @@ def _occurrences(terms: list[str]):
     return run
 
 
-def _densities(lexicon: Lexicon):
+def _densities(lexicon: Lexicon, prepare=fold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in _slices(batches):
-            values = [_density_of(automaton, text) for text in batch.column(1).to_pylist()]
+            values = [_density_of(automaton, prepare(text)) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(values, pa.float64())], names=[batch.schema.names[0], "density"]
             )
@@ -205,10 +207,10 @@ def _densities(lexicon: Lexicon):
     return run
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Lexicon:
-    """A lexicon of all telling terms in at most ``TRAINING_ROWS`` rows that may teach."""
-    sample = labelled_texts(docs, training_sample(labels, label, TRAINING_ROWS))
-    sample = materialize(sample.select("text", "y"), "labelled")
+def learn_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: dict[int, int] | None = None) -> Lexicon:
+    """A lexicon of all telling terms in at most ``most`` rows of each label (``TRAINING_ROWS``), one row an id, that may teach."""
+    sample = labelled_texts(docs, training_sample(labels, label, most or TRAINING_ROWS))
+    sample = materialize(sample.select("text", "y").mapInArrow(_folded, "text string, y int"), "labelled")
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     around = sample.filter("y = 1").select("text").mapInArrow(_neighbourhoods, "word string, around long")
@@ -252,8 +254,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> L
         if term in terms:
             exceptions[phrase, first] += terms[term]
     lexicon = Lexicon(terms, dict(exceptions))
-    numbered = sample.select(F.col("y"), "text").mapInArrow(_densities(lexicon), "y int, density double")
-    points = numbered.collect()  # bounded by TRAINING_ROWS
+    numbered = sample.select(F.col("y"), "text").mapInArrow(_densities(lexicon, prepare=str), "y int, density double")
+    points = numbered.collect()  # one row an id of the bounded sample
     x, y = np.array([r["density"] for r in points]), np.array([r["y"] for r in points])
     lexicon.slope, lexicon.intercept = logistic(x, y)
     return lexicon
@@ -295,7 +297,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
 
     ``score`` lies between 0 and 1 and is higher where label 1 is likelier; ``predicted`` is 1 from the
     threshold on. Null and empty texts match nothing and get the lowest score. Repeated rows and null ids
-    are scored like any other row, equal texts alike; whole texts of any length are matched, and a long one
+    are scored like any other row, equal texts alike, and an id teaches once, however often it is repeated; whole texts of any length are matched, and a long one
     needs more terms for the same score; without labelled rows every score is 0.5, and an empty table gives
     no rows. Other columns of the documents are never read, whatever their names.
     """
@@ -321,7 +323,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in _slices(batches):
-            dense = np.array([_density_of(automaton, text) for text in batch.column(place).to_pylist()], dtype=float)
+            dense = np.array([_density_of(automaton, fold(text)) for text in batch.column(place).to_pylist()], dtype=float)
             score = 1 / (1 + np.exp(-np.clip(dense * slope + intercept, -30, 30)))
             yield batch.filter(pa.array(score < threshold))
 

@@ -83,3 +83,73 @@ def test_a_megabyte_of_open_tags_is_read_in_one_pass(part):
     began = time.time()
     page_text(part * ((1 << 20) // len(part)))
     assert time.time() - began < 8
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><caption>cap</caption><tr><td>a</table>", "cap\na"),
+        ("<table><caption>cap <b>two</b><p>more</caption><tr><td>a<td>b</table>", "cap two\n\nmore\n\na  b"),
+        ("<table><caption></caption><tr><td>a</table>", "a"),
+        ("<table><caption>cap", "cap"),
+        ("<caption>bare</caption>x", "bare\nx"),
+        ("<table><tr><td><table><caption>in<tr><td>a</table><td>b</table>", "in  b\na"),
+        ("<details><summary>S</summary>no<p>no</details>x", "S\nx"),
+        ("<details>no<summary>S</summary><summary>no</summary></details>", "S"),
+        ("<details open><summary>S</summary>yes</details>", "S\nyes"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<ol start=5><li>a<li value=9>b<li>c</ol>", "5. a\n9. b\n10. c"),
+        ("<ol start=x><li>a<li hidden>no<li>b</ol>", "1. a\n2. b"),
+        ("<style>.h{display:none!important}</style><p class=h style='display:block'>no<p class=h style='display:block ! important'>yes", "yes"),
+        ("<style>.h{display:none !important} p.h{display:block}</style><p class=h>no<p>yes", "yes"),
+        ("<style>.h{display:none} .h{display:block}</style><p class=h>yes", "yes"),
+        ("<pre>\na\n\n b</pre>", "a\n\n b"),
+        ("<ul><li><p>one<p>two<li><ul><li>in</ul><li>", "- one\n\n  two\n- - in"),
+        ("<blockquote>a<ul><li>b<br>c</ul>d</blockquote>e", "  a\n\n  - b\n    c\n\n  d\n\ne"),
+        ("<b hidden><li>x</b>shown</li>more", "- shown\nmore"),
+    ],
+)
+def test_captions_lists_and_closed_elements(html, text):
+    assert page_text(html) == text
+
+
+def test_deep_items_show_their_level():
+    lines = page_text("<ul><li>x" * 30).split("\n")
+    assert lines[1] == "  - x" and lines[11] == "  " * 11 + "- x"
+    assert lines[12] == "  " * 11 + "[13] - x" and lines[29] == "  " * 11 + "[30] - x"
+    assert page_text("<ul><li>" * 30 + "x").split("- ")[-1] == "x"
+
+
+def test_cells_after_very_wide_ones_begin_a_line():
+    wide = "w" * 20_000
+    rows = "<tr><td>aa<td>b" * 4000
+    text = page_text(f"<table><tr><td>{wide}<td>x{rows}</table>")
+    assert text.startswith(f"{wide}\n    x\naa  b\naa  b") and len(text) < 60_000
+
+
+_M = 1 << 20
+SHAPES = {
+    "lists": "<ul><li>x" * (_M // 9),
+    "numbered": "<ol><li>x" * (_M // 9),
+    "quotes": "<blockquote>x" * (_M // 13),
+    "misnested": "<i>" * 100_000 + "<b>" * 100_000 + "</i>" * 80_000 + "x",
+    "spans": ("<span>" + "<b>" * 20) * 8000 + "</span>" * 8000 + "x",
+    "image": "<svg>" + "<g>" * 500 + "<g></g>" * 140_000 + "</svg>x",
+    "tables": "<table><tr><td>x<td>y" * (_M // 21),
+    "wide cell": "<table><tr><td>" + "w" * 20_000 + "<td>x" + "<tr><td>a<td>b" * 60_000,
+    "wide columns": "<table><tr>" + ("<td>" + "c" * 90) * 1000 + "<tr><td colspan=999><td>x" * 30_000,
+    "spanning": "<table><tr>" + "<td rowspan=0>x" * 30_000 + "<tr><td>y" * 60_000,
+    "very many columns": "<td colspan=1000>x" * (_M // 18),
+    "tall cell": "<table><tr>" + "<td>x" * 50_000 + "<td>" + "y<br>" * 100_000,
+    "captions": "<caption>x" * (_M // 10),
+    "rules": "<style>" + "".join(f".a.b{i}{{display:none}}" for i in range(20_000)) + "</style>" + "".join(f"<i class='a c{i}'>x" for i in range(20_000)),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_a_megabyte_of_each_shape_is_linear(shape):
+    html = SHAPES[shape]
+    began = time.time()
+    text = page_text(html)
+    assert time.time() - began < 30 and len(text) <= 8 * len(html)
+    assert sum(text.count(c) for c in "xyw") >= sum(html.count(f">{c}") for c in "xyw")  # no text is dropped

@@ -1,6 +1,8 @@
 """Surrogates against rules written down in plain Python."""
 
+import random
 import re
+import time
 
 from jobloom.llm import surrogates
 from jobloom.llm.scratch import materialize
@@ -75,7 +77,7 @@ def test_persons_keep_their_names_within_a_document(spark):
     assert one == f"Mr {first} {last} came. Later {last} left, and {first} {last} wrote to Mr {last}. Rossini stays." and last != "Rossi"
     name = re.match(r"Mrs (\S+ \S+) and", two)[1]
     assert two == f"Mrs {name} and Dr {name} are one. {name.split()[1]} said so." and three == f"Dr {name} again"
-    assert name.split()[0] in surrogates.NAMES["latin", "f"].split()
+    assert name.split()[0].endswith(tuple(surrogates.ENDINGS["latin", "f"].split()))
     a, b = re.match(r"Herr (\S+) saw Mr (\S+);", four).groups()
     assert four == f"Herr {a} saw Mr {b}; {a} and {b} went" and a not in ("Keller", "Rossi") and b not in ("Keller", "Rossi")
 
@@ -116,3 +118,83 @@ def test_mentions_equal_plain_python(spark):
                 value = re.split(r"[:=]\s*", value, maxsplit=1)[1].strip("\"'")
             assert value not in out[r.doc_id].text
         del gaps
+
+
+def plain_name(secret, entity, script, gender, attempt, full):
+    """A composed name drawn from SHA-256, number by number."""
+    import hashlib
+
+    def number(place):
+        key = hashlib.sha256(f"{secret}|{entity}|{attempt}".encode()).hexdigest()
+        block = hashlib.sha256(f"{key}|{place // 8}".encode()).hexdigest()
+        return int(block[place % 8 * 8 :][:8], 16)
+
+    syllables = [c + v for c in surrogates.SOUNDS[script][0] for v in surrogates.SOUNDS[script][1]]
+
+    def composed(first, count, which):
+        ends = surrogates.ENDINGS[script, which].split()
+        spoken = [syllables[number(first + k) % len(syllables)] for k in range(1, count + 1)]
+        return ("".join(spoken) + ends[number(first) % len(ends)]).capitalize()
+
+    last = composed(surrogates.FIRST_SYLLABLES + 1, surrogates.LAST_SYLLABLES + attempt // 2, "last")
+    return f"{composed(0, surrogates.FIRST_SYLLABLES, gender)} {last}" if full else last
+
+
+def test_draws_and_collisions_replayed(spark, monkeypatch):
+    """All persons of a table drawn and drawn again as plain Python does it; few endings and syllables, so that many collide."""
+    monkeypatch.setattr(surrogates, "SOUNDS", {"latin": ("bd", "ae"), "cyrillic": ("бв", "ае"), "greek": ("βγ", "αε")})
+    monkeypatch.setattr(surrogates, "LAST_SYLLABLES", 1)
+    titles = {"Mr": "m", "Frau": "f", "Dr": "n", "Господин": "m", "Κυρία": "f"}
+    rng, values = random.Random(5), {}
+    while len(values) < 300:
+        title = rng.choice(list(titles))
+        script = {"Господин": "cyrillic", "Κυρία": "greek"}.get(title, "latin")
+        letters = {"cyrillic": "бгдежзклмн", "greek": "βγδζθκλμνξ", "latin": "bcdefghklm"}[script]
+        words = [("".join(rng.choice(letters) for _ in range(6))).capitalize() for _ in range(rng.randrange(1, 3))]
+        values[" ".join(words)] = (title, script)
+    entities = {f"person:{v.lower()}": (v, titles[t], script) for v, (t, script) in values.items()}
+    attempt = dict.fromkeys(entities, 0)
+    while True:
+        drawn = {e: plain_name("k", e, script, gender, attempt[e], " " in v) for e, (v, gender, script) in entities.items()}
+        by_new = {}
+        for e in sorted(entities, key=lambda e: (attempt[e], e)):
+            by_new.setdefault(drawn[e].lower(), []).append(e)
+        again = {e for same in by_new.values() for e in same[1:]} | {e for e in entities if f"person:{drawn[e].lower()}" in entities}
+        if not again:
+            break
+        for e in again:
+            attempt[e] += 1
+    assert max(attempt.values()) >= 3
+    texts = [f"{t} {v} spoke" for v, (t, _) in values.items()]
+    assert replaced(spark, texts) == [f"{t} {drawn[f'person:{v.lower()}']} spoke" for v, (t, _) in values.items()]
+
+
+def test_very_many_names_stay_names(spark):
+    """Names of one gender in one table: all distinct, none of random letters, none a placeholder."""
+    n = 100_000
+    df = spark.range(n).selectExpr("id AS doc_id", "concat('Mr ', initcap(translate(lpad(id, 6, '0'), '0123456789', 'abcdefghik')), ' Test saw it') AS text")
+    got = [r.text for r in surrogates.replace_personal_data(df, "k").collect()]
+    m_end, l_end = (f"(?:{surrogates.ENDINGS['latin', which].replace(' ', '|')})" for which in ("m", "last"))
+    c, v = surrogates.SOUNDS["latin"]
+    syllable = f"[{c}{v}{c.upper()}]"
+    form = re.compile(rf"Mr {syllable}+{m_end} {syllable}+{l_end} saw it")
+    assert len(set(got)) == n and all(form.fullmatch(t) for t in got)
+
+
+RUNS = {
+    "email": "x@" + "ab." * 350_000 + "co", "local part": "a." * 500_000 + "@b.co", "no at": "ab." * 350_000, "dots": "x@" + "." * 1_000_000,
+    "secret": "password=" + "x1" * 500_000, "quoted": 'token="' + "x " * 500_000 + '"', "blanks": "password" + " " * 1_000_000 + "=x", "quotes": 'token="' * 150_000,
+    "cloud_key": "AKIA" * 250_000, "ip": "1." * 500_000, "ipv6": "a1:" * 330_000, "colons": ":" * 1_000_000, "iban": "DE89" + " A1B2" * 200_000, "card": "4111 " * 200_000,
+    "digits": "7" * 1_000_000, "ssn": "123-45-6789-" * 80_000, "phone": "+49 30 " * 140_000, "plus": "+" * 1_000_000, "brackets": "(988) " * 160_000,
+    "person": "Mr A" + "b" * 1_000_000, "hyphens": "Mr A" + "b-" * 500_000, "titles": "Mr " * 330_000, "names": "Mr Ab Cd " * 110_000,
+}
+
+
+def test_a_megabyte_of_each_kind(spark):
+    """No run of a kind's own characters ends the JVM or takes long; an entity beside it is still replaced."""
+    began = time.time()
+    got = replaced(spark, [f"{run} ; mail ann@c.example" for run in RUNS.values()])
+    assert time.time() - began < 300
+    for name, run, text in zip(RUNS, RUNS.values(), got, strict=True):
+        assert "ann@c.example" not in text, name
+        assert len(text) > 0.3 * len(run) or name in ("person", "hyphens"), name  # names are drawn anew
