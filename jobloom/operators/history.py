@@ -6,31 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from jobloom.operators.segments import carried, segmented
+from jobloom.sources.scratch import materialize
+
 
 def preference_history(changes: DataFrame) -> DataFrame:
-    """``changes(profile_id, seq, ...)`` with ``is_current`` for the last row and the profile version it made."""
-    line = Window.partitionBy("profile_id").orderBy("seq")
-    return changes.withColumns({
-        "is_current": F.lead("seq").over(line).isNull(),
-        "version": F.row_number().over(line) + 1,
-    })
+    """``changes(profile_id, seq, ...)`` with ``is_current`` for the last row and the profile version it made.
+
+    A profile of very many changes is numbered in segments, each from where the ones before end.
+    """
+    rows = segmented(materialize(changes, "changes"), "profile_id", "seq")
+    begins = carried(rows, "profile_id", "seq", {}, {"_before": F.lit(1)})
+    last = rows.groupBy("profile_id").agg(F.max("segment").alias("_last"))
+    rows = rows.join(begins, ["profile_id", "segment"]).join(last, "profile_id")
+    line = Window.partitionBy("profile_id", "segment").orderBy("seq")
+    return rows.withColumns({
+        "is_current": F.lead("seq").over(line).isNull() & (F.col("segment") == F.col("_last")),
+        "version": (F.col("_before") + F.row_number().over(line) + 1).cast("int"),
+    }).drop("segment", "_before", "_last")
 
 
 def profile_versions(patches: DataFrame, fields: list[str]) -> DataFrame:
     """``patches(profile_id, seq, fields...)``: a null field is not patched.
 
     Adds ``changed_dimensions`` (sorted), ``version`` (a patch that changes nothing makes none) and
-    ``needs_reevaluation``.
+    ``needs_reevaluation``. A profile of very many patches is scanned in segments twice: for the values, and then for
+    the versions.
     """
-    past = Window.partitionBy("profile_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("profile_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = {f"_{f}": F.last(f, ignorenulls=True).over(past) for f in fields}
-    df = patches.withColumns(before)
+    rows = segmented(materialize(patches, "patches"), "profile_id", "seq")
+    begins = carried(rows, "profile_id", "seq", {f"_from_{f}": F.col(f) for f in fields})
+    past = Window.partitionBy("profile_id", "segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("profile_id", "segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = {f"_{f}": F.coalesce(F.last(f, ignorenulls=True).over(past), f"_from_{f}") for f in fields}
+    df = rows.join(begins, ["profile_id", "segment"]).withColumns(before)
     changed = [F.when(F.col(f).isNotNull() & ~F.col(f).eqNullSafe(F.col(f"_{f}")), F.lit(f)) for f in fields]
     df = df.withColumn("changed_dimensions", F.array_sort(F.array_compact(F.array(*changed))))
-    df = df.withColumn("needs_reevaluation", F.size("changed_dimensions") > 0)
-    df = df.withColumn("version", 1 + F.sum(F.col("needs_reevaluation").cast("int")).over(upto))
-    return df.drop(*before)
+    df = df.withColumn("needs_reevaluation", F.size("changed_dimensions") > 0).drop(*before, *[f"_from_{f}" for f in fields])
+    df = materialize(df, "changed")
+    made = F.col("needs_reevaluation").cast("int")
+    df = df.join(carried(df, "profile_id", "seq", {}, {"_made": made}), ["profile_id", "segment"])
+    return df.withColumn("version", 1 + F.col("_made") + F.sum(made).over(upto)).drop("segment", "_made")
 
 
 def clear_reevaluation(profiles: DataFrame, done: DataFrame) -> DataFrame:

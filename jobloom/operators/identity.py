@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from jobloom.functions.links import canonicalize_url, content_hash
 from jobloom.operators.components import connected_components
+from jobloom.operators.segments import carried, segmented
 from jobloom.sources.scratch import materialize
 
 
@@ -71,19 +72,31 @@ def merge_metadata(versions: DataFrame, column: str, identity: str = "identity",
 
 
 def snapshots(versions: DataFrame, identity: str = "identity", order: str = "seq") -> DataFrame:
-    """Earlier contents of each identity, one row per distinct content that was replaced."""
+    """Earlier contents of each identity, one row per distinct content that was replaced.
+
+    An identity of very many versions is scanned in segments: each begins with the last values of the ones before.
+    """
     fields = ["description", "description_url", "application_url"]
-    past = Window.partitionBy(identity).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = versions.select(
-        identity, order, *[F.last(F.when(F.col(f) != "", F.col(f)), ignorenulls=True).over(past).alias(f) for f in fields]
-    )
-    filled = filled.withColumn("content_hash", content_hash(*[F.col(f) for f in fields]))
-    line = Window.partitionBy(identity).orderBy(order)
-    before = {f"_{c}": F.lag(c).over(line) for c in [*fields, "content_hash"]}
+    said = [F.when(F.col(f) != "", F.col(f)).alias(f) for f in fields]
+    rows = materialize(versions.select(identity, order, *said), "versions")
+    rows = segmented(rows, identity, order)
+    begins = carried(rows, identity, order, {f"_from_{f}": F.col(f) for f in fields})
+    past = Window.partitionBy(identity, "segment").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy(identity, "segment").orderBy(order)
+    rows = rows.join(begins, [identity, "segment"])
+    filled = rows.select(identity, order, "segment", *[F.coalesce(F.last(f, ignorenulls=True).over(past), f"_from_{f}").alias(f) for f in fields],
+                         *[f"_from_{f}" for f in fields], F.row_number().over(line).alias("_place"))
+    own, start = content_hash(*[F.col(f) for f in fields]), content_hash(*[F.col(f"_from_{f}") for f in fields])
+    filled = filled.withColumns({"content_hash": own, "_start_hash": start})
+    # The first row of a segment follows what the segment began with, of a key's first segment nothing.
+    opening = F.col("_place") == 1
+    before = {f"_{c}": F.when(~opening, F.lag(c).over(line)).when(F.col("segment") > 0, F.col(f"_from_{c}")) for c in fields}
+    before["_content_hash"] = F.when(~opening, F.lag("content_hash").over(line)).when(F.col("segment") > 0, F.col("_start_hash"))
     changed = filled.withColumns(before).filter("_content_hash is not null and _content_hash <> content_hash")
     rows = changed.select(identity, F.col(order).alias("replaced_at"), *[F.col(f"_{c}").alias(c) for c in [*fields, "content_hash"]])
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(identity, "content_hash").orderBy("replaced_at")))
-    return rows.filter("_n = 1").drop("_n")
+    # All rows of a content are equal but for the place, so the first is a smallest struct.
+    first = rows.groupBy(identity, "content_hash").agg(F.min(F.struct("replaced_at", *fields)).alias("_first"))
+    return first.select(identity, "_first.replaced_at", *[f"_first.{f}" for f in fields], "content_hash")
 
 
 def mark_missing(jobs: DataFrame, seen: DataFrame, source_id: int) -> DataFrame:

@@ -18,28 +18,40 @@ FIELDS = (
 
 
 def _order(seq: Column, kind: str) -> Column:
-    """Stored sequence numbers as text that sorts like them."""
+    """Stored sequence numbers as text that sorts like them and begins with a run; what has none is of run 0.
+
+    What has a run keeps its text, so that the first sighting of a posting is called the same after every run.
+    """
     text = seq.cast("string")
-    return F.lpad(text, 20, "0") if kind in ("tinyint", "smallint", "int", "bigint") else text
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.concat(F.lit(f"{0:012d}|"), F.lpad(text, 20, "0"))
+    return F.when(text.rlike(r"^[0-9]{12}\|"), text).otherwise(F.concat(F.lit(f"{0:012d}|"), text))
+
+
+def place(run: int, source: Column, item_idx: Column) -> Column:
+    """The order of sightings, by run, source and position, as a text that needs no global numbering."""
+    return F.concat_ws("|", F.lit(f"{run:012d}"), source, F.lpad(item_idx.cast("string"), 12, "0"))
 
 
 def run_ingest(raw: DataFrame, stored: DataFrame | None = None, per_source_cap: int | None = None) -> dict[str, DataFrame]:
     """Postings, snapshots, quarantine and source results of ``raw(source, base_url, default_company, payload)``.
 
     Card pages come in a column ``html``. ``stored`` are earlier sightings (``FIELDS`` with ``seq`` and ``source``,
-    and ``metadata`` if they have it); new ones continue them, so ingesting the same feed again changes no
-    posting. ``sightings`` of the result are the next run's ``stored``.
+    and ``metadata`` if they have it); new ones are a run of their own after them, so ingesting the same feed again
+    changes no posting, and ``identity``, the first sighting, stays what it was. ``sightings`` of the result are the
+    next run's ``stored``.
     """
     good, bad = read_feeds(raw)
     if per_source_cap is not None:
         good = runs.cap_per_source(good, per_source_cap)
-    # Sightings are ordered by source and position; a text made of both needs no global numbering.
-    seq = F.concat_ws("|", F.lit("1"), "source", F.lpad(F.col("item_idx").cast("string"), 12, "0")).alias("seq")
-    sightings = good.select("source", *FIELDS, "metadata", seq)
+    run = 1
     if stored is not None:
         held = F.col("metadata") if "metadata" in stored.columns else F.lit(None).cast("map<string,string>")
-        order = F.concat(F.lit("0|"), _order(F.col("seq"), dict(stored.dtypes)["seq"])).alias("seq")
-        sightings = stored.select("source", *FIELDS, held.alias("metadata"), order).unionByName(sightings)
+        stored = stored.select("source", *FIELDS, held.alias("metadata"), _order(F.col("seq"), dict(stored.dtypes)["seq"]).alias("seq"))
+        run += stored.agg(F.max(F.left("seq", F.lit(12)).cast("long"))).first()[0] or 0
+    sightings = good.select("source", *FIELDS, "metadata", place(run, F.col("source"), F.col("item_idx")).alias("seq"))
+    if stored is not None:
+        sightings = stored.unionByName(sightings)
     keyed = sightings.withColumns({
         "canonical_url": F.coalesce(canonicalize_url(F.col("canonical_url")), F.col("canonical_url")),
         "fingerprint": fingerprint(F.col("title"), F.col("company"), F.col("location")),
@@ -81,33 +93,62 @@ def scorable(jobs: DataFrame) -> DataFrame:
 def run_scoring(postings: DataFrame, profiles: DataFrame, preferences: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """New evaluations: pairs without an evaluation of the same inputs, scored.
 
-    ``earlier(evaluation_id, job_id, profile_id, evaluated_at, fingerprint)`` are kept evaluations.
+    ``earlier(evaluation_id, job_id, profile_id, evaluated_at, fingerprint)`` are kept evaluations. Postings and
+    profiles are hashed once each, and only pairs of which a side has changed are made (``scoring.due_pairs``).
     """
-    pairs = scoring.pair(postings, profiles, preferences)
-    inputs = [c for c, kind in pairs.dtypes if c != "job_id" and not kind.startswith("map")]
-    if earlier is None:
-        due = pairs.withColumn("fingerprint", scoring.input_fingerprint(inputs))
-    else:
-        due = scoring.needs_evaluation(pairs, listing.latest_evaluation(earlier), inputs)
-    return scoring.score(due)
+    latest = None if earlier is None else listing.latest_evaluation(earlier)
+    return scoring.score(scoring.due_pairs(postings, profiles, preferences, latest))
+
+
+def mirrored(jobs: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """Postings and their evaluations as rows of the mirror, with all of its properties."""
+    listed = F.try_variant_get(F.try_parse_json(F.try_element_at("metadata", F.lit("requirements"))), "$", "array<string>")
+    scored = evaluations.select(
+        "job_id", "profile_id", "score", "matches", "gaps", "recommendations", scoring.explanation(F.col("breakdown")).alias("explanation")
+    )
+    rows = jobs.withColumns({
+        "requirements": listed, "salary_period": F.coalesce("salary_period", F.try_element_at("metadata", F.lit("salary_period"))),
+    })
+    return reconcile.to_mirror_rows(rows.join(scored, "job_id", "left"))
 
 
 def run_all(raw: DataFrame, profiles: DataFrame, preferences: DataFrame, seen: DataFrame, sources: DataFrame,
-            stored: DataFrame | None = None, root: str | None = None) -> dict[str, DataFrame]:
+            stored: DataFrame | None = None, root: str | None = None, before: DataFrame | None = None,
+            earlier: DataFrame | None = None, reactivate: bool = False) -> dict[str, DataFrame]:
     """Ingest, mark missing postings, score, project the mirror; with the run's summary.
 
     ``sources(source, source_id)`` numbers the sources; ``seen(source, url)`` are the links of this run, and active
-    postings of its sources that are not among them become inactive. With ``root`` the run log is appended
-    to its tables.
+    postings of its sources that are not among them become inactive. ``stored``, ``before`` and ``earlier`` are the
+    ``sightings``, ``jobs`` and ``all_evaluations`` of the run before: a posting keeps its id, the time it was detected
+    and its status, so one that is found again stays inactive unless ``reactivate``; and only pairs of a posting and a
+    profile of which one has changed are scored again. With ``root`` the run log is appended to its tables.
     """
     out = run_ingest(raw, stored)
-    first = out["sightings"].groupBy("canonical_url").agg(F.min_by("source", "seq").alias("source"))
-    jobs = out["postings"].withColumns({"job_id": F.xxhash64("identity"), "status": F.lit("active")})
-    jobs = jobs.join(first.join(sources, "source", "left"), "canonical_url", "left")
+    now = F.current_timestamp()
+    found = out["sightings"].groupBy("canonical_url").agg(F.min_by("source", "seq").alias("source"), F.max(F.left("seq", F.lit(12))).alias("seen_run"))
+    newest = out["sightings"].agg(F.max(F.left("seq", F.lit(12))).alias("run"))
+    jobs = out["postings"].withColumn("job_id", F.xxhash64("identity"))
+    jobs = jobs.join(found.join(sources, "source", "left"), "canonical_url", "left").join(F.broadcast(newest))  # a single row
+    again = F.col("seen_run") == F.col("run")
+    if before is None:
+        jobs = jobs.withColumns({"status": F.lit("active"), "detected_at": now, "checked_at": now})
+    else:
+        held = before.select("job_id", F.col("status").alias("_status"), F.col("detected_at").alias("_detected"), F.col("checked_at").alias("_checked"))
+        back = F.when(again, F.lit("active")) if reactivate else F.lit(None).cast("string")
+        jobs = jobs.join(held, "job_id", "left").withColumns({
+            "status": F.coalesce(back, F.col("_status"), F.lit("active")), "detected_at": F.coalesce("_detected", now),
+            "checked_at": F.coalesce(F.when(again, now), F.col("_checked"), now),
+        }).drop("_status", "_detected", "_checked")
+    jobs = jobs.drop("seen_run", "run")
     out["jobs"] = materialize(identity.mark_missing_of_sources(jobs, seen), "jobs")
-    out["evaluations"] = materialize(run_scoring(scorable(out["jobs"]), profiles, preferences), "evaluations")
-    scored = out["evaluations"].select("job_id", "profile_id", "score", "matches", "gaps", "recommendations")
-    out["mirror"] = reconcile.to_mirror_rows(out["jobs"].join(scored, "job_id", "left"))
+    made = run_scoring(scorable(out["jobs"]), profiles, preferences, earlier)
+    made = made.withColumns({"evaluation_id": F.xxhash64("job_id", "profile_id", "fingerprint"), "evaluated_at": now})
+    out["evaluations"] = materialize(made, "evaluations")
+    held = ["evaluation_id", "job_id", "profile_id", "evaluated_at", "fingerprint", "score", "breakdown", "matches", "gaps", "recommendations"]
+    every = out["evaluations"].select(*held)
+    out["all_evaluations"] = every if earlier is None else every.unionByName(earlier.select(*held))
+    latest = out["all_evaluations"] if earlier is None else listing.latest_evaluation(out["all_evaluations"])
+    out["mirror"] = mirrored(out["jobs"], latest)
     results = out["source_runs"].select(
         F.lit(1).alias("execution_id"), "source", "jobs_found", "status", F.col("jobs_found").alias("scored"), F.col("errors").alias("issues")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from jobloom.functions.fields import experience_years
+from jobloom.sources.scratch import materialize
 
 # The dimensions of a score, and the name of the rules.
 DIMENSIONS = ("skills", "experience", "seniority", "language", "location", "modality", "salary", "work_authorization")
@@ -123,7 +124,16 @@ def pair(postings: DataFrame, profiles: DataFrame, preferences: DataFrame) -> Da
     ``BROADCAST_PROFILES`` and ``BROADCAST_BYTES`` go to every partition of the postings, more are dealt in as
     many joins of that size.
     """
-    chosen = profiles.join(current_preferences(preferences), "profile_id", "left")
+    return cross(postings, profiles.join(current_preferences(preferences), "profile_id", "left"))
+
+
+def broadcast_profiles(rows: DataFrame) -> DataFrame:
+    """A narrow table with a row a profile, broadcast if they are few enough."""
+    return rows.hint("broadcast" if rows.count() <= BROADCAST_PROFILES else "shuffle_hash")
+
+
+def cross(postings: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The product of postings and profiles, with as many profiles at a time as may be broadcast."""
     size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
     n, size = chosen.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
     blocks = max(1, -(-n // BROADCAST_PROFILES), -(-size // BROADCAST_BYTES))
@@ -161,6 +171,64 @@ def needs_evaluation(pairs: DataFrame, latest: DataFrame, columns: list[str], ru
     return joined.filter(~F.col("fingerprint").eqNullSafe(F.col("_before"))).drop("_before")
 
 
+#: What a score reads of a posting, and of a profile with its preferences.
+POSTING_INPUTS = (
+    "title", "company", "description", "location", "region", "modality", "salary_max", "required_skills", "desirable_skills",
+    "constraints", "job_authorization", "required_years", "job_seniority",
+)
+
+
+def side_fingerprints(postings: DataFrame, profiles: DataFrame, preferences: DataFrame, ruleset: str = RULESET, model: str = "") -> tuple[DataFrame, DataFrame]:
+    """Postings, and profiles with their preferences, each with a hash of what a score reads of it (``_posting``, ``_profile``)."""
+    read = [c for c in POSTING_INPUTS if c in postings.columns]
+    chosen = profiles.join(current_preferences(preferences), "profile_id", "left")
+    kinds = dict(chosen.dtypes)
+    # The entries of a map are sorted, as equal maps may hold them in another order.
+    plain = [F.array_sort(F.map_entries(c)).alias(c) if kinds[c].startswith("map") else F.col(c) for c in sorted(chosen.columns) if c != "profile_id"]
+    hashed = F.sha2(F.concat(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}), F.lit(f"|{ruleset}|{model}")), 256)
+    return postings.withColumn("_posting", input_fingerprint(read, ruleset, model)), chosen.withColumn("_profile", hashed)
+
+
+def pair_fingerprint(posting: Column, profile: Column) -> Column:
+    """The fingerprint of a pair's inputs, from those of its sides, so that each can be told from a stored evaluation."""
+    return F.concat(posting, F.lit("|"), profile)
+
+
+def due_pairs(postings: DataFrame, profiles: DataFrame, preferences: DataFrame, latest: DataFrame | None = None, ruleset: str = RULESET, model: str = "") -> DataFrame:
+    """Pairs to score, with ``fingerprint``: those without an evaluation of the same inputs.
+
+    ``latest(job_id, profile_id, fingerprint)`` is the newest evaluation of each pair. Both sides are hashed once. Postings
+    that no evaluation knows as they are now meet all profiles, the others meet the profiles that none knows as they are now;
+    and postings that lack an evaluation with one of the other profiles meet these, less the pairs that are current.
+    So a run without changes makes no pair, and one with few changes makes few.
+    """
+    left, right = side_fingerprints(postings, profiles, preferences, ruleset, model)
+    if latest is None:
+        pairs = cross(left, right)
+    else:
+        left, right = materialize(left, "postings"), materialize(right, "profiles")
+        halves = F.split("fingerprint", r"\|")
+        before = latest.select("job_id", "profile_id", F.get(halves, F.lit(0)).alias("_was_posting"), F.get(halves, F.lit(1)).alias("_was_profile"))
+        now = before.join(left.select("job_id", "_posting"), "job_id").join(broadcast_profiles(right.select("profile_id", "_profile")), "profile_id")
+        same = (F.col("_was_posting") == F.col("_posting"), F.col("_was_profile") == F.col("_profile"))
+        now = materialize(now.select("job_id", "profile_id", same[0].alias("_same_posting"), same[1].alias("_same_profile")), "latest")
+        known = now.filter("_same_posting").select("job_id").distinct()
+        told = materialize(now.filter("_same_profile").select("profile_id").distinct(), "profiles")
+        changed, rest = left.join(known, "job_id", "left_anti"), materialize(left.join(known, "job_id", "left_semi"), "postings")
+        current = now.filter("_same_posting AND _same_profile").select("job_id", "profile_id")
+        done = current.groupBy("job_id").agg(F.count("*").alias("_done"))
+        lacking = rest.join(done, "job_id", "left").filter(F.coalesce("_done", F.lit(0)) < told.count()).drop("_done")
+        pairs = cross(changed, right).unionByName(cross(rest, right.join(told, "profile_id", "left_anti")))
+        pairs = pairs.unionByName(cross(lacking, right.join(told, "profile_id", "left_semi")).join(current, ["job_id", "profile_id"], "left_anti"))
+    return pairs.withColumn("fingerprint", pair_fingerprint(F.col("_posting"), F.col("_profile"))).drop("_posting", "_profile")
+
+
+def explanation(breakdown: Column) -> Column:
+    """A breakdown as a line of text: points and match of each dimension."""
+    parts = [F.concat(F.lit(f"{d}: "), breakdown[d]["points"].cast("string"), F.lit(" (match "), breakdown[d]["match"].cast("string"), F.lit(")")) for d in DIMENSIONS]
+    return F.array_join(F.array(*parts), "; ")
+
+
 def overlay_narrative(scores: DataFrame, narratives: DataFrame) -> DataFrame:
     """Replace matches, gaps and recommendations where a valid narrative exists; scores never change."""
     n = narratives.select("job_id", "profile_id", *[F.col(c).alias(f"_{c}") for c in ("matches", "gaps", "recommendations", "model")])

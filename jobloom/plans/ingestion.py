@@ -6,9 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from jobloom.functions.links import canonicalize_url, fingerprint
 from jobloom.functions.sql import register_sql_functions
-from jobloom.operators import listing, pipeline, resume, runs, scoring
+from jobloom.operators import ledger, listing, pipeline, resume, runs, scoring
+from jobloom.operators.numbering import number_rows
 from jobloom.plans import views as v
 from jobloom.plans.catalog import ORACLE_SQL, query
 from jobloom.plans.normalization import _resumes
@@ -16,7 +19,7 @@ from jobloom.plans.postings import _SCORES, _scoring_inputs
 from jobloom.plans.registry import _SOURCES, _sources
 from jobloom.sources import cards, feeds, tables
 from jobloom.sources.scratch import scratch_dir
-from jobloom.streaming.ingest import ingest_into
+from jobloom.streaming.ingest import SIGHTING, ingest_into, posting_ledger
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -122,16 +125,18 @@ def rejected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT 's' || s_nationkey AS source, s_suppkey AS item_idx FROM supplier UNION ALL SELECT 'n' || n_regionkey, n_nationkey FROM nation)""")
 def ordered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of two kinds of sources in one order: source, then position."""
-    from pyspark.sql.window import Window
-
     a = v.read(spark, sf_dir, "supplier").select(_said("s", F.col("s_nationkey").cast("string")).alias("source"), F.col("s_suppkey").cast("long").alias("item_idx"), "s_name")
     b = v.read(spark, sf_dir, "nation").select(_said("n", F.col("n_regionkey").cast("string")).alias("source"), F.col("n_nationkey").cast("long").alias("item_idx"))
-    place = F.row_number().over(Window.orderBy(*feeds.SOURCE_ORDER)).alias("place")  # some tens of rows a nation: a small fixture of an order
-    return feeds.union_sources(a, b).select("source", "item_idx", place)
+    placed = number_rows(feeds.union_sources(a, b), list(feeds.SOURCE_ORDER), "place")
+    return placed.select("source", "item_idx", F.col("place").cast("int").alias("place"))
+
+
+#: Keys of suppliers that share the pages of a feed; a page has at most as many items.
+PAGE = 400
 
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as postings of their nations, in three feeds; every fifth has no company."""
+    """Suppliers as postings of their nations, in three sources of pages of some hundred items; every fifth has no company."""
     s = v.read(spark, sf_dir, "supplier")
     nation, k = F.col("s_nationkey").cast("string"), F.col("s_suppkey")
     item = F.struct(
@@ -139,7 +144,8 @@ def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         _said("/n/", nation, "?utm_source=", k.cast("string")).alias("url"),
         F.struct(F.to_json(F.array(_said("skill", nation))).alias("required_skills"), F.col("s_name").alias("last")).alias("metadata"),
     )
-    feed = s.groupBy((k % 3).cast("string").alias("source")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("payload"))
+    source = (k % 3).cast("string").alias("source")
+    feed = s.groupBy(source, F.floor(k / PAGE).alias("page")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("payload"))
     return feed.select("source", F.lit("https://jobs.example/").alias("base_url"), F.lit(None).cast("string").alias("default_company"), "payload")
 
 
@@ -166,19 +172,80 @@ def ingested_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.run_ingest(_feed(spark, sf_dir))["source_runs"].select("source", "jobs_found", "errors", "status")
 
 
-@query(f"WITH i AS ({_INGESTED}) SELECT title, canonical_url, description, sightings FROM i")
+@query(f"WITH i AS ({_INGESTED}) SELECT title, canonical_url, description, sightings, description AS last_name, 'active' AS status FROM i")
 def incremental_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feeds that arrive in two calls of the stream, a feed a file; a third call finds nothing new."""
+    """Feeds that arrive in two calls of the stream; a third call finds nothing new. Each batch meets the ledger of the ones before."""
     folder, root = _folder(spark, "feeds"), _folder(spark, "ingested")
     feed = _feed(spark, sf_dir)
     for source in ("0", "1", "2", None):
         if source is not None:
-            feed.filter(F.col("source") == source).coalesce(1).write.mode("append").json(folder)
+            feed.filter(F.col("source") == source).write.mode("append").json(folder)
         if source != "0":
             ingest_into(spark, folder, f"{root}/checkpoint", root)
-    merged = spark.read.parquet(f"{root}/postings")
-    newest = merged.agg(F.max("batch").alias("batch"))
-    return merged.join(newest, "batch").select("title", "canonical_url", "description", "sightings")
+    found = posting_ledger(spark, root).postings()
+    return found.select("title", "canonical_url", "description", "sightings", F.col("metadata")["last"].alias("last_name"), "status")
+
+
+@query("""WITH n AS (SELECT s_nationkey, min((CAST(s_suppkey % 3 AS VARCHAR), s_suppkey)) AS first FROM supplier WHERE s_suppkey % 5 > 0 GROUP BY 1)
+SELECT 'T' || s_nationkey AS title, 1 AS ids, 'T' || s_nationkey AS first_title, first[1] AS first_source FROM n""")
+def stable_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same feed ingested three times, each run continuing the one before: a posting keeps one id, called after its first sighting."""
+    feed, stored, seen = _feed(spark, sf_dir), None, []
+    for _ in range(3):
+        out = pipeline.run_ingest(feed, stored)
+        stored = out["sightings"]
+        seen.append(out["postings"].select("title", "identity"))
+    every = seen[0].unionByName(seen[1]).unionByName(seen[2])
+    ids = every.groupBy("title").agg(F.countDistinct("identity").cast("int").alias("ids"), F.min("identity").alias("seq"))
+    first = stored.select("seq", F.col("title").alias("first_title"), F.col("source").alias("first_source"))
+    return ids.join(first, "seq").select("title", "ids", "first_title", "first_source")
+
+
+_LEDGER = """WITH RECURSIVE s AS (SELECT p_partkey AS k, p_partkey % 3 AS batch, p_partkey // 8 * 10 + (p_partkey % 8) // 2 AS url, p_partkey // 8 AS company, p_type AS title, p_name AS description FROM part),
+reach(k, other) AS (SELECT k, k FROM s UNION SELECT r.k, b.k FROM reach r JOIN s a ON a.k = r.other JOIN s b ON b.company = a.company AND (b.url = a.url OR b.title = a.title)),
+c AS (SELECT k, min(other) AS part FROM reach GROUP BY 1)"""
+
+
+@query(f"""{_LEDGER}, f AS (SELECT part, min((batch, s.k)) AS first, arg_max(description, (batch, s.k)) AS description, count(*) AS sightings FROM s JOIN c ON s.k = c.k GROUP BY 1)
+SELECT description, sightings, CAST(first[1] AS INTEGER) AS first_batch, first[2] AS first_part, count(*) OVER () AS postings FROM f""")
+def ledger_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as sightings that arrive in three batches; later ones connect postings of earlier ones, which become one."""
+    rows = v.ident(spark, sf_dir)
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(SIGHTING).fields}
+    empty = {c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in rows.columns}
+    rows = rows.withColumns({**empty, "description": F.lit(None).cast("string")}).join(
+        v.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("_k"), F.col("p_name").alias("_name")), F.col("seq") == F.col("_k")
+    )
+    batch, seq = F.col("_k") % 3, F.lpad(F.col("_k").cast("string"), 12, "0")
+    rows = rows.withColumns({
+        "batch": batch, "seq": F.concat(F.lpad(batch.cast("string"), 12, "0"), F.lit("|"), seq), "description": F.col("_name"), "source": F.lit("part"),
+        "canonical_url": canonicalize_url(F.col("url")), "fingerprint": fingerprint(F.col("title"), F.col("company"), F.lit(None).cast("string")),
+    })
+    book = posting_ledger(spark, _folder(spark, "ledger"), buckets=16)
+    for number in range(3):
+        book.ingest(rows.filter(F.col("batch") == number).select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()]), number)
+    found = book.postings()
+    total = found.agg(F.count("*").alias("postings"))
+    return found.join(F.broadcast(total)).select(  # a single row
+        "description", "sightings", F.left("first_seq", F.lit(12)).cast("int").alias("first_batch"), F.substring("first_seq", 14, 12).cast("long").alias("first_part"), "postings"
+    )
+
+
+_EVENTS = """WITH e AS (SELECT user_id, event_id, event_type <> 'error' AS seen FROM events),
+f AS (SELECT *, min(event_id) FILTER (WHERE seen) OVER (PARTITION BY user_id) AS first FROM e),
+l AS (SELECT user_id, count(*) FILTER (WHERE seen) AS seen, count(*) FILTER (WHERE NOT seen AND event_id > first) AS missed,
+  arg_max(seen, event_id) AS last_seen FROM f WHERE first IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"""{_EVENTS} SELECT user_id, seen, missed, CASE WHEN missed > 0 THEN 'inactive' ELSE 'active' END AS status,
+  CASE WHEN last_seen THEN 'active' ELSE 'inactive' END AS reactivated FROM l""")
+def posting_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sightings of users' postings, errors as checks that missed them: status that lasts, and status that comes back."""
+    e = v.read(spark, sf_dir, "events")
+    seen = F.col("event_type") != "error"
+    lasting = ledger.status_after(e, "user_id", "event_id", seen)
+    back = ledger.status_after(e, "user_id", "event_id", seen, reactivate=True).select("user_id", F.col("status").alias("reactivated"))
+    return lasting.join(back, "user_id")
 
 
 @query("""WITH n AS (SELECT s_nationkey, min((CAST(s_suppkey % 3 AS VARCHAR), s_suppkey)) AS first FROM supplier WHERE s_suppkey % 5 > 0 GROUP BY 1)
@@ -207,9 +274,7 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def new_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scoring run after one whose postings in English and even profiles have not changed."""
     postings, profiles, preferences = _scoring_inputs(spark, sf_dir)
-    pairs = scoring.pair(postings, profiles, preferences)
-    inputs = [c for c, kind in pairs.dtypes if c != "job_id" and not kind.startswith("map")]
-    before = pairs.withColumn("fingerprint", scoring.input_fingerprint(inputs)).filter((F.col("job_authorization")[0] == "en") & (F.col("profile_id") % 2 == 0))
+    before = scoring.due_pairs(postings, profiles, preferences).filter((F.col("job_authorization")[0] == "en") & (F.col("profile_id") % 2 == 0))
     before = before.select(F.col("job_id").alias("evaluation_id"), "job_id", "profile_id", F.current_timestamp().alias("evaluated_at"), "fingerprint")
     return pipeline.run_scoring(postings, profiles, preferences, before).select("job_id", "profile_id", "score")
 

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from jobloom.functions.links import canonicalize_url, fingerprint
-from jobloom.operators import identity
-from jobloom.operators.pipeline import FIELDS
+from jobloom.operators.ledger import LEDGER, Ledger
+from jobloom.operators.pipeline import FIELDS, place
 from jobloom.sources.feeds import read_feeds
+from jobloom.sources.store import BucketStore
 
 FEED_SCHEMA = "source string, base_url string, default_company string, payload string"
 
@@ -30,24 +32,40 @@ def ingest_feeds(spark: SparkSession, folder: str, checkpoint: str, store: Calla
     query.awaitTermination()
 
 
-def ingest_into(spark: SparkSession, folder: str, checkpoint: str, root: str) -> None:
-    """Upsert the postings of new feed files into ``root``: sightings by batch, and the postings merged from all of them.
+#: A sighting as the ledger keeps it.
+SIGHTING = (
+    "seq string, source string, title string, company string, description string, description_url string, application_url string, "
+    "canonical_url string, location string, region string, modality string, salary_min double, salary_max double, salary_currency string, "
+    "salary_period string, published_at date, fingerprint string, metadata map<string,string>, checked_at timestamp"
+)
 
-    A batch overwrites its own folder of sightings, so that one that is run again adds nothing, and the postings
-    are merged from the sightings of all batches. ``root/postings/batch=N`` of the largest N are the current ones.
+
+def posting_ledger(spark: SparkSession, root: str, buckets: int = 64) -> Ledger:
+    """The ledger of the postings under ``root``."""
+    return Ledger(BucketStore(spark, f"{root}/ledger", LEDGER, buckets), [*FIELDS, "fingerprint"], StructType.fromDDL(SIGHTING))
+
+
+def ingest_into(spark: SparkSession, folder: str, checkpoint: str, root: str, buckets: int = 64) -> None:
+    """Upsert the postings of new feed files into the ledger under ``root``: ``posting_ledger(spark, root).postings()``.
+
+    A batch meets only the keys and postings that it touches and writes their buckets anew; it never reads the
+    sightings of other batches, which are kept by batch under ``root/sightings``, as are quarantined rows. A batch that is
+    run again starts from the ledger before it and writes the same folders, so it adds nothing.
     """
+    ledger = posting_ledger(spark, root, buckets)
+
     def store(good: DataFrame, bad: DataFrame, number: int) -> None:
-        seq = F.concat_ws("|", "source", F.lpad(F.col("item_idx").cast("string"), 12, "0"))
-        kept = good.withColumn("seq", F.concat(F.lit(f"{number:012d}|"), seq))
-        keyed = kept.withColumns({
+        keyed = good.withColumns({
+            "seq": place(number, F.col("source"), F.col("item_idx")),
             "canonical_url": F.coalesce(canonicalize_url(F.col("canonical_url")), F.col("canonical_url")),
             "fingerprint": fingerprint(F.col("title"), F.col("company"), F.col("location")),
+            "checked_at": F.current_timestamp(),
         })
-        keyed.write.mode("overwrite").parquet(f"{root}/sightings/batch={number}")
+        kinds = {f.name: f.dataType for f in StructType.fromDDL(SIGHTING).fields}
+        kept = keyed.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
+        kept.write.mode("overwrite").parquet(f"{root}/sightings/batch={number}")
         bad.write.mode("overwrite").parquet(f"{root}/quarantine/batch={number}")
-        known = spark.read.parquet(f"{root}/sightings").filter(F.col("batch") <= number).drop("batch")
-        merged = identity.merge_postings(identity.identity_components(known), [*FIELDS, "fingerprint"])
-        merged.write.mode("overwrite").parquet(f"{root}/postings/batch={number}")
+        ledger.ingest(spark.read.schema(SIGHTING).parquet(f"{root}/sightings/batch={number}"), number)
 
     ingest_feeds(spark, folder, checkpoint, store)
 

@@ -144,8 +144,9 @@ def test_incremental_upsert(spark, tmp_path):
     ingest.ingest_into(spark, str(folder), str(tmp_path / "ck"), root)
     put("2.json", "/1?ref=x", "two")
     ingest.ingest_into(spark, str(folder), str(tmp_path / "ck"), root)
-    rows = {r.batch: (r.description, r.sightings) for r in spark.read.parquet(f"{root}/postings").collect()}
-    assert rows == {0: ("one", 1), 1: ("two", 2)} and spark.read.parquet(f"{root}/quarantine").count() == 2
+    (row,) = ingest.posting_ledger(spark, root).postings().collect()
+    assert (row.description, row.sightings, row.status, row.metadata["source_adapter"]) == ("two", 2, "active", "s")
+    assert spark.read.parquet(f"{root}/quarantine").count() == 2
 
 
 def test_streaming_duplicates(spark, tmp_path):
