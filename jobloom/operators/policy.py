@@ -88,27 +88,58 @@ def validate_sources(routed: DataFrame) -> DataFrame:
     return routed.withColumn("violations", F.array_compact(F.array(*checks)))
 
 
-def apply_crawl_policy(urls: DataFrame, rules: DataFrame, hosts: DataFrame) -> DataFrame:
+#: Hosts whose rules are read through others, one after another.
+MOST_LENDERS = 3
+
+
+def rules_in_force(hosts: DataFrame, lenders: DataFrame | None = None) -> DataFrame:
+    """``(host, status, rules_of, rules_status)``: the host whose rules count for each of ``hosts(host, status)``.
+
+    ``lenders(host, status, lender)``: a host that answered with that status uses the rules of its lender, and if that
+    one answered with a status for which it has a lender itself, of that, up to ``MOST_LENDERS`` times. Of several lenders the
+    first by name counts. A lender that was never asked has no status.
+    """
+    found = hosts.groupBy(F.lower("host").alias("host")).agg(F.min("status").alias("status"))
+    out = found.withColumns({"rules_of": F.col("host"), "rules_status": F.col("status")})
+    if lenders is None:
+        return out
+    lent = lenders.groupBy(F.lower("host").alias("_host"), F.col("status").alias("_status")).agg(F.min(F.lower("lender")).alias("_lender"))
+    answered = found.select(F.col("host").alias("_of"), F.col("status").alias("_answer"))
+    for _ in range(MOST_LENDERS):
+        met = out.join(lent, (F.col("rules_of") == F.col("_host")) & (F.col("rules_status") == F.col("_status")), "left")
+        met = met.join(answered, F.col("_lender") == F.col("_of"), "left")
+        moved = F.col("_lender").isNotNull()
+        out = met.select(
+            "host", "status", F.coalesce("_lender", "rules_of").alias("rules_of"), F.when(moved, F.col("_answer")).otherwise(F.col("rules_status")).alias("rules_status")
+        )
+    return out
+
+
+def apply_crawl_policy(urls: DataFrame, rules: DataFrame, hosts: DataFrame, lenders: DataFrame | None = None) -> DataFrame:
     """Verdict for ``urls(url)`` by ``rules(host, prefix, allow)`` and fetch results ``hosts(host, status)``.
 
     The longest matching prefix decides, allow wins ties, no match allows. Status 401 and 403 deny, other
-    4xx allow, 5xx and no answer are unverifiable.
+    4xx allow, 5xx and no answer are unverifiable. With ``lenders`` a host may use the rules of another (``rules_in_force``);
+    a lender's own rules could then not be read if it answered with 4xx, which is unverifiable. ``rules_of`` is the host
+    whose rules counted, ``rule`` the prefix that decided, if one did.
     """
     host = F.lower(F.regexp_extract("url", HTTP, 2))
     path = F.regexp_extract("url", HTTP, 3)
     asked = urls.select("url", host.alias("host"), F.when(path == "", "/").otherwise(path).alias("path")).distinct()
+    asked = asked.join(rules_in_force(hosts, lenders), "host", "left").withColumn("rules_of", F.coalesce("rules_of", "host"))
     # Rules are met by equality with a beginning of the path, of a length that some rule of the host has: a host of
     # many rules and URLs is spread over its prefixes.
-    of_host = rules.select(F.lower("host").alias("host"), "prefix", "allow").groupBy("host", "prefix").agg(F.max("allow").alias("allow"))
-    lengths = of_host.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
-    begun = asked.join(lengths, "host").select("url", "host", "path", F.explode("_lengths").alias("_n"))
-    begun = begun.filter(F.col("_n") <= F.length("path")).select("url", "host", F.left("path", F.col("_n")).alias("prefix"))
-    met = begun.join(of_host, ["host", "prefix"])
-    best = met.groupBy("url").agg(F.max(F.struct(F.length("prefix").alias("n"), "allow"))["allow"].alias("allow"))
-    status = F.col("status")
+    of_host = rules.select(F.lower("host").alias("rules_of"), "prefix", "allow").groupBy("rules_of", "prefix").agg(F.max("allow").alias("allow"))
+    lengths = of_host.groupBy("rules_of").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    begun = asked.join(lengths, "rules_of").select("url", "rules_of", "path", F.explode("_lengths").alias("_n"))
+    begun = begun.filter(F.col("_n") <= F.length("path")).select("url", "rules_of", F.left("path", F.col("_n")).alias("prefix"))
+    met = begun.join(of_host, ["rules_of", "prefix"])
+    best = met.groupBy("url").agg(F.max(F.struct(F.length("prefix").alias("n"), "allow", "prefix")).alias("best"))
+    status, borrowed = F.col("rules_status"), F.col("rules_of") != F.col("host")
+    allow = F.coalesce(F.col("best.allow"), F.lit(True))
     verdict = (
-        F.when(status.isin(401, 403), "denied").when(status.isNull() | (status >= 500), "unverifiable")
-        .when(status >= 400, "allowed").when(F.coalesce("allow", F.lit(True)), "allowed").otherwise("denied")
+        F.when(borrowed & (status.isNull() | (status >= 400)), "unverifiable").when(status.isin(401, 403), "denied")
+        .when(status.isNull() | (status >= 500), "unverifiable").when(status >= 400, "allowed").when(allow, "allowed").otherwise("denied")
     )
-    fetched = hosts.select(F.lower("host").alias("host"), "status")
-    return asked.join(fetched, "host", "left").join(best, "url", "left").select("url", "host", verdict.alias("verdict"))
+    rule = F.when(status < 400, F.col("best.prefix"))
+    return asked.join(best, "url", "left").select("url", "host", verdict.alias("verdict"), "rules_of", rule.alias("rule"))

@@ -13,8 +13,8 @@ from jobloom.functions.sql import register_sql_functions
 from jobloom.operators import ledger, listing, pipeline, resume, runs, scoring
 from jobloom.operators.numbering import number_rows
 from jobloom.plans import views as v
-from jobloom.plans.catalog import ORACLE_SQL, query
-from jobloom.plans.normalization import _resumes
+from jobloom.plans.catalog import ORACLE_SQL, QUERIES, query
+from jobloom.plans.normalization import REGION, _resumes
 from jobloom.plans.postings import _SCORES, _scoring_inputs
 from jobloom.plans.registry import _SOURCES, _sources
 from jobloom.sources import cards, feeds, tables
@@ -299,21 +299,69 @@ def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_table(spark, root, "postings").filter(F.col("region").isin("usa", "cdmx")).select("job_id", "title", "status", "region")
 
 
+@query(f"""WITH u AS ({ORACLE_SQL["sanitize_pages"]}) SELECT * FROM u""")
+def sql_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_sql_functions(spark)
+    v.read(spark, sf_dir, "pages").createOrReplaceTempView("some_pages")
+    names = QUERIES["sanitize_pages"](spark, sf_dir).columns
+    return spark.sql(f"SELECT page_id, posting_text(html) AS {next(c for c in names if c != 'page_id')} FROM some_pages")
+
+
+@query(f"""WITH {v.DOC_POSTINGS}, f AS ({ORACLE_SQL["fingerprint_postings"]}) SELECT p.job_id, f.fingerprint, {REGION} AS region FROM doc_postings p JOIN f ON p.job_id = f.job_id""")
+def sql_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_sql_functions(spark)
+    v.doc_postings(spark, sf_dir).createOrReplaceTempView("some_postings")
+    return spark.sql("SELECT job_id, posting_fingerprint(title, company, location) AS fingerprint, posting_region(location) AS region FROM some_postings")
+
+
+@query("""SELECT 'p' || CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS source, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_name END AS title,
+  CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS company, p_type AS location, CASE WHEN p_partkey % 2 = 0 THEN 'remote' ELSE 'hybrid' END AS modality,
+  count(*) AS items FROM part GROUP BY ALL""")
+def aliased_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two adapters whose items have the same keys with other meanings, in one plan."""
+    p = v.read(spark, sf_dir, "part")
+    item = F.struct(F.col("p_name").alias("a"), F.col("p_brand").alias("b"), F.col("p_type").alias("c"), F.lit("hybrid").alias("d"), F.lit("remote").alias("e"), F.lit("/x").alias("url"))
+    half, page = F.col("p_partkey") % 2, F.floor(F.col("p_partkey") / PAGE)
+    raw = p.groupBy(half.alias("half"), page.alias("page")).agg(F.to_json(F.collect_list(item)).alias("payload"))
+    names = ("a company first", "a title first")
+    meanings = ({"title": ("none", "b"), "company": ("a",), "location": ("c",), "modality": ("e",)}, {"title": ("a",), "company": ("b",), "location": ("c",), "modality": ("d",)})
+    known = dict(tables._ADAPTERS)
+    for name, aliases in zip(names, meanings, strict=True):
+        tables.register_adapter(name, feeds.scan_items, "C", aliases)
+    try:
+        source = F.concat(F.lit("p"), F.col("half").cast("string"))
+        adapter = F.when(F.col("half") == 0, names[0]).otherwise(names[1])
+        routed = raw.select(source.alias("source"), adapter.alias("adapter"), F.lit("https://jobs.example/").alias("base_url"), F.lit("").alias("default_company"), "payload")
+        found = feeds.normalize_items(tables.scan_routed(routed))
+    finally:
+        tables._ADAPTERS.clear()
+        tables._ADAPTERS.update(known)
+    return found.groupBy("source", "title", "company", "location", "modality").agg(F.count("*").alias("items"))
+
+
 def _files(spark: SparkSession, sf_dir: str) -> str:
     folder = _folder(spark, "files")
     v.read(spark, sf_dir, "supplier").select("s_name").repartition(4, "s_name").write.text(folder)
     return folder
 
 
-@query("SELECT s_name AS line, 'file' AS source FROM supplier UNION ALL SELECT n_name, 'inline' FROM nation")
+@query("SELECT s_name AS line, 'file' AS source FROM supplier UNION ALL SELECT n_name, 'inline' FROM nation UNION ALL SELECT s_name, 'by path' FROM supplier UNION ALL SELECT NULL, 'no file'")
 def raw_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents of files, and inline ones, which win over a file."""
-    folder = _files(spark, sf_dir)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
-    named = spark.read.text(folder, wholetext=True).select(F.lit("file").alias("source"), F.lit(None).cast("string").alias("payload"), name.alias("payload_path"))
+    """Contents of files in subfolders whose names hold blanks, signs and accents, found by path and by name, and inline ones, which win over a file."""
+    folder = _folder(spark, "files")
+    kind = F.concat(F.lit("naïve + 50% of "), (F.col("s_suppkey") % 3).cast("string"))
+    s = v.read(spark, sf_dir, "supplier")
+    s.select("s_name", kind.alias("kind"), F.lit(1).alias("half")).repartition(3, "kind").write.partitionBy("half", "kind").text(folder)
+    path = tables.file_below(spark, folder, F.col("_metadata.file_path"))
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(path.alias("path"))
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    one = files.groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    paths = files.select(F.lit("by path").alias("source"), F.lit(None).cast("string").alias("payload"), F.col("path").alias("payload_path"))
+    names = one.select(F.lit("file").alias("source"), F.lit(None).cast("string").alias("payload"), F.when(F.col("n") == 1, F.col("name")).otherwise(F.col("path")).alias("payload_path"))
     inline = v.read(spark, sf_dir, "nation").select(F.lit("inline").alias("source"), F.col("n_name").alias("payload"), F.lit("any").alias("payload_path"))
-    found = tables.load_raw(spark, named.unionByName(inline), folder)
-    return found.select("source", F.explode(F.split(F.rtrim("payload", F.lit("\n")), "\n")).alias("line"))
+    lost = spark.range(1).select(F.lit("no file").alias("source"), F.lit(None).cast("string").alias("payload"), F.lit("no such file").alias("payload_path"))
+    found = tables.load_raw(spark, paths.unionByName(names).unionByName(inline).unionByName(lost), folder)
+    return found.select("source", F.explode_outer(F.split(F.rtrim("payload", F.lit("\n")), "\n")).alias("line"))
 
 
 @query("SELECT s_name AS line, TRUE AS whole FROM supplier")

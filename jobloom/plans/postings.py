@@ -217,14 +217,27 @@ def mirror_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("kind", "job_id", "page_id", "result", "error")
 
 
-@query(f"""WITH {v.JOBS} SELECT title AS "Title", company AS "Company", region AS "Region", modality AS "Modality", status AS "Status",
-  CAST(job_id AS VARCHAR) AS "Local job ID", CASE WHEN job_id % 2 = 0 THEN title || ', ' || company END AS "Requirements", left(repeat(title, 300), 2000) AS "Score explanation" FROM jobs""")
+@query(f"""WITH {v.JOBS} SELECT title AS "Title", company AS "Company", region AS "Region", modality AS "Modality", CASE WHEN job_id % 3 > 0 THEN description END AS "Location",
+  CASE WHEN job_id % 2 = 0 THEN title || ', ' || company END AS "Requirements", CASE WHEN job_id % 5 > 0 THEN CAST(detected_at AS DOUBLE) END AS "Salary min",
+  CAST(detected_at * 2 AS DOUBLE) AS "Salary max", CASE WHEN job_id % 4 > 0 THEN 'MXN' END AS "Salary currency", 'month' AS "Salary period", 's' || source_id AS "Source",
+  'https://jobs.example/' || job_id AS "Description URL", CASE WHEN job_id % 2 = 0 THEN left(repeat('https://jobs.example/a/', 100) || job_id, 2000) END AS "Application URL",
+  'https://jobs.example/' || job_id AS "Canonical URL", CAST(DATE '2026-01-01' + CAST(detected_at AS INTEGER) AS VARCHAR) AS "Published", '2026-03-01' AS "Detected", '2026-03-02' AS "Checked",
+  CAST(job_id % 100 AS DOUBLE) AS "Compatibility score", left(repeat(title, 300), 2000) AS "Score explanation", title AS "Matches", CAST(NULL AS VARCHAR) AS "Gaps",
+  'Close gap: ' || company || ', Close gap: ' || title AS "Recommendations", status AS "Status", CAST(job_id AS VARCHAR) AS "Local job ID", 'fp' || job_id AS "Fingerprint" FROM jobs""")
 def mirror_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All properties of the mirror, some of them blank or too long."""
+    k, size, none = F.col("job_id"), F.col("detected_at"), F.array().cast("array<string>")
+    link = F.concat(F.lit("https://jobs.example/"), k.cast("string"))
     jobs = v.jobs(spark, sf_dir).withColumns({
-        "requirements": F.when(F.col("job_id") % 2 == 0, F.array("title", "company")).otherwise(F.array().cast("array<string>")),
-        "explanation": F.repeat("title", F.lit(300)),
+        "location": F.when(k % 3 > 0, F.col("description")).otherwise(""), "requirements": F.when(k % 2 == 0, F.array("title", "company")).otherwise(none),
+        "salary_min": F.when(k % 5 > 0, size), "salary_max": size * 2, "salary_currency": F.when(k % 4 > 0, "MXN").otherwise(""), "salary_period": F.lit("month"),
+        "source": F.concat(F.lit("s"), F.col("source_id").cast("string")), "description_url": link, "canonical_url": link,
+        "application_url": F.when(k % 2 == 0, F.concat(F.repeat(F.lit("https://jobs.example/a/"), F.lit(100)), k.cast("string"))).otherwise(""),
+        "published_at": F.date_add(F.lit("2026-01-01").cast("date"), size.cast("int")), "detected_at": F.lit("2026-03-01").cast("date"), "checked_at": F.lit("2026-03-02").cast("date"),
+        "score": k % 100, "explanation": F.repeat("title", F.lit(300)), "matches": F.array("title"), "gaps": none,
+        "recommendations": F.transform(F.array("company", "title"), lambda g: F.concat(F.lit("Close gap: "), g)), "fingerprint": F.concat(F.lit("fp"), k.cast("string")),
     })
-    return reconcile.to_mirror_rows(jobs).select("Title", "Company", "Region", "Modality", "Status", "Local job ID", "Requirements", "Score explanation")
+    return reconcile.to_mirror_rows(jobs)
 
 
 @query("""WITH x AS (SELECT user_id AS profile_id, event_id AS seq, CASE WHEN event_type <> 'view' THEN event_type END AS skills,
@@ -314,7 +327,39 @@ def crawl_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = hosts.select("host", F.explode(F.array(F.struct(F.lit("/").alias("prefix"), F.lit(False).alias("allow")), F.struct(F.lit("/en").alias("prefix"), F.lit(True).alias("allow")))).alias("r")).select("host", "r.*")
     n = F.length("host") % 5
     status = F.when(n == 0, 404).when(n == 1, 403).when(n == 2, 503).otherwise(200)
-    return policy.apply_crawl_policy(urls, rules, hosts.select("host", status.alias("status")))
+    return policy.apply_crawl_policy(urls, rules, hosts.select("host", status.alias("status"))).select("url", "host", "verdict")
+
+
+_CUT = r"'^https?://([^/?#]*)'"
+
+
+@query(rf"""WITH u AS (SELECT DISTINCT url, lower(regexp_extract(url, {_CUT}, 1)) AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS p FROM pages),
+a AS (SELECT *, page_id % 2 = 0 AS api FROM (SELECT page_id, url FROM pages)),
+n AS (SELECT DISTINCT a.api, u.url, u.host, CASE WHEN u.p = '' THEN '/' ELSE u.p END AS path FROM a JOIN u ON a.url = u.url),
+r AS (SELECT host, prefix, bool_and(k % 3 > 0) AS allow FROM (SELECT host, regexp_extract(path, '^(/[^/]*)', 1) AS prefix, length(path) AS k FROM n
+  UNION ALL SELECT host, path, length(path) + 1 FROM n) GROUP BY 1, 2),
+m AS (SELECT n.api, n.url, max((length(prefix), allow)) AS best FROM n JOIN r ON n.host = r.host AND starts_with(n.path, r.prefix) GROUP BY 1, 2)
+SELECT CASE WHEN n.api THEN 'api.' || n.host ELSE n.host END AS host, n.path, n.host AS rules_of,
+  CASE WHEN length(n.host) % 4 = 0 AND n.api THEN 'unverifiable' WHEN length(n.host) % 4 = 0 THEN 'denied' WHEN coalesce(best[2], TRUE) THEN 'allowed' ELSE 'denied' END AS verdict,
+  count(*) AS urls FROM n LEFT JOIN m ON n.api = m.api AND n.url = m.url GROUP BY ALL""")
+def borrowed_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules made of the pages' own paths, several a host; half of the pages are asked of an API host that answers 401 and borrows its public host's rules."""
+    pages = v.read(spark, sf_dir, "pages")
+    host, path = F.lower(F.regexp_extract("url", r"^https?://([^/?#]*)", 1)), F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1)
+    rows = pages.select("url", host.alias("host"), F.when(path == "", "/").otherwise(path).alias("path"), (F.col("page_id") % 2 == 0).alias("api"))
+    asked = rows.select(F.when(F.col("api"), F.regexp_replace("url", r"^(https?://)", "$1api.")).otherwise(F.col("url")).alias("url"))
+    k = F.length("path")
+    rules = rows.select("host", F.explode(F.array(
+        F.struct(F.regexp_extract("path", "^(/[^/]*)", 1).alias("prefix"), k.alias("k")), F.struct(F.col("path").alias("prefix"), (k + 1).alias("k")),
+    )).alias("r")).groupBy("host", F.col("r.prefix").alias("prefix")).agg(F.bool_and(F.col("r.k") % 3 > 0).alias("allow"))
+    public = rows.select("host").distinct()
+    api = F.concat(F.lit("api."), "host")
+    hosts = public.select("host", F.when(F.length("host") % 4 == 0, 403).otherwise(200).alias("status")).unionByName(public.select(api.alias("host"), F.lit(401).alias("status")))
+    lenders = public.select(api.alias("host"), F.lit(401).alias("status"), F.col("host").alias("lender"))
+    found = policy.apply_crawl_policy(asked, rules, hosts, lenders)
+    path = F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1)
+    found = found.select("host", F.when(path == "", "/").otherwise(path).alias("path"), "rules_of", "verdict")
+    return found.groupBy("host", "path", "rules_of", "verdict").agg(F.count("*").alias("urls"))
 
 
 _WORDS = r"[w FOR w IN string_split(trim(regexp_replace(lower(description), '[^\p{L}]+', ' ', 'g')), ' ') IF w <> '']"

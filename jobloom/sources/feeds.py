@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions.fields import classify_modality, classify_region, parse_currency, parse_date, parse_number, salary_range
 from jobloom.functions.links import normalize_base_url, resolve_url
-from jobloom.functions.text import first_truthy, sanitize_text, split_requirements
+from jobloom.functions.text import falsy, first_truthy, sanitize_text, split_requirements
 from jobloom.sources.cards import card_items
 from jobloom.sources.scratch import materialize
 
@@ -73,6 +73,12 @@ def _pick(item: Column, name: str) -> Column:
     return first_truthy(*[field(item, key) for key in ALIASES[name]])
 
 
+def _pick_by(keys: Column, members: Column) -> Column:
+    """The first value under one of ``keys`` that does not count as absent, among the members of an object."""
+    tried = F.transform(keys, lambda key: F.try_variant_get(F.try_element_at(members, key), "$", "string"))
+    return F.get(F.filter(tried, lambda x: ~falsy(x)), F.lit(0))
+
+
 def pick_location(item: Column) -> Column:
     """The place of an item: an object gives its name or location, a list its values joined."""
     def one(key: str) -> Column:
@@ -111,11 +117,22 @@ def union_sources(*items: DataFrame) -> DataFrame:
 
 
 def normalize_items(items: DataFrame) -> DataFrame:
-    """Postings from ``items(source, item_idx, item, base_url, default_company)``, with ``errors``."""
+    """Postings from ``items(source, item_idx, item, base_url, default_company)``, with ``errors``.
+
+    Items may bring ``aliases``, a map of fields to the keys under which they are sent, tried in their order; fields
+    that it does not name are looked for under the usual keys.
+    """
     item = F.col("item")
     # Picked once, so that later steps refer to columns and not to the lookups.
     picked = {f"_p_{name}": _pick(item, name) for name in ALIASES if name not in ("location", "modality")}
-    df = items.withColumns({"_base": normalize_base_url(F.col("base_url")), "location": pick_location(item), **picked})
+    place, mode_key = pick_location(item), None
+    if own := "aliases" in items.columns:
+        items = items.withColumn("_members", F.when(F.col("aliases").isNotNull(), F.try_variant_get(item, "$", "map<string,variant>")))
+        keys = {name: F.try_element_at("aliases", F.lit(name)) for name in ALIASES}
+        picked = {f"_p_{name}": F.when(keys[name].isNotNull(), _pick_by(keys[name], F.col("_members"))).otherwise(_pick(item, name)) for name in ALIASES if name not in ("location", "modality")}
+        place = F.when(keys["location"].isNotNull(), F.nullif(F.btrim(_pick_by(keys["location"], F.col("_members"))), F.lit(""))).otherwise(place)
+        mode_key = F.when(keys["modality"].isNotNull(), _pick_by(keys["modality"], F.col("_members")))
+    df = items.withColumns({"_base": normalize_base_url(F.col("base_url")), "location": place, **picked})
     requirements = field(item, "requirements", "array<string>")
     split = split_requirements(F.col("_p_requirements"))
     cleaned = F.filter(F.transform(requirements, sanitize_text), lambda x: x != "")
@@ -128,7 +145,7 @@ def normalize_items(items: DataFrame) -> DataFrame:
     })
     low, high = salary_range(F.col("_min"), F.col("_max"), field(item, "salary"))
     flagged = F.when(field(item, "isRemote", "boolean"), F.lit("remote"))
-    mode = first_truthy(*[field(item, k) for k in ALIASES["modality"]], flagged, field(item, "jobType"), F.col("location"))
+    mode = first_truthy(*([mode_key] if own else []), *[field(item, k) for k in ALIASES["modality"]], flagged, field(item, "jobType"), F.col("location"))
     df = df.withColumns({
         "title": F.btrim(F.coalesce(F.col("_p_title"), F.lit("Untitled role"))),
         "company": F.btrim(F.coalesce(F.col("_p_company"), F.col("default_company"), F.lit(""))),
@@ -149,7 +166,7 @@ def normalize_items(items: DataFrame) -> DataFrame:
     links = F.array("_description.error", "_application.error", "_canonical.error")
     not_object = F.when(~is_object(item), "item must be an object with a description URL")
     df = df.withColumn("_found", F.when(not_object.isNotNull(), F.array(not_object)).otherwise(F.array_compact(links)))
-    return df.drop("_base", "_min", "_max", "_description", "_application", "_canonical", "item", "base_url", "default_company", *picked)
+    return df.drop("_base", "_min", "_max", "_description", "_application", "_canonical", "item", "base_url", "default_company", "aliases", "_members", *picked)
 
 
 def violations(df: DataFrame) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.operators.reconcile import PROPERTIES
-from jobloom.sources.feeds import scan_items, union_sources
+from jobloom.sources.feeds import ALIASES, scan_items, union_sources
 from jobloom.sources.scratch import materialize
 
 ENTITIES = {
@@ -45,14 +45,33 @@ def enabled_sources(sources: DataFrame, enabled: bool | None = True) -> DataFram
 
 
 def load_raw(spark: SparkSession, sources: DataFrame, folder: str) -> DataFrame:
-    """``sources(source, payload, payload_path)`` → ``(source, payload)``; an inline value wins over a file in ``folder``."""
-    files = spark.read.text(folder, wholetext=True).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("payload_path"), F.col("value").alias("_text")
-    )
-    joined = sources.join(files, "payload_path", "left")
+    """``sources(source, payload, payload_path)`` → ``(source, payload)``; an inline value wins over a file in ``folder``.
+
+    A path is that below ``folder``, with whatever signs it has; a bare name also finds a file in a subfolder if there is
+    only one of that name.
+    """
+    found = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
+    below = file_below(spark, folder, F.col("_metadata.file_path"))
+    # Only named files are carried on with their text.
+    files = found.select(below.alias("_path"), F.regexp_extract(below, r"([^/]+)$", 1).alias("_name"), F.col("value").alias("_text"))
+    asked = sources.filter("payload is null and payload_path is not null").select("payload_path").distinct()
+    by_path = asked.join(files, F.col("payload_path") == F.col("_path"))
+    only = files.groupBy("_name").agg(F.count("*").alias("n"), F.min("_path").alias("_path")).filter("n = 1").select(F.col("_name").alias("payload_path"), F.col("_path").alias("_only"))
+    by_name = asked.join(only, "payload_path").join(files, F.col("_only") == F.col("_path"))
+    texts = by_path.select("payload_path", "_text", F.lit(0).alias("_rank")).unionByName(by_name.select("payload_path", "_text", F.lit(1).alias("_rank")))
+    texts = texts.groupBy("payload_path").agg(F.min_by("_text", "_rank").alias("_text"))
+    joined = sources.join(texts, "payload_path", "left")
     return joined.select("source", F.coalesce("payload", "_text").alias("payload"))
 
 
+def file_below(spark: SparkSession, folder: str, path: Column) -> Column:
+    """A file's path below ``folder``, from its URL-encoded whole path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    whole = F.url_decode(F.regexp_replace(path, r"\+", "%2B"))  # a plus is itself, no blank
+    return F.substr(whole, F.locate(root, whole) + F.lit(len(root)))
+
+
 def scan_resume_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "length", "modificationTime", "content")
 
@@ -76,10 +95,11 @@ def scan_mirror_pages(raw: DataFrame) -> DataFrame:
 
 
 class Adapter(NamedTuple):
-    """How raw content of a source becomes items, and the company of items that name none."""
+    """How raw content of a source becomes items, the company of items that name none, and the keys under which its items send a field."""
 
     scan: Callable[[DataFrame], DataFrame]
     default_company: str | None = None
+    aliases: dict[str, tuple[str, ...]] | None = None  #: field to keys, in the order in which they are tried; others as usual
 
 
 # The adapters that are known from the start.
@@ -90,9 +110,18 @@ _ADAPTERS: dict[str, Adapter] = {
 }
 
 
-def register_adapter(name: str, scan: Callable[[DataFrame], DataFrame], default_company: str | None = None) -> None:
+def register_adapter(name: str, scan: Callable[[DataFrame], DataFrame], default_company: str | None = None,
+                     aliases: dict[str, tuple[str, ...]] | None = None) -> None:
     """Make a scan of raw content known by name."""
-    _ADAPTERS[name] = Adapter(scan, default_company)
+    if unknown := sorted(set(aliases or {}) - set(ALIASES)):
+        raise ValueError(f"unknown fields: {', '.join(unknown)}")
+    _ADAPTERS[name] = Adapter(scan, default_company, aliases)
+
+
+def adapter_aliases(spark: SparkSession) -> DataFrame:
+    """``(adapter, aliases)``: the keys that adapters bring, as data; a row for each adapter that brings some."""
+    rows = [(name, {f: list(keys) for f, keys in a.aliases.items()}) for name, a in _ADAPTERS.items() if a.aliases]
+    return spark.createDataFrame(rows, "adapter string, aliases map<string,array<string>>")
 
 
 def adapter(name: str) -> Adapter:
@@ -114,4 +143,5 @@ def scan_routed(routed: DataFrame) -> DataFrame:
         mine = routed.filter(F.col("adapter") == name)
         company = F.coalesce(F.nullif(F.col("default_company"), F.lit("")), F.lit(known.default_company))
         parts.append(known.scan(mine.withColumn("default_company", company).drop("adapter")).withColumn("adapter", F.lit(name)))
-    return union_sources(*parts)
+    # One plan for all adapters: the keys that an adapter brings are a column of its items.
+    return union_sources(*parts).join(F.broadcast(adapter_aliases(routed.sparkSession)), "adapter", "left")

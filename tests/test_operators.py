@@ -230,3 +230,43 @@ def test_digest_of_a_source_with_very_many_errors(spark):
     got = {r.source: r for r in runs.source_runs(items, items.select("source").distinct()).collect()}
     assert got["a"].message == "; " * 1000 and got["a"].errors == 5000
     assert (got["b"].message, got["b"].errors, got["b"].jobs_found) == ("one; two", 2, 1)
+
+
+def test_borrowed_crawl_rules(spark):
+    urls = spark.createDataFrame([(f"https://{h}/lamps/lighter",) for h in ("api.a", "api.b", "api.c", "api.d", "api.e", "A.x")], "url string")
+    rules = spark.createDataFrame([("a.x", "/lamps/", False), ("a.x", "/lamps/lighter", True), ("b.x", "/", False), ("api.d", "/", True)], "host string, prefix string, allow boolean")
+    hosts = spark.createDataFrame(
+        [("api.a", 401), ("api.b", 401), ("api.c", 401), ("api.d", 403), ("api.e", 401), ("a.x", 200), ("b.x", 200), ("c.x", 404), ("e.x", 401)], "host string, status int"
+    )
+    lent = [("API.a", 401, "A.x"), ("api.b", 401, "b.x"), ("api.c", 401, "c.x"), ("api.d", 401, "a.x"), ("api.e", 401, "e.x"), ("e.x", 401, "a.x"), ("a.x", 401, "b.x")]
+    lenders = spark.createDataFrame(lent, "host string, status int, lender string")
+    got = {r.host: (r.verdict, r.rules_of, r.rule) for r in policy.apply_crawl_policy(urls, rules, hosts, lenders).collect()}
+    assert got == {
+        "api.a": ("allowed", "a.x", "/lamps/lighter"), "api.b": ("denied", "b.x", "/"), "api.c": ("unverifiable", "c.x", None),
+        "api.d": ("denied", "api.d", None), "api.e": ("allowed", "a.x", "/lamps/lighter"), "a.x": ("allowed", "a.x", "/lamps/lighter"),
+    }
+    assert {r.verdict for r in policy.apply_crawl_policy(urls, rules, hosts).filter("host like 'api%'").collect()} == {"denied"}
+
+
+def test_a_run_continues_the_one_before(spark):
+    """Ids, status and the time of detection stay, and only what has changed is scored again."""
+    item = '{"title":"Dev","url":"/1","location":"CDMX","description":"x","requirements":["a","b"],"salary_period":"Month","metadata":{"required_skills":["Python"]}}'
+    other = '{"title":"Ops","url":"/2","location":"CDMX","description":"y"}'
+    person = spark.createDataFrame([(1, ["python"], [], ["English"])], PROFILE)
+    wish = spark.createDataFrame([(1, 1, True, [], [], [], [], [], None, None, False, {})], PREFERENCE)
+    sources = spark.createDataFrame([("s0", 7)], "source string, source_id int")
+    seen = spark.createDataFrame([("s0", "https://jobs.example/1")], "source string, url string")
+    one = pipeline.run_all(feed(spark, f"[{item},{other}]"), person, wish, seen, sources)
+    status = {r.title: r.status for r in one["jobs"].collect()}
+    assert status == {"Dev": "active", "Ops": "inactive"} and one["evaluations"].count() == 2
+    page = {r.Title: r for r in one["mirror"].collect()}["Dev"]
+    assert page["Requirements"] == "a, b" and page["Salary period"] == "month" and page["Score explanation"].startswith("skills: ") and page["Detected"] and page["Checked"]
+    both = seen.unionByName(spark.createDataFrame([("s0", "https://jobs.example/2")], "source string, url string"))
+    held = {"stored": one["sightings"], "before": one["jobs"], "earlier": one["all_evaluations"]}
+    two = pipeline.run_all(feed(spark, f"[{item},{other}]"), person, wish, both, sources, **held)
+    assert {r.title: (r.job_id, r.status) for r in two["jobs"].collect()} == {r.title: (r.job_id, r.status) for r in one["jobs"].collect()}
+    assert two["evaluations"].count() == 0 and two["mirror"].count() == 2 and two["mirror"].filter("`Compatibility score` is null").count() == 0
+    changed = item.replace('"Python"', '"Rust"')
+    three = pipeline.run_all(feed(spark, f"[{changed},{other}]"), person, wish, both, sources, **held, reactivate=True)
+    assert {r.title: r.status for r in three["jobs"].collect()} == {"Dev": "active", "Ops": "active"}
+    assert [r.gaps for r in three["evaluations"].collect()] == [["rust"]] and three["mirror"].count() == 2

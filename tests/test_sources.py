@@ -1,6 +1,7 @@
 import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobloom.sources import cards, feeds, tables
@@ -108,7 +109,7 @@ def test_tables_and_mirror_pages(spark, tmp_path):
     r = tables.scan_mirror_pages(spark.createDataFrame([(json.dumps(page),)], "json string")).first()
     assert (r.page_id, r.Title, r.Region, r.Published, r["Salary min"], r.Fingerprint, r.Company) == ("p1", "Dev", "cdmx", "2026-01-01", "5", "f", None)
     tables.register_adapter("cards", cards.card_items, "Company")
-    assert tables.adapter("cards") == (cards.card_items, "Company") and tables.adapter_names(spark).count() == 4
+    assert tables.adapter("cards") == (cards.card_items, "Company", None) and tables.adapter_names(spark).count() == 4
     del tables._ADAPTERS["cards"]
 
 
@@ -157,3 +158,27 @@ def test_streaming_duplicates(spark, tmp_path):
     query = ingest.suppress_duplicates(stream).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.canonical_url for r in spark.table("kept").collect()) == ["https://j.example/1", "https://j.example/2"]
+
+
+def test_files_by_path_and_name(spark, tmp_path):
+    for path, text in (("my file.txt", "blank"), ("a+b%20.txt", "signs"), ("é/ñ.txt", "accents"), ("one/same.txt", "first"), ("two/same.txt", "second"), ("deep/er/only.txt", "only")):
+        (tmp_path / "in put" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in put" / path).write_text(text)
+    asked = ["my file.txt", "a+b%20.txt", "é/ñ.txt", "ñ.txt", "one/same.txt", "two/same.txt", "same.txt", "only.txt", "no.txt", None]
+    rows = spark.createDataFrame([(str(k), None, path) for k, path in enumerate(asked)] + [("x", "inline", "my file.txt")], "source string, payload string, payload_path string")
+    got = {r.source: r.payload for r in tables.load_raw(spark, rows, str(tmp_path / "in put")).collect()}
+    assert [got[str(k)] for k in range(10)] == ["blank", "signs", "accents", "accents", "first", "second", None, "only", None, None] and got["x"] == "inline"
+
+
+def test_aliases_of_adapters(spark):
+    tables.register_adapter("swapped", feeds.scan_items, "C", {"title": ("", "company"), "company": ("title",), "location": ("town",), "modality": ("where",)})
+    try:
+        item = {"title": "A", "company": "B", "town": " X ", "where": "hybrid", "url": "/1"}
+        raw = [(s, a, "https://j.example", "", json.dumps([item])) for s, a in (("s", "swapped"), ("t", "json-api-feed"))]
+        routed = spark.createDataFrame(raw, "source string, adapter string, base_url string, default_company string, payload string")
+        good, _ = feeds.validate_postings(feeds.normalize_items(tables.scan_routed(routed)))
+        assert {(r.source, r.title, r.company, r.location, r.modality) for r in good.collect()} == {("s", "B", "A", "X", "hybrid"), ("t", "A", "B", None, "unknown")}
+    finally:
+        del tables._ADAPTERS["swapped"]
+    with pytest.raises(ValueError, match="unknown fields: nothing"):
+        tables.register_adapter("x", feeds.scan_items, None, {"nothing": ("a",)})
