@@ -122,6 +122,21 @@ QUERIES: dict[str, Query] = {
 
 #: DuckDB SQL with the same result, where SQL over whole tables can express it.
 ORACLE_SQL: dict[str, str] = {
+    "op9_embedding_dedup": """
+        WITH RECURSIVE e AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+        reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+        degree AS (SELECT x, count(*) AS n FROM links GROUP BY 1),
+        lowest AS (SELECT x, min(y) AS low FROM reach GROUP BY 1),
+        found AS (
+            SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id
+            FROM embeddings LEFT JOIN degree ON degree.x = vec_id LEFT JOIN lowest ON lowest.x = vec_id
+        )
+        SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found
+    """,
     "op12_lexical_search": r"""
         WITH d AS (
             SELECT row_number() OVER () AS place, doc_id,
