@@ -25,6 +25,61 @@ def _share(have: Column, wanted: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(have, wanted)), F.size(wanted)), F.lit(1.0))
 
 
+def _one(c: Column) -> Column:
+    return F.when(c, 1.0).otherwise(0.0)
+
+
+# The match of each dimension, between 0 and 1, as functions of columns. Lists are ``tokens``.
+
+
+def skills_match(have: Column, required: Column, desirable: Column) -> Column:
+    """Seven tenths for the required skills, three for the desirable ones; 1 if none are asked for."""
+    shares = 0.7 * _share(have, required) + 0.3 * _share(have, desirable)
+    return F.when((F.size(required) == 0) & (F.size(desirable) == 0), 1.0).otherwise(shares)
+
+
+def experience_match(years: Column, required_years: Column) -> Column:
+    """The part of the required years that is there, 1 at most; nothing or 0 required: 1."""
+    required = F.coalesce(required_years, F.lit(0.0))
+    return F.when(required == 0, 1.0).otherwise(F.least(F.lit(1.0), F.try_divide(years, required)))
+
+
+def seniority_match(mine: Column, theirs: Column) -> Column:
+    """Equality, or 1 if either is blank."""
+    mine, theirs = F.lower(F.coalesce(mine, F.lit(""))), F.lower(F.coalesce(theirs, F.lit("")))
+    return _one((mine == "") | (theirs == "") | (mine == theirs))
+
+
+def language_match(languages: Column, preferred: Column) -> Column:
+    """The part of the preferred languages that is spoken; none preferred: 1."""
+    return _share(languages, preferred)
+
+
+def location_match(here: Column, wanted: Column, relocates: Column) -> Column:
+    """1 if no place is wanted, one of ``here`` is, or the person would move."""
+    return _one((F.size(wanted) == 0) | F.arrays_overlap(here, wanted) | F.coalesce(relocates, F.lit(False)))
+
+
+def modality_match(modality: Column, wanted: Column) -> Column:
+    return _one((F.size(wanted) == 0) | F.array_contains(wanted, F.lower(F.coalesce(modality, F.lit("unknown")))))
+
+
+def salary_match(salary_max: Column, wanted_min: Column) -> Column:
+    """1 if either is unknown or enough is paid, whatever the currency and the period."""
+    return _one(wanted_min.isNull() | salary_max.isNull() | (salary_max >= wanted_min))
+
+
+def authorization_match(mine: Column, asked: Column) -> Column:
+    return _one((F.size(mine) == 0) | (F.size(asked) == 0) | F.arrays_overlap(mine, asked))
+
+
+def weighted_score(matches: dict[str, Column], weights: dict[str, Column]) -> Column:
+    """100 times the weighted mean of the matches, with two decimals; weights that add up to 0 give 0."""
+    total = sum(weights.values(), F.lit(0.0))
+    weighted = sum((matches[d] * weights[d] for d in matches), F.lit(0.0))
+    return F.round(100 * weighted / F.coalesce(F.nullif(total, F.lit(0.0)), F.lit(1.0)), 2)
+
+
 def effective_weights(df: DataFrame, preference: str = "weights", override: dict[str, float] | None = None, base: dict[str, float] | None = None) -> DataFrame:
     """``w_<dimension>``: call override, else preference, else scorer weight, else 1; only weights >= 0 count."""
     override = {k: float(v) for k, v in (override or {}).items() if k in DIMENSIONS and v >= 0}
@@ -59,35 +114,22 @@ def score(pairs: DataFrame, override: dict[str, float] | None = None, base: dict
         "_here": tokens(F.array("location", "region")),
         "_years": experience_years(F.col("experience")),
     })
-    no_skills = (F.size("_required") == 0) & (F.size("_desirable") == 0)
-    skills = 0.7 * _share(F.col("_have"), F.col("_required")) + 0.3 * _share(F.col("_have"), F.col("_desirable"))
-    years = F.coalesce(F.col("required_years"), F.lit(0.0))
-    mine, theirs = F.lower(F.coalesce("seniority", F.lit(""))), F.lower(F.coalesce("job_seniority", F.lit("")))
-    near = (F.size("_places") == 0) | F.arrays_overlap("_here", "_places") | F.coalesce("willing_to_relocate", F.lit(False))
-    mode = (F.size("_modes") == 0) | F.array_contains("_modes", F.lower(F.coalesce("modality", F.lit("unknown"))))
-    paid = F.col("wanted_min").isNull() | F.col("salary_max").isNull() | (F.col("salary_max") >= F.col("wanted_min"))
-    allowed = (F.size("_auth") == 0) | (F.size("_job_auth") == 0) | F.arrays_overlap("_auth", "_job_auth")
-
-    def one(c: Column) -> Column:
-        return F.when(c, 1.0).otherwise(0.0)
-
     values = {
-        "skills": F.when(no_skills, 1.0).otherwise(skills),
-        "experience": F.when(years == 0, 1.0).otherwise(F.least(F.lit(1.0), F.try_divide("_years", years))),
-        "seniority": one((mine == "") | (theirs == "") | (mine == theirs)),
-        "language": _share(F.col("_languages"), F.col("_wanted_languages")),
-        "location": one(near),
-        "modality": one(mode),
-        "salary": one(paid),
-        "work_authorization": one(allowed),
+        "skills": skills_match(F.col("_have"), F.col("_required"), F.col("_desirable")),
+        "experience": experience_match(F.col("_years"), F.col("required_years")),
+        "seniority": seniority_match(F.col("seniority"), F.col("job_seniority")),
+        "language": language_match(F.col("_languages"), F.col("_wanted_languages")),
+        "location": location_match(F.col("_here"), F.col("_places"), F.col("willing_to_relocate")),
+        "modality": modality_match(F.col("modality"), F.col("_modes")),
+        "salary": salary_match(F.col("salary_max"), F.col("wanted_min")),
+        "work_authorization": authorization_match(F.col("_auth"), F.col("_job_auth")),
     }
     df = df.withColumns({f"v_{d}": v for d, v in values.items()})
-    weighted = sum((F.col(f"v_{d}") * F.col(f"w_{d}") for d in DIMENSIONS), F.lit(0.0))
     weight = sum((F.col(f"w_{d}") for d in DIMENSIONS), F.lit(0.0))
     df = df.withColumn("_total", F.coalesce(F.nullif(weight, F.lit(0.0)), F.lit(1.0)))
     asked = F.array_union("_required", "_desirable")
     df = df.withColumns({
-        "_raw": F.round(100 * weighted / F.col("_total"), 2),
+        "_raw": weighted_score({d: F.col(f"v_{d}") for d in DIMENSIONS}, {d: F.col(f"w_{d}") for d in DIMENSIONS}),
         "matches": F.sort_array(F.array_intersect("_have", asked)),
         "gaps": F.sort_array(F.array_except(asked, "_have")),
         "exclusions": F.sort_array(F.array_intersect("_excluded", "_constraints")),

@@ -435,6 +435,46 @@ def score_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("job_id", "profile_id", "score", F.col("breakdown.skills.match").alias("skills_match"), *lists)
 
 
+_ASKED = """a AS (SELECT *, p_partkey AS k, list_distinct(string_split(lower(p_name), ' ')) AS names, list_distinct(string_split(lower(p_type), ' ')) AS kinds FROM part),
+l AS (SELECT *, CASE WHEN k % 6 = 0 THEN [] ELSE names END AS required, CASE WHEN k % 4 = 0 THEN [] ELSE kinds END AS desirable,
+  list_distinct([string_split(lower(p_name), ' ')[1], string_split(lower(p_type), ' ')[1], lower(p_brand)]) AS have, k % 9 AS years, CASE WHEN k % 7 > 0 THEN k % 7 END AS wanted FROM a),
+m AS (SELECT k, CASE WHEN len(required) = 0 AND len(desirable) = 0 THEN 1.0 ELSE
+    0.7 * CASE WHEN len(required) = 0 THEN 1.0 ELSE len(list_intersect(have, required)) / CAST(len(required) AS DOUBLE) END
+    + 0.3 * CASE WHEN len(desirable) = 0 THEN 1.0 ELSE len(list_intersect(have, desirable)) / CAST(len(desirable) AS DOUBLE) END END AS skills,
+  CASE WHEN wanted IS NULL THEN 1.0 ELSE least(1.0, years / CAST(wanted AS DOUBLE)) END AS experience,
+  CASE WHEN k % 5 = 0 OR k % 3 = 0 OR k % 5 = k % 3 THEN 1.0 ELSE 0.0 END AS seniority,
+  CASE WHEN len(desirable) = 0 THEN 1.0 ELSE len(list_intersect(have, desirable)) / CAST(len(desirable) AS DOUBLE) END AS language,
+  CASE WHEN len(required) = 0 OR len(list_intersect(have, required)) > 0 OR k % 10 = 1 THEN 1.0 ELSE 0.0 END AS location,
+  CASE WHEN len(desirable) = 0 OR list_contains(desirable, lower(CASE WHEN k % 2 = 0 THEN string_split(p_type, ' ')[1] ELSE p_brand END)) THEN 1.0 ELSE 0.0 END AS modality,
+  CASE WHEN k % 8 = 0 OR p_retailprice >= p_size * 40 THEN 1.0 ELSE 0.0 END AS salary,
+  CASE WHEN len(desirable) = 0 OR len(required) = 0 OR len(list_intersect(desirable, required)) > 0 THEN 1.0 ELSE 0.0 END AS work_authorization FROM l)"""
+
+
+@query(f"""WITH {_ASKED} SELECT k AS job_id, round(skills, 6) AS skills, round(experience, 6) AS experience, CAST(seniority AS DOUBLE) AS seniority, round(language, 6) AS language, CAST(location AS DOUBLE) AS location,
+  CAST(modality AS DOUBLE) AS modality, CAST(salary AS DOUBLE) AS salary, CAST(work_authorization AS DOUBLE) AS work_authorization,
+  round(100 * (skills * (k % 3) + experience + seniority + language + location + modality + salary + work_authorization) / (k % 3 + 7.0), 2) AS score FROM m""")
+def dimension_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each dimension of a score by its own function, over parts whose words are skills, places and languages."""
+    p, k = v.read(spark, sf_dir, "part"), F.col("p_partkey")
+    none = F.array().cast("array<string>")
+    p = p.withColumns({"names": scoring.tokens(F.split("p_name", " ")), "kinds": scoring.tokens(F.split("p_type", " "))})
+    p = p.withColumns({
+        "required": F.when(k % 6 == 0, none).otherwise(F.col("names")), "desirable": F.when(k % 4 == 0, none).otherwise(F.col("kinds")),
+        "have": F.array_distinct(F.array(F.col("names")[0], F.col("kinds")[0], F.lower("p_brand"))),
+    })
+    have, required, desirable = F.col("have"), F.col("required"), F.col("desirable")
+    rank = [F.when(k % n > 0, F.concat(F.lit("Level "), (k % n).cast("string"))) for n in (5, 3)]
+    matches = {
+        "skills": scoring.skills_match(have, required, desirable), "experience": scoring.experience_match(k % 9, (k % 7).cast("double")),
+        "seniority": scoring.seniority_match(F.upper(rank[0]), rank[1]), "language": scoring.language_match(have, desirable),
+        "location": scoring.location_match(have, required, k % 10 == 1), "modality": scoring.modality_match(F.when(k % 2 == 0, F.col("kinds")[0]).otherwise(F.col("p_brand")), desirable),
+        "salary": scoring.salary_match(F.col("p_retailprice"), F.when(k % 8 > 0, F.col("p_size") * 40)), "work_authorization": scoring.authorization_match(desirable, required),
+    }
+    weights = {d: (k % 3).cast("double") if d == "skills" else F.lit(1.0) for d in matches}
+    shown = [F.round(c, 6).alias(d) if d in ("skills", "experience", "language") else c.alias(d) for d, c in matches.items()]
+    return p.select(k.alias("job_id"), *shown, scoring.weighted_score(matches, weights).alias("score"))
+
+
 @query(f"""{_SCORES} SELECT k AS profile_id, count(*) AS pairs, max(CASE WHEN excluded THEN 0.0 ELSE raw END) AS best FROM s GROUP BY 1""")
 def best_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scoring.score(_pairs(spark, sf_dir))
