@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from jobloom.llm.memory import give_back
 from jobloom.llm.numbering import join_hint
 from jobloom.llm.scratch import discard, materialize
 
@@ -165,6 +166,7 @@ def _cut(path: str, capacity: int, separator: int):
         task, met = TaskContext.get().partitionId(), Counter()
         names = ["doc_id", "piece", "start", "length", "task", "nth", "ids"]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        give_back()
         for batch in batches:
             for at in range(0, len(batch), 200):
                 part = batch.slice(at, 200)
@@ -183,7 +185,7 @@ def _cut(path: str, capacity: int, separator: int):
                         start, piece = start + length, piece + 1
                 arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return run
 
@@ -229,6 +231,7 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ]
         return pa.RecordBatch.from_arrays(arrays, names=["sequence_id", "ids", "pieces"])
 
+    give_back()
     held: pa.Table | None = None  # the pieces of the last sequence, which may go on in the next batch
     for batch in (full.slice(at, 500) for full in batches for at in range(0, len(full), 500)):
         part = pa.Table.from_batches([batch])
@@ -240,6 +243,7 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = part.slice(last)
     if held is not None:
         yield whole(held)
+    give_back()
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

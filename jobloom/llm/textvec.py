@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from jobloom.llm.memory import give_back
+
 #: Texts are hashed in slices of about this many bytes, which bounds a task's memory; one text is never cut.
 SLICE_BYTES = 1 << 20
 
@@ -114,6 +116,7 @@ def words(column: pa.Array, lower: bool = True, alnum: bool = False, digits: boo
         j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE_BYTES, side="right")) - 1)
         yield i, _hash_slice(data[off[i] : off[j]], off[i : j + 1] - off[i], lower, is_word, digits)
         i = j
+    give_back()
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.llm.labelled import held_out, labelled_texts, logistic, training_sample
+from jobloom.llm.memory import give_back
 from jobloom.llm.scratch import materialize
 
 #: At most this many rows of each label teach.
@@ -134,6 +135,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.R
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
+        give_back()
 
 
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
