@@ -78,6 +78,7 @@ def salary_label(low: Column, high: Column, currency: Column) -> Column:
     return F.when(low.isNotNull() & high.isNotNull(), label).otherwise("Not specified")
 
 
+# Fixed value: how a text states years of experience.
 YEARS = r"(\d+(?:\.\d+)?)\s*(?:\+\s*)?(?:years?|años?|anos?)"
 
 

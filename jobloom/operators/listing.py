@@ -70,9 +70,15 @@ def latest_evaluation(evaluations: DataFrame) -> DataFrame:
     return evaluations.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
 
-def job_details(jobs: DataFrame, evaluations: DataFrame) -> DataFrame:
-    """Every posting with its latest score and all evaluations, newest first."""
+def job_details(jobs: DataFrame, evaluations: DataFrame, most: int | None = None) -> DataFrame:
+    """Every posting with its latest score and all evaluations, newest first, or the ``most`` newest ones.
+
+    All of them come together in a row; a limit is applied before, where the evaluations are read.
+    """
     entry = F.struct("evaluated_at", "evaluation_id", "profile_id", "score")
+    if most is not None:
+        newest = Window.partitionBy("job_id").orderBy(F.desc("evaluated_at"), F.desc("evaluation_id"))
+        evaluations = evaluations.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= most)
     history = evaluations.groupBy("job_id").agg(F.sort_array(F.collect_list(entry), asc=False).alias("history"))
     joined = jobs.join(history, "job_id", "left")
     return joined.withColumn("latest_score", F.get("history", F.lit(0))["score"])
@@ -100,9 +106,12 @@ def execution_of_run(executions: DataFrame, runs: DataFrame, run_id: str) -> Dat
     return executions_with_runs(executions.filter(F.col("run_uuid") == run_id), runs)
 
 
-def executions_with_runs(executions: DataFrame, runs: DataFrame) -> DataFrame:
-    """Executions with their source runs nested, in order of id."""
+def executions_with_runs(executions: DataFrame, runs: DataFrame, most: int | None = None) -> DataFrame:
+    """Executions with their source runs nested, in order of id, or the first ``most`` of each."""
     fields = [c for c in runs.columns if c not in ("execution_id", "run_id")]
+    if most is not None:
+        first = Window.partitionBy("execution_id").orderBy("run_id")
+        runs = runs.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).drop("_n")
     nested = runs.groupBy("execution_id").agg(F.array_sort(F.collect_list(F.struct("run_id", *fields))).alias("runs"))
     return executions.join(nested, "execution_id", "left")
 

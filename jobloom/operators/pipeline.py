@@ -126,10 +126,10 @@ def run_all(raw: DataFrame, profiles: DataFrame, preferences: DataFrame, seen: D
     out = run_ingest(raw, stored)
     now = F.current_timestamp()
     found = out["sightings"].groupBy("canonical_url").agg(F.min_by("source", "seq").alias("source"), F.max(F.left("seq", F.lit(12))).alias("seen_run"))
-    newest = out["sightings"].agg(F.max(F.left("seq", F.lit(12))).alias("run"))
+    newest = out["sightings"].agg(F.max(F.left("seq", F.lit(12)))).first()[0]
     jobs = out["postings"].withColumn("job_id", F.xxhash64("identity"))
-    jobs = jobs.join(found.join(sources, "source", "left"), "canonical_url", "left").join(F.broadcast(newest))  # a single row
-    again = F.col("seen_run") == F.col("run")
+    jobs = jobs.join(found.join(sources, "source", "left"), "canonical_url", "left")
+    again = F.col("seen_run") == F.lit(newest)
     if before is None:
         jobs = jobs.withColumns({"status": F.lit("active"), "detected_at": now, "checked_at": now})
     else:
@@ -139,7 +139,7 @@ def run_all(raw: DataFrame, profiles: DataFrame, preferences: DataFrame, seen: D
             "status": F.coalesce(back, F.col("_status"), F.lit("active")), "detected_at": F.coalesce("_detected", now),
             "checked_at": F.coalesce(F.when(again, now), F.col("_checked"), now),
         }).drop("_status", "_detected", "_checked")
-    jobs = jobs.drop("seen_run", "run")
+    jobs = jobs.drop("seen_run")
     out["jobs"] = materialize(identity.mark_missing_of_sources(jobs, seen), "jobs")
     made = run_scoring(scorable(out["jobs"]), profiles, preferences, earlier)
     made = made.withColumns({"evaluation_id": F.xxhash64("job_id", "profile_id", "fingerprint"), "evaluated_at": now})

@@ -68,6 +68,7 @@ def validate_sources(routed: DataFrame) -> DataFrame:
     fixture = F.when(feed, "provide payload or payload_path or set allow_network=True").otherwise(
         "provide html or html_path or set allow_network=True"
     )
+    # The messages of these checks.
     limits = {
         "timeout_seconds": (F.col("timeout_seconds") <= 0, "timeout_seconds must be greater than zero"),
         "requests_per_minute": (F.col("requests_per_minute") <= 0, "requests_per_minute must be greater than zero"),

@@ -25,7 +25,7 @@ MAX_BYTES = 10 * 1024 * 1024
 
 def section_of(line: Column) -> Column:
     """The section that a heading line opens, else null."""
-    heading = F.btrim(F.regexp_replace(F.lower(line), "[^a-záéíóúñ ]", ""))
+    heading = F.btrim(F.regexp_replace(F.lower(line), "[^a-záéíóúñ ]", ""))  # fixed value: the signs of a heading
     out = F.lit(None).cast("string")
     for section, names in SECTIONS.items():
         out = F.when(heading.isin(*names), section).otherwise(out)

@@ -300,6 +300,24 @@ def orphaned_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.delete_sources(sources, jobs, jobs.select("job_id", "source_id"), gone)[1].select("job_id", "source_id")
 
 
+@query("SELECT l_suppkey AS source_id, count(*) AS runs FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1")
+def remaining_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as runs of suppliers; those of deleted suppliers go with them."""
+    s = v.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), "s_acctbal")
+    lines = v.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source_id"), "l_orderkey")
+    _, _, left = history.delete_sources(s, v.jobs(spark, sf_dir), lines, s.filter("s_acctbal < 0"))
+    return left.groupBy("source_id").agg(F.count("*").alias("runs"))
+
+
+@query(f"""WITH {v.EVALUATIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY evaluated_at DESC, evaluation_id DESC) AS n FROM evaluations), {v.JOBS}
+SELECT j.job_id, string_agg(CAST(evaluation_id AS VARCHAR), ',' ORDER BY n) AS newest, max(score) FILTER (WHERE n = 1) AS latest_score FROM jobs j LEFT JOIN r ON r.job_id = j.job_id AND n <= 3 GROUP BY 1""")
+def newest_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with their three newest evaluations only, however many there are."""
+    found = listing.job_details(v.jobs(spark, sf_dir), v.evaluations(spark, sf_dir), most=3)
+    newest = F.array_join(F.transform("history", lambda e: e["evaluation_id"].cast("string")), ",")
+    return found.select("job_id", newest.alias("newest"), "latest_score")
+
+
 @query("SELECT s_name AS name, s_suppkey FROM supplier WHERE s_acctbal > 0 ORDER BY s_name")
 def enabled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobloom.sources.tables import enabled_sources as enabled
