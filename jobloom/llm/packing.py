@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 from jobloom.llm.memory import give_back
 from jobloom.llm.numbering import join_hint
 from jobloom.llm.scratch import discard, materialize
+from jobloom.llm.tokens import WordTokenizer, forget
 
 
 class Run(NamedTuple):
@@ -160,8 +161,6 @@ def _cut(path: str, capacity: int, separator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        from jobloom.llm.tokens import WordTokenizer
-
         tokenizer, packer = WordTokenizer.at(path), zstandard.ZstdCompressor(level=3)
         task, met = TaskContext.get().partitionId(), Counter()
         names = ["doc_id", "piece", "start", "length", "task", "nth", "ids"]
@@ -231,6 +230,7 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ]
         return pa.RecordBatch.from_arrays(arrays, names=["sequence_id", "ids", "pieces"])
 
+    forget()  # what has cut the pieces is no longer needed
     give_back()
     held: pa.Table | None = None  # the pieces of the last sequence, which may go on in the next batch
     for batch in (full.slice(at, 500) for full in batches for at in range(0, len(full), 500)):
@@ -248,6 +248,8 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows whose last column is an array of ids, the checksum of these in its place."""
+    forget()
+    give_back()
     for batch in (full.slice(at, 1000) for full in batches for at in range(0, len(full), 1000)):
         own = batch.column(batch.num_columns - 1)
         tokens = own.flatten().to_numpy(zero_copy_only=False).astype("<u4")

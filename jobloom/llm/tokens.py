@@ -49,6 +49,13 @@ def _byte_letters() -> dict[int, int]:
     return {byte: byte for byte in shown} | {byte: 256 + k for k, byte in enumerate(hidden)}
 
 
+def forget() -> None:
+    """Drop the tokenizers of this Python worker and the words that they have met."""
+    global _kinds
+    _loaded.clear()
+    _kinds = None
+
+
 def word_starts(codes: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Where words begin: ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``.
 
