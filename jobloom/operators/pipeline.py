@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobloom.functions.links import canonicalize_url, fingerprint
 from jobloom.operators import identity, listing, reconcile, runs, scoring
 from jobloom.sources import tables
-from jobloom.sources.feeds import read_feeds
+from jobloom.sources.feeds import paged, read_feeds
 from jobloom.sources.scratch import materialize
 
 FIELDS = (
@@ -28,28 +28,29 @@ def _order(seq: Column, kind: str) -> Column:
     return F.when(text.rlike(r"^[0-9]{12}\|"), text).otherwise(F.concat(F.lit(f"{0:012d}|"), text))
 
 
-def place(run: int, source: Column, item_idx: Column) -> Column:
-    """The order of sightings, by run, source and position, as a text that needs no global numbering."""
-    return F.concat_ws("|", F.lit(f"{run:012d}"), source, F.lpad(item_idx.cast("string"), 12, "0"))
+def place(run: int, source: Column, page: Column, item_idx: Column) -> Column:
+    """The order of sightings, by run, source, page (of ``feeds.paged``) and position, as a text that needs no global numbering."""
+    return F.concat_ws("|", F.lit(f"{run:012d}"), source, page, F.lpad(item_idx.cast("string"), 12, "0"))
 
 
 def run_ingest(raw: DataFrame, stored: DataFrame | None = None, per_source_cap: int | None = None) -> dict[str, DataFrame]:
     """Postings, snapshots, quarantine and source results of ``raw(source, base_url, default_company, payload)``.
 
-    Card pages come in a column ``html``. ``stored`` are earlier sightings (``FIELDS`` with ``seq`` and ``source``,
+    Card pages come in a column ``html``; where a source has several payloads, a number ``page`` orders them. ``stored`` are earlier sightings (``FIELDS`` with ``seq`` and ``source``,
     and ``metadata`` if they have it); new ones are a run of their own after them, so ingesting the same feed again
     changes no posting, and ``identity``, the first sighting, stays what it was. ``sightings`` of the result are the
     next run's ``stored``.
     """
-    good, bad = read_feeds(raw)
+    good, bad = read_feeds(paged(raw))
+    at = F.struct("page", "item_idx")
     if per_source_cap is not None:
-        good = runs.cap_per_source(good, per_source_cap)
+        good = runs.cap_per_source(good, per_source_cap, order=at)
     run = 1
     if stored is not None:
         held = F.col("metadata") if "metadata" in stored.columns else F.lit(None).cast("map<string,string>")
         stored = stored.select("source", *FIELDS, held.alias("metadata"), _order(F.col("seq"), dict(stored.dtypes)["seq"]).alias("seq"))
         run += stored.agg(F.max(F.left("seq", F.lit(12)).cast("long"))).first()[0] or 0
-    sightings = good.select("source", *FIELDS, "metadata", place(run, F.col("source"), F.col("item_idx")).alias("seq"))
+    sightings = good.select("source", *FIELDS, "metadata", place(run, F.col("source"), F.col("page"), F.col("item_idx")).alias("seq"))
     if stored is not None:
         sightings = stored.unionByName(sightings)
     keyed = sightings.withColumns({
@@ -57,15 +58,15 @@ def run_ingest(raw: DataFrame, stored: DataFrame | None = None, per_source_cap:
         "fingerprint": fingerprint(F.col("title"), F.col("company"), F.col("location")),
     })
     found = materialize(identity.identity_components(materialize(keyed, "keyed")), "sightings")
-    items = good.select("source", "item_idx", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error")).unionByName(
-        bad.select("source", "item_idx", F.lit(False).alias("ok"), "error")
+    items = good.select("source", at.alias("item_idx"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error")).unionByName(
+        bad.select("source", at.alias("item_idx"), F.lit(False).alias("ok"), "error")
     )
     metadata = identity.merge_metadata(found, "metadata")
     return {
         "postings": identity.merge_postings(found, [*FIELDS, "fingerprint"]).join(metadata, "identity", "left"),
         "sightings": found.drop("identity", "fingerprint"),
         "snapshots": identity.snapshots(found),
-        "quarantine": bad.select("source", "item_idx", "error"),
+        "quarantine": bad.select("source", "page", "item_idx", "error"),
         "source_runs": runs.source_runs(items, raw.select("source").distinct()),
     }
 

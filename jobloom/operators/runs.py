@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def cap_per_source(df: DataFrame, most: int, source: str = "source", order: str = "item_idx") -> DataFrame:
+def cap_per_source(df: DataFrame, most: int, source: str = "source", order: str | Column = "item_idx") -> DataFrame:
     """The first ``most`` items of each source."""
     place = Window.partitionBy(source).orderBy(order)
     return df.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= most).drop("_n")

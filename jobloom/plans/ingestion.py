@@ -146,7 +146,7 @@ def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     source = (k % 3).cast("string").alias("source")
     feed = s.groupBy(source, F.floor(k / PAGE).alias("page")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("payload"))
-    return feed.select("source", F.lit("https://jobs.example/").alias("base_url"), F.lit(None).cast("string").alias("default_company"), "payload")
+    return feed.select("source", "page", F.lit("https://jobs.example/").alias("base_url"), F.lit(None).cast("string").alias("default_company"), "payload")
 
 
 _INGESTED = """SELECT 'T' || s_nationkey AS title, 'https://jobs.example/n/' || s_nationkey AS canonical_url,

@@ -213,6 +213,17 @@ def scan_items(raw: DataFrame) -> DataFrame:
     return union_sources(*parts)
 
 
+def paged(raw: DataFrame) -> DataFrame:
+    """``raw`` with ``page`` as a text that orders the payloads of a source and tells them apart.
+
+    A source may send many payloads, and items are counted within each. ``page`` (a number, if ``raw`` has it) comes
+    first, then a hash of the payload; equal payloads of a page have equal items, so their places need not differ.
+    """
+    number = F.coalesce(F.col("page").cast("string"), F.lit("0")) if "page" in raw.columns else F.lit("0")
+    sent = F.xxhash64(*[c for c in ("base_url", "default_company", "adapter", "payload", "html") if c in raw.columns])
+    return raw.withColumn("page", F.concat(F.lpad(number, 12, "0"), F.lit("."), F.lpad(F.hex(sent), 16, "0")))
+
+
 def read_feeds(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scan, normalize and validate ``raw(source, base_url, default_company, payload)``, or ``html`` for card pages."""
     return validate_postings(normalize_items(drop_legal_envelope(scan_items(raw))))

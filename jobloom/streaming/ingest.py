@@ -11,10 +11,10 @@ from pyspark.sql.types import StructType
 from jobloom.functions.links import canonicalize_url, fingerprint
 from jobloom.operators.ledger import LEDGER, Ledger
 from jobloom.operators.pipeline import FIELDS, place
-from jobloom.sources.feeds import read_feeds
+from jobloom.sources.feeds import paged, read_feeds
 from jobloom.sources.store import BucketStore
 
-FEED_SCHEMA = "source string, base_url string, default_company string, payload string"
+FEED_SCHEMA = "source string, base_url string, default_company string, payload string, page long"
 
 
 def ingest_feeds(spark: SparkSession, folder: str, checkpoint: str, store: Callable[[DataFrame, DataFrame, int], None]) -> None:
@@ -24,7 +24,7 @@ def ingest_feeds(spark: SparkSession, folder: str, checkpoint: str, store: Calla
     gets the batch number to make repeated writes idempotent.
     """
     def one(batch: DataFrame, number: int) -> None:
-        good, bad = read_feeds(batch)
+        good, bad = read_feeds(paged(batch))
         store(good, bad, number)
 
     stream = spark.readStream.schema(FEED_SCHEMA).json(folder)
@@ -56,7 +56,7 @@ def ingest_into(spark: SparkSession, folder: str, checkpoint: str, root: str, bu
 
     def store(good: DataFrame, bad: DataFrame, number: int) -> None:
         keyed = good.withColumns({
-            "seq": place(number, F.col("source"), F.col("item_idx")),
+            "seq": place(number, F.col("source"), F.col("page"), F.col("item_idx")),
             "canonical_url": F.coalesce(canonicalize_url(F.col("canonical_url")), F.col("canonical_url")),
             "fingerprint": fingerprint(F.col("title"), F.col("company"), F.col("location")),
             "checked_at": F.current_timestamp(),

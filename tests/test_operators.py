@@ -203,6 +203,23 @@ def test_ingest_is_idempotent(spark):
     assert pipeline.run_ingest(feed(spark, f"[{GOOD},{GOOD}]"), per_source_cap=1)["postings"].first().sightings == 1
 
 
+def test_items_of_many_pages_of_a_source(spark):
+    """Positions are counted within a payload: pages go by their number, and without one they are still told apart."""
+    pages = [[(k, j) for j in range(3)] for k in range(12)]
+    item = '{{"title":"T{1}","url":"/{1}","description":"page {0}"}}'
+    rows = [("s", "https://jobs.example", "Acme", "[" + ",".join(item.format(k, j) for k, j in page) + ',{"title":"bad"}]', k) for k, page in enumerate(pages)]
+    raw = spark.createDataFrame(rows, "source string, base_url string, default_company string, payload string, page long").repartition(5)
+    out = pipeline.run_ingest(raw)
+    assert {(r.title, r.sightings, r.description) for r in out["postings"].collect()} == {(f"T{j}", 12, "page 11") for j in range(3)}
+    assert out["source_runs"].first().errors == 12 and out["quarantine"].distinct().count() == 12
+    two = {(r.title, r.sightings, r.description) for r in pipeline.run_ingest(raw, out["sightings"])["postings"].collect()}
+    assert two == {(f"T{j}", 24, "page 11") for j in range(3)}
+    capped = {(r.title, r.description) for r in pipeline.run_ingest(raw, per_source_cap=5)["sightings"].collect()}
+    assert capped == {("T0", "page 0"), ("T1", "page 0"), ("T2", "page 0"), ("T0", "page 1"), ("T1", "page 1")}
+    bare = pipeline.run_ingest(raw.drop("page"))
+    assert {(r.title, r.sightings) for r in bare["postings"].collect()} == {(f"T{j}", 12) for j in range(3)}
+
+
 def test_full_run(spark, tmp_path):
     item = '{"title":"Dev","url":"/1","location":"CDMX","description":"x","metadata":{"required_skills":["Python","SQL"],"constraints":"nights"}}'
     person = spark.createDataFrame([(1, ["python"], [], ["English"])], PROFILE)
