@@ -40,7 +40,7 @@ def _card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 4 == 2, _said('<p data-job="true"><span class="location">', F.col("p_type"), '</span><script>"<h1 class=title>no</h1>"</script><a href="/p/', key, '">Postular</a></article>'))
         .otherwise(_said("<article><h1 class=title>", name))
     )
-    return v.read(spark, sf_dir, "part").select(k.alias("source"), page.alias("html"), F.lit("https://jobs.example/x").alias("base_url"), F.lit("Example").alias("default_company"))
+    return v.spread(v.read(spark, sf_dir, "part"), "p_partkey").select(k.alias("source"), page.alias("html"), F.lit("https://jobs.example/x").alias("base_url"), F.lit("Example").alias("default_company"))
 
 
 _CARDS = """SELECT p_partkey AS source, CASE p_partkey % 4 WHEN 0 THEN p_name || ' &' WHEN 1 THEN p_name END AS title, CASE WHEN p_partkey % 4 = 1 THEN p_brand END AS company,
@@ -112,7 +112,7 @@ def rejected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as feeds of one item; errors send a bare text."""
     item = F.struct(F.col("event_type").alias("title"), F.lit("C").alias("company"), F.lit("/x").alias("url"))
     payload = F.when(F.col("event_type") == "error", F.to_json(F.array("event_type"))).otherwise(F.to_json(F.array(item)))
-    raw = v.read(spark, sf_dir, "events").select(
+    raw = v.spread(v.read(spark, sf_dir, "events"), "event_id").select(
         F.col("user_id").cast("string").alias("source"), "event_id", F.lit("https://jobs.example/").alias("base_url"),
         F.lit(None).cast("string").alias("default_company"), payload.alias("payload"),
     )

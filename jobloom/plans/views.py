@@ -16,6 +16,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all tasks by a unique key.
+
+    A file of very many short rows is read by few tasks; work that is heavy for each row would stay in these.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
+
+
 def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as postings."""
     d = read(spark, sf_dir, "documents")

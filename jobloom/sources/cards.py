@@ -31,17 +31,24 @@ _CLOSER = r"(?is)</(?:article|li)\s*>.*$"
 _LINK = rf"(?is)<a\b({_IN_TAG})>((?:(?!<a\b).)*?)</a\s*>"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` in which ``name`` is ``value``, which is computed once; within lambdas Spark shares nothing by itself."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _attribute(tag: str, name: str) -> str:
     """The value of an attribute in the text of a start tag; empty if it is missing."""
-    pattern = rf"(?is)[\s\x22\x27]{name}\s*=\s*(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s\x22\x27>]+))"
-    return "concat(" + ", ".join(f"regexp_extract({tag}, r'{pattern}', {k})" for k in (1, 2, 3)) + ")"
+    pattern = rf"(?is)[\s\x22\x27]{name}\s*=\s*(\x22[^\x22]*\x22|\x27[^\x27]*\x27|[^\s\x22\x27>]+)"
+    unquoted = "CASE WHEN left(v, 1) IN (chr(34), chr(39)) THEN substring(v, 2, length(v) - 2) ELSE v END"
+    return _let("v", f"regexp_extract({tag}, r'{pattern}', 1)", unquoted)
 
 
 def _field(tag: str) -> str:
     """The field that an element fills: by the last marker in its class, else by ``data-field``."""
-    kinds = f"lower({_attribute(tag, 'class')})"
-    marked = " ".join(f"WHEN contains({kinds}, '{marker}') THEN '{field}'" for marker, field in reversed(MARKERS.items()))
-    return f"CASE {marked} ELSE nullif({_attribute(tag, 'data-field')}, '') END"
+    marked = " ".join(f"WHEN contains(kinds, '{marker}') THEN '{field}'" for marker, field in reversed(MARKERS.items()))
+    # ``nullif`` would compute its first part twice.
+    named = _let("named", _attribute(tag, "data-field"), "CASE WHEN named <> '' THEN named END")
+    return _let("kinds", f"lower({_attribute(tag, 'class')})", f"CASE {marked} ELSE {named} END")
 
 
 def _plain(text: str) -> str:
@@ -51,12 +58,12 @@ def _plain(text: str) -> str:
 
 def _decoded(text: str) -> str:
     """Numeric and some named character references replaced; others stay."""
-    codes = rf"array_distinct(filter(regexp_extract_all({text}, r'&#(\d{{1,6}});', 1), n -> int(n) BETWEEN 9 AND 55295))"
-    whole = f"aggregate({codes}, {text}, (t, n) -> replace(t, concat('&#', n, ';'), decode(unhex(lpad(hex(int(n)), 8, '0')), 'UTF-32')))"
+    codes = r"array_distinct(filter(regexp_extract_all(d, r'&#(\d{1,6});', 1), n -> int(n) BETWEEN 9 AND 55295))"
+    whole = f"aggregate({codes}, d, (t, n) -> replace(t, concat('&#', n, ';'), decode(unhex(lpad(hex(int(n)), 8, '0')), 'UTF-32')))"
     for name, sign in REFERENCES.items():
         quoted = sign.replace("'", "''")
         whole = f"replace({whole}, '&{name};', '{quoted}')"
-    return f"CASE WHEN contains({text}, '&') THEN {whole} ELSE {text} END"
+    return _let("d", text, f"CASE WHEN contains(d, '&') THEN {whole} ELSE d END")
 
 
 def cards_sql(page: str) -> str:
@@ -72,22 +79,20 @@ def cards_sql(page: str) -> str:
     tag = f"regexp_extract(p, r'(?s)^<{_IN_TAG}>', 0)"
     # The text of a link describes the link; that of any other element its field.
     linked = f"p RLIKE r'(?i)^<a\\b' AND {_attribute('p', 'href')} <> ''"
-    read = f"transform({pieces}, p -> struct(CASE WHEN NOT ({linked}) THEN {_field(tag)} END AS field, {_decoded(_plain('p'))} AS text))"
-    read = f"filter({read}, p -> p.field IS NOT NULL AND p.text <> '')"
+    filled = f"CASE WHEN NOT ({linked}) THEN {_let('tag', tag, _field('tag'))} END"
+    told = f"struct(f AS field, CASE WHEN f IS NOT NULL THEN {_decoded(_plain('p'))} END AS text)"
+    read = f"filter(transform({pieces}, p -> {_let('f', filled, told)}), p -> p.field IS NOT NULL AND p.text <> '')"
     # Texts of one field are joined in their order.
     fields = "aggregate(read, map_from_arrays(array(''), array('')), (m, p) -> map_concat(map_filter(m, (k, v) -> k <> p.field), " \
         "map(p.field, concat_ws(' ', m[p.field], p.text))))"
-    links = (
-        f"transform(arrays_zip(regexp_extract_all(card, r'{_LINK}', 1), regexp_extract_all(card, r'{_LINK}', 2)), "
-        f"x -> struct({_attribute('x.`0`', 'href')} AS href, lower(concat_ws(' ', {_attribute('x.`0`', 'class')}, {_field('x.`0`')}, {_plain('x.`1`')})) AS about))"
-    )
+    start, inner = rf"regexp_extract(x, r'(?is)^<a\b({_IN_TAG})>', 1)", rf"regexp_replace(x, r'(?is)^<a\b{_IN_TAG}>|</a\s*>$', '')"
+    about = f"lower(concat_ws(' ', {_attribute('tag', 'class')}, {_field('tag')}, {_plain(inner)}))"
+    applies = f"{about} RLIKE '{'|'.join(APPLY_WORDS)}'"
+    links = f"transform(regexp_extract_all(card, r'{_LINK}', 0), x -> {_let('tag', start, f'struct({_attribute("tag", "href")} AS href, {applies} AS applies)')})"
     links = f"filter({links}, x -> x.href <> '')"
-    applies = f"x.about RLIKE '{'|'.join(APPLY_WORDS)}'"
-    made = (
-        f"transform(array({read}), read -> map_filter({fields}, (k, v) -> k <> ''))[0] AS fields, "
-        f"get(filter({links}, x -> NOT ({applies})), 0).href AS link, try_element_at(filter({links}, x -> {applies}), -1).href AS apply"
-    )
-    return f"transform({cards}, card -> struct({made}))"
+    given = _let("read", read, f"map_filter({fields}, (k, v) -> k <> '')")
+    made = f"struct({given} AS fields, get(filter(links, x -> NOT x.applies), 0).href AS link, try_element_at(filter(links, x -> x.applies), -1).href AS apply)"
+    return f"transform({cards}, card -> {_let('links', links, made)})"
 
 
 def scan_cards(pages: DataFrame) -> DataFrame:

@@ -182,3 +182,14 @@ def test_aliases_of_adapters(spark):
         del tables._ADAPTERS["swapped"]
     with pytest.raises(ValueError, match="unknown fields: nothing"):
         tables.register_adapter("x", feeds.scan_items, None, {"nothing": ("a",)})
+
+
+def test_cards_are_dealt_over_all_tasks_and_read_each_tag_once(spark):
+    from jobloom.plans.ingestion import _card_pages
+    from jobloom.sources.cards import cards_sql
+
+    assert _card_pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert cards_sql("html").count("regexp_") < 25  # what lambdas repeat, each card pays for
+    page = "<article class=\"job-card\"><b class=\"x Title 'a'\">A &lt;B&gt;</b><i data-field='pay'>9 &#8364;</i><a href=\"\">none</a><a href='/x\"y'>more</a><a class=APPLY href=/z>go <b>on</b></a></article>"
+    got = cards.scan_cards(spark.createDataFrame([(page,)], "html string")).first()
+    assert (got.fields, got.url, got.application_url) == ({"title": "A <B>", "pay": "9 €"}, "/x\"y", "/z")
