@@ -69,14 +69,21 @@ def drop_legal_envelope(items: DataFrame) -> DataFrame:
     return items.filter(~F.coalesce(legal & is_object(F.col("item")), F.lit(False)))
 
 
+def stated(value: Column) -> Column:
+    """A variant as text, null if it counts as absent: a number 0, false, an empty list or object, but of JSON texts only an empty one."""
+    text = F.try_variant_get(value, "$", "string")
+    # The kind is only looked at where the text alone does not tell.
+    return F.when(~falsy(text) | ((F.btrim(text) != "") & (F.schema_of_variant(value) == "STRING")), text)
+
+
 def _pick(item: Column, name: str) -> Column:
-    return first_truthy(*[field(item, key) for key in ALIASES[name]])
+    return F.coalesce(*[stated(F.try_variant_get(item, f"$.{key}", "variant")) for key in ALIASES[name]])
 
 
 def _pick_by(keys: Column, members: Column) -> Column:
     """The first value under one of ``keys`` that does not count as absent, among the members of an object."""
-    tried = F.transform(keys, lambda key: F.try_variant_get(F.try_element_at(members, key), "$", "string"))
-    return F.get(F.filter(tried, lambda x: ~falsy(x)), F.lit(0))
+    tried = F.transform(keys, lambda key: stated(F.try_element_at(members, key)))
+    return F.get(F.array_compact(tried), F.lit(0))
 
 
 def pick_location(item: Column) -> Column:

@@ -193,3 +193,12 @@ def test_cards_are_dealt_over_all_tasks_and_read_each_tag_once(spark):
     page = "<article class=\"job-card\"><b class=\"x Title 'a'\">A &lt;B&gt;</b><i data-field='pay'>9 &#8364;</i><a href=\"\">none</a><a href='/x\"y'>more</a><a class=APPLY href=/z>go <b>on</b></a></article>"
     got = cards.scan_cards(spark.createDataFrame([(page,)], "html string")).first()
     assert (got.fields, got.url, got.application_url) == ({"title": "A <B>", "pay": "9 €"}, "/x\"y", "/z")
+
+
+def test_a_text_of_zero_is_a_value_and_a_number_is_none(spark):
+    given = [("0.0", 0.0), (0, 7.0), (False, 7.0), ("", 7.0), ([], 7.0), ("12", 12.0)]
+    jobs = [{"title": "T", "company": "C", "url": "/x", "salary_min": x, "salaryMin": 7} for x, _ in given]
+    for aliases in (None, F.create_map(F.lit("salary_min"), F.array(F.lit("salary_min"), F.lit("salaryMin")))):
+        raw = spark.createDataFrame([("s", "https://jobs.example", "", json.dumps(jobs))], "source string, base_url string, default_company string, payload string")
+        good, _ = feeds.read_feeds(raw if aliases is None else raw.withColumn("aliases", aliases))
+        assert [r.salary_min for r in good.orderBy("item_idx").collect()] == [x for _, x in given]
