@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -148,20 +148,28 @@ def default_profile(profiles: DataFrame) -> DataFrame:
     return profiles.orderBy("profile_id").limit(1)
 
 
+def _text(c: str, default: str = "") -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(default)).alias(c)
+
+
+def safe_job(most: int = 12_000) -> Column:
+    """The part of ``safe_payload`` that all pairs of a posting share: JSON of its named fields, the description cut."""
+    description = F.left(F.coalesce("description", F.lit("")), F.lit(most)).alias("description")
+    return F.to_json(F.struct(_text("title"), _text("company"), description, _text("location"), _text("region"), _text("modality", "unknown")))
+
+
 def safe_payload(pairs: DataFrame, most: int = 12_000) -> DataFrame:
     """``job_id, profile_id, payload``: JSON of the named fields only, the description cut; no resume text.
 
-    Reads the columns of scored pairs; experience entries keep what they state as numbers.
+    Reads the columns of scored pairs; experience entries keep what they state as numbers. A column ``safe_job``, made
+    before postings were paired, saves writing the same text for each of their profiles.
     """
-    def text(c: str, default: str = ""):
-        return F.coalesce(F.col(c).cast("string"), F.lit(default)).alias(c)
-
     def listed(c: str):
         return F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c)
 
     entries = F.transform("experience", lambda e: F.struct(e["years"].alias("years"), e["years_experience"].alias("years_experience"), e["duration_years"].alias("duration_years")))
-    preferences = F.struct(listed("locations"), listed("modalities"), text("seniority")).alias("preferences")
-    profile = F.struct(listed("skills"), entries.alias("experience"), listed("languages"), preferences).alias("profile")
-    description = F.left(F.coalesce("description", F.lit("")), F.lit(most)).alias("description")
-    job = F.struct(text("title"), text("company"), description, text("location"), text("region"), text("modality", "unknown")).alias("job")
-    return pairs.select("job_id", "profile_id", F.to_json(F.struct(profile, job)).alias("payload"))
+    preferences = F.struct(listed("locations"), listed("modalities"), _text("seniority")).alias("preferences")
+    profile = F.struct(listed("skills"), entries.alias("experience"), listed("languages"), preferences)
+    job = F.col("safe_job") if "safe_job" in pairs.columns else safe_job(most)
+    payload = F.concat(F.lit('{"profile":'), F.to_json(profile), F.lit(',"job":'), job, F.lit("}"))
+    return pairs.select("job_id", "profile_id", payload.alias("payload"))

@@ -537,10 +537,13 @@ SELECT job_id, n_nationkey AS profile_id, length(left(description, 12000)) AS de
 FROM p, nation""")
 def safe_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = v.doc_postings(spark, sf_dir).select("job_id", "title", "company", "description")
-    payload = listing.safe_payload(_pairs(spark, sf_dir).join(d, "job_id"))
-    of = {c: F.get_json_object("payload", f"$.job.{c}") for c in ("title", "location", "region", "modality")}
-    chars = F.length(F.get_json_object("payload", "$.job.description")).cast("long").alias("description_chars")
-    return payload.select("job_id", "profile_id", chars, *[x.alias(c) for c, x in of.items()])
+    postings, profiles, preferences = _scoring_inputs(spark, sf_dir)
+    jobs = postings.join(d, "job_id").withColumn("safe_job", listing.safe_job()).drop(*d.drop("job_id").columns)
+    payload = listing.safe_payload(scoring.pair(jobs, profiles, preferences))
+    # Each payload is parsed once.
+    said = F.from_json("payload", "job struct<title:string,description:string,location:string,region:string,modality:string>")["job"]
+    chars = F.length("said.description").cast("long").alias("description_chars")
+    return payload.select("job_id", "profile_id", said.alias("said")).select("job_id", "profile_id", chars, *[f"said.{c}" for c in ("title", "location", "region", "modality")])
 
 
 @query("SELECT min(c_custkey) AS profile_id FROM customer")

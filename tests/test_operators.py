@@ -1,4 +1,5 @@
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -287,3 +288,17 @@ def test_a_run_continues_the_one_before(spark):
     three = pipeline.run_all(feed(spark, f"[{changed},{other}]"), person, wish, both, sources, **held, reactivate=True)
     assert {r.title: r.status for r in three["jobs"].collect()} == {"Dev": "active", "Ops": "active"}
     assert [r.gaps for r in three["evaluations"].collect()] == [["rust"]] and three["mirror"].count() == 2
+
+
+def test_a_payload_with_the_text_of_its_posting_made_before(spark):
+    rows = [(1, 7, None, "Acme", 'say "é"\n<b>' * 2000, None, "usa", None, [], None, "English", "x")]
+    pairs = spark.createDataFrame(
+        rows, "job_id int, profile_id int, title string, company string, description string, location string, region string, modality string, skills array<string>, locations array<string>, language string, seniority string"
+    ).withColumns({"languages": F.array("language"), "modalities": F.array("language"), "experience": F.expr("array(named_struct('years', 1.5D, 'years_experience', CAST(NULL AS DOUBLE), 'duration_years', CAST(NULL AS DOUBLE)), NULL)")})
+    whole = listing.safe_payload(pairs).first().payload
+    made = pairs.withColumn("safe_job", listing.safe_job()).drop("title", "company", "description")
+    assert listing.safe_payload(made).first().payload == whole
+    assert json.loads(whole) == {
+        "profile": {"skills": [], "experience": [{"years": 1.5}, {}], "languages": ["English"], "preferences": {"locations": [], "modalities": ["English"], "seniority": "x"}},
+        "job": {"title": "", "company": "Acme", "description": ('say "é"\n<b>' * 2000)[:12000], "location": "", "region": "usa", "modality": "unknown"},
+    }
