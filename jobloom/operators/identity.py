@@ -31,10 +31,12 @@ def resolve_identity(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 def identity_components(rows: DataFrame) -> DataFrame:
     """Add ``identity``: the smallest ``seq`` reachable over equal URLs or equal fingerprints."""
     edges = []
+    # Written once: keys are read four times, and making them from links and texts is the dearest part.
+    keys = materialize(rows.select("seq", "canonical_url", "fingerprint"), "keys")
     for key in ("canonical_url", "fingerprint"):
         # A table: the rows of a hot key are then a skewed partition that Spark can split.
-        first = materialize(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("a")), "first")
-        edges.append(rows.join(first, key).select("a", F.col("seq").alias("b")))
+        first = materialize(keys.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("a")), "first")
+        edges.append(keys.join(first, key).select("a", F.col("seq").alias("b")))
     found = connected_components(edges[0].unionByName(edges[1]))
     joined = rows.join(found, rows.seq == found.node, "left")
     return joined.select(*rows.columns, F.coalesce("component", "seq").alias("identity"))

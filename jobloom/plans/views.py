@@ -54,7 +54,7 @@ DOC_POSTINGS = rf"""doc_postings AS (
 
 def ident(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as sightings of postings; URL and fingerprint overlaps form chains of up to eight."""
-    p = read(spark, sf_dir, "part")
+    p = spread(read(spark, sf_dir, "part"), "p_partkey")
     k = F.col("p_partkey")
     block, step = F.floor(k / 8), F.floor(F.pmod(k, F.lit(8)) / 2)
     track = F.when(k % 2 == 0, F.lit("?utm_source=mail")).otherwise(F.lit("#top"))

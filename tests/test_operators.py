@@ -302,3 +302,18 @@ def test_a_payload_with_the_text_of_its_posting_made_before(spark):
         "profile": {"skills": [], "experience": [{"years": 1.5}, {}], "languages": ["English"], "preferences": {"locations": [], "modalities": ["English"], "seniority": "x"}},
         "job": {"title": "", "company": "Acme", "description": ('say "é"\n<b>' * 2000)[:12000], "location": "", "region": "usa", "modality": "unknown"},
     }
+
+
+def test_keys_of_sightings_are_made_once(spark):
+    """What the rows cost is counted: by the rows that pass, not by the joins that read them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(100).selectExpr("id AS seq", "concat('u', id div 4) AS canonical_url", "concat('f', id div 6) AS fingerprint")
+    found = identity.identity_components(rows.mapInArrow(counted, rows.schema)).select("seq", "identity").collect()
+    assert {r.seq // 12 * 12 == r.identity for r in found} == {True} and len(found) == 100
+    assert made.value <= 200  # for the keys, and for the result
