@@ -25,14 +25,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         turn = len(rounds)
 
         def place(name: str, turn: int = turn) -> Column:
-            order = F.xxhash64(F.lit(turn), name) if turn % 3 == 2 else F.lit(0)
-            return F.struct(order.alias("order"), F.col(name).alias("node"))
+            node = F.col(name)
+            return F.struct(F.xxhash64(F.lit(turn), node).alias("order"), node.alias("node")) if turn % 3 == 2 else node
 
         ways = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))
         both = edges.select(F.explode(ways).alias("way")).select("way.*")
         first = both.groupBy("node").agg(F.min(place("near")).alias("first"))
         # A table: rows that join one hub are then a skewed partition that Spark can split.
-        step = materialize(first.select("node", F.least("first", place("node"))["node"].alias("via")), "step")
+        via = F.least("first", place("node"))
+        step = materialize(first.select("node", (via["node"] if turn % 3 == 2 else via).alias("via")), "step")
         jump = step.select(F.col("node").alias("via"), F.col("via").alias("to"))
         joined = materialize(step.join(jump, "via").select("node", "to"), "joined")
         rounds.append(joined)

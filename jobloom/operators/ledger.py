@@ -16,11 +16,15 @@ from jobloom.operators.components import connected_components
 from jobloom.operators.identity import useful
 from jobloom.operators.numbering import number_rows
 from jobloom.sources.scratch import materialize
-from jobloom.sources.store import BucketStore
+from jobloom.sources.store import BucketStore, Manifest
 
 KEYS, ALIASES = "key string, job_id long", "old_id long, job_id long"
 #: The column that deals the rows of each table.
 LEDGER = {"keys": "key", "aliases": "old_id", "states": "job_id"}
+#: How states are written; it stands with the versions.
+FORMAT = 2
+#: Ids of postings are below it.
+_ROWS = 1 << 62
 
 
 def key_columns() -> list[Column]:
@@ -29,58 +33,72 @@ def key_columns() -> list[Column]:
     return [F.coalesce(url, F.when(F.col("fingerprint").isNull(), F.concat(F.lit("s|"), F.col("seq").cast("string")))), printed]
 
 
-def _node(job_id: Column) -> Column:
-    return F.concat(F.lit("#"), F.lpad(job_id.cast("string"), 20, "0"))  # sorts before all keys
+def numbered_sightings(sightings: DataFrame) -> DataFrame:
+    """``sightings`` with a number of their own, ``_row``, written once."""
+    return materialize(sightings.withColumn("_row", F.monotonically_increasing_id()), "batch")
 
 
-def assign_ids(sightings: DataFrame, known: DataFrame, next_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``sightings`` with ``job_id``, new ``(key, job_id)``, and ``(old_id, job_id)`` of postings that are found to be one.
+def _each_key(keyed: DataFrame) -> DataFrame:
+    return keyed.select("_row", F.explode(F.array_compact(F.array(*key_columns()))).alias("key"))
 
-    ``known(key, job_id)`` are the keys in use, of which only those of the sightings need be given, with aliases
-    resolved. Sightings that share a URL or a fingerprint, over any number of steps, are one posting.
+
+def assign_ids(keyed: DataFrame, known: DataFrame, aliases: DataFrame, next_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(_row, job_id)`` of ``numbered_sightings()``, new ``(key, job_id)``, and ``(old_id, job_id)`` of postings that are found to be one.
+
+    ``known(key, job_id)`` are the keys in use, of which only those of the sightings need be given, and ``aliases(old_id,
+    job_id)`` what became of their postings. Sightings that share a URL or a fingerprint, over any number of steps, are one posting.
+
+    A key stands for its posting or, if it is new, for the first row that has it; only rows whose two keys stand for
+    different ones make an edge, of two numbers. Postings are numbers below zero, so that they come before rows.
     """
-    url, printed = key_columns()
-    keyed = materialize(sightings.withColumns({"_url": url, "_print": printed}), "keyed")
-    pairs = keyed.select(F.col("_url").alias("a"), F.col("_print").alias("b")).distinct()
-    first = F.explode(F.array_compact(F.array("_url", "_print"))).alias("key")
-    nodes = keyed.select("seq", first).groupBy("key").agg(F.min("seq").alias("seq"))
-    nodes = materialize(nodes.join(known, "key", "left").select("key", "seq", "job_id"), "nodes")
-    old = nodes.filter("job_id is not null").select(F.col("key").alias("a"), _node(F.col("job_id")).alias("b"))
-    found = connected_components(pairs.unionByName(old))
-    held = nodes.join(found, nodes.key == found.node, "left").select("key", "seq", "job_id", F.coalesce("component", "key").alias("component"))
+    now = F.coalesce("_now", "job_id").alias("job_id")
+    nodes = _each_key(keyed).groupBy("key").agg(F.min("_row").alias("_first")).join(known, "key", "left")
+    nodes = nodes.join(aliases.select(F.col("old_id").alias("_old"), F.col("job_id").alias("_now")), F.col("job_id") == F.col("_old"), "left").select("key", "_first", now)
+    nodes = materialize(nodes.select("key", (F.col("job_id") - _ROWS).alias("_posting"), F.coalesce(F.col("job_id") - _ROWS, "_first").alias("node")), "nodes")
+    ends = _each_key(keyed).join(nodes.select("key", "node"), "key").groupBy("_row").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    ends = materialize(ends, "ends")
+    found = connected_components(ends.select("a", "b"))
+    held = ends.join(found, ends.a == found.node, "left").select("_row", F.coalesce("component", "a").alias("component"))
     held = materialize(held, "held")
-    minted = held.filter(~F.col("component").startswith("#")).groupBy("component").agg(F.min("seq").alias("seq"))
+    minted = held.filter("component >= 0").join(keyed.select("_row", "seq"), "_row").groupBy("component").agg(F.min("seq").alias("seq"))
     minted = number_rows(minted, ["seq"], "new_id", first=next_id).select("component", "new_id")
-    named = held.join(minted, "component", "left")
-    named = named.select("key", F.col("job_id").alias("old_id"), F.coalesce("new_id", F.substring("component", 2, 20).try_cast("long")).alias("job_id"))
+    named = held.join(minted, "component", "left").select("_row", F.coalesce("new_id", F.col("component") + _ROWS).alias("job_id"))
     named = materialize(named, "named")
-    of = named.select(F.col("key").alias("_key"), "job_id")
-    assigned = keyed.join(of, F.coalesce("_url", "_print") == F.col("_key")).drop("_key", "_url", "_print")
-    merged = named.filter("old_id <> job_id").select("old_id", "job_id").distinct()
-    return assigned, named.filter("old_id is null").select("key", "job_id"), merged
+    fresh = nodes.filter("_posting is null").join(named, F.col("node") == F.col("_row")).select("key", "job_id")
+    merged = found.filter("node < 0 and node <> component").select((F.col("node") + _ROWS).alias("old_id"), (F.col("component") + _ROWS).alias("job_id"))
+    return named, fresh, merged
 
 
 def sighting_states(assigned: DataFrame, fields: list[str]) -> DataFrame:
-    """Each sighting as the state of a posting seen once: of each field the last useful value, and the last one, with its place."""
-    seq = F.col("seq")
-    columns = [F.lit(1).cast("long").alias("sightings"), seq.alias("first_seq"), seq.alias("seen_seq"), F.lit(None).cast(dict(assigned.dtypes)["seq"]).alias("missing_seq")]
-    for f in fields:
-        c = F.struct(seq, F.col(f).alias("x"))
-        columns += [F.when(useful(F.col(f)), c).alias(f"best_{f}"), c.alias(f"last_{f}")]
+    """Each sighting as the state of a posting seen once: the last values, and of each field the last useful one with its place.
+
+    A useful value is written with its place only if it is not among the last values.
+    """
+    seq, kinds = F.col("seq"), dict(assigned.dtypes)
+    columns = [F.lit(1).cast("long").alias("sightings"), seq.alias("first_seq"), seq.alias("seen_seq"), F.lit(None).cast(kinds["seq"]).alias("missing_seq")]
+    best = [F.lit(None).cast(f"struct<seq:{kinds['seq']},x:{kinds[f]}>").alias(f"best_{f}") for f in fields]
     source = F.when(F.col("source").isNotNull(), F.struct(seq, F.col("source").alias("x"))).alias("first_source")
     meta = F.transform_values("metadata", lambda _, value: F.struct(seq, value.alias("x"))).alias("meta")
     merged = F.lit(False).alias("identity_conflict")
-    return assigned.select("job_id", *columns, source, F.col("checked_at").alias("checked_at"), merged, meta)
+    return assigned.select("job_id", *columns, F.struct(*fields).alias("last"), *best, source, F.col("checked_at").alias("checked_at"), merged, meta)
 
 
 def fold_states(rows: DataFrame) -> DataFrame:
     """States of the same posting made one, in any order and grouping: each part is a largest, a smallest or a sum."""
-    biggest = [c for c in rows.columns if c.startswith(("best_", "last_")) or c in ("seen_seq", "missing_seq", "checked_at", "identity_conflict")]
+    fields = [c.removeprefix("best_") for c in rows.columns if c.startswith("best_")]
+
+    def best(f: str) -> Column:
+        x = F.col("last")[f]
+        return F.coalesce(f"best_{f}", F.when(useful(x), F.struct(F.col("seen_seq").alias("seq"), x.alias("x"))))
+
     folded = rows.groupBy("job_id").agg(
         F.sum("sightings").alias("sightings"), F.min("first_seq").alias("first_seq"), F.min("first_source").alias("first_source"),
-        *[F.max(c).alias(c) for c in biggest],
+        F.max(F.struct("seen_seq", "last")).alias("_seen"), *[F.max(best(f)).alias(f"best_{f}") for f in fields],
+        *[F.max(c).alias(c) for c in ("missing_seq", "checked_at", "identity_conflict")],
     )
-    entries = rows.select("job_id", F.explode("meta").alias("k", "v")).groupBy("job_id", "k").agg(F.max("v").alias("v"))
+    folded = folded.select("*", "_seen.seen_seq", "_seen.last")
+    folded = folded.withColumns({f"best_{f}": F.when(~useful(F.col("last")[f]), F.col(f"best_{f}")) for f in fields})
+    entries = rows.filter("meta is not null").select("job_id", F.explode("meta").alias("k", "v")).groupBy("job_id", "k").agg(F.max("v").alias("v"))
     meta = entries.groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("meta"))
     return folded.join(meta, "job_id", "left").select(*rows.columns)
 
@@ -97,7 +115,7 @@ def postings_of(states: DataFrame, reactivate: bool = False) -> DataFrame:
     """States as postings: the useful values, metadata, source, status, checks and how often they were seen."""
     fields = [c.removeprefix("best_") for c in states.columns if c.startswith("best_")]
     return states.select(
-        "job_id", *[F.coalesce(F.col(f"best_{f}"), F.col(f"last_{f}"))["x"].alias(f) for f in fields],
+        "job_id", *[F.coalesce(F.col(f"best_{f}")["x"], F.col("last")[f]).alias(f) for f in fields],
         F.transform_values("meta", lambda _, v: v["x"]).alias("metadata"), F.col("first_source")["x"].alias("source"),
         status(reactivate).alias("status"), "checked_at", "identity_conflict", "sightings", "first_seq", "seen_seq", "missing_seq",
     )
@@ -128,12 +146,17 @@ class Ledger:
         nothing = store.spark.createDataFrame([], StructType([*kinds.fields, StructField("job_id", LongType())]))
         self.schema = sighting_states(nothing, fields).schema
 
+    def _states(self, manifest: Manifest, touched: list[int] | None = None) -> DataFrame:
+        if manifest.get("states") and manifest.get("format") != {0: FORMAT}:
+            raise ValueError(f"{self.store.root} has states of another format; ingest its sightings anew")
+        return self.store.read("states", self.schema, manifest, touched)
+
     def postings(self, reactivate: bool = False) -> DataFrame:
         """The current postings."""
-        return postings_of(self.store.read("states", self.schema, self.store.manifest()), reactivate)
+        return postings_of(self.states(), reactivate)
 
     def states(self) -> DataFrame:
-        return self.store.read("states", self.schema, self.store.manifest())
+        return self._states(self.store.manifest())
 
     def aliases(self) -> DataFrame:
         """``(old_id, job_id)``: what became of ids that are no longer in use."""
@@ -142,37 +165,33 @@ class Ledger:
     def ingest(self, sightings: DataFrame, number: int) -> None:
         """Add a batch of sightings as update ``number``; run again, it gives the same ledger."""
         store, manifest = self.store, self.store.manifest(before=number)
-        batch = materialize(sightings.select(*self.kinds.fieldNames()), "batch")
-        url, printed = key_columns()
-        keyed = batch.select(F.explode(F.array_compact(F.array(url, printed))).alias("key")).distinct()
-        touched = store.touched("keys", keyed)
+        batch = numbered_sightings(sightings.select(*self.kinds.fieldNames()))
+        touched = store.touched("keys", _each_key(batch))
         held = store.read("keys", KEYS, manifest, touched)
         aliases = store.read("aliases", ALIASES, manifest)
-        known = held.join(keyed, "key", "left_semi").join(aliases.withColumnRenamed("job_id", "now"), F.col("job_id") == F.col("old_id"), "left")
-        known = materialize(known.select("key", F.coalesce("now", "job_id").alias("job_id")), "known")
         # Ids are never used again: the next one stands with the versions.
         next_id = manifest.get("next_id", {0: 1})[0]
-        assigned, fresh, merged = assign_ids(batch, known, next_id)
-        assigned, fresh, merged = materialize(assigned, "assigned"), materialize(fresh, "fresh"), materialize(merged, "merged")
-        manifest["next_id"] = {0: max(next_id, 1 + (assigned.agg(F.max("job_id")).first()[0] or 0))}
+        named, fresh, merged = assign_ids(batch, held, aliases, next_id)
+        merged = materialize(merged, "merged")
+        manifest["next_id"] = {0: max(next_id, 1 + (named.agg(F.max("job_id")).first()[0] or 0))}
         store.replace("keys", number, held.unionByName(fresh), touched, manifest)
-        new = fold_states(sighting_states(assigned, self.fields))
-        moved = merged.select(F.col("old_id").alias("_old"), F.col("job_id").alias("_now"))
-        ids = assigned.select("job_id").unionByName(merged.select("job_id")).unionByName(merged.select(F.col("old_id").alias("job_id"))).distinct()
-        ids = materialize(ids, "ids")
+        # What becomes of the postings that the batch touches; those that others join have sightings in it.
+        stays = named.select("job_id", F.col("job_id").alias("_now")).distinct()
+        ids = materialize(stays.unionByName(merged.select(F.col("old_id").alias("job_id"), F.col("job_id").alias("_now"))), "ids")
         touched = store.touched("states", ids)
-        old = store.read("states", self.schema, manifest, touched)
+        old = self._states(manifest, touched)
         stay = old.join(ids, "job_id", "left_anti")
-        change = old.join(ids, "job_id", "left_semi").join(moved, F.col("job_id") == F.col("_old"), "left")
         # A posting that becomes part of another brings its values, and its status only counts if it is the one that stays.
-        change = change.withColumns({
-            "missing_seq": F.when(F.col("_now").isNull(), F.col("missing_seq")), "job_id": F.coalesce("_now", "job_id"),
-            "identity_conflict": F.col("identity_conflict") | F.col("_now").isNotNull(),
+        joins = F.col("job_id") != F.col("_now")
+        change = old.join(ids, "job_id").withColumns({
+            "missing_seq": F.when(~joins, F.col("missing_seq")), "job_id": F.col("_now"), "identity_conflict": F.col("identity_conflict") | joins,
         }).select(*self.schema.fieldNames())
-        folded = fold_states(materialize(change.unionByName(new), "change"))
-        store.replace("states", number, stay.unionByName(folded), touched, manifest)
+        new = sighting_states(batch.join(named, "_row"), self.fields)
+        store.replace("states", number, stay.unionByName(fold_states(change.unionByName(new))), touched, manifest)
+        manifest["format"] = {0: FORMAT}
         if not merged.isEmpty():
             # Aliases of what is now an alias point on; there are as many as postings were ever joined.
+            moved = merged.select(F.col("old_id").alias("_old"), F.col("job_id").alias("_now"))
             kept = aliases.join(moved, F.col("job_id") == F.col("_old"), "left").select("old_id", F.coalesce("_now", "job_id").alias("job_id"))
             every = materialize(kept.unionByName(merged), "aliases")
             store.replace("aliases", number, every, list(range(store.buckets)), manifest)
@@ -183,7 +202,7 @@ class Ledger:
         store, manifest = self.store, self.store.manifest(before=number)
         ids = materialize(missing.select("job_id").distinct(), "missing")
         touched = store.touched("states", ids)
-        old = store.read("states", self.schema, manifest, touched)
+        old = self._states(manifest, touched)
         marked = old.join(ids.withColumn("_gone", F.lit(True)), "job_id", "left")
         at = F.when(F.col("_gone"), F.greatest(F.lit(place), F.coalesce("missing_seq", F.lit("")))).otherwise(F.col("missing_seq"))
         store.replace("states", number, marked.withColumn("missing_seq", at).select(*self.schema.fieldNames()), touched, manifest)

@@ -210,15 +210,12 @@ c AS (SELECT k, min(other) AS part FROM reach GROUP BY 1)"""
 SELECT description, sightings, CAST(first[1] AS INTEGER) AS first_batch, first[2] AS first_part, count(*) OVER () AS postings FROM f""")
 def ledger_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as sightings that arrive in three batches; later ones connect postings of earlier ones, which become one."""
-    rows = v.ident(spark, sf_dir)
+    rows = v.ident(spark, sf_dir, "p_name")
     kinds = {f.name: f.dataType for f in StructType.fromDDL(SIGHTING).fields}
     empty = {c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in rows.columns}
-    rows = rows.withColumns({**empty, "description": F.lit(None).cast("string")}).join(
-        v.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("_k"), F.col("p_name").alias("_name")), F.col("seq") == F.col("_k")
-    )
-    batch, seq = F.col("_k") % 3, F.lpad(F.col("_k").cast("string"), 12, "0")
+    batch, seq = F.col("seq") % 3, F.lpad(F.col("seq").cast("string"), 12, "0")
     rows = rows.withColumns({
-        "batch": batch, "seq": F.concat(F.lpad(batch.cast("string"), 12, "0"), F.lit("|"), seq), "description": F.col("_name"), "source": F.lit("part"),
+        **empty, "batch": batch, "seq": F.concat(F.lpad(batch.cast("string"), 12, "0"), F.lit("|"), seq), "description": F.col("p_name"), "source": F.lit("part"),
         "canonical_url": canonicalize_url(F.col("url")), "fingerprint": fingerprint(F.col("title"), F.col("company"), F.lit(None).cast("string")),
     })
     book = posting_ledger(spark, _folder(spark, "ledger"), buckets=16)

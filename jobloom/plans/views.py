@@ -52,8 +52,8 @@ DOC_POSTINGS = rf"""doc_postings AS (
   FROM documents)"""
 
 
-def ident(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as sightings of postings; URL and fingerprint overlaps form chains of up to eight."""
+def ident(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Parts as sightings of postings; URL and fingerprint overlaps form chains of up to eight. ``more`` columns of the parts follow."""
     p = spread(read(spark, sf_dir, "part"), "p_partkey")
     k = F.col("p_partkey")
     block, step = F.floor(k / 8), F.floor(F.pmod(k, F.lit(8)) / 2)
@@ -65,7 +65,7 @@ def ident(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 == 0, "unknown").otherwise(F.col("p_brand")).alias("modality"),
         F.when(k % 4 == 1, F.lit(None).cast("string")).otherwise(F.col("p_name")).alias("description"),
         F.col("p_retailprice").alias("salary_min"),
-        F.when(k % 5 > 1, k % 7).cast("int").alias("source_id"),
+        F.when(k % 5 > 1, k % 7).cast("int").alias("source_id"), *more,
     )
 
 

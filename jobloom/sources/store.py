@@ -59,7 +59,9 @@ class BucketStore:
 
     def replace(self, table: str, number: int, rows: DataFrame, touched: list[int], manifest: Manifest) -> None:
         """Write all rows of the touched buckets; ``manifest`` then names their new version."""
-        dealt = rows.withColumn("bucket", self.bucket(table)).repartition(max(1, len(touched)), "bucket")
+        # A task for each bucket: a hash of few numbers would leave tasks idle and give others several.
+        place = (F.array_position(F.lit(touched or [0]), F.col("bucket")) - 1).cast("int")
+        dealt = rows.withColumn("bucket", self.bucket(table)).repartitionById(max(1, len(touched)), place)
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{table}/version={number}")
         at, files = self._files(f"{self.root}/{table}/version={number}")
         there = {int(s.getPath().getName()[7:]) for s in files.listStatus(at) if s.getPath().getName().startswith("bucket=")}

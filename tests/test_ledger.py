@@ -3,6 +3,7 @@
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -88,6 +89,35 @@ def test_an_update_writes_only_the_buckets_it_touches(spark, tmp_path):
     assert {r.sightings for r in found.postings().collect()} == {1, 2} and found.postings().count() == 300
 
 
+def test_a_batch_contracts_and_writes_only_what_it_must(spark, tmp_path, monkeypatch):
+    """Edges are pairs of numbers of rows whose keys differ in their posting; a state holds its last values once; a task writes one bucket."""
+    made = []
+    contract = ledger.connected_components
+    monkeypatch.setattr(ledger, "connected_components", lambda edges: made.append(edges.filter("a <> b")) or contract(edges))
+    found = book(spark, tmp_path, buckets=16)
+    found.ingest(batch(spark, *[sighting(k, f"u{k}", f"p{k}") for k in range(200)]), 0)
+    # Three known postings are seen again, two of them become one, and one has a new fingerprint.
+    found.ingest(batch(spark, sighting(900, "u7", "p7"), sighting(901, "u8", "p9"), sighting(902, "u10", "new", "unknown")), 1)
+    assert [edges.count() for edges in made] == [0, 2] and {kind for edges in made for _, kind in edges.dtypes} == {"bigint"}
+    assert "last" in found.states().columns and not [c for c in found.states().columns if c.startswith("last_")]
+    states = {r.first_seq: r for r in found.states().collect()}
+    assert states["000007"].best_description is None and states["000010"].best_description.x == "text" and states["000010"].last.description == "unknown"
+    rows = {r.first_seq: (r.sightings, r.title, r.description, r.identity_conflict) for r in found.postings().collect() if r.sightings > 1}
+    assert rows == {"000007": (2, "T900", "text", False), "000008": (3, "T901", "text", True), "000010": (2, "T902", "text", False)}
+    files = [p for d in (tmp_path / "states" / "version=0").glob("bucket=*") for p in os.listdir(d) if p.endswith(".parquet")]
+    assert len(files) == 16 == len({p.split("-")[1] for p in files})
+
+
+def test_states_of_another_format_are_not_read(spark, tmp_path):
+    found = book(spark, tmp_path)
+    found.ingest(batch(spark, sighting(1, "a", "f1")), 0)
+    held = found.store.manifest()
+    del held["format"]
+    found.store.publish(1, held)
+    with pytest.raises(ValueError, match="another format"):
+        found.postings()
+
+
 def test_a_missing_posting_stays_inactive_when_it_is_found_again(spark, tmp_path):
     found = book(spark, tmp_path)
     found.ingest(batch(spark, sighting(1, "a", "f1"), sighting(2, "b", "f2")), 0)
