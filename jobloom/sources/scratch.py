@@ -7,6 +7,7 @@ that a later one replaces are deleted at once, the others when the application e
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,7 +32,11 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str, by: str | None = None, compression: str | None = None) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back; ``by`` names its last column for folders."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back; ``by`` names its last column for folders.
+
+    The planner takes a file's bytes for a table's size and broadcasts what is small by that. Numbers that repeat shrink
+    a hundredfold in a file and not in a broadcast, so tables of numbers alone are written plain unless told otherwise.
+    """
     spark = df.sparkSession
     folder = scratch_dir(spark)
     if folder not in _kept:
@@ -40,7 +45,10 @@ def materialize(df: DataFrame, name: str, by: str | None = None, compression: st
         files.deleteOnExit(at)
         _kept.add(folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path, partitionBy=by, compression=compression)
+    writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES)
+    if compression is None and not re.search(r"string|char|binary|variant", df.schema.simpleString()):
+        writer, compression = writer.option("parquet.enable.dictionary", "false"), "uncompressed"
+    writer.parquet(path, partitionBy=by, compression=compression)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     return table

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.sources import cards, feeds, tables
+from jobloom.sources import cards, feeds, scratch, tables
 from jobloom.streaming import ingest
 
 SCHEMA = "source string, base_url string, default_company string, payload string"
@@ -202,3 +202,16 @@ def test_a_text_of_zero_is_a_value_and_a_number_is_none(spark):
         raw = spark.createDataFrame([("s", "https://jobs.example", "", json.dumps(jobs))], "source string, base_url string, default_company string, payload string")
         good, _ = feeds.read_feeds(raw if aliases is None else raw.withColumn("aliases", aliases))
         assert [r.salary_min for r in good.orderBy("item_idx").collect()] == [x for _, x in given]
+
+
+def test_tables_of_numbers_are_as_large_in_a_file_as_in_memory(spark):
+    """The planner broadcasts by a file's bytes: a table of numbers that repeat was some kilobytes to it."""
+    rows = 1_500_000
+    table = scratch.materialize(spark.range(rows).selectExpr("id % 3 as a", "struct(7L as b, true as c) as s"), "numbers")
+    other = scratch.materialize(spark.range(rows).selectExpr("id as a", "id as d"), "others")
+    for side in (table, other):
+        assert side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 16 * rows
+    joined = table.join(other, "a")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == rows
+    texts = spark.range(5).selectExpr("id", "cast(id as string) as text", "array(1L) as many")
+    assert sorted(map(tuple, scratch.materialize(texts, "texts").collect())) == [(k, str(k), [1]) for k in range(5)]
