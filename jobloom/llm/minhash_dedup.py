@@ -247,9 +247,10 @@ def _block_links(large: DataFrame, corpus: _Corpus) -> DataFrame | None:
         "cid", "comp", "family", "band", (F.col("own") < F.col("band")).alias("lower"),
         F.struct(F.when(F.col("blocks").isNotNull(), F.col("comp")).alias("owner"), nth).alias("block"),
     )
-    dealt = materialize(dealt.join(meeting, ["family", "band", "block"]).drop("block"), "dealt")
+    # Few rows of sizes may make very many of meeting blocks, which the planner cannot tell: nothing of it is broadcast.
+    dealt = materialize(dealt.join(meeting.hint("merge"), ["family", "band", "block"]).drop("block"), "dealt")
     texts = corpus.texts(dealt.select("cid").distinct())
-    found = dealt.join(texts, "cid").groupBy("family", "band", "i", "j")
+    found = dealt.hint("merge").join(texts, "cid").groupBy("family", "band", "i", "j")
     links = materialize(found.applyInArrow(_block(corpus.size, corpus.percent), "a long, b long").distinct(), "block-links")
     discard(members, sizes, dealt, texts)
     return links

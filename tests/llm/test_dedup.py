@@ -121,6 +121,22 @@ def test_one_component_in_blocks_of_its_own(spark, monkeypatch):
     check(spark, list(enumerate(texts)))
 
 
+def test_blocks_meet_texts_without_a_broadcast(spark, monkeypatch):
+    """Rows of meeting blocks grow with the square of a family and shrink a hundredfold in a file."""
+    monkeypatch.setattr(minhash_dedup, "SMALL_KEY", 2)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    plans = {}
+
+    def planned(df, name, write=minhash_dedup.materialize):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(minhash_dedup, "materialize", planned)
+    check(spark, list(enumerate(near_copies(40, 80, 1, 2) + near_copies(40, 90, 3, 3))))
+    assert "BroadcastHashJoin" not in plans["block-links"][1] and "strategy=merge" in plans["block-links"][0]
+    assert "strategy=merge" in plans["dealt"][0]
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 32))
