@@ -45,7 +45,8 @@ def materialize(df: DataFrame, name: str, by: str | None = None, compression: st
         files.deleteOnExit(at)
         _kept.add(folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
-    writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES)
+    # A row may be large: the first check of what is held comes after one row and not after a hundred.
+    writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size.row.check.min", 1)
     if compression is None and not re.search(r"string|char|binary|variant", df.schema.simpleString()):
         writer, compression = writer.option("parquet.enable.dictionary", "false"), "uncompressed"
     writer.parquet(path, partitionBy=by, compression=compression)

@@ -68,6 +68,24 @@ def test_whole_tables_by_brute_force_and_sql(spark, monkeypatch, block):
     assert set(con.execute(queries.ORACLE_SQL["op12_lexical_search"]).fetchall()) == expected
 
 
+def test_a_task_holds_few_blocks_of_the_index(spark, monkeypatch):
+    """What a file holds together is bounded by bytes, however many blocks a task writes; readers hold it whole."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from jobloom.sources import scratch
+
+    monkeypatch.setattr(scratch, "ROW_GROUP_BYTES", 1 << 16)
+    monkeypatch.setattr(lexical_search, "BLOCK_TERMS", 4000)
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(1000))) for k in range(240)], "doc_id long, text string").coalesce(1)
+    index = lexical_search.build_index(docs, lexical_search.count_corpus(docs))
+    groups = [g for f in Path(index._scratch_path.removeprefix("file:")).glob("*.parquet") for g in [pq.ParquetFile(f).metadata] for g in map(g.row_group, range(g.num_row_groups))]
+    assert sum(g.num_rows for g in groups) == index.count() == 60
+    assert max(g.num_rows for g in groups) <= 2 and max(g.total_byte_size for g in groups) < 1 << 18
+
+
 def test_odd_rows(spark, monkeypatch):
     """Ties, repeated and null ids, empty and very long texts, other scripts, clashing columns, several groups of items."""
     monkeypatch.setattr(lexical_search, "ITEM_BYTES", 60)
